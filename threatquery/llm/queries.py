@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatquery.llm import _store, toxicity
+from threatquery.llm import _store, jaccard, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", (_store.remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))

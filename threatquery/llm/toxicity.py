@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from threatquery.llm import _store, _text
 
 #: Labelled rows of each class that are fitted at most.
-PER_CLASS = 2500
+PER_CLASS = 1800
 BUCKETS = 1 << 16
 DIM = 8
 SIZES = (3, 4, 5)
@@ -104,11 +104,13 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
             continue
         ids = np.concatenate([r[1] for r in own]).astype(np.int32)
         w = (np.concatenate([r[2] for r in own]) * SCALE).astype(np.float32)
-        doc = np.repeat(np.arange(len(own)), [len(r[1]) for r in own])
-        by = np.argsort(ids, kind="stable")
+        doc = np.repeat(np.arange(len(own), dtype=np.int32), [len(r[1]) for r in own])
+        by = np.argsort(ids, kind="stable").astype(np.int32)
         cuts = np.flatnonzero(np.r_[True, np.diff(ids[by]) != 0])
         batches.append((ids, w, doc, by, cuts, ids[by][cuts], np.array([r[0] for r in own])))
 
+    del rows
+
     def step(x, g, s, rate):
         s += g * g
         x -= rate * g / np.sqrt(s)
@@ -151,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
 
     known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
     rows = known.mapInArrow(lambda it: extract(it), "label int, ids binary, shares binary").collect()
-    rows = [(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.float32)) for r in rows]
-    return fit(sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
+    rows.sort(key=lambda r: (r[0], len(r[1]), bytes(r[1]), bytes(r[2])))
+    return fit([(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.float32)) for r in rows])
 
 
 def score_texts(array: pa.Array, model: Model) -> np.ndarray:
