@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatquery.llm import _store, decontaminate, jaccard, packing, toxicity
+from threatquery.llm import _store, decontaminate, jaccard, packing, secrets, toxicity
 
 #: Name of a vocabulary file of the installed public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -51,3 +51,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+@query
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_secret_scans"] = secrets.oracle()
