@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatquery.llm import _store, decontaminate, jaccard, packing, secrets, toxicity
+from threatquery.llm import _store, chat, decontaminate, jaccard, packing, secrets, toxicity
 
 #: Name of a vocabulary file of the installed public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -59,3 +59,17 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_secret_scans"] = secrets.oracle()
+
+
+#: The conversation that the contract adds to the table.
+TRICKY = ((-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok"))
+
+
+@query
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = [spark.range(1).select(F.lit(c).cast("bigint").alias("conv_id"), F.lit(t).cast("bigint").alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for c, t, r, x in TRICKY]
+    every = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky[0]).unionByName(tricky[1])
+    return chat.digests(chat.formatted(every))
+
+
+ORACLES["op6_chat_formatting"] = chat.oracle(TRICKY)
