@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatquery.llm import _store, chat, decontaminate, jaccard, language, packing, secrets, topk, toxicity
+from threatquery.llm import _store, chat, decontaminate, jaccard, language, lm, packing, secrets, topk, toxicity
 
 #: Name of a vocabulary file of the installed public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -97,3 +97,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs))
     return found.select("doc_id", (_store.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
