@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatquery.llm import _store, chat, decontaminate, jaccard, language, lm, packing, secrets, topk, toxicity
+from threatquery.llm import _store, chat, decontaminate, jaccard, language, lm, packing, quality, secrets, topk, toxicity
 
 #: Name of a vocabulary file of the installed public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -102,3 +102,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", (_store.remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
