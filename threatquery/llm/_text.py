@@ -70,6 +70,14 @@ def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def parts(batches, name: str = "text", most: int = 2 * SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts have about ``most`` bytes, one row at least."""
+    for batch in batches:
+        _, offsets = column(batch.column(batch.schema.get_field_index(name)))
+        for a, b in slices(offsets, most):
+            yield batch.slice(a, b - a)
+
+
 @dataclass
 class Words:
     """The words of some texts: lower-cased bytes, byte spans, and the first word of each text (with an end)."""
@@ -131,6 +139,14 @@ def span_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return h
 
 
+def runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    if not len(keys):
+        return []
+    cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True))
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of the ranges start .. start + length."""
     total = int(lengths.sum())

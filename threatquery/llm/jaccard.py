@@ -7,8 +7,8 @@ from shingles to documents:
 1. Documents with the same set form one class, and only its least id goes on.
 2. ``sieve``: half of each set (the least hashes) is indexed. A document of
    which too few of these shingles lie in a list with another document cannot
-   reach the required overlap T with any, and leaves. Each task sends a hash
-   once, however many of its documents hold it, so a hot list stays short.
+   reach the required overlap T with any, and leaves. A hash is sent once for
+   each batch, however many of its documents hold it, so hot lists stay short.
 3. The rest are indexed whole with the lengths of their lists. T - 1 of a
    document's lists may be set aside as long ones; it must meet each partner in
    one of the remaining short lists.
@@ -45,6 +45,8 @@ SIZE = 5
 LEAST, PER = 75, 100
 #: Shingles of a row of the second index.
 CHUNK = 1 << 20
+#: Documents whose counts are summed together.
+GROUP = 1 << 14
 _FACTORS = [_text.U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -107,7 +109,7 @@ def sets(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and a 128-bit print of each document's set."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _text.parts(batches):
             found = shingles(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -125,11 +127,11 @@ def sets(docs: DataFrame) -> DataFrame:
 _POSTS = "bucket int, hashes binary, ids binary, n binary"
 
 
-def sieve(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_ids whose shared half-set is large enough for a link."""
+def sieve(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
+    """doc_ids whose shared half-set is large enough for a link. Counts are summed by group of documents."""
 
     def send(batches):
-        for batch in batches:
+        for batch in _text.parts(batches):
             ids = _ids(batch)
             found = shingles(batch.column("text"))
             sizes = np.array([len(s) for s in found], np.int64)
@@ -149,10 +151,8 @@ def sieve(docs: DataFrame, buckets: int) -> DataFrame:
             rest = (h & _text.U64(0xFFFFFFFF)).astype(np.uint32)
             by = np.lexsort((rest, bucket))
             bucket, rest, id_of = bucket[by], rest[by], id_of[by]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[cuts[1:], len(bucket)]
             live = sizes > 0
-            rows = [(int(bucket[a]), planes(rest[a:b]), planes(id_of[a:b]), b"") for a, b in zip(cuts, ends, strict=True)]
+            rows = [(int(bucket[a]), planes(rest[a:b]), planes(id_of[a:b]), b"") for a, b in _text.runs(bucket)]
             # what this batch knows already: the documents, their sizes and locally shared shingles
             rows.append((int(bucket[0]), planes(known[live].astype(np.uint32)), planes(ids[live]), planes(sizes[live].astype(np.uint32))))
             yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "hashes", "ids", "n"), r, strict=True)) for r in rows], schema=pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("n", pa.binary())]))
@@ -173,26 +173,30 @@ def sieve(docs: DataFrame, buckets: int) -> DataFrame:
             shared = np.r_[False, same] | np.r_[same, False]
             one, times = np.unique(ids[shared & (ids != -1)], return_counts=True)
             out.append((one, np.zeros(len(one), np.int64), times))
-        parts = [np.concatenate([x[k] for x in out]) for k in range(3)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table({"doc_id": pa.array(parts[0], pa.int64()), "n": pa.array(parts[1], pa.int64()), "shared": pa.array(parts[2], pa.int64())})
+        ids, n, shared = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
+        group = (_text.mix(ids.view(np.uint64)) % _text.U64(groups)).astype(np.int32)
+        by = np.lexsort((ids, group))
+        group, ids, n, shared = group[by], ids[by], n[by].astype(np.uint32), shared[by].astype(np.uint32)
+        rows = [{"own": int(group[x]), "ids": planes(ids[x:y]), "n": planes(n[x:y]), "shared": planes(shared[x:y])} for x, y in _text.runs(group)]
+        return pa.Table.from_pylist(rows, schema=pa.schema([("own", pa.int32()), ("ids", pa.binary()), ("n", pa.binary()), ("shared", pa.binary())]))
+
+    def passed(table: pa.Table) -> pa.Table:
+        ids, n, shared = (np.concatenate([unplanes(b, kind) for b in table.column(c).to_pylist()]) for c, kind in (("ids", np.int64), ("n", np.uint32), ("shared", np.uint32)))
+        one, of = np.unique(ids, return_inverse=True)
+        most = np.zeros(len(one), np.int64)
+        np.maximum.at(most, of, n.astype(np.int64))
+        return pa.table({"doc_id": one[np.bincount(of, shared, len(one)) >= least_shared(most)]})
 
     posts = docs.select("doc_id", "text").mapInArrow(send, _POSTS)
-    counts = posts.groupBy("bucket").applyInArrow(count, "doc_id bigint, n bigint, shared bigint")
-    total = counts.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
-
-    def passed(batches):
-        for batch in batches:
-            n, shared = (np.asarray(batch.column(c), dtype=np.int64) for c in ("n", "shared"))
-            yield batch.select(["doc_id"]).filter(pa.array(shared >= least_shared(n)))
-
-    return total.mapInArrow(passed, "doc_id bigint")
+    counts = posts.groupBy("bucket").applyInArrow(count, "own int, ids binary, n binary, shared binary")
+    return counts.groupBy("own").applyInArrow(passed, "doc_id bigint")
 
 
 def chunked(docs: DataFrame) -> DataFrame:
     """Rows of packed sets; ``chunk`` is the id of the first document, and so different in each row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _text.parts(batches):
             ids, found = _ids(batch), shingles(batch.column("text"))
             ends = np.cumsum([0] + [len(s) for s in found])
             for a, b in _text.slices(ends, CHUNK):
@@ -268,8 +272,7 @@ def search(query: np.ndarray, records: list[np.ndarray], need: int) -> np.ndarra
     at, owner = at[hit], owner[hit]
     by = np.lexsort((owner, at))
     at, owner = at[by], owner[by]
-    cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, int)
-    lists = sorted((owner[a:b] for a, b in zip(cuts, np.r_[cuts[1:], len(at)], strict=True)), key=len)
+    lists = sorted((owner[a:b] for a, b in _text.runs(at)), key=len)
     if len(lists) < need:
         return np.zeros(0, int)
     longest = len(lists[-1])
@@ -294,11 +297,10 @@ def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
         for batch in batches:
             us, vs, left, right = (batch.column(c) for c in ("u", "v", "a", "b"))
             u, v = np.asarray(us), np.asarray(vs)
-            cuts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else []
             keep = np.zeros(len(u), bool)
-            for x, y in zip(cuts, np.r_[cuts[1:], len(u)].astype(int) if len(u) else [], strict=True):
-                query = np.frombuffer(left[int(x)].as_py(), np.uint64)
-                records = [np.frombuffer(right[k].as_py(), np.uint64) for k in range(int(x), int(y))]
+            for x, y in _text.runs(u):
+                query = np.frombuffer(left[x].as_py(), np.uint64)
+                records = [np.frombuffer(right[k].as_py(), np.uint64) for k in range(x, y)]
                 for k in search(query, records, -(-LEAST * len(query) // PER)):
                     both = np.intersect1d(query, records[k], assume_unique=True)
                     keep[x + k] = PER * len(both) >= LEAST * (len(query) + len(records[k]) - len(both))
@@ -323,13 +325,13 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark = docs.sparkSession
     tables = Tables(spark, "jaccard")
-    # Wide enough that a bucket fits a task; a bucket holds a hash once for each task.
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A bucket is the share of a task; the cluster's number of shuffle partitions follows its data.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     every = tables.write(sets(docs), "sets")
     known = every.where("doc_id is not null and n_shingles > 0")
-    reps = known.groupBy("n_shingles", "p", "q").agg(F.min("doc_id").alias("rep"))
-    left = sieve(docs.where("doc_id is not null"), buckets).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = tables.write(known.groupBy("n_shingles", "p", "q").agg(F.min("doc_id").alias("rep")), "reps")
+    left = sieve(docs.where("doc_id is not null"), buckets, max(buckets, -(-every.count() // GROUP))).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     left = tables.write(left.distinct(), "left")
     chunks = tables.write(chunked(docs.join(left, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])), "chunks")
     tables.write(short_lists(chunks, buckets).distinct(), "short")
@@ -356,7 +358,8 @@ def classes(docs: DataFrame) -> DataFrame:
     label = components(label.unionByName(second), tables, "all")
 
     least = reps.join(label.select(F.col("u").alias("rep"), F.col("v").alias("least")), "rep", "left").select("n_shingles", "p", "q", F.coalesce("least", "rep").alias("component_id"))
-    out = every.join(least, ["n_shingles", "p", "q"], "left")
+    # Written first, so that the join may split the rows of a class with very many copies.
+    out = every.join(tables.write(least, "least"), ["n_shingles", "p", "q"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
