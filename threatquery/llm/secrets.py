@@ -123,7 +123,7 @@ def rows_with_key(docs: DataFrame) -> DataFrame:
 def index(keyed: DataFrame, terms: list[str], shards: int) -> DataFrame:
     """_shard, term, keys: the sorted posting lists of the terms over lower-cased texts."""
     low = F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    held = F.array_compact(F.array(*[F.when(F.col("_low").contains(t), F.lit(t)) for t in terms]))
+    held = F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(F.col("_low"), t))
     postings = keyed.select("_key", low.alias("_low")).select("_key", F.explode(held).alias("term"))
     shard = F.pmod(F.col("_key"), F.lit(shards)).cast("int")
     return postings.groupBy(shard.alias("_shard"), "term").agg(F.sort_array(F.collect_set("_key")).alias("keys"))
@@ -153,24 +153,24 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return lists.select(F.explode(F.concat(*found)).alias("x")).groupBy("x._key").agg(F.collect_set("x.kind").alias("_kinds"))
 
 
-def spans_of(rule: Rule, place: int) -> Column:
-    """Spans of the rule in _text, as structs (start, place, end, kind)."""
-    text, regex = F.col("_text"), F.lit(rule.regex)
-    gaps = F.transform(F.split(text, rule.regex, -1), F.length)
-    matches = F.transform(F.regexp_extract_all(text, regex, F.lit(0)), F.length)
-    tested = F.transform(F.regexp_extract_all(text, regex, F.lit(rule.group)), F.length)
-    each = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("size"), tested.alias("tested"))
-    span = "struct<start:int,place:int,end:int,kind:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
+_SPAN = "struct<start:int,place:int,end:int,kind:string>"
+
+
+def spans_of(text: Column, rule: Column) -> Column:
+    """Spans of a rule (a struct) in a text, as structs (start, place, end, kind)."""
+    gaps = F.transform(F.split(text, rule["regex"], -1), F.length)
+    matches = F.transform(F.regexp_extract_all(text, rule["regex"], F.lit(0)), F.length)
+    tested = F.transform(F.regexp_extract_all(text, rule["regex"], rule["group"]), F.length)
+    each = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("size"), tested.alias("tested"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
-        own = F.struct(begin.alias("start"), F.lit(place).alias("place"), (begin + x["size"]).alias("end"), F.lit(rule.kind).alias("kind"))
-        kept = F.when(x["tested"] >= rule.least, F.concat(acc["out"], F.array(own))).otherwise(acc["out"])
+        own = F.struct(begin.alias("start"), rule["place"].alias("place"), (begin + x["size"]).alias("end"), rule["kind"].alias("kind"))
+        kept = F.when(x["tested"] >= rule["least"], F.concat(acc["out"], F.array(own))).otherwise(acc["out"])
         return F.struct((begin + x["size"]).alias("at"), kept.alias("out"))
 
-    none = F.array().cast(f"array<{span}>")
-    return F.when(text.rlike(rule.regex), F.aggregate(each, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.aggregate(each, start, step, lambda acc: acc["out"])
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -183,13 +183,16 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD))
     found = candidates(index(keyed, terms, shards), queries)
     marked = keyed.join(found, "_key", "left")
-    parts = []
-    for place, rule in enumerate(rules):
-        own = spans_of(rule, place)
-        if rule.kind in queries:
-            own = F.when(F.array_contains("_kinds", rule.kind), own).otherwise(F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>"))
-        parts.append(own)
-    spans = F.array_sort(F.concat(*parts))
+    # One expression for all rules: the generated code doesn't grow with them.
+    every = F.array(
+        *[
+            F.struct(F.lit(r.kind).alias("kind"), F.lit(place).alias("place"), F.lit(r.regex).alias("regex"), F.lit(r.group).alias("group"), F.lit(r.least).alias("least"), F.lit(r.kind not in queries).alias("always"))
+            for place, r in enumerate(rules)
+        ]
+    )
+    text = F.col("_text")
+    picked = F.filter(every, lambda r: (r["always"] | F.coalesce(F.array_contains("_kinds", r["kind"]), F.lit(False))) & F.rlike(text, r["regex"]))
+    spans = F.array_sort(F.flatten(F.transform(picked, lambda r: spans_of(text, r))))
     return marked.withColumn("_spans", spans).select(*docs.columns, "_spans")
 
 
