@@ -19,7 +19,7 @@ def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def duplicate_counts(rows: DataFrame, **keys: list[str]) -> DataFrame:
+def duplicate_counts(rows: DataFrame, /, **keys: list[str]) -> DataFrame:
     """name -> rows beyond the first of each key."""
     out = None
     for name, columns in keys.items():

@@ -8,6 +8,8 @@ when it isn't. Seeds never carry raw content.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,14 +32,17 @@ def is_threat(label: Column, threat_type: int, explicit: str | None = None) -> C
     return F.when(key.isin(*THREAT_LABELS[threat_type]), True).when(key.isin(*BENIGN_LABELS[threat_type]), False)
 
 
-def classified(rows: DataFrame, content: str, label: str, order: str, hashed: Column, threat_type: int, explicit: str | None = None) -> DataFrame:
-    """Every row with its state in seeding: invalid, benign or threat, and its rank among equal contents and equal hashes."""
+def classified(rows: DataFrame, content: str, label: str, order: str, hashed: Callable[[Column], Column], threat_type: int, explicit: str | None = None) -> DataFrame:
+    """Every row with its state in seeding (invalid, benign, threat) and its rank among equal contents and equal hashes.
+
+    ``hashed`` gives the fingerprint of the stripped content; null where there is none.
+    """
     raw, key = strip(F.col(content)), strip(F.col(label))
     out = rows.select(F.col(order).alias("source_row"), raw.alias("raw"), key.alias("key"))
     blank = (F.coalesce(F.col("raw"), F.lit("")) == "") | (F.coalesce(F.col("key"), F.lit("")) == "")
     threat = is_threat(F.col("key"), threat_type, explicit)
     state = F.when(blank | threat.isNull(), "invalid").when(threat, "threat").otherwise("benign")
-    out = out.withColumn("state", state).withColumn("threat_hash", F.when(F.col("state") == "threat", hashed))
+    out = out.withColumn("state", state).withColumn("threat_hash", F.when(F.col("state") == "threat", hashed(F.col("raw"))))
     # Only threats are ranked; the others are told apart by their own rows.
     alone = F.when(F.col("state") == "threat", F.lit(0)).otherwise(F.xxhash64("source_row"))
     out = out.withColumn("_alone", alone)

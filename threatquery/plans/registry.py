@@ -1 +1,135 @@
-"""Queries."""
+"""Registry queries: seeding, guarded inserts, export, counters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from threatquery.functions import hashing, text as tx
+from threatquery.operators import registry as reg
+from threatquery.plans.catalogue import query, table
+from threatquery.plans.scan import CANONICAL, LISTED_SQL, REGISTRY, listed, pages, registry_of, simple_hash
+from threatquery.plans.text import LABEL_SQL, messages
+
+# URL rows with a label in several spellings, some blank or unknown; conversations of pages repeat URLs with another spelling.
+_SEED_SQL = f"""SELECT page_id AS source_row, url AS raw, CASE WHEN page_id % 11 = 0 THEN 'odd' WHEN page_id % 13 = 0 THEN '' WHEN {LISTED_SQL} THEN '0' ELSE 'Legitimate' END AS key, {CANONICAL} AS canonical FROM pages
+UNION ALL SELECT 1000000 + page_id, upper(regexp_extract(url, '^[a-z]+')) || substr(url, length(regexp_extract(url, '^[a-z]+')) + 1), 'phishing', {CANONICAL} FROM pages WHERE {LISTED_SQL}
+UNION ALL SELECT 2000000 + page_id, url, ' PHISHING ', {CANONICAL} FROM pages WHERE {LISTED_SQL}"""
+_CLASSIFIED = f"""WITH rows AS ({_SEED_SQL}), states AS (
+  SELECT *, CASE WHEN trim(key) = '' OR lower(trim(key)) = 'odd' THEN 'invalid' WHEN lower(trim(key)) IN ('0', 'phishing', 'malicious', 'threat') THEN 'threat' ELSE 'benign' END AS state,
+    md5('url:' || canonical) AS h FROM rows
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY state, raw ORDER BY source_row) AS raw_rank, row_number() OVER (PARTITION BY state, h ORDER BY source_row) AS hash_rank FROM states
+)"""
+
+
+def _seed_rows(spark, sf_dir):
+    rows = pages(spark, sf_dir)
+    k = F.col("page_id")
+    first = rows.select(k.alias("source_row"), "url", F.when(k % 11 == 0, "odd").when(k % 13 == 0, "").when(listed(F.col("url")), "0").otherwise("Legitimate").alias("label"))
+    threat = rows.where(listed(F.col("url")))
+    scheme = F.regexp_extract("url", "^[a-z]+", 0)
+    upper = F.concat(F.upper(scheme), F.regexp_replace("url", "^[a-z]+", ""))
+    again = threat.select((k + 1000000).alias("source_row"), upper.alias("url"), F.lit("phishing").alias("label"))
+    third = threat.select((k + 2000000).alias("source_row"), "url", F.lit(" PHISHING ").alias("label"))
+    return first.unionByName(again).unionByName(third)
+
+
+def _classified(spark, sf_dir):
+    # an equal stand-in in SQL: the scheme's case is settled before the hash
+    rows = _seed_rows(spark, sf_dir)
+    return reg.classified(rows, "url", "label", "source_row", simple_hash, reg.URL)
+
+
+@query(f"{_CLASSIFIED} SELECT h AS threat_hash, 1 AS threat_type, 1 AS verdict, 100 AS confidence, source_row FROM ranked WHERE state = 'threat' AND hash_rank = 1")
+def seed_records(spark, sf_dir):
+    return reg.seeds(_classified(spark, sf_dir), reg.URL)
+
+
+@query(f"{_CLASSIFIED} SELECT h AS threat_hash, source_row FROM ranked WHERE state = 'threat' AND hash_rank = 1 ORDER BY source_row LIMIT 5")
+def seed_limit_prefix(spark, sf_dir):
+    """The limit counts unique records."""
+    return reg.seeds(_classified(spark, sf_dir), reg.URL, limit=5).select("threat_hash", "source_row")
+
+
+@query(
+    f"""{_CLASSIFIED} SELECT count(*) AS total_records, count_if(state = 'invalid') AS invalid_records, count_if(state = 'benign') AS benign_records, count_if(state = 'threat') AS threat_records,
+  count_if(state = 'threat' AND raw_rank > 1) AS raw_duplicate_records, count_if(state = 'threat' AND hash_rank > 1) AS canonical_duplicate_records,
+  count_if(state = 'threat' AND hash_rank = 1) AS unique_threat_hashes, count_if(state = 'threat' AND hash_rank = 1) AS url_threats, 0::BIGINT AS message_threats FROM ranked"""
+)
+def seed_two_tier_stats(spark, sf_dir):
+    return reg.statistics(_classified(spark, sf_dir), reg.URL)
+
+
+@query(f"{_CLASSIFIED} SELECT h AS \"threatHash\", 'URL' AS \"threatType\", 1 AS \"threatTypeInt\", 1 AS verdict, 100 AS confidence FROM ranked WHERE state = 'threat' AND hash_rank = 1")
+def seed_export(spark, sf_dir):
+    return reg.export(reg.seeds(_classified(spark, sf_dir), reg.URL))
+
+
+@query()
+def seed_records_keccak(spark, sf_dir):
+    """Seeds with the real fingerprint; messages by their toxicity labels."""
+    rows = messages(spark, sf_dir, raw=True)
+    found = reg.classified(rows, "text", "label", "doc_id", hashing.message_fingerprint, reg.MESSAGE)
+    return reg.seeds(found, reg.MESSAGE)
+
+
+@query(f"WITH registry AS ({REGISTRY}) SELECT page_id FROM pages WHERE md5('url:' || {CANONICAL}) NOT IN (SELECT threat_hash FROM registry)")
+def registry_skip_existing(spark, sf_dir):
+    rows = pages(spark, sf_dir)
+    return reg.missing(rows.select("page_id", simple_hash().alias("threat_hash")), registry_of(rows)).select("page_id")
+
+
+@query(f"SELECT count(*) AS total, count_if(threat_type = 0) AS messages, count_if(threat_type = 1) AS urls FROM (SELECT threat_hash, threat_type FROM ({REGISTRY}) UNION ALL SELECT DISTINCT md5('message:' || text), 0 FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)")
+def registry_counters(spark, sf_dir):
+    urls = registry_of(pages(spark, sf_dir))
+    toxic = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
+    made = toxic.select(F.md5(F.concat(F.lit("message:"), "text").cast("binary")).alias("threat_hash")).distinct().select("threat_hash", F.lit(reg.MESSAGE).alias("threat_type"), F.lit(1).alias("verdict"), F.lit(100).alias("confidence"))
+    return reg.counters(urls.unionByName(made))
+
+
+# A batch with every kind of refusal; rows repeat hashes within the batch.
+_BATCH = f"""SELECT page_id AS seq, CASE WHEN page_id % 17 = 0 THEN '{reg.ZERO_HASH}' ELSE md5((page_id // 2)::VARCHAR) END AS threat_hash,
+  CASE WHEN page_id % 7 = 0 THEN 2 ELSE (page_id % 2)::INT END AS verdict, (page_id % 120)::INT AS confidence, CASE WHEN page_id % 19 = 0 THEN 'eve' ELSE 'owner' END AS submitter FROM pages"""
+_KNOWN = "SELECT DISTINCT md5((page_id // 2)::VARCHAR) AS threat_hash FROM pages WHERE length(url) > 45"
+
+
+@query(
+    f"""WITH batch AS ({_BATCH}), known AS ({_KNOWN}), s AS (
+  SELECT b.*, CASE WHEN submitter <> 'owner' THEN 'NotOwner' WHEN b.threat_hash = '{reg.ZERO_HASH}' THEN 'ZeroHash' WHEN k.threat_hash IS NOT NULL THEN 'DuplicateHash'
+    WHEN verdict NOT BETWEEN 0 AND 1 THEN 'InvalidVerdict' WHEN confidence NOT BETWEEN 0 AND 100 THEN 'ConfidenceOutOfRange' END AS st
+  FROM batch b LEFT JOIN known k ON b.threat_hash = k.threat_hash
+), e AS (SELECT *, coalesce(max((st IS NULL)::INT) OVER (PARTITION BY threat_hash ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM s)
+SELECT seq, CASE WHEN earlier = 1 AND (st IS NULL OR st IN ('InvalidVerdict', 'ConfidenceOutOfRange')) THEN 'DuplicateHash' ELSE st END AS reason FROM e"""
+)
+def registry_insert_guarded(spark, sf_dir):
+    rows = pages(spark, sf_dir)
+    k = F.col("page_id")
+    half = F.md5(F.floor(k / 2).cast("string").cast("binary"))
+    batch = rows.select(
+        k.alias("seq"),
+        F.when(k % 17 == 0, reg.ZERO_HASH).otherwise(half).alias("threat_hash"),
+        F.when(k % 7 == 0, 2).otherwise(k % 2).cast("int").alias("verdict"),
+        (k % 120).cast("int").alias("confidence"),
+        F.when(k % 19 == 0, "eve").otherwise("owner").alias("submitter"),
+    )
+    known = rows.where("length(url) > 45").select(half.alias("threat_hash"))
+    return reg.guarded_insert(known, batch, "owner").select("seq", "reason")
+
+
+@query(
+    f"""SELECT shown, count(*) AS n FROM (SELECT CASE WHEN lower(trim(label)) IN ('1', 'spam', 'malicious', 'smishing', 'phishing') THEN 'threat' WHEN lower(trim(label)) IN ('0', 'ham', 'benign', 'legitimate', 'safe') THEN 'benign' ELSE 'invalid' END AS shown
+FROM (SELECT {LABEL_SQL} AS label FROM documents d LEFT JOIN labels l USING (doc_id))) GROUP BY shown"""
+)
+def threat_label_eval(spark, sf_dir):
+    threat = reg.is_threat(F.col("label"), reg.MESSAGE)
+    shown = F.when(threat.isNull(), "invalid").when(threat, "threat").otherwise("benign")
+    return messages(spark, sf_dir, raw=True).groupBy(shown.alias("shown")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, label FROM (SELECT doc_id, CASE WHEN lower(trim(' ' || lang || ' ')) IN ('en', 'english') THEN 'x' END AS k, 'ham' AS label FROM documents) WHERE k = 'x'")
+def english_rows(spark, sf_dir):
+    """The external source's filter: language after trimming, in either case."""
+    from threatquery.sources.readers import english
+
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit(" "), F.upper("lang"), F.lit(" ")).alias("lang"), F.col("doc_id").cast("string").alias("text"), F.lit(" HAM").alias("label"))
+    return english(rows).select(F.col("text").cast("bigint").alias("doc_id"), tx.strip(F.col("label")).alias("label"))

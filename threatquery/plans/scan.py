@@ -53,9 +53,9 @@ def listed(url: Column) -> Column:
     return urls.hostname(urls.components(url)["domain"]).rlike(lex.alternation(LISTED))
 
 
-def simple_hash(url: str = "url") -> Column:
+def simple_hash(url: Column | None = None) -> Column:
     """The SQL-expressible stand-in for the fingerprint."""
-    return F.md5(F.concat(F.lit("url:"), urls.canonical_simple(F.col(url))).cast("binary"))
+    return F.md5(F.concat(F.lit("url:"), urls.canonical_simple(F.col("url") if url is None else url)).cast("binary"))
 
 
 def registry_of(rows: DataFrame) -> DataFrame:
