@@ -2,7 +2,8 @@
 
 A word is bounded by ``<`` and ``>`` and stands for its byte n-grams and for
 itself; each of these has a hashed vector. A document is the average of the
-vectors of its subwords, and a softmax over that average gives the score.
+vectors of the subwords of its distinct words (and of a few empty ones, so that
+a short text doesn't swing), and a softmax over that average gives the score.
 Vectors and softmax are trained together in numpy, so that a misspelling that
 was never seen still shares most of its n-grams with words that were.
 
@@ -30,12 +31,17 @@ DIM = 8
 SIZES = (3, 4, 5)
 #: Passes over the sample, more where it is small.
 EPOCHS = 8
-LEAST_STEPS = 300
+LEAST_STEPS = 600
 #: Sampled documents in which a bucket must occur; the others get no weight.
 LEAST_DOCS = 4
 BATCH = 50
 SCALE = 30.0
+RATE = 1.2
+#: A missed toxic text costs as much as so many false alarms.
+POSITIVE = 4.0
 THRESHOLD = 0.7
+#: Empty subwords that every average holds.
+EMPTY = 600
 
 
 def subwords(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +73,12 @@ def bags(array: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     for a, b in _text.slices(offsets):
         part = offsets[a : b + 1] - offsets[a]
         found = _text.words(data[offsets[a] : offsets[b]], part, _text.ALNUM)
+        hashes = found.hashes()
         for k in range(b - a):
-            s = slice(found.first[k], found.first[k + 1])
-            bucket, _ = subwords(found.low, found.starts[s], found.ends[s])
+            own = found.first[k] + np.unique(hashes[found.first[k] : found.first[k + 1]], return_index=True)[1]
+            bucket, _ = subwords(found.low, found.starts[own], found.ends[own])
             ids, times = np.unique(bucket, return_counts=True)
-            out.append((ids.astype(np.uint16), (times / max(len(bucket), 1)).astype(np.float32)))
+            out.append((ids.astype(np.uint16), (times / (len(bucket) + EMPTY)).astype(np.float32)))
     return out
 
 
@@ -117,7 +124,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
 
     epochs = max(EPOCHS, LEAST_STEPS // max(len(batches), 1))
     for epoch in range(epochs):
-        rate = 0.15 * (1 - epoch / epochs) + 0.01
+        rate = RATE * (1 - epoch / epochs) + 0.01
         for k in rng.permutation(len(batches)):
             ids, w, doc, by, cuts, touched, y = batches[k]
             n = len(y)
@@ -136,7 +143,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
             step(head, mean.T @ p, square[1], rate * 0.3)
             step(bias, p.sum(0), square[2], rate * 0.3)
     table[~seen] = 0
-    return Model((SCALE * (table @ (head[:, 1] - head[:, 0]))).astype(np.float32), float(bias[1] - bias[0]))
+    return Model((SCALE * (table @ (head[:, 1] - head[:, 0]))).astype(np.float32), float(bias[1] - bias[0] + np.log(POSITIVE)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> Model:
@@ -167,8 +174,10 @@ def score_texts(array: pa.Array, model: Model) -> np.ndarray:
         bucket, owner = subwords(found.low, found.starts[one], found.ends[one])
         weight = np.bincount(owner, model.weight[bucket], len(one))
         many = np.bincount(owner, minlength=len(one))
-        total, n = _text.sums(weight[of], found.first), _text.sums(many[of], found.first)
-        out[a:b] = 1 / (1 + np.exp(-np.clip(model.bias + total / np.maximum(n, 1), -50, 50)))
+        pair = np.unique(found.text_of() * max(len(one), 1) + of)
+        text, word = pair // max(len(one), 1), pair % max(len(one), 1)
+        total, n = np.bincount(text, weight[word], b - a), np.bincount(text, many[word], b - a)
+        out[a:b] = 1 / (1 + np.exp(-np.clip(model.bias + total / (n + EMPTY), -50, 50)))
     return out
 
 
