@@ -28,7 +28,7 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 _C1, _C2, _C3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U64)
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -70,7 +70,7 @@ def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def parts(batches, name: str = "text", most: int = 2 * SLICE) -> Iterator[pa.RecordBatch]:
+def parts(batches, name: str = "text", most: int = 4 * SLICE) -> Iterator[pa.RecordBatch]:
     """Batches whose texts have about ``most`` bytes, one row at least."""
     for batch in batches:
         _, offsets = column(batch.column(batch.schema.get_field_index(name)))

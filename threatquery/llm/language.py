@@ -187,7 +187,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = shared.value
-        for batch in _text.parts(batches, most=_text.SLICE):
+        for batch in _text.parts(batches, most=2 * _text.SLICE):
             data, offsets = _text.column(batch.column("text"))
             found = _text.words(data, offsets, _text.ALNUM)
             one, of = distinct_words(found)
