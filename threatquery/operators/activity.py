@@ -25,22 +25,32 @@ def is_bot(name: Column) -> Column:
     return F.lower(name).contains("bot")
 
 
+#: Lines of a block within which headers are carried forward.
+BLOCK = 1 << 16
+
+
 def parse_log(lines: DataFrame) -> DataFrame:
     """line_no, line of a log with header lines and added/deleted/file lines -> one row per counted file and header.
 
-    The header is carried forward over a window; a log is one file of one
-    repository, so its lines stay together. Binary files have no numbers and
-    are skipped.
+    A header is carried forward within its block of lines, and the last header
+    of each block to the blocks after it, so that only one row per block is
+    ordered in one place. Binary files have no numbers and are skipped.
     """
     is_header = F.col("line").startswith(HEADER)
-    seen = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     part = F.split("line", r"\|\|\|", 5)
-    rows = lines.withColumn("_header", F.when(is_header, F.struct(part[1].alias("sha"), part[2].alias("author"), F.try_to_date(part[3], F.lit("yyyy-MM-dd")).alias("date"), part[4].alias("message"))))
-    rows = rows.withColumn("_commit", F.last("_header", ignorenulls=True).over(seen))
+    head = F.struct(part[1].alias("sha"), part[2].alias("author"), F.try_to_date(part[3], "yyyy-MM-dd").alias("date"), part[4].alias("message"))
+    rows = lines.withColumns({"_header": F.when(is_header, head), "_block": F.floor(F.col("line_no") / BLOCK)})
+    own = Window.partitionBy("_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.where(F.col("_header").isNotNull()).groupBy("_block").agg(F.max_by("_header", "line_no").alias("_last"))
+    blocks = rows.select("_block").distinct().join(last, "_block", "left")
+    blocks = blocks.select("_block", F.last("_last", ignorenulls=True).over(before).alias("_earlier"))
+    rows = rows.withColumn("_own", F.last("_header", ignorenulls=True).over(own)).join(blocks, "_block")
+    rows = rows.withColumn("_commit", F.coalesce("_own", "_earlier"))
     num = F.split("line", "\t")
     number = "^[0-9]+$"
     counted = ~is_header & (F.size(num) >= 3) & num[0].rlike(number) & num[1].rlike(number)
-    rows = rows.withColumns({"is_commit": is_header, "added": F.when(counted, num[0].cast("bigint")).otherwise(0), "deleted": F.when(counted, num[1].cast("bigint")).otherwise(0)})
+    rows = rows.withColumns({"is_commit": is_header, "added": F.when(counted, num[0].try_cast("bigint")).otherwise(0), "deleted": F.when(counted, num[1].try_cast("bigint")).otherwise(0)})
     return rows.where(F.col("_commit").isNotNull() & (is_header | counted)).select("line_no", "_commit.*", "is_commit", "added", "deleted")
 
 
