@@ -67,7 +67,7 @@ def distinct_words(found: _text.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bags(array: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and their shares of each text's average."""
+    """Buckets of each text's distinct words, and how often each occurs."""
     data, offsets = _text.column(array)
     out = []
     for a, b in _text.slices(offsets):
@@ -78,7 +78,7 @@ def bags(array: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             own = found.first[k] + np.unique(hashes[found.first[k] : found.first[k + 1]], return_index=True)[1]
             bucket, _ = subwords(found.low, found.starts[own], found.ends[own])
             ids, times = np.unique(bucket, return_counts=True)
-            out.append((ids.astype(np.uint16), (times / (len(bucket) + EMPTY)).astype(np.float32)))
+            out.append((ids.astype(np.uint16), np.minimum(times, 65535).astype(np.uint16)))
     return out
 
 
@@ -91,31 +91,27 @@ class Model:
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
-    """Joint training of the vectors and the softmax by Adagrad."""
+    """Joint training of the vectors and the softmax by Adagrad. rows: label, buckets, how often each occurs."""
     labels = np.array([r[0] for r in rows], int)
     ones = int(labels.sum())
     if not 0 < ones < len(labels):
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((ones + 1) / (len(labels) - ones + 1))))
-    seen = np.bincount(np.concatenate([r[1] for r in rows]), minlength=BUCKETS) >= LEAST_DOCS
-    rows = [(y, ids[seen[ids]], shares[seen[ids]]) for y, ids, shares in rows]
+    docs_of = np.zeros(BUCKETS, np.int32)
+    for _, ids, _ in rows:
+        docs_of[ids] += 1
+    seen = docs_of >= LEAST_DOCS
     rng = np.random.default_rng(seed)
     table = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
     head = (rng.standard_normal((DIM, 2)) * 0.3).astype(np.float32)
     bias = np.zeros(2, np.float32)
     square = [np.full(x.shape, 1e-6, np.float32) for x in (table, head, bias)]
     order = rng.permutation(len(rows))
+    # Four bytes an entry; what a step needs besides is made when it is taken.
     batches = []
     for a in range(0, len(rows), BATCH):
-        own = [rows[k] for k in order[a : a + BATCH]]
-        if not sum(len(r[1]) for r in own):
-            continue
-        ids = np.concatenate([r[1] for r in own]).astype(np.int32)
-        w = (np.concatenate([r[2] for r in own]) * SCALE).astype(np.float32)
-        doc = np.repeat(np.arange(len(own), dtype=np.int32), [len(r[1]) for r in own])
-        by = np.argsort(ids, kind="stable").astype(np.int32)
-        cuts = np.flatnonzero(np.r_[True, np.diff(ids[by]) != 0])
-        batches.append((ids, w, doc, by, cuts, ids[by][cuts], np.array([r[0] for r in own])))
-
+        own = [(y, ids[seen[ids]], times[seen[ids]], times.sum(dtype=np.int64) + EMPTY) for y, ids, times in (rows[k] for k in order[a : a + BATCH])]
+        if sum(len(r[1]) for r in own):
+            batches.append(tuple(np.concatenate([r[k] for r in own]) for k in (1, 2)) + tuple(np.array(x) for x in ([len(r[1]) for r in own], [r[3] for r in own], [r[0] for r in own])))
     del rows
 
     def step(x, g, s, rate):
@@ -126,8 +122,12 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs) + 0.01
         for k in rng.permutation(len(batches)):
-            ids, w, doc, by, cuts, touched, y = batches[k]
-            n = len(y)
+            ids, times, sizes, whole, y = batches[k]
+            n, doc = len(y), np.repeat(np.arange(len(y)), sizes)
+            w = (SCALE * times / whole[doc]).astype(np.float32)
+            by = np.argsort(ids, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(ids[by]) != 0])
+            touched = ids[by][cuts]
             vectors = table[ids] * w[:, None]
             mean = np.stack([np.bincount(doc, vectors[:, d], n) for d in range(DIM)], 1).astype(np.float32)
             logit = mean @ head + bias
@@ -155,13 +155,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
             found = bags(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), pa.array([x[0].tobytes() for x in found], pa.binary()), pa.array([x[1].tobytes() for x in found], pa.binary())],
-                names=["label", "ids", "shares"],
+                names=["label", "ids", "times"],
             )
 
     known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
-    rows = known.mapInArrow(lambda it: extract(it), "label int, ids binary, shares binary").collect()
+    rows = known.mapInArrow(lambda it: extract(it), "label int, ids binary, times binary").collect()
     rows.sort(key=lambda r: (r[0], len(r[1]), bytes(r[1]), bytes(r[2])))
-    return fit([(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.float32)) for r in rows])
+    return fit([(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.uint16)) for r in rows])
 
 
 def score_texts(array: pa.Array, model: Model) -> np.ndarray:
