@@ -16,6 +16,8 @@ _STOP = r"""[^\s<>{}"']"""
 HTTPS = r"(?iuU)\bhttps://"
 IP_HOST = rf"(?iuU)(?:https?://)?\b{IPV4}(?::\d{{1,5}})?(?=[/?#\s]|$)"
 ANY_URL = rf"(?iuU)\b(?:https?://|www\.){_STOP}+|\b[a-zA-Z0-9.-]+\.(?:{_TLDS})(?:/{_STOP}*)?"
+URL_HINT = rf"(?iu)https?://|ftp://|www\.|\.(?:{lex.trie(lex.BARE_TLDS)})"
+DOTTED = r"[0-9]\.[0-9]"
 PLAIN_URL = r"http[s]?://|www\."
 
 
@@ -49,20 +51,37 @@ def category(text: Column, label: Column, categories: Mapping[str, Iterable[str]
 
 
 def matched_keywords(text: Column, categories: Mapping[str, Iterable[str]] = lex.CATEGORIES) -> Column:
-    """category -> its keywords in the text, without categories that have none."""
+    """category -> its keywords in the text, without categories that have none.
 
-    def found(words: Iterable[str]) -> Column:
-        return F.array_compact(F.array(*[F.when(text.rlike(lex.bounded([w])), F.lit(w)) for w in words]))
+    Whole words can't overlap, so one pass finds all that are a single word;
+    only those of several words are sought one by one.
+    """
+    categories = {name: list(words) for name, words in categories.items()}
+    single = {w for words in categories.values() for w in words if w.isalnum()}
+    # the two characters that fold to an ASCII letter only when case is ignored
+    plain = lambda x: F.lower(F.translate(x, "ſK", "sk"))
+    hits = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?iuU)\b({lex.trie(single)})\b"), F.lit(1)), plain)) if single else F.array().cast("array<string>")
 
-    pairs = [x for name, words in categories.items() for x in (F.lit(name), found(list(words)))]
-    return F.map_filter(F.create_map(*pairs), lambda _, v: F.size(v) > 0)
+    def found(held: Column) -> Column:
+        def one(w: str) -> Column:
+            return F.array_contains(held, w.lower()) if w in single else text.rlike(lex.bounded([w]))
+
+        parts = [x for name, words in categories.items() for x in (F.lit(name), F.array_compact(F.array(*[F.when(one(w), F.lit(w)) for w in words])))]
+        return F.map_filter(F.create_map(*parts), lambda _, v: F.size(v) > 0)
+
+    # one element: the words are extracted once and then looked up
+    return F.transform(F.array(hits), found)[0]
 
 
 def url_flags(text: Column, shorteners: Iterable[str] = lex.MESSAGE_SHORTENERS) -> dict[str, Column]:
     """has_url, shortener_used, ip_as_domain, https_present; all false for a blank text."""
     text = F.coalesce(text, F.lit(""))
-    https, short, ip = text.rlike(HTTPS), text.rlike(shortener_pattern(shorteners)), text.rlike(IP_HOST)
-    return {"has_url": https | short | ip | text.rlike(ANY_URL), "shortener_used": short, "ip_as_domain": ip, "https_present": https}
+    shorteners = list(shorteners)
+    https = text.rlike(HTTPS)
+    # The cheap test first: the second runs on the few texts that pass.
+    short = text.rlike(lex.endings(shorteners)) & text.rlike(shortener_pattern(shorteners))
+    ip = text.rlike(DOTTED) & text.rlike(IP_HOST)
+    return {"has_url": https | short | ip | (text.rlike(URL_HINT) & text.rlike(ANY_URL)), "shortener_used": short, "ip_as_domain": ip, "https_present": https}
 
 
 def text_flags(text: Column, urgent: Iterable[str] = lex.URGENT, money: Iterable[str] = lex.MONEY) -> dict[str, Column]:
@@ -102,19 +121,20 @@ def default_stopwords() -> list[str]:
 def lemma(token: Column) -> Column:
     """Noun endings by rule; a stand-in for a lexicon lemmatiser, which isn't available."""
     return (
-        F.when(F.length(token) < 4, token)
+        F.when(~token.endswith("s") | (F.length(token) < 4), token)
         .when(token.rlike("(ss|us|is)$"), token)
         .when(token.rlike("[^aeiou]ies$"), F.regexp_replace(token, "ies$", "y"))
         .when(token.rlike("(x|ch|sh|ss)es$"), F.regexp_replace(token, "es$", ""))
-        .when(token.rlike("s$"), F.regexp_replace(token, "s$", ""))
-        .otherwise(token)
+        .otherwise(F.regexp_replace(token, "s$", ""))
     )
 
 
 def nlp_tokens(text: Column, stopwords: Iterable[str], lemmatize: bool = True) -> Column:
     """Lower case, urltoken and numtoken in place, no punctuation, stop words or noun endings."""
-    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), URL_SPAN, "urltoken")
-    clean = F.regexp_replace(clean, NUMBER_SPAN, "numtoken")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    hint = low.rlike(URL_HINT) | low.rlike(lex.endings(lex.MESSAGE_SHORTENERS)) | low.rlike(r"(?U)\d\.\d")
+    clean = F.when(hint, F.regexp_replace(low, URL_SPAN, "urltoken")).otherwise(low)
+    clean = F.when(clean.rlike(r"(?U)\d{3}"), F.regexp_replace(clean, NUMBER_SPAN, "numtoken")).otherwise(clean)
     clean = F.regexp_replace(clean, r"(?U)[\W_]+", " ")
     tokens = F.filter(F.split(clean, " "), lambda t: (t != "") & ~t.isin(*stopwords))
     return F.transform(tokens, lemma) if lemmatize else tokens
