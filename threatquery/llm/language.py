@@ -25,10 +25,10 @@ from threatquery.llm import _store, _text
 from threatquery.llm.toxicity import distinct_words
 
 #: Rows of each language that are fitted at most.
-PER_LANGUAGE = 500
-BUCKETS = 1 << 13
+PER_LANGUAGE = 300
+BUCKETS = 1 << 12
 SIZES = (1, 2, 3)
-ROUNDS = 120
+ROUNDS = 100
 UNKNOWN = "und"
 # Families of ISO 639-1 codes; any other language is a family of its own.
 FAMILIES = {
