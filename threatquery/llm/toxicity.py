@@ -15,6 +15,7 @@ pass through untouched.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from threatquery.llm import _store, _text
 
 #: Labelled rows of each class that are fitted at most.
-PER_CLASS = 1800
+PER_CLASS = 1500
 BUCKETS = 1 << 16
 DIM = 8
 SIZES = (3, 4, 5)
@@ -91,7 +92,7 @@ class Model:
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
-    """Joint training of the vectors and the softmax by Adagrad. rows: label, buckets, how often each occurs."""
+    """Joint training of the vectors and the softmax by Adagrad. rows: label, buckets, how often each occurs; they are used up."""
     labels = np.array([r[0] for r in rows], int)
     ones = int(labels.sum())
     if not 0 < ones < len(labels):
@@ -106,13 +107,14 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
     bias = np.zeros(2, np.float32)
     square = [np.full(x.shape, 1e-6, np.float32) for x in (table, head, bias)]
     order = rng.permutation(len(rows))
-    # Four bytes an entry; what a step needs besides is made when it is taken.
+    # Four bytes an entry, and each row goes as its batch is made; what a step needs besides is made when it is taken.
     batches = []
     for a in range(0, len(rows), BATCH):
         own = [(y, ids[seen[ids]], times[seen[ids]], times.sum(dtype=np.int64) + EMPTY) for y, ids, times in (rows[k] for k in order[a : a + BATCH])]
+        for k in order[a : a + BATCH]:
+            rows[k] = None
         if sum(len(r[1]) for r in own):
             batches.append(tuple(np.concatenate([r[k] for r in own]) for k in (1, 2)) + tuple(np.array(x) for x in ([len(r[1]) for r in own], [r[3] for r in own], [r[0] for r in own])))
-    del rows
 
     def step(x, g, s, rate):
         s += g * g
@@ -159,9 +161,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
             )
 
     known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
-    rows = known.mapInArrow(lambda it: extract(it), "label int, ids binary, times binary").collect()
-    rows.sort(key=lambda r: (r[0], len(r[1]), bytes(r[1]), bytes(r[2])))
-    return fit([(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.uint16)) for r in rows])
+    # A partition at a time, so that the driver holds the entries once.
+    found = known.mapInArrow(lambda it: extract(it), "label int, ids binary, times binary").toLocalIterator(prefetchPartitions=True)
+    rows = [(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.uint16)) for r in found]
+    rows.sort(key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1]), zlib.crc32(r[2])))
+    return fit(rows)
 
 
 def score_texts(array: pa.Array, model: Model) -> np.ndarray:
