@@ -91,6 +91,8 @@ class Model:
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+    if not rows:
+        return Model([], [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     languages = sorted({r[0] for r in rows})
     families = sorted({family_of(x) for x in languages})
     x = np.zeros((len(rows), BUCKETS), np.float32)

@@ -39,7 +39,7 @@ BATCH = 50
 SCALE = 30.0
 RATE = 1.2
 #: A missed toxic text costs as much as so many false alarms.
-POSITIVE = 4.0
+POSITIVE = 3.0
 THRESHOLD = 0.7
 #: Empty subwords that every average holds.
 EMPTY = 600
