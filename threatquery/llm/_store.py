@@ -22,6 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of a batch between the engine and Python, in each of the two and for each running task.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches by bytes rather than by 10,000 rows, so that memory doesn't follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 class Tables:
     """Intermediate tables of one run. ``write`` cuts the lineage, ``drop`` frees the disk."""
 
