@@ -34,7 +34,7 @@ from threatquery.llm._store import Tables, remainder
 from threatquery.llm.jaccard import planes, unplanes
 
 #: Tokens of a chunk, about.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: One of so many training documents is deleted from the counts for EM.
 DELETED = 12
 #: Buckets of a context's frequency: 0, then by octave.
@@ -254,7 +254,7 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     spark = docs.sparkSession
     tables = Tables(spark, "lm")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = tables.write(chunked(docs, modulus, held_out), "chunks")
     words = tables.write(totals(posts(chunks, "word", buckets), "word"), "words")
     pairs = tables.write(totals(posts(chunks, "bigram", buckets), "bigram"), "bigrams")
