@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatquery.sources.sinks import materialise
+from threatquery.sources.sinks import materialise, numbered
 
 #: A text is a near copy of an earlier kept one at this similarity, among so many last kept ones.
 RATIO, WINDOW = 92, 200
@@ -54,19 +54,8 @@ def ratio_column(a: Column, b: Column) -> Column:
 
 def ranked(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` with rank from 1 by a distinct ``order``: sorted ranges and their counts, not one task."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    # written, as a second sampling could cut the ranges elsewhere
-    placed = materialise(rows.repartitionByRange(parts, order).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_own": own}), "ranks")
-    before, offsets = 0, []
-    for part, n in sorted(tuple(r) for r in placed.groupBy("_part").count().collect()):  # a row for each partition
-        offsets.append((part, before))
-        before += n
-    if not offsets:
-        return placed.withColumn("rank", F.lit(0).cast("bigint")).drop("_part", "_own")
-    starts = F.create_map(*[F.lit(x) for p in offsets for x in p])
-    return placed.withColumn("rank", F.element_at(starts, F.col("_part")) + F.col("_own") + 1).drop("_part", "_own")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return numbered(rows.repartitionByRange(parts, order).sortWithinPartitions(order), "rank")
 
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz 0123456789"

@@ -29,6 +29,23 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``name`` from 1, in the order of its partitions and of the rows within them.
+
+    A partition's rows are numbered by themselves and shifted by the counts of
+    the partitions before, of which the driver sees one number each. The rows
+    are written first, as a second run could cut partitions elsewhere.
+    """
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = materialise(df.withColumns({"_part": F.spark_partition_id(), "_own": own}), "numbered")
+    before, starts = 0, []
+    for part, n in sorted(tuple(r) for r in placed.groupBy("_part").count().collect()):
+        starts += [F.lit(part), F.lit(before).cast("bigint")]
+        before += n
+    shift = F.element_at(F.create_map(*starts), F.col("_part")) if starts else F.lit(0)
+    return placed.withColumn(name, (shift + F.col("_own") + 1).cast("bigint")).drop("_part", "_own")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
