@@ -65,26 +65,32 @@ def _permute(s: np.ndarray) -> None:
 
 
 def keccak256(payloads: list[bytes]) -> list[str]:
-    """0x and 64 hex digits for each payload, with the original padding."""
+    """0x and 64 hex digits for each payload, with the original padding.
+
+    Block b of all payloads that have one goes through the permutation at once;
+    the longest come first, so that those are always a leading part.
+    """
     blocks = np.array([len(p) // _RATE + 1 for p in payloads], np.int64)
+    order = np.argsort(-blocks, kind="stable")
+    starts = np.cumsum(blocks[order]) - blocks[order]
+    data = np.zeros(int(blocks.sum()) * _RATE, np.uint8)
+    for at, r in zip(starts * _RATE, order, strict=True):
+        p, end = payloads[r], at + blocks[r] * _RATE
+        data[at : at + len(p)] = np.frombuffer(p, np.uint8)
+        data[at + len(p)] ^= 0x01
+        data[end - 1] ^= 0x80
+    lanes = data.view("<u8").reshape(-1, _RATE // 8)
+    state = np.zeros((5, 5, len(payloads)), _U)
+    for b in range(int(blocks.max(initial=0))):
+        n = int((blocks[order] > b).sum())
+        part = lanes[starts[:n] + b]
+        for k in range(_RATE // 8):
+            state[k % 5, k // 5, :n] ^= part[:, k]
+        _permute(state[:, :, :n])
+    digest = np.ascontiguousarray(np.stack([state[k, 0] for k in range(4)], 1)).astype("<u8")
     out = [""] * len(payloads)
-    for n in np.unique(blocks):
-        rows = np.flatnonzero(blocks == n)
-        data = np.zeros((len(rows), int(n) * _RATE), np.uint8)
-        for k, r in enumerate(rows):
-            p = payloads[r]
-            data[k, : len(p)] = np.frombuffer(p, np.uint8)
-            data[k, len(p)] ^= 0x01
-            data[k, -1] ^= 0x80
-        lanes = data.view("<u8").reshape(len(rows), int(n), _RATE // 8)
-        state = np.zeros((5, 5, len(rows)), _U)
-        for b in range(int(n)):
-            for k in range(_RATE // 8):
-                state[k % 5, k // 5] ^= lanes[:, b, k]
-            _permute(state)
-        digest = np.ascontiguousarray(np.stack([state[k, 0] for k in range(4)], 1)).astype("<u8")
-        for k, r in enumerate(rows):
-            out[r] = "0x" + digest[k].tobytes().hex()
+    for k, r in enumerate(order):
+        out[r] = "0x" + digest[k].tobytes().hex()
     return out
 
 

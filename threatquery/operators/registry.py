@@ -42,7 +42,7 @@ def classified(rows: DataFrame, content: str, label: str, order: str, hashed: Ca
     blank = (F.coalesce(F.col("raw"), F.lit("")) == "") | (F.coalesce(F.col("key"), F.lit("")) == "")
     threat = is_threat(F.col("key"), threat_type, explicit)
     state = F.when(blank | threat.isNull(), "invalid").when(threat, "threat").otherwise("benign")
-    out = out.withColumn("state", state).withColumn("threat_hash", F.when(F.col("state") == "threat", hashed(F.col("raw"))))
+    out = out.withColumn("state", state).withColumn("threat_hash", hashed(F.when(F.col("state") == "threat", F.col("raw"))))
     # Only threats are ranked; the others are told apart by their own rows.
     alone = F.when(F.col("state") == "threat", F.lit(0)).otherwise(F.xxhash64("source_row"))
     out = out.withColumn("_alone", alone)
