@@ -337,6 +337,7 @@ def classes(docs: DataFrame) -> DataFrame:
     tables.write(short_lists(chunks, buckets).distinct(), "short")
     short = spark.read.parquet(f"{tables.root}/short")
     members = tables.write(unpacked(chunks), "members")
+    tables.drop("left", "chunks")
 
     hubs = short.groupBy("h").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1")
     near = f"{PER} * n >= {LEAST} * m and {PER} * m >= {LEAST} * n"
@@ -355,6 +356,7 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = named.where("outside").join(other, "h").where(f"(doc_id < v or not far) and label <> other and {near} and n - place >= {need} and m - there >= {need}")
     pairs = pairs.select(F.least("doc_id", "v").alias("u"), F.greatest("doc_id", "v").alias("v")).distinct()
     second = tables.write(verified(pairs, members), "cross-links")
+    tables.drop("open", "members", "short")
     label = components(label.unionByName(second), tables, "all")
 
     least = reps.join(label.select(F.col("u").alias("rep"), F.col("v").alias("least")), "rep", "left").select("n_shingles", "p", "q", F.coalesce("least", "rep").alias("component_id"))
