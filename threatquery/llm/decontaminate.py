@@ -250,62 +250,71 @@ def blocks(benchmark: DataFrame) -> list[Phrases]:
     return found
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with the columns _n_words, _spans (packed int64 pairs of merged word spans) and _items."""
+_STATE = ["_n_words", "_spans", "_items"]
+
+
+def _mark(batch: pa.RecordBatch, wanted: Phrases) -> pa.RecordBatch:
+    """The batch with its state (words, packed int64 pairs of merged word spans, items) after one more block."""
+    names = batch.schema.names
+    count, spans, items = hits(batch.column(names.index("text")), wanted)
+    earlier, ids = batch.column(names.index("_spans")), batch.column(names.index("_items"))
+    for k in range(len(spans)):
+        if len(before := earlier[k].as_py()):
+            spans[k] = union(np.concatenate([np.frombuffer(before, np.int64).reshape(-1, 2), spans[k]]))
+            items[k] = sorted({*items[k], *ids[k].as_py()})
+    own = {"_n_words": pa.array(count), "_spans": pa.array([s.astype(np.int64).tobytes() for s in spans], pa.binary()), "_items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
+    return pa.RecordBatch.from_arrays([own.get(c, batch.column(k)) for k, c in enumerate(names)], names=names)
+
+
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Words, hit words, spans and the verdict of each row."""
+    names = batch.schema.names
+    spans = [np.frombuffer(b, np.int64).reshape(-1, 2) for b in batch.column(names.index("_spans")).to_pylist()]
+    n = np.asarray(batch.column(names.index("_n_words")), dtype=np.int64)
+    hit = np.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], np.int64)
+    return n, hit, spans, (hit > 0) & (20 * hit >= n)
+
+
+def _through(docs: DataFrame, benchmark: DataFrame, finish, schema) -> DataFrame:
+    """``finish`` of every batch after all blocks; with one block, as is usual, one step in Python."""
     sc = docs.sparkSession.sparkContext
     marked = docs.withColumns({"_n_words": F.lit(0).cast("bigint"), "_spans": F.lit(b""), "_items": F.array().cast("array<string>")})
-    for wanted in [sc.broadcast(x) for x in blocks(benchmark)]:
+    wanted = [sc.broadcast(x) for x in blocks(benchmark)]
 
-        def run(batches, wanted=wanted):
+    def step(block, after):
+        def run(batches):
             for batch in batches:
-                names = batch.schema.names
-                count, spans, items = hits(batch.column(names.index("text")), wanted.value)
-                earlier, ids = batch.column(names.index("_spans")), batch.column(names.index("_items"))
-                for k in range(len(spans)):
-                    if len(before := earlier[k].as_py()):
-                        spans[k] = union(np.concatenate([np.frombuffer(before, np.int64).reshape(-1, 2), spans[k]]))
-                        items[k] = sorted({*items[k], *ids[k].as_py()})
-                own = {"_n_words": pa.array(count), "_spans": pa.array([s.astype(np.int64).tobytes() for s in spans], pa.binary()), "_items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([own.get(c, batch.column(k)) for k, c in enumerate(names)], names=names)
+                out = _mark(batch, block.value)
+                yield after(out) if after else out
 
-        marked = marked.mapInArrow(run, marked.schema)
-    return marked
+        return run
+
+    for block in wanted[:-1]:
+        marked = marked.mapInArrow(step(block, None), marked.schema)
+    return marked.mapInArrow(step(wanted[-1], finish), schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted), spans (merged word spans) and contaminated of every row."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches):
-        for batch in batches:
-            spans = [np.frombuffer(b, np.int64).reshape(-1, 2) for b in batch.column("_spans").to_pylist()]
-            n = np.asarray(batch.column("_n_words"), dtype=np.int64)
-            hit = np.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(n),
-                    pa.array(hit),
-                    batch.column("_items"),
-                    pa.array([[{"start": int(a), "end": int(b)} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array((hit > 0) & (20 * hit >= n)),
-                ],
-                names=["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"],
-            )
+    def finish(batch):
+        n, hit, spans, bad = _read(batch)
+        listed = pa.array([[{"start": int(a), "end": int(b)} for a, b in s] for s in spans], span)
+        names = batch.schema.names
+        return pa.RecordBatch.from_arrays(
+            [batch.column(names.index("doc_id")), pa.array(n), pa.array(hit), batch.column(names.index("_items")), listed, pa.array(bad)],
+            names=["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"],
+        )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = _marked(docs.select("doc_id", "text"), benchmark).drop("text")
-    return marked.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>, contaminated boolean")
+    return _through(docs.select("doc_id", "text"), benchmark, finish, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>, contaminated boolean")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns and whole texts."""
 
-    def run(batches):
-        for batch in batches:
-            spans = [np.frombuffer(b, np.int64).reshape(-1, 2) for b in batch.column(batch.schema.get_field_index("_spans")).to_pylist()]
-            n = np.asarray(batch.column(batch.schema.get_field_index("_n_words")), dtype=np.int64)
-            hit = np.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], np.int64)
-            yield batch.filter(pa.array(~((hit > 0) & (20 * hit >= n)))).select(range(batch.num_columns - 3))
-
-    return _marked(docs, benchmark).mapInArrow(run, docs.schema)
+    def finish(batch):
+        return batch.filter(pa.array(~_read(batch)[3])).select(range(batch.num_columns - len(_STATE)))
 
+    return _through(docs, benchmark, finish, docs.schema)
