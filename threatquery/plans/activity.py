@@ -65,10 +65,10 @@ def timeline_days(spark, sf_dir):
     return rows(spark, sf_dir).groupBy(ops.period(F.col("day"), "weekly").alias("period")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 14 DAY GROUP BY event_type")
-def last_days(spark, sf_dir):
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts >= TIMESTAMP '2024-02-05 00:00:00' - INTERVAL 30 DAY GROUP BY event_type")
+def last_30_days(spark, sf_dir):
     """A rolling filter before a reference date; the bound reaches the scan."""
-    since = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    since = F.lit("2024-01-06 00:00:00").cast("timestamp_ntz")
     return table(spark, sf_dir, "events").where(F.col("ts") >= since).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threatquery.operators import features_ml as feat, metrics as met, models
+from threatquery.operators import features_ml as feat, metrics as met, models, splits
 from threatquery.plans.catalogue import query, table
 from threatquery.plans.profile import labelled, rounded
 
@@ -161,3 +161,23 @@ def rf_predictions(spark, sf_dir):
 @query()
 def gbt_predictions(spark, sf_dir):
     return _predictions(spark, sf_dir, lambda n: models.boosted(10), False)
+
+
+@query()
+def text_lr_predictions(spark, sf_dir):
+    """Scam categories of messages from their text; fitted on the rows of the training split."""
+    from threatquery.functions import lexicons as lex, text as tx
+    from threatquery.plans.text import messages
+
+    rows = messages(spark, sf_dir).withColumn("category", tx.category(F.col("text"), F.col("label"), lex.DATA_CATEGORIES)).drop("label")
+    train = splits.stratified(rows.select("doc_id", "category"), "category", "doc_id").where("split = 'train'").select("doc_id")
+    known = rows.join(train, "doc_id", "left_semi")
+    model = models.fit_text(known, "text", "category", models.logistic(known.count(), max_iter=30))
+    return model.transform(models.text_columns(rows, "text")).select("doc_id", "category", "predicted")
+
+
+@query()
+def cv_scores(spark, sf_dir):
+    """Five stratified folds of the logistic regression."""
+    rows = scored(spark, sf_dir).select("doc_id", F.col("truth").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in _COLUMNS])
+    return models.cross_validate(rows, _COLUMNS, lambda n: models.logistic(n, max_iter=100), "doc_id", scaled=True)
