@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatquery.functions.text import strip
+from threatquery.sources.sinks import materialise
 
 MESSAGE, URL = 0, 1
 ZERO_HASH = "0x" + "0" * 64
@@ -33,7 +34,7 @@ def is_threat(label: Column, threat_type: int, explicit: str | None = None) -> C
 
 
 def classified(rows: DataFrame, content: str, label: str, order: str, hashed: Callable[[Column], Column], threat_type: int, explicit: str | None = None) -> DataFrame:
-    """Every row with its state in seeding (invalid, benign, threat) and its rank among equal contents and equal hashes.
+    """Every row with its state in seeding (invalid, benign, threat) and whether it is the first of its content and of its hash.
 
     ``hashed`` gives the fingerprint of the stripped content; null where there is none.
     """
@@ -41,19 +42,21 @@ def classified(rows: DataFrame, content: str, label: str, order: str, hashed: Ca
     out = rows.select(F.col(order).alias("source_row"), raw.alias("raw"), key.alias("key"))
     blank = (F.coalesce(F.col("raw"), F.lit("")) == "") | (F.coalesce(F.col("key"), F.lit("")) == "")
     threat = is_threat(F.col("key"), threat_type, explicit)
-    state = F.when(blank | threat.isNull(), "invalid").when(threat, "threat").otherwise("benign")
-    out = out.withColumn("state", state).withColumn("threat_hash", hashed(F.when(F.col("state") == "threat", F.col("raw"))))
-    # Only threats are ranked; the others are told apart by their own rows.
-    alone = F.when(F.col("state") == "threat", F.lit(0)).otherwise(F.xxhash64("source_row"))
-    out = out.withColumn("_alone", alone)
-    by_raw = Window.partitionBy("_alone", F.when(F.col("state") == "threat", F.sha2(F.col("raw").cast("binary"), 256))).orderBy("source_row")
-    by_hash = Window.partitionBy("_alone", "threat_hash").orderBy("source_row")
-    return out.withColumn("raw_rank", F.row_number().over(by_raw)).withColumn("hash_rank", F.row_number().over(by_hash)).drop("_alone")
+    out = out.withColumn("state", F.when(blank | threat.isNull(), "invalid").when(threat, "threat").otherwise("benign"))
+    out = out.withColumn("threat_hash", hashed(F.when(F.col("state") == "threat", F.col("raw"))))
+    # Written once, as fingerprints cost; contents go on as digests only.
+    out = materialise(out.select("source_row", "state", "threat_hash", F.sha2(F.col("raw").cast("binary"), 256).alias("raw_digest")), "classified")
+    threats = out.where("state = 'threat'")
+    # The least row of a key comes from a partial aggregate and meets its row by the row's number: no key is one task.
+    for flag, column in (("raw_first", "raw_digest"), ("hash_first", "threat_hash")):
+        first = threats.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("source_row").alias("source_row")).select("source_row", F.lit(True).alias(flag))
+        out = out.join(first, "source_row", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return out
 
 
 def seeds(found: DataFrame, threat_type: int, limit: int | None = None) -> DataFrame:
     """The first row of each hash as a registry record."""
-    out = found.where("state = 'threat' and threat_hash is not null and hash_rank = 1")
+    out = found.where("state = 'threat' and hash_first")
     out = out.select("threat_hash", F.lit(threat_type).alias("threat_type"), F.lit(1).alias("verdict"), F.lit(100).alias("confidence"), "source_row")
     return out.orderBy("source_row").limit(limit) if limit is not None else out
 
@@ -68,14 +71,14 @@ def statistics(found: DataFrame, threat_type: int) -> DataFrame:
     """The counters of seeding, in one pass. A threat that repeats a content counts as raw and as canonical duplicate."""
     threat = F.col("state") == "threat"
     hashed = threat & F.col("threat_hash").isNotNull()
-    unique = hashed & (F.col("hash_rank") == 1)
+    unique = hashed & F.col("hash_first")
     return found.agg(
         F.count("*").alias("total_records"),
         F.count_if((F.col("state") == "invalid") | (threat & F.col("threat_hash").isNull())).alias("invalid_records"),
         F.count_if(F.col("state") == "benign").alias("benign_records"),
         F.count_if(threat).alias("threat_records"),
-        F.count_if(threat & (F.col("raw_rank") > 1)).alias("raw_duplicate_records"),
-        F.count_if(hashed & (F.col("hash_rank") > 1)).alias("canonical_duplicate_records"),
+        F.count_if(threat & ~F.col("raw_first")).alias("raw_duplicate_records"),
+        F.count_if(hashed & ~F.col("hash_first")).alias("canonical_duplicate_records"),
         F.count_if(unique).alias("unique_threat_hashes"),
         F.count_if(unique & F.lit(threat_type == URL)).alias("url_threats"),
         F.count_if(unique & F.lit(threat_type == MESSAGE)).alias("message_threats"),
@@ -95,10 +98,10 @@ def guarded_insert(registry: DataFrame, batch: DataFrame, owner: str, order: str
     )
     out = out.withColumn("_static", static)
     # Of the rows that pass, the first of a hash makes the later ones duplicates, even those that other guards would refuse.
-    passed = Window.partitionBy("threat_hash").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.max(F.col("_static").isNull()).over(passed)
-    late = F.coalesce(earlier, F.lit(False)) & (F.col("_static").isNull() | F.col("_static").isin("InvalidVerdict", "ConfidenceOutOfRange"))
-    return out.withColumn("reason", F.when(late, "DuplicateHash").otherwise(F.col("_static"))).drop("_known", "_static")
+    first = out.where(F.col("_static").isNull()).groupBy("threat_hash").agg(F.min(order).alias("_first"))
+    out = out.join(first, "threat_hash", "left")
+    late = F.coalesce(F.col(order) > F.col("_first"), F.lit(False)) & (F.col("_static").isNull() | F.col("_static").isin("InvalidVerdict", "ConfidenceOutOfRange"))
+    return out.withColumn("reason", F.when(late, "DuplicateHash").otherwise(F.col("_static"))).drop("_known", "_static", "_first")
 
 
 def lookup(rows: DataFrame, registry: DataFrame, on: str = "threat_hash") -> DataFrame:
