@@ -26,6 +26,8 @@ from threatquery.llm.toxicity import distinct_words
 
 #: Rows of each language that are fitted at most.
 PER_LANGUAGE = 300
+#: Languages that are learned at most, the most frequent ones; with the bound above this bounds the sample.
+LANGUAGES = 200
 BUCKETS = 1 << 12
 SIZES = (1, 2, 3)
 ROUNDS = 100
@@ -123,7 +125,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 def sample(docs: DataFrame, modulus: int, held_out: int, most: int) -> DataFrame:
     """lang and text of at most ``most`` rows of each language, by a hash that thins common ones before they are ranked."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (_store.remainder("doc_id", modulus) != held_out))
-    many = known.groupBy("lang").agg(F.count("*").alias("_n"))
+    many = known.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(LANGUAGES)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     some = known.select("doc_id", "lang", place.alias("_place")).join(many, "lang").where(F.col("_place") < 2.0 * most / F.col("_n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id"))
