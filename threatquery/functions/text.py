@@ -143,7 +143,7 @@ def nlp_tokens(text: Column, stopwords: Iterable[str], lemmatize: bool = True) -
 def edge_stripped_words(text: Column) -> Column:
     """Lower-cased words between white space without punctuation at their edges; emptied ones stay."""
     words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.regexp_replace(w, r"""^[.,!?:;"']+|[.,!?:;"']+\z""", ""))
+    return F.transform(words, lambda w: F.btrim(w, F.lit(""".,!?:;"'""")))
 
 
 def message_tokens(text: Column) -> Column:
