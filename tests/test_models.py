@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threatquery.operators import models
+from threatquery.plans import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +36,24 @@ def test_text_model(spark):
 def test_linear_shap_adds_up(rows):
     found = {r.feature: r for r in models.linear_shap(rows.na.fill(0.0), ["x", "y"], {"x": 2.0, "y": 0.0}, {"x": 1.0, "y": 2.0}).collect()}
     assert found["y"].mean_abs == 0 and found["x"].signed == pytest.approx(2 * (rows.na.fill(0.0).agg(F.avg("x")).first()[0] - 1))
+
+
+class _Fitted(Exception):
+    pass
+
+
+@pytest.mark.parametrize(
+    ("name", "fit", "setting", "value"),
+    [("rf_predictions", "fit", "numTrees", 300), ("gbt_predictions", "fit", "maxIter", 300), ("svc_predictions", "fit", "maxIter", 5000), ("lr_predictions", "fit", "maxIter", 1000), ("text_lr_predictions", "fit_text", "maxIter", 5000), ("cv_scores", "fit", "maxIter", 1000)],
+)
+def test_queries_fit_the_whole_model(spark, monkeypatch, name, fit, setting, value):
+    """The sizes and iterations of the reference reach the fit."""
+
+    def record(train, columns, *rest, **_):
+        estimator = next(x for x in rest if hasattr(x, "fit"))
+        raise _Fitted(estimator.getOrDefault(setting))
+
+    monkeypatch.setattr(models, fit, record)
+    with pytest.raises(_Fitted) as found:
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert found.value.args == (value,)

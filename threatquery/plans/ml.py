@@ -149,18 +149,17 @@ def lr_predictions(spark, sf_dir):
 
 @query()
 def svc_predictions(spark, sf_dir):
-    return _predictions(spark, sf_dir, lambda n: models.linear_svc(n, max_iter=60), True)
+    return _predictions(spark, sf_dir, lambda n: models.linear_svc(n, max_iter=5000), True)
 
 
 @query()
 def rf_predictions(spark, sf_dir):
-    """Fewer trees than the default, as a query of the catalogue is run often."""
-    return _predictions(spark, sf_dir, lambda n: models.random_forest(20), False)
+    return _predictions(spark, sf_dir, lambda n: models.random_forest(), False)
 
 
 @query()
 def gbt_predictions(spark, sf_dir):
-    return _predictions(spark, sf_dir, lambda n: models.boosted(10), False)
+    return _predictions(spark, sf_dir, lambda n: models.boosted(), False)
 
 
 @query()
@@ -172,7 +171,7 @@ def text_lr_predictions(spark, sf_dir):
     rows = messages(spark, sf_dir).withColumn("category", tx.category(F.col("text"), F.col("label"), lex.DATA_CATEGORIES)).drop("label")
     train = splits.stratified(rows.select("doc_id", "category"), "category", "doc_id").where("split = 'train'").select("doc_id")
     known = rows.join(train, "doc_id", "left_semi")
-    model = models.fit_text(known, "text", "category", models.logistic(known.count(), max_iter=30))
+    model = models.fit_text(known, "text", "category", models.logistic(known.count(), max_iter=5000))
     return model.transform(models.text_columns(rows, "text")).select("doc_id", "category", "predicted")
 
 
@@ -180,4 +179,4 @@ def text_lr_predictions(spark, sf_dir):
 def cv_scores(spark, sf_dir):
     """Five stratified folds of the logistic regression."""
     rows = scored(spark, sf_dir).select("doc_id", F.col("truth").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in _COLUMNS])
-    return models.cross_validate(rows, _COLUMNS, lambda n: models.logistic(n, max_iter=100), "doc_id", scaled=True)
+    return models.cross_validate(rows, _COLUMNS, models.logistic, "doc_id", scaled=True)
