@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from threatquery.functions import hashing
 from threatquery.operators import activity, dedup, features_ml, metrics, quality, registry as reg, splits
+from threatquery.plans import catalogue
 from threatquery.sources import readers, sinks
 
 URL_ROWS = [
@@ -140,3 +141,27 @@ def test_weeks(spark):
     assert {r[0]: r[1] for r in df.select("d", activity.week_number(F.col("d"), "2026-09-04")).collect()} == days
     names = spark.createDataFrame([("  ANN  Lee ",), ("Bob ",), (None,)], "n string")
     assert [r[0] for r in names.select(activity.author(F.col("n"), {"ann lee": "Ann Lee"})).collect()] == ["Ann Lee", "Bob", None]
+
+
+def _edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row = row, [i]
+        for j, d in enumerate(y, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+    return row[-1]
+
+
+def test_candidates_are_pairs_of_whole_texts(spark, tmp_path):
+    texts = ["", "", "größe der straße", "grosse der strasse", "большой дом у реки", "большой дом у моря", "漢字仮名交じり文", "漢字仮名交り文章", "漢", "a", "🙂🙂🙂", "🙂🙃🙂", "one naïve text", "one naive text", None, "x" * 23, "x" * 27]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = set()
+    for a, x in rows:
+        for b, y in rows:
+            if a < b and x is not None and y is not None and 100 * abs(len(x) - len(y)) <= 8 * (len(x) + len(y)) and 10 * _edits(x, y) <= 7 * max(len(x), len(y)):
+                want.add((a, b, _edits(x, y)))
+    got = catalogue.QUERIES["near_dup_candidates_whole"](spark, str(tmp_path)).collect()
+    assert (0, 1, 0) in want and (6, 7, 2) in want and sorted(tuple(r) for r in got) == sorted(want)
+    stripped = {(r.a, r.b) for r in catalogue.QUERIES["near_dup_candidates"](spark, str(tmp_path)).collect()}
+    assert (0, 1) in stripped  # as in its SQL

@@ -34,20 +34,32 @@ def near_dup_mask(spark, sf_dir):
     return ops.near_mask(rows, "row_id", "text")
 
 
+def _close_pairs(rows):
+    """A theta join on a length band, met by blocks of the logarithm of the length; empty texts are a block of their own."""
+    rows = rows.withColumn("n", F.length("text"))
+    # a step a little wider than the band, so that rounding of a logarithm can't part a pair at its edge
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.09 / 0.92))).cast("int")
+    band = F.when(F.col("n") == 0, -9).otherwise(step)
+    a = rows.select(F.col("item_id").alias("a"), F.col("text").alias("x"), F.col("n").alias("m"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    b = rows.select(F.col("item_id").alias("b"), F.col("text").alias("y"), "n", band.alias("band"))
+    pairs = a.join(b, "band").where("a < b and abs(m - n) <= 0.08 * (m + n)").withColumn("distance", F.levenshtein("x", "y"))
+    return pairs.where("distance <= 0.7 * greatest(m, n)").select("a", "b", "distance")
+
+
 @query(
     """WITH t AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, levenshtein(a.text, b.text)::INT AS distance FROM t a JOIN t b
 ON a.item_id < b.item_id AND abs(length(a.text) - length(b.text)) <= 0.08 * (length(a.text) + length(b.text)) WHERE levenshtein(a.text, b.text) <= 0.7 * greatest(length(a.text), length(b.text))"""
 )
 def near_dup_candidates(spark, sf_dir):
-    """A theta join on a length band, met by blocks of the logarithm of the length."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
-    rows = rows.withColumn("n", F.length("text"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.08 / 0.92))).cast("int")
-    a = rows.select(F.col("item_id").alias("a"), F.col("text").alias("x"), F.col("n").alias("m"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    b = rows.select(F.col("item_id").alias("b"), F.col("text").alias("y"), "n", band.alias("band"))
-    pairs = a.join(b, "band").where("a < b and abs(m - n) <= 0.08 * (m + n)").withColumn("distance", F.levenshtein("x", "y"))
-    return pairs.where("distance <= 0.7 * greatest(m, n)").select("a", "b", "distance")
+    """The pairs of its SQL, of texts without the characters outside ASCII, which DuckDB would count by bytes."""
+    return _close_pairs(table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("text")))
+
+
+@query()
+def near_dup_candidates_whole(spark, sf_dir):
+    """The pairs of whole texts, by code points."""
+    return _close_pairs(table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 _SPLIT = "CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'val' ELSE 'test' END"
