@@ -288,3 +288,14 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
     assert corpus_pipeline.mask_secrets(spark, docs, "").count() == docs.count()
+
+
+def test_every_language_is_learned(spark):
+    """Also the 201st and later ones, and the rarest."""
+    rows = [(210 * j + k, f"x{k:03d}", f"{chr(97 + k % 26)}{chr(97 + k // 26)}q " * 20) for k in range(210) for j in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    known = sorted(r.lang for r in df.where(_store.remainder("doc_id", 4) != 2).select("lang").distinct().collect())
+    model = language.train(df, per_language=8)
+    assert len(known) > 200 and model.languages == known
+    got = language.identify(df.where(F.col("lang").isin(known)), model).join(df.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang_pred = lang").count() == got.count()

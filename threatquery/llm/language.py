@@ -26,8 +26,6 @@ from threatquery.llm.toxicity import distinct_words
 
 #: Rows of each language that are fitted at most.
 PER_LANGUAGE = 300
-#: Languages that are learned at most, the most frequent ones; with the bound above this bounds the sample.
-LANGUAGES = 200
 BUCKETS = 1 << 12
 SIZES = (1, 2, 3)
 ROUNDS = 100
@@ -64,19 +62,45 @@ def grams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return (np.concatenate(buckets) & _text.U64(BUCKETS - 1)).astype(np.int32), np.concatenate(owners)
 
 
-def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+class Shares:
+    """Rows of shares of which most are 0: the buckets and values of the others."""
+
+    def __init__(self, ids: list[np.ndarray], values: list[np.ndarray]):
+        self.sizes = np.array([len(i) for i in ids], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.concatenate(ids).astype(np.int32)
+        self.values = np.concatenate(values).astype(np.float32)
+        self.owner = np.repeat(np.arange(len(ids), dtype=np.int32), self.sizes)
+
+    def deviation(self) -> np.ndarray:
+        """Of each bucket over all rows."""
+        n, times = len(self.sizes), np.bincount(self.ids, minlength=BUCKETS)
+        mean = np.bincount(self.ids, self.values, BUCKETS) / n
+        return np.sqrt((np.bincount(self.ids, (self.values - mean[self.ids]) ** 2, BUCKETS) + (n - times) * mean**2) / n).astype(np.float32)
+
+    def rows(self, some: np.ndarray) -> Shares:
+        cuts = [slice(a, a + k) for a, k in zip(self.first[some], self.sizes[some], strict=True)]
+        return Shares([self.ids[c] for c in cuts], [self.values[c] for c in cuts])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, self.values * w[self.ids], len(self.sizes)).astype(np.float32)
+
+    def summed(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.ids, self.values * g[self.owner], BUCKETS).astype(np.float32)
+
+
+def svm(x: Shares, y: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear machine for y of -1 and 1: squared hinge, accelerated gradient; classes weigh the same."""
-    n, d = x.shape
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    step = 1 / (2 * float((weight * (x * x).sum(1)).sum() + 1) + penalty)
-    w, b, last_w, last_b = np.zeros(d, np.float32), 0.0, np.zeros(d, np.float32), 0.0
+    step = 1 / (2 * float((weight * np.bincount(x.owner, x.values**2, len(y))).sum() + 1) + penalty)
+    w, b, last_w, last_b = np.zeros(BUCKETS, np.float32), 0.0, np.zeros(BUCKETS, np.float32), 0.0
     for k in range(ROUNDS):
         pull = k / (k + 3)
         ahead_w, ahead_b = w + pull * (w - last_w), b + pull * (b - last_b)
-        slack = np.maximum(0, 1 - y * (x @ ahead_w + ahead_b))
+        slack = np.maximum(0, 1 - y * (x.times(ahead_w) + ahead_b))
         g = (-2 * weight * y * slack).astype(np.float32)
         last_w, last_b = w, b
-        w = ahead_w - step * (g @ x + penalty * ahead_w)
+        w = ahead_w - step * (x.summed(g) + penalty * ahead_w)
         b = ahead_b - step * float(g.sum())
     return w, b
 
@@ -97,11 +121,9 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
         return Model([], [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     languages = sorted({r[0] for r in rows})
     families = sorted({family_of(x) for x in languages})
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for k, (_, ids, shares) in enumerate(rows):
-        x[k, ids] = shares
-    scale = 1 / (x.std(0) + 1e-4) / np.sqrt(BUCKETS)
-    x *= scale
+    x = Shares([r[1] for r in rows], [r[2] for r in rows])
+    scale = (1 / (x.deviation() + 1e-4) / np.sqrt(BUCKETS)).astype(np.float32)
+    x.values *= scale[x.ids]
     own = np.array([r[0] for r in rows])
     kin = np.array([family_of(r[0]) for r in rows])
     columns, bias, pairs = [], [], []
@@ -113,8 +135,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
         kind = [s for s in languages if family_of(s) == f]
         for i, s in enumerate(kind):
             for t in kind[i + 1 :]:
-                some = (own == s) | (own == t)
-                w, b = svm(x[some], np.where(own[some] == s, 1, -1).astype(np.float32))
+                some = np.flatnonzero((own == s) | (own == t))
+                w, b = svm(x.rows(some), np.where(own[some] == s, 1, -1).astype(np.float32))
                 columns.append(w * scale)
                 bias.append(b)
                 pairs.append((s, t))
@@ -125,7 +147,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 def sample(docs: DataFrame, modulus: int, held_out: int, most: int) -> DataFrame:
     """lang and text of at most ``most`` rows of each language, by a hash that thins common ones before they are ranked."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (_store.remainder("doc_id", modulus) != held_out))
-    many = known.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(LANGUAGES)
+    many = known.groupBy("lang").agg(F.count("*").alias("_n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     some = known.select("doc_id", "lang", place.alias("_place")).join(many, "lang").where(F.col("_place") < 2.0 * most / F.col("_n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id"))
