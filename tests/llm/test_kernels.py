@@ -164,3 +164,14 @@ def test_token_ids_agree_with_tokenizers():
     fast, slow = packing.encoder(path, True), packing.encoder(path, False)
     for text in ["", "a", " \n\n  x\t", "naïve “q” 🙂🙂 漢字 don't I'LL", "0123456789" * 50, "<|endoftext|>", "  z", " " * 300]:
         assert fast(text) == slow(text)
+
+
+def test_added_tokens_in_a_text():
+    """As by the contract's call of tokenizers on the file as it is."""
+    public, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    whole = tokenizers.Tokenizer.from_file(path)
+    for quick in (True, False):
+        for text in ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  <|endoftext|>\n", "<|endoftext|", "plain"]:
+            assert packing.encoder(path, quick)(text) == whole.encode(text, add_special_tokens=False).ids
+    assert len(packing.encoder(path, True)("a <|endoftext|> b")) == 4
