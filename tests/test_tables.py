@@ -165,3 +165,15 @@ def test_candidates_are_pairs_of_whole_texts(spark, tmp_path):
     assert (0, 1, 0) in want and (6, 7, 2) in want and sorted(tuple(r) for r in got) == sorted(want)
     stripped = {(r.a, r.b) for r in catalogue.QUERIES["near_dup_candidates"](spark, str(tmp_path)).collect()}
     assert (0, 1) in stripped  # as in its SQL
+
+
+def test_message_operators_over_documents(spark, tmp_path):
+    import math
+
+    texts = ["win a free prize now by phone", "see you at lunch on monday then", "win a free prize now by phones", "see you at lunch on monday them", "nothing alike here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {r.doc_id: r.kept for r in catalogue.QUERIES["near_dup_mask_documents"](spark, str(tmp_path)).collect()}
+    assert kept == {0: True, 1: True, 2: False, 3: False, 4: True}
+    found = {r.term: r for r in catalogue.QUERIES["tfidf_top_terms_documents"](spark, str(tmp_path)).collect()}
+    here = 1 / math.sqrt(5)  # three words and two pairs, each of this document alone
+    assert found["alike"].n_docs == 1 and found["alike"].total_weight == pytest.approx(here, abs=1e-6) and found["free prize"].n_docs == 2

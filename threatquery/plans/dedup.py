@@ -34,6 +34,11 @@ def near_dup_mask(spark, sf_dir):
     return ops.near_mask(rows, "row_id", "text")
 
 
+@query()
+def near_dup_mask_documents(spark, sf_dir):
+    return ops.near_mask(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 def _close_pairs(rows):
     """A theta join on a length band, met by blocks of the logarithm of the length; empty texts are a block of their own."""
     rows = rows.withColumn("n", F.length("text"))

@@ -204,9 +204,20 @@ n AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS weight FRO
 @query(f"{_GRAMS} SELECT term, count(*) AS n_docs, round(sum(weight), 6) AS total_weight FROM n GROUP BY term QUALIFY row_number() OVER (ORDER BY round(sum(weight), 6) DESC, term) <= 100")
 def tfidf_top_terms(spark, sf_dir):
     """The hundred terms with the largest weight; the vocabulary is the 5000 most frequent uni- and bigrams."""
+    return _top_terms(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
+
+
+_GRAMS_DOCUMENTS = _GRAMS.replace("conv_id * 1000 + turn AS id", "doc_id AS id").replace("FROM conversations", "FROM documents")
+
+
+@query(f"{_GRAMS_DOCUMENTS} SELECT term, count(*) AS n_docs, round(sum(weight), 6) AS total_weight FROM n GROUP BY term QUALIFY row_number() OVER (ORDER BY round(sum(weight), 6) DESC, term) <= 100")
+def tfidf_top_terms_documents(spark, sf_dir):
+    return _top_terms(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+def _top_terms(rows):
     from threatquery.operators.features_ml import tfidf
 
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     out = tfidf(rows, "id", "text", max_features=5000).groupBy("term").agg(F.count("*").alias("n_docs"), F.round(F.sum("weight"), 6).alias("total_weight"))
     return out.orderBy(F.col("total_weight").desc(), "term").limit(100)
 
