@@ -175,3 +175,31 @@ def test_added_tokens_in_a_text():
         for text in ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  <|endoftext|>\n", "<|endoftext|", "plain"]:
             assert packing.encoder(path, quick)(text) == whole.encode(text, add_special_tokens=False).ids
     assert len(packing.encoder(path, True)("a <|endoftext|> b")) == 4
+
+
+def test_bigrams_are_told_apart_by_whole_hashes(monkeypatch):
+    """Two hashes of one bucket that agree in the low 40 bits of what the bucket leaves are counted apart."""
+
+    class Frame:
+        def groupBy(self, _):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+        applyInArrow = mapInArrow
+
+    class Chunk:
+        kind, train = 0, np.ones(3, bool)
+
+        def __init__(self, row):
+            pass
+
+        def bigrams(self):
+            return np.array([3 + 8 * 5, 3 + 8 * (5 + (1 << 40))], np.uint64), np.array([0, 1, 1])
+
+    monkeypatch.setattr(lm, "Chunk", Chunk)
+    sent = list(lm.posts(Frame(), "bigram", 8).run([pa.RecordBatch.from_pylist([{"chunk": 1}])]))
+    (row,) = lm.totals(Frame(), "bigram").run(pa.Table.from_batches(sent)).to_pylist()
+    assert lm.grow(row["trained"], np.uint32).tolist() == [1, 2] and row["v"] == 2

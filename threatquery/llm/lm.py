@@ -43,8 +43,6 @@ EM_ROUNDS = 60
 PRIOR = np.array([0.4, 0.5, 0.1])
 END = np.uint64(0x8C5F1E0B7A3D9246)
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Bits of a bigram's hash that are sent, beside those of its bucket.
-KEY = 5
 _CHUNKS = "chunk bigint, kind int, doc_ids array<bigint>, train binary, sizes binary, words binary, tokens binary"
 
 
@@ -132,15 +130,14 @@ class Chunk:
         return np.unique(pair, return_inverse=True)
 
 
-def _post(chunk: int, keys: np.ndarray, counts: np.ndarray, kind: int, buckets: int, width: int):
+def _post(chunk: int, keys: np.ndarray, counts: np.ndarray, kind: int, buckets: int):
     """Batches (bucket, chunk, kind, keys, counts): what a chunk sends to each bucket."""
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     for a, b in _text.runs(bucket[by]):
         own = by[a:b]
-        rest = keys[own] if width == 8 else keys[own] // np.uint64(buckets)
-        packed = planes(rest)
-        yield {"bucket": int(bucket[own[0]]), "chunk": chunk, "kind": kind, "keys": packed[: width * len(own)], "counts": planes(counts[own].astype(np.uint32))}
+        packed = planes(keys[own])
+        yield {"bucket": int(bucket[own[0]]), "chunk": chunk, "kind": kind, "keys": packed, "counts": planes(counts[own].astype(np.uint32))}
 
 
 _POSTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -154,28 +151,24 @@ def posts(chunks: DataFrame, what: str, buckets: int) -> DataFrame:
             for row in batch.to_pylist():
                 chunk = Chunk(row)
                 if what == "word":
-                    keys, width = chunk.words, 8
+                    keys = chunk.words
                     counts = np.bincount(chunk.tokens[chunk.train], minlength=len(keys))
                 else:
-                    (keys, of), width = chunk.bigrams(), KEY
+                    keys, of = chunk.bigrams()
                     counts = np.bincount(of[chunk.train], minlength=len(keys))
-                yield pa.RecordBatch.from_pylist(list(_post(row["chunk"], keys, counts, chunk.kind, buckets, width)), schema=_POSTS)
+                yield pa.RecordBatch.from_pylist(list(_post(row["chunk"], keys, counts, chunk.kind, buckets)), schema=_POSTS)
 
     return chunks.mapInArrow(run, _POSTS_SQL)
 
 
 def totals(sent: DataFrame, what: str) -> DataFrame:
     """Back to the chunks: counts of all training (trained) and without the deleted slice (counted), in the order sent."""
-    width = 8 if what == "word" else KEY
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         keys = []
         for r in rows:
-            n = len(r["keys"]) // width
-            raw = np.zeros((8, n), np.uint8)
-            raw[:width] = np.frombuffer(r["keys"], np.uint8).reshape(width, n)
-            keys.append(np.ascontiguousarray(raw.T).reshape(-1).view(np.uint64))
+            keys.append(unplanes(r["keys"], np.uint64))
         sizes = [len(k) for k in keys]
         counts = np.concatenate([unplanes(r["counts"], np.uint32) for r in rows]).astype(np.float64)
         deleted = np.repeat([r["kind"] == 1 for r in rows], sizes)
