@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from threatquery.operators import models
@@ -57,3 +58,15 @@ def test_queries_fit_the_whole_model(spark, monkeypatch, name, fit, setting, val
     with pytest.raises(_Fitted) as found:
         catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert found.value.args == (value,)
+
+
+def test_linear_shap_of_a_fitted_model(spark, rows):
+    model = models.fit(rows, ["x", "y"], models.logistic(120, 50), True)
+    weights, means = models.linear_terms(model, ["x", "y"])
+    out = model.transform(rows)
+    filled = out.select(*[F.col(f"{c}_filled").alias(c) for c in ("x", "y")])
+    found = models.linear_shap(filled, ["x", "y"], weights, means).agg(F.sum("signed")).first()[0]
+    margin = out.agg(F.avg(vector_to_array("rawPrediction")[0])).first()[0]
+    assert found == pytest.approx(margin + model.stages[-1].intercept, abs=1e-6) and weights["x"] < 0
+    ranked = catalogue.QUERIES["linear_shap_ranking_fitted"](spark, "/root/testdata/sf0.001").collect()
+    assert len(ranked) == 3 and ranked[0].mean_abs >= ranked[1].mean_abs >= ranked[2].mean_abs > 0

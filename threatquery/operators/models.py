@@ -81,6 +81,14 @@ def linear_shap(scored: DataFrame, columns: list[str], weights: dict[str, float]
     return one.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
 
 
+def linear_terms(model: PipelineModel, columns: list[str], positive: int = 0) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights and means in the units of ``columns`` of a scaled linear pipeline of ``fit``; of the margin of the positive class."""
+    scaler, linear = model.stages[-2:]
+    sign = 1 if positive == 1 else -1
+    weights = [sign * w / d if d else 0.0 for w, d in zip(linear.coefficients.toArray().tolist(), scaler.std.toArray().tolist(), strict=True)]
+    return dict(zip(columns, weights, strict=True)), dict(zip(columns, scaler.mean.toArray().tolist(), strict=True))
+
+
 def text_columns(rows: DataFrame, text: str) -> DataFrame:
     """The inputs of the text model: uni- and bigrams, and the seven handcrafted features."""
     return rows.withColumns({"terms": grams(F.col(text)), "hand": array_to_vector(handcrafted(F.col(text)))})

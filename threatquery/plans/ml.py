@@ -134,8 +134,22 @@ def linear_shap_ranking(spark, sf_dir):
     return rounded(models.linear_shap(rows, _COLUMNS, _WEIGHTS, means), "mean_abs", "signed").orderBy(F.col("mean_abs").desc())
 
 
+def _labelled(spark, sf_dir):
+    return scored(spark, sf_dir).select("doc_id", F.col("truth").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in _COLUMNS])
+
+
+@query()
+def linear_shap_ranking_fitted(spark, sf_dir):
+    """With the weights of the fitted logistic regression, towards the threat."""
+    rows = _labelled(spark, sf_dir)
+    train = rows.where("doc_id % 10 < 7")
+    model = models.fit(train, _COLUMNS, models.logistic(train.count()), True)
+    filled = model.transform(rows).select(*[F.col(f"{c}_filled").alias(c) for c in _COLUMNS])
+    return rounded(models.linear_shap(filled, _COLUMNS, *models.linear_terms(model, _COLUMNS)), "mean_abs", "signed").orderBy(F.col("mean_abs").desc())
+
+
 def _predictions(spark, sf_dir, estimator, scaled):
-    rows = scored(spark, sf_dir).select("doc_id", F.col("truth").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in _COLUMNS])
+    rows = _labelled(spark, sf_dir)
     train = rows.where("doc_id % 10 < 7")
     model = models.fit(train, _COLUMNS, estimator(train.count()), scaled)
     out = model.transform(rows)
