@@ -156,6 +156,50 @@ def test_secrets(spark, none):
     assert secrets.report(none).count() == 0 and secrets.redact(none).columns == none.columns
 
 
+CLASHING = ["row", "key", "spans", "kinds", "hit", "held", "keys", "term", "shard", "_spans", "_items", "_n_words", "_text", "_key", "_kinds", "_new", "_salt", "_number", "_before", "label", "u", "v", "h", "rep", "least"]
+
+
+def clashing(docs):
+    """With a column for each name that an operator uses, or once used, within."""
+    return docs.withColumns({c: F.concat(F.lit(c + " of "), F.col("doc_id").cast("string")) for c in CLASHING})
+
+
+def same_columns(got, docs):
+    assert got.columns == docs.columns
+    for r in got.collect():
+        assert all(r[c] == (None if r.doc_id is None else f"{c} of {r.doc_id}") for c in CLASHING)
+
+
+def test_redaction_keeps_clashing_columns(odd):
+    docs = clashing(odd)
+    same_columns(secrets.redact(docs), docs)
+    assert secrets.redact(docs).count() == 10
+
+
+def test_secrets_in_very_long_texts(spark):
+    """Many matches, some of them in others, beyond the blocks and runs that texts are worked on in."""
+    text = "é🙂 " + " ".join(f"token={k:012d} x{'f' * 16}🙂" for k in range(900)) + " secret=" + "a" * 5000 + " end"
+    docs = spark.createDataFrame([(1, text), (2, "secret=" + "0" * 20000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.report(docs).collect()}
+    assert got[1].spans == spans_of(text, secrets.RULES) and got[1].n_assign == 901 and got[2].spans == spans_of("secret=" + "0" * 20000, secrets.RULES)
+    want, at = [], 0
+    for k, a, b in sorted(((x.split(":")[0], int(x.split(":")[1]), int(x.split(":")[2])) for x in got[1].spans.split(",")), key=lambda x: x[1]):
+        if a >= at:
+            want.append(text[at:a] + secrets.MASK)
+        at = max(at, b)
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean[1] == "".join(want) + text[at:] and clean[2] == secrets.MASK
+
+
+def test_chat_of_many_and_long_turns(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"é{k} ### User: x" + "y" * (5000 if k % 100 == 1 else 1)) for k in range(700)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("mine")).withColumn("loss", F.lit(1))
+    (r,) = chat.digests(chat.formatted(df)).collect()
+    loss = "".join(x for _, _, role, x in rows if role == "assistant")
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (700, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{x}\n" for _, _, role, x in rows).encode()).hexdigest()
+
+
 CHATS = [
     (1, 1, "assistant", "plain"), (1, 0, "user", "hi"), (2, 0, "user", r"\### Assistant: </turn> ok"), (2, 1, "assistant", "\n</turn>\n"), (2, 2, "assistant", "</turn>"), (3, 0, None, None), (3, None, "user", "first"),
     (4, 0, "Odd: role", "### User: x\\"), (4, 1, "tool<role/>", "\\\\</turn>\\"), (None, 0, "assistant", "é日"), (5, 0, "assistant", "a"), (5, 0, "assistant", "a"), (6, 0, "user", "### Assistant"), (6, 1, "Other", "<role/>\n"),

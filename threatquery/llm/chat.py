@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threatquery.llm._native import blocks, cut, let, sums_before
+
 # Fixed values of the template.
 ROLES = ("system", "user", "assistant", "tool")
 OTHER = "Other"
@@ -28,7 +30,6 @@ ROLE_END = "\n<role/>\n"
 CONTROL = "(### (?:System|User|Assistant|Tool|Other):|</turn>|<role/>)"
 LOSS_ROLE = "assistant"
 _TURN = "struct<role:string,text:string>"
-_SPAN = "struct<start:int,size:int>"
 
 
 def escape(text: Column) -> Column:
@@ -116,20 +117,19 @@ def formatted(conversations: DataFrame) -> DataFrame:
     sound = F.col("some_ok") | same(parse(F.col("every")))
     whole = whole.withColumn("formatted", F.when(sound, F.col("every")).otherwise(F.raise_error(F.lit("a conversation doesn't survive the round trip"))))
 
-    def step(acc: Column, segment: Column) -> Column:
-        head = _head_size(segment)
-        own = F.struct((acc["at"] + head).cast("int").alias("start"), (F.length(segment) - head).cast("int").alias("size"))
-        spans = F.when(_role(segment) == LOSS_ROLE, F.concat(acc["spans"], F.array(own))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + F.length(segment) + len(CLOSE)).cast("int").alias("at"), spans.alias("spans"))
+    # Where a turn starts: after all turns before it with their closing lines.
+    def spans(parts: Column) -> Column:
+        at = sums_before(F.transform(parts, lambda p: F.length(p) + len(CLOSE)))
+        return F.zip_with(parts, at, lambda p, a: F.struct((a + _head_size(p)).cast("int").alias("start"), (F.length(p) - _head_size(p)).cast("int").alias("size"), (_role(p) == LOSS_ROLE).alias("own")))
 
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
-    return whole.select("conv_id", "formatted", F.aggregate(segments(F.col("formatted")), start, step, lambda acc: acc["spans"]).alias("loss"))
+    loss = F.transform(F.filter(let(segments(F.col("formatted")), spans), lambda s: s["own"]), lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size")))
+    return whole.select("conv_id", "formatted", loss.alias("loss"))
 
 
 def digests(found: DataFrame) -> DataFrame:
     """What ``formatted`` holds, read back from its output."""
     turns = parse(F.col("formatted"))
-    loss = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["size"]))), "")
+    loss = let(blocks(F.col("formatted")), lambda held: F.array_join(F.transform("loss", lambda s: unescape(cut(held, s["start"], s["size"]))), ""))
     found = found.withColumn("turns", turns).withColumn("under", loss)
     text = _text_of(F.col("turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return found.select(

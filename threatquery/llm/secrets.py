@@ -3,7 +3,8 @@
 From each rule's regular expression a Boolean query over trigrams is derived:
 an AND of clauses, each an OR of strings, each the AND of its trigrams. The
 index covers those trigrams over the lower-cased texts; its posting lists are
-kept by shard, so that a list is bounded however common its trigram. Posting
+kept by shard, so that a list is bounded however common its trigram. Lower case
+is that of the engine, which folds more than A-Z: that only adds candidates. Posting
 lists are intersected and united as the queries say, and only the candidates
 that remain are verified by the regular expression. A rule that no trigram must
 match (runs of hex digits) scans every text.
@@ -14,18 +15,22 @@ another expression would match elsewhere.
 
 Edge cases: a null text is empty and has no spans; equal rows get equal
 results; rows are told apart by a hash of id and text, and rows that share it
-share their candidates only; other columns pass through ``redact`` untouched.
+share their candidates only; other columns, whatever their names, pass through
+``redact`` untouched; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threatquery.llm._native import blocks, cut, greatest_before, let, sums_before
+
 #: Rows of a shard of the index, about.
 SHARD = 2048
 MASK = "[SECRET]"
@@ -61,8 +66,15 @@ RULES = (
 Query = list[list[frozenset[str]]]
 
 
-def trigrams(text: str) -> frozenset[str]:
-    return frozenset(text[k : k + 3] for k in range(len(text) - 2))
+def trigrams(strings: set[str]) -> list[frozenset[str]]:
+    """Some trigrams of each string, a fourth as many as it has characters; first those that many of the strings hold.
+
+    Fewer lists to keep and to intersect than with every trigram; what more candidates that leaves is verified.
+    """
+    strings = {s for s in strings if not any(o != s and o in s for o in strings)}  # a text with a longer one has the shorter
+    held = {s: {s[k : k + 3] for k in range(len(s) - 2)} for s in strings}
+    times = Counter(t for own in held.values() for t in own)
+    return sorted({frozenset(sorted(own, key=lambda t: (-times[t], t))[: -(-len(s) // 4)]) for s, own in held.items()}, key=sorted)
 
 
 def derive(regex: str, most: int = 24) -> Query:
@@ -72,8 +84,8 @@ def derive(regex: str, most: int = 24) -> Query:
 
     def flush(exact: set[str]) -> set[str]:
         if exact and all(len(s) >= 3 for s in exact):
-            sets = {trigrams(s) for s in exact}
-            query.append(sorted((s for s in sets if not any(o < s for o in sets)), key=sorted))
+            sets = trigrams(exact)
+            query.append([s for s in sets if not any(o < s for o in sets)])
         return {""}
 
     def strings(items) -> set[str] | None:
@@ -117,21 +129,22 @@ def derive(regex: str, most: int = 24) -> Query:
 
 
 def rows_with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), "_text"))
+    """``row`` (all columns of ``docs``, so that none of theirs meets one of ours) and key."""
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
 
 
 def index(keyed: DataFrame, terms: list[str], shards: int) -> DataFrame:
-    """_shard, term, keys: the sorted posting lists of the terms over lower-cased texts."""
-    low = F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    held = F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(F.col("_low"), t))
-    postings = keyed.select("_key", low.alias("_low")).select("_key", F.explode(held).alias("term"))
-    shard = F.pmod(F.col("_key"), F.lit(shards)).cast("int")
-    return postings.groupBy(shard.alias("_shard"), "term").agg(F.sort_array(F.collect_set("_key")).alias("keys"))
+    """shard, term, keys: the sorted posting lists of the terms over lower-cased texts."""
+    held = let(F.lower("row.text"), lambda low: F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t)))
+    postings = keyed.select("key", F.explode(held).alias("term"))
+    shard = F.pmod(F.col("key"), F.lit(shards)).cast("int")
+    return postings.groupBy(shard.alias("shard"), "term").agg(F.sort_array(F.collect_set("key")).alias("keys"))
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """_key and the kinds of the rules whose query its text satisfies."""
-    lists = index.groupBy("_shard").agg(F.map_from_entries(F.collect_list(F.struct("term", "keys"))).alias("lists"))
+    """key and the kinds of the rules whose query its text satisfies."""
+    lists = index.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("term", "keys"))).alias("lists"))
     empty = F.array().cast("array<bigint>")
 
     def posting(term: str) -> Column:
@@ -144,37 +157,41 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
         return out
 
     def tagged(keys: Column, kind: str) -> Column:
-        return F.transform(keys, lambda k: F.struct(k.alias("_key"), F.lit(kind).alias("kind")))
+        return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(kind).alias("kind")))
 
     found = []
     for kind, query in queries.items():
         clauses = [combine([combine([posting(t) for t in sorted(s)], F.array_intersect) for s in clause], F.array_union) for clause in query]
         found.append(tagged(combine(clauses, F.array_intersect), kind))
-    return lists.select(F.explode(F.concat(*found)).alias("x")).groupBy("x._key").agg(F.collect_set("x.kind").alias("_kinds"))
+    return lists.select(F.explode(F.concat(*found)).alias("x")).groupBy("x.key").agg(F.collect_set("x.kind").alias("kinds"))
+
+
+_SPANS = "array<struct<start:int,place:int,end:int,kind:string>>"
 
 
-_SPAN = "struct<start:int,place:int,end:int,kind:string>"
+def spans_of(text: Column, rule: Rule, place: int) -> Column:
+    """Spans of a rule in a text, as structs (start, place, end, kind). The expression is a literal, and so compiled once."""
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), F.length)
+    gaps = F.transform(F.split(text, rule.regex, -1), F.length)
 
+    def found(sizes: Column) -> Column:
+        tested = F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)), F.length) if rule.group else sizes
+        # a match starts after all gaps up to its own and all matches before it
+        each = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(sizes)).alias("gap"), sizes.alias("size"), tested.alias("tested"))
 
-def spans_of(text: Column, rule: Column) -> Column:
-    """Spans of a rule (a struct) in a text, as structs (start, place, end, kind)."""
-    gaps = F.transform(F.split(text, rule["regex"], -1), F.length)
-    matches = F.transform(F.regexp_extract_all(text, rule["regex"], F.lit(0)), F.length)
-    tested = F.transform(F.regexp_extract_all(text, rule["regex"], rule["group"]), F.length)
-    each = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("size"), tested.alias("tested"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+        def placed(each: Column) -> Column:
+            before = sums_before(F.transform(each, lambda x: x["gap"] + x["size"]))
+            starts = F.zip_with(each, before, lambda x, b: F.struct((x["gap"] + b).alias("start"), x["size"].alias("size"), x["tested"].alias("tested")))
+            kept = F.filter(starts, lambda x: x["tested"] >= rule.least) if rule.least else starts
+            return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(place).alias("place"), (x["start"] + x["size"]).alias("end"), F.lit(rule.kind).alias("kind")))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        own = F.struct(begin.alias("start"), rule["place"].alias("place"), (begin + x["size"]).alias("end"), rule["kind"].alias("kind"))
-        kept = F.when(x["tested"] >= rule["least"], F.concat(acc["out"], F.array(own))).otherwise(acc["out"])
-        return F.struct((begin + x["size"]).alias("at"), kept.alias("out"))
+        return let(each, placed)
 
-    return F.aggregate(each, start, step, lambda acc: acc["out"])
+    return let(sizes, found)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``_spans``: all spans by start, then by the order of the rules."""
+    """``row`` (all columns of ``docs``) and spans: all spans by start, then by the order of the rules."""
     spark = docs.sparkSession
     queries = {r.kind: q for r in rules if (q := derive(r.regex))}
     terms = sorted({t for q in queries.values() for clause in q for s in clause for t in s})
@@ -182,18 +199,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     # Posting lists stay short as shards follow the number of rows.
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD))
     found = candidates(index(keyed, terms, shards), queries)
-    marked = keyed.join(found, "_key", "left")
-    # One expression for all rules: the generated code doesn't grow with them.
-    every = F.array(
-        *[
-            F.struct(F.lit(r.kind).alias("kind"), F.lit(place).alias("place"), F.lit(r.regex).alias("regex"), F.lit(r.group).alias("group"), F.lit(r.least).alias("least"), F.lit(r.kind not in queries).alias("always"))
-            for place, r in enumerate(rules)
-        ]
-    )
-    text = F.col("_text")
-    picked = F.filter(every, lambda r: (r["always"] | F.coalesce(F.array_contains("_kinds", r["kind"]), F.lit(False))) & F.rlike(text, r["regex"]))
-    spans = F.array_sort(F.flatten(F.transform(picked, lambda r: spans_of(text, r))))
-    return marked.withColumn("_spans", spans).select(*docs.columns, "_spans")
+    marked = keyed.join(found, "key", "left")
+    text = F.coalesce("row.text", F.lit(""))
+    none, parts = F.array().cast(_SPANS), []
+    for place, r in enumerate(rules):
+        matches = F.rlike(text, F.lit(r.regex))
+        if r.kind in queries:
+            matches = F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)) & matches
+        parts.append(F.when(matches, spans_of(text, r, place)).otherwise(none))
+    return marked.select("row", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -206,28 +220,32 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = 3) -> D
     found = scan(docs.select("doc_id", "text"), rules)
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     counts = [count(r.kind) for r in rules[:base]]
-    own = joined(F.filter("_spans", lambda s: s["place"] < base))
-    return found.select("doc_id", *counts, F.sha2(own.cast("binary"), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
+    own = joined(F.filter("spans", lambda s: s["place"] < base))
+    return found.select("row.doc_id", *counts, F.sha2(own.cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = MASK) -> DataFrame:
     """``docs`` with every span, overlapping ones merged, replaced by ``mask``; n_chars follows where it is there."""
-    found = scan(docs, rules)
+    own = F.col("row.text")
 
-    def step(acc, s):
-        more = s["start"] >= acc["at"]
-        text = F.when(more, F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["text"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), text.alias("text"))
-
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step)
-    whole = F.concat(done["text"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))
-    text = F.when(F.size("_spans") > 0, whole).otherwise(F.col("text"))
-    out = found.withColumn("_new", text)
-    columns = [F.col("_new").alias("text") if c == "text" else F.when(F.size("_spans") > 0, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    def masked(spans: Column) -> Column:
+        ends = greatest_before(F.transform(spans, lambda s: s["end"]))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        # The part of the text between a span and all before it, then the mask; a span that begins within another has neither.
+        piece = lambda held: lambda s, e: F.when(s["start"] >= e, F.concat(cut(held, e, s["start"] - e), F.lit(mask))).otherwise(F.lit(""))
+        return F.concat(let(blocks(own), lambda held: F.array_join(F.zip_with(spans, ends, piece(held)), "")), F.substring(own, last + 1, F.length(own)))
+
+    found = scan(docs, rules)
+    whole = let(F.col("spans"), masked)
+    hit = F.size("spans") > 0
+    found = found.select("row", hit.alias("hit"), F.when(hit, whole).otherwise(own).alias("text"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("hit"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def oracle(rules: tuple[Rule, ...] = RULES, base: int = 3) -> str:
