@@ -93,10 +93,6 @@ def test_fm_index_locates_every_occurrence(runs, phrase):
     assert found == [i for i in range(len(text) - k + 1) if text[i : i + k].tolist() == phrase]
 
 
-def test_span_union():
-    assert decontaminate.union(np.array([[5, 8], [1, 3], [2, 4], [8, 9]])).tolist() == [[1, 4], [5, 9]]
-
-
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(-5, 5), min_size=3, max_size=3), min_size=1, max_size=40), st.lists(st.integers(-5, 5), min_size=3, max_size=3), st.integers(1, 6))
 def test_threshold_algorithm_is_exact_with_ties(vectors, query, k):

@@ -122,9 +122,16 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(k, prose(k, 30)) for k in range(6)], "item_id long, text string")
     docs = spark.createDataFrame([(0, " ".join(prose(k, 30) for k in range(6))), (1, "x")], "doc_id long, text string")
     whole = [tuple(r) for r in decontaminate.find(docs, bench).orderBy("doc_id").collect()]
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
-    assert len(decontaminate.blocks(bench)) > 2
-    assert [tuple(r) for r in decontaminate.find(docs, bench).orderBy("doc_id").collect()] == whole
+    for most in (60, 7):  # the latter cuts within an item
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", most)
+        assert len(list(decontaminate.blocks(bench, decontaminate.vocabulary(bench)[0]))) > 2
+        assert [tuple(r) for r in decontaminate.find(docs, bench).orderBy("doc_id").collect()] == whole
+
+
+def test_decontamination_keeps_clashing_columns(spark, odd):
+    bench = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
+    docs = clashing(odd)
+    same_columns(decontaminate.keep_clean(docs, bench), docs)
 
 
 def spans_of(text, rules):

@@ -9,17 +9,19 @@ of the suffix array. All windows are searched backwards at once by ranks, their
 occurrences are located by walking to sampled positions, and the words that
 they cover are merged into removal spans.
 
-Nothing is shuffled. The benchmark is broadcast in blocks of at most
-BLOCK_WORDS words; more blocks are as many steps over the same rows.
+Nothing is shuffled. The vocabulary of the whole benchmark is broadcast (8 bytes
+a distinct word), so that a shard is tokenised and indexed once; the windows are
+broadcast in blocks of at most BLOCK_WORDS, which a worker opens one at a time.
 
 Edge cases: a null text or one without words has no words and no hits; items
 that are null, without an id or without words take no part; items that repeat
-an id count once; equal rows get equal results; other columns pass through
-``keep_clean`` untouched.
+an id count once; equal rows get equal results; an empty table gives no rows;
+other columns, whatever their names, pass through ``keep_clean`` untouched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from threatquery.llm import _text
 
 WINDOW = 13
-#: Words of a block of the benchmark; its broadcast takes some 40 bytes a word.
+#: Windows of a block of the benchmark; its broadcast takes some 70 bytes a window.
 BLOCK_WORDS = 1_000_000
 #: Every so many positions the suffix array is sampled.
 SAMPLE = 8
@@ -130,43 +132,54 @@ class FMIndex:
 
 
 @dataclass
-class Phrases:
-    """A block of the benchmark: its vocabulary (sorted hashes), windows by length, and their items."""
+class Block:
+    """Windows by length, as numbers of words (from 1), with their items."""
 
-    vocabulary: np.ndarray
     windows: list[np.ndarray]
     owners: list[tuple[np.ndarray, np.ndarray]]
     items: list[str]
 
-    @property
-    def shortest(self) -> int:
-        return min((w.shape[1] for w in self.windows), default=0)
+    def parts(self, most: int) -> Iterator[Block]:
+        """The block in blocks of at most ``most`` windows, of one length each where it is cut."""
+        if sum(map(len, self.windows)) <= most:
+            yield self
+            return
+        for windows, (heads, owner) in zip(self.windows, self.owners, strict=True):
+            for a in range(0, len(windows), most):
+                own = heads[a : a + most + 1]
+                yield Block([windows[a : a + most]], [(own - own[0], owner[own[0] : own[-1]])], self.items)
 
 
-def phrases(rows: list[tuple[str, str]]) -> Phrases:
+def numbers(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The number of each word in a sorted vocabulary, from 1; 0 for a word that isn't in it."""
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at + 1, 0)
+
+
+def phrases(rows: list[tuple[str, str]], known: np.ndarray) -> Block:
     """Windows of (item_id, text) rows; equal windows are one, with all their items."""
     rows = sorted(set(rows))
     items = sorted({r[0] for r in rows})
     number = {x: k for k, x in enumerate(items)}
     data, offsets = _text.column(pa.array([r[1] for r in rows], pa.large_string()))
     found = _text.words(data, offsets, _text.ALNUM)
-    vocabulary, of = np.unique(found.hashes(), return_inverse=True)
+    of = numbers(known, found.hashes()).astype(np.int32) if len(found) else np.zeros(0, np.int32)
     by_length: dict[int, dict[bytes, set[int]]] = {}
     for k, (a, b) in enumerate(zip(found.first[:-1], found.first[1:], strict=True)):
-        own, item = (of[a:b] + 1).astype(np.int64), number[rows[k][0]]
+        own, item = of[a:b], number[rows[k][0]]
         size = min(WINDOW, b - a)
         for x in range(b - a - size + 1) if size else []:
             by_length.setdefault(int(size), {}).setdefault(own[x : x + size].tobytes(), set()).add(item)
     windows, owners = [], []
-    for size, found_ in sorted(by_length.items()):
-        windows.append(np.frombuffer(b"".join(found_), np.int64).reshape(-1, size))
-        many = [len(x) for x in found_.values()]
-        owners.append((np.concatenate([[0], np.cumsum(many)]), np.array([i for x in found_.values() for i in sorted(x)], np.int64)))
-    return Phrases(vocabulary, windows, owners, items)
+    for size, held in sorted(by_length.items()):
+        windows.append(np.frombuffer(b"".join(held), np.int32).reshape(-1, size))
+        many = [len(x) for x in held.values()]
+        owners.append((np.concatenate([[0], np.cumsum(many)]), np.array([i for x in held.values() for i in sorted(x)], np.int64)))
+    return Block(windows, owners, items)
 
 
-def hits(array: pa.Array, wanted: Phrases) -> tuple[np.ndarray, list[np.ndarray], list[list[str]]]:
-    """For each text: its number of words, merged word spans (start, end) that windows cover, and the items found."""
+def hits(array: pa.Array, known: np.ndarray, shortest: int, blocks: Iterable[Block]) -> tuple[np.ndarray, list[np.ndarray], list[list[str]]]:
+    """For each text: its number of words, merged word spans (start, end) that windows cover, and the items found, sorted."""
     data, offsets = _text.column(array)
     n = len(offsets) - 1
     count = np.zeros(n, np.int64)
@@ -175,25 +188,23 @@ def hits(array: pa.Array, wanted: Phrases) -> tuple[np.ndarray, list[np.ndarray]
     for a, b in _text.slices(offsets):
         found = _text.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _text.ALNUM)
         count[a:b] = np.diff(found.first)
-        if not wanted.windows or not len(found):
+        if not len(known) or not len(found):
             continue
-        h = found.hashes()
-        at = np.minimum(np.searchsorted(wanted.vocabulary, h), len(wanted.vocabulary) - 1)
-        known = wanted.vocabulary[at] == h
+        number = numbers(known, found.hashes())
+        inside = number > 0
         # a run ends where a word is unknown or a text ends
-        last = np.zeros(len(h), bool)
+        last = np.zeros(len(number), bool)
         last[found.first[1:][np.diff(found.first) > 0] - 1] = True
-        new = known & np.r_[True, ~known[:-1] | last[:-1]]
-        heads = np.flatnonzero(new)
-        tails = np.flatnonzero(known & (last | np.r_[~known[1:], True])) + 1
-        long = tails - heads >= wanted.shortest
+        heads = np.flatnonzero(inside & np.r_[True, ~inside[:-1] | last[:-1]])
+        tails = np.flatnonzero(inside & (last | np.r_[~inside[1:], True])) + 1
+        long = tails - heads >= shortest
         heads, tails = heads[long], tails[long]
         if not len(heads):
             continue
         width = tails - heads + 1
         index = _text.spread(heads, width)
         end = np.cumsum(width) - 1
-        own = at[np.minimum(index, len(h) - 1)] + 1
+        own = number[np.minimum(index, len(number) - 1)]
         own[end] = 0
         doc = np.searchsorted(found.first, heads, "right") - 1
         symbols.append(own)
@@ -202,22 +213,22 @@ def hits(array: pa.Array, wanted: Phrases) -> tuple[np.ndarray, list[np.ndarray]
     if not symbols:
         return count, spans, items
     symbols, docs, places = (np.concatenate(x) for x in (symbols, docs, places))
-    index = FMIndex(symbols, len(wanted.vocabulary))
+    index = FMIndex(symbols, len(known))
     cover = np.zeros(len(symbols) + 1, np.int64)
-    pairs = []
-    for windows, (heads, owner) in zip(wanted.windows, wanted.owners, strict=True):
-        low, high = index.search(windows)
-        many = high - low
-        which = np.repeat(np.arange(len(windows)), many)
-        at = index.locate(_text.spread(low, many))
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + windows.shape[1], -1)
-        hit = np.unique(docs[at] * len(windows) + which) if len(at) else np.zeros(0, np.int64)
-        doc, which = hit // len(windows), hit % len(windows)
-        many = heads[which + 1] - heads[which]
-        pairs.append(np.unique(np.repeat(doc, many) * len(wanted.items) + owner[_text.spread(heads[which], many)]))
-    for p in np.unique(np.concatenate(pairs)):
-        items[p // len(wanted.items)].append(wanted.items[p % len(wanted.items)])
+    for block in blocks:
+        for windows, (heads, owner) in zip(block.windows, block.owners, strict=True):
+            low, high = index.search(windows)
+            many = high - low
+            which = np.repeat(np.arange(len(windows)), many)
+            at = index.locate(_text.spread(low, many))
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + windows.shape[1], -1)
+            hit = np.unique(docs[at] * len(windows) + which) if len(at) else np.zeros(0, np.int64)
+            doc, which = hit // len(windows), hit % len(windows)
+            many = heads[which + 1] - heads[which]
+            for p in np.unique(np.repeat(doc, many) * len(block.items) + owner[_text.spread(heads[which], many)]):
+                items[p // len(block.items)].append(block.items[p % len(block.items)])
+    items = [sorted(set(x)) if x else x for x in items]
     covered = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
     if len(covered):
         doc, place = docs[covered], places[covered]
@@ -230,91 +241,75 @@ def hits(array: pa.Array, wanted: Phrases) -> tuple[np.ndarray, list[np.ndarray]
     return count, spans, items
 
 
-def union(spans: np.ndarray) -> np.ndarray:
-    """Merged spans."""
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(spans[:, 1])
-    cut = np.flatnonzero(np.r_[True, spans[1:, 0] > reach[:-1]])
-    return np.stack([spans[cut, 0], reach[np.r_[cut[1:], len(spans)] - 1]], 1)
-
+def _known(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
 
-def blocks(benchmark: DataFrame) -> list[Phrases]:
-    """The benchmark in blocks of about BLOCK_WORDS words, none of them larger than the driver can hold."""
-    known = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
-    size = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-size // (2 * BLOCK_WORDS)))  # a word and its gap take two characters at least
-    found = []
-    for k in range(n):
-        rows = known.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        found.append(phrases([(r[0], r[1]) for r in rows]))
-    return found
 
+def vocabulary(benchmark: DataFrame) -> tuple[np.ndarray, int]:
+    """Sorted hashes of the words of all items, and the length of the shortest window."""
 
-_STATE = ["_n_words", "_spans", "_items"]
+    def run(batches):
+        for batch in _text.parts(batches):
+            found = _text.words(*_text.column(batch.column("text")), _text.ALNUM)
+            many = np.diff(found.first)
+            h = np.unique(found.hashes())
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), min(WINDOW, int(many[many > 0].min(initial=WINDOW)))))], names=["h", "shortest"])
 
+    words = _known(benchmark).select("text").mapInArrow(run, "h bigint, shortest bigint").groupBy("h").agg(F.min("shortest").alias("shortest")).toArrow()
+    h = np.sort(np.asarray(words.column("h").combine_chunks(), dtype=np.int64).view(np.uint64))
+    return h, int(np.asarray(words.column("shortest").combine_chunks()).min(initial=WINDOW))
 
-def _mark(batch: pa.RecordBatch, wanted: Phrases) -> pa.RecordBatch:
-    """The batch with its state (words, packed int64 pairs of merged word spans, items) after one more block."""
-    names = batch.schema.names
-    count, spans, items = hits(batch.column(names.index("text")), wanted)
-    earlier, ids = batch.column(names.index("_spans")), batch.column(names.index("_items"))
-    for k in range(len(spans)):
-        if len(before := earlier[k].as_py()):
-            spans[k] = union(np.concatenate([np.frombuffer(before, np.int64).reshape(-1, 2), spans[k]]))
-            items[k] = sorted({*items[k], *ids[k].as_py()})
-    own = {"_n_words": pa.array(count), "_spans": pa.array([s.astype(np.int64).tobytes() for s in spans], pa.binary()), "_items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
-    return pa.RecordBatch.from_arrays([own.get(c, batch.column(k)) for k, c in enumerate(names)], names=names)
 
+def blocks(benchmark: DataFrame, known: np.ndarray) -> Iterator[Block]:
+    """The windows in blocks. The items reach the driver a partition at a time, and it holds one block."""
+    rows, size = [], 0
+    for r in _known(benchmark).toLocalIterator():
+        rows.append((r[0], r[1]))
+        size += len(r[1])
+        if size >= 2 * BLOCK_WORDS:  # a word and its gap take two characters at least
+            yield from phrases(rows, known).parts(BLOCK_WORDS)
+            rows, size = [], 0
+    if rows:
+        yield from phrases(rows, known).parts(BLOCK_WORDS)
 
-def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Words, hit words, spans and the verdict of each row."""
-    names = batch.schema.names
-    spans = [np.frombuffer(b, np.int64).reshape(-1, 2) for b in batch.column(names.index("_spans")).to_pylist()]
-    n = np.asarray(batch.column(names.index("_n_words")), dtype=np.int64)
-    hit = np.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], np.int64)
-    return n, hit, spans, (hit > 0) & (20 * hit >= n)
 
-
-def _through(docs: DataFrame, benchmark: DataFrame, finish, schema) -> DataFrame:
-    """``finish`` of every batch after all blocks; with one block, as is usual, one step in Python."""
+def _search(docs: DataFrame, benchmark: DataFrame, finish, schema) -> DataFrame:
+    """``finish`` of every batch with its words, hit words, spans, items and verdicts; one step, whatever the number of blocks."""
     sc = docs.sparkSession.sparkContext
-    marked = docs.withColumns({"_n_words": F.lit(0).cast("bigint"), "_spans": F.lit(b""), "_items": F.array().cast("array<string>")})
-    wanted = [sc.broadcast(x) for x in blocks(benchmark)]
+    known, shortest = vocabulary(benchmark)
+    shared = sc.broadcast(known)
+    held = [sc.broadcast(x) for x in blocks(benchmark, known)]
 
-    def step(block, after):
-        def run(batches):
-            for batch in batches:
-                out = _mark(batch, block.value)
-                yield after(out) if after else out
+    def opened():
+        for block in held:
+            yield block.value
+            if len(held) > 1:
+                block.__dict__.pop("_value", None)  # one at a time; the next batch reads it again
 
-        return run
+    def run(batches):
+        for batch in batches:
+            count, spans, items = hits(batch.column(batch.schema.names.index("text")), shared.value, shortest, opened())
+            hit = np.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], np.int64)
+            yield finish(batch, count, hit, spans, items, (hit > 0) & (20 * hit >= count))
 
-    for block in wanted[:-1]:
-        marked = marked.mapInArrow(step(block, None), marked.schema)
-    return marked.mapInArrow(step(wanted[-1], finish), schema)
+    return docs.mapInArrow(run, schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted), spans (merged word spans) and contaminated of every row."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def finish(batch):
-        n, hit, spans, bad = _read(batch)
+    def finish(batch, count, hit, spans, items, bad):
         listed = pa.array([[{"start": int(a), "end": int(b)} for a, b in s] for s in spans], span)
-        names = batch.schema.names
         return pa.RecordBatch.from_arrays(
-            [batch.column(names.index("doc_id")), pa.array(n), pa.array(hit), batch.column(names.index("_items")), listed, pa.array(bad)],
+            [batch.column("doc_id"), pa.array(count), pa.array(hit), pa.array(items, pa.list_(pa.string())), listed, pa.array(bad)],
             names=["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"],
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _through(docs.select("doc_id", "text"), benchmark, finish, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>, contaminated boolean")
+    return _search(docs.select("doc_id", "text"), benchmark, finish, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>, contaminated boolean")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns and whole texts."""
-
-    def finish(batch):
-        return batch.filter(pa.array(~_read(batch)[3])).select(range(batch.num_columns - len(_STATE)))
-
-    return _through(docs, benchmark, finish, docs.schema)
+    return _search(docs, benchmark, lambda batch, *found: batch.filter(pa.array(~found[-1])), docs.schema)
