@@ -97,7 +97,7 @@ def test_fm_index_locates_every_occurrence(runs, phrase):
 @given(st.lists(st.lists(st.integers(-5, 5), min_size=3, max_size=3), min_size=1, max_size=40), st.lists(st.integers(-5, 5), min_size=3, max_size=3), st.integers(1, 6))
 def test_threshold_algorithm_is_exact_with_ties(vectors, query, k):
     ids = np.arange(len(vectors))[::-1] * 2
-    lists = topk.Lists(ids, np.array(vectors, np.int64))
+    lists = topk.Lists(ids, ids, np.array(vectors, np.int64))
     rows, scores = lists.top(int(ids[0]), np.array(query, np.int64), k)
     want = sorted(((-int(np.dot(v, query)), int(i)) for i, v in zip(ids, vectors, strict=True) if i != ids[0]))[:k]
     assert [(-int(s), int(lists.ids[r])) for r, s in zip(rows, scores, strict=True)] == want
@@ -107,7 +107,7 @@ def test_threshold_algorithm_stops_early():
     rng = np.random.default_rng(1)
     vectors = np.zeros((5000, 4), np.int64)
     vectors[:, 0] = rng.permutation(5000)
-    lists = topk.Lists(np.arange(5000), vectors)
+    lists = topk.Lists(np.arange(5000), np.arange(5000), vectors)
     read = []
     lists.order = type("Spy", (), {"__getitem__": lambda s, key, o=lists.order: read.append(key[1]) or o[key]})()
     rows, _ = lists.top(-1, np.array([3, 0, 0, 0]), 5)
@@ -115,6 +115,23 @@ def test_threshold_algorithm_stops_early():
     assert max((s.stop or 0) - (s.start or 0) for s in read) < 200
 
 
+def test_scores_that_may_not_fit_64_bits():
+    vectors = np.array([[1 << 40, 1 << 40], [-(1 << 40), 1 << 40], [3, -4]], np.int64)
+    lists = topk.Lists(np.arange(3), np.arange(3), vectors)
+    rows, scores = lists.top(0, vectors[0], 2)
+    assert rows.tolist() == [1, 2] and scores.tolist() == [0, -(1 << 40)]
+    with pytest.raises(OverflowError):
+        lists.top(2, vectors[0], 2)
+    with pytest.raises(OverflowError):
+        topk.quantised(pa.array([[1e300]]))
+
+
+@given(st.integers(1, 10**6), st.integers(1, 10**7), st.integers(1, 300))
+def test_sides_of_the_grid(queries, candidates, tasks):
+    q, c = topk.sides(queries, candidates, tasks)
+    assert q * c >= tasks and queries <= q * topk.QUERIES and candidates <= c * topk.CANDIDATES
+
+
 def test_em_gains_on_its_own_data():
     rows = [(3, 8, 0, 50), (3, -1000, 4, 30), (3, -1000, -1000, 20), (5, 20, 4, 10)]
     w = lm.mixture(rows)

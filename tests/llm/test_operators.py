@@ -253,17 +253,32 @@ def test_lm(spark, odd, none):
 
 def test_topk(spark):
     rng = np.random.default_rng(2)
-    rows = [(k, [float(x) for x in rng.normal(0, 0.2, 6)]) for k in range(130)] + [(200, None), (220, [float("nan")] * 6), (240, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (260, [0.5, 0.5]), (5, [0.0] * 6), (40, [0.2] * 6)]
-    got = defaultdict(list)
-    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
+    rows = [(k, [float(x) for x in rng.normal(0, 0.2, 6)]) for k in range(130)] + [(200, None), (220, [float("nan")] * 6), (240, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (260, [0.5, 0.5]), (5, [0.0] * 6), (40, [0.2] * 6), (40, [0.2] * 6)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string").withColumn("row", F.lit(1)).repartition(3)
+    got = Counter(tuple(r) for r in topk.search(docs).collect())
     sound = [(i, np.pad(np.floor(64 * np.array(v, float)).astype(int), (0, 6 - len(v)))) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    for i, v in sound:
-        if i % 20 == 0 and i != 40:
-            want = sorted((-int(v @ w), j) for j, w in sound if j != i)[:20]
-            assert got[i] == [(j, -s) for s, j in want]
-    assert len(got[40]) == 20 and not {200, 220, 240} & set(got)
-    assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+    want = Counter()
+    for n, (i, v) in enumerate(sound):  # each row of a repeated id is asked, and meets the others
+        if i % 20 == 0:
+            best = sorted((-int(v @ w), j) for m, (j, w) in enumerate(sound) if m != n)[:20]
+            want.update((i, rank, j, -s) for rank, (s, j) in enumerate(best, 1))
+    assert got == want
+    assert topk.search(docs.limit(0)).count() == 0 and topk.search(docs.where("vec_id % 20 = 1")).count() == 0
+    few = topk.search(docs.where("vec_id in (20, 21)")).collect()
+    assert [tuple(r)[:3] for r in few] == [(20, 1, 21)]
+
+
+def test_topk_in_a_grid(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(int(k), [float(x) for x in rng.normal(0, 0.3, 4)]) for k in rng.permutation(400)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = sorted(tuple(r) for r in topk.search(docs, k=5).collect())
+    for block, queries, candidates in ((7, 3, 50), (64, 1, 30)):
+        monkeypatch.setattr(topk, "BLOCK", block)
+        monkeypatch.setattr(topk, "QUERIES", queries)
+        monkeypatch.setattr(topk, "CANDIDATES", candidates)
+        assert sorted(tuple(r) for r in topk.search(docs, k=5).collect()) == whole
+    assert len(whole) == 20 * 5
 
 
 def test_packing(spark, odd, none):

@@ -1,42 +1,49 @@
 """Exact top-k search by Fagin's threshold algorithm over sorted per-dimension lists.
 
-Vectors are packed into blocks. Every block of queries meets every block of
-candidates (the stated query set against all rows, in blocks) in a grid of
-tasks. A candidate block keeps, for each dimension, its rows sorted by that
-component. A query walks all lists in step from the end that its own component
-favours, scores each new row in full, and stops once the threshold, which is
-the score of a row that had the components at the present depth, is below its
-kth score. What blocks return, k rows a query, is cut to k by a group limit
-before and after the shuffle. Ties go to the smaller vec_id, so the walk only
-stops where the threshold is below, not at, the kth score.
+Vectors are quantised once and written in blocks. Groups of query blocks meet
+groups of candidate blocks (the stated query set against all rows, in blocks)
+in a grid whose sides follow the counts, one task a cell. A cell keeps, for each
+dimension, its candidates sorted by that component. A query walks all lists in
+step from the end that its own component favours, scores each new row in full,
+and stops once the threshold, which is the score of a row that had the
+components at the present depth, is below its kth score. What cells return, k
+rows a query, is cut to k by a group limit before and after the shuffle. Ties go
+to the smaller vec_id, so the walk only stops where the threshold is below, not
+at, the kth score.
 
 Edge cases: vectors that are null or hold a null or non-finite component take
-no part; a shorter vector counts as filled up with zeros; a query that repeats
-an id is asked once, and rows of its own id are no candidates; with fewer than
-k candidates all are returned; other columns are not read.
+no part; a shorter vector counts as filled up with zeros; rows that repeat a
+vec_id are rows of their own: each is asked, and each is a candidate of every
+row but itself; with fewer than k candidates all are returned; a component or a
+score beyond 64 bits fails the query; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threatquery.llm._store import Tables
+
 SCALE = 64
-#: Vectors of a block, of queries and of candidates.
-QUERIES = 4096
-CANDIDATES = 32768
+#: Vectors of a block; of the queries and of the candidates of a cell, about.
+BLOCK, QUERIES, CANDIDATES = 2048, 32768, 65536
 #: Entries of each list that are read at first; the depth doubles.
 DEPTH = 16
-_PACKED = "slot int, block int, dim int, ids binary, vectors binary"
+_PACKED = "row bigint, n int, asked int, dim int, size int, ids binary, vectors binary"
 
 
 def quantised(array: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """floor(SCALE * x) of all components in a row, and the ends of the vectors."""
-    flat = np.asarray(array.flatten().cast(pa.float64()))
+    flat = np.floor(SCALE * np.asarray(array.flatten().cast(pa.float64())))
+    if len(flat) and np.abs(flat).max() >= 2.0**63:
+        raise OverflowError("a component is beyond 64 bits")
     ends = np.concatenate([[0], np.cumsum(np.asarray(array.value_lengths().fill_null(0), dtype=np.int64))])
-    return np.floor(SCALE * flat).astype(np.int64), ends
+    return flat.astype(np.int64), ends
 
 
 def matrix(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -47,45 +54,62 @@ def matrix(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(vectors: DataFrame, most: int, seed: int) -> DataFrame:
-    """slot (a hash), dim, ids and components of blocks of up to ``most`` vectors."""
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The smallest signed integers that hold all of ``x``."""
+    most = max(int(x.max(initial=0)), -int(x.min(initial=0)) - 1)
+    return x.astype(next(k for k in (np.int8, np.int16, np.int32, np.int64) if most <= np.iinfo(k).max))
+
+
+def packed(vectors: DataFrame, modulus: int) -> DataFrame:
+    """Blocks of up to BLOCK vectors; ``row`` numbers the first one, and the others follow it."""
 
     def run(batches):
+        at = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for a in range(0, batch.num_rows, most):
-                part = batch.slice(a, most)
-                own = matrix(*quantised(part.column("embedding")))
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                own = narrow(matrix(*quantised(part.column("embedding"))))
                 ids = np.asarray(part.column("vec_id"), dtype=np.int64)
-                slot = int((int(ids[0]) * 0x9E3779B1 + seed) & 0x7FFFFFFF)
+                numbers = (at, len(ids), int((ids % modulus == 0).sum()), own.shape[1], own.itemsize)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([slot], pa.int32()), pa.array([0], pa.int32()), pa.array([own.shape[1]], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([own.tobytes()], pa.binary())],
-                    names=["slot", "block", "dim", "ids", "vectors"],
+                    [pa.array([x], pa.int64() if not k else pa.int32()) for k, x in enumerate(numbers)] + [pa.array([ids.tobytes()], pa.binary()), pa.array([own.tobytes()], pa.binary())],
+                    names=["row", "n", "asked", "dim", "size", "ids", "vectors"],
                 )
+                at += len(ids)
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, _PACKED)
 
 
+def unpacked(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, numbers of rows, vectors."""
+    ids = np.frombuffer(block["ids"], np.int64)
+    kind = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}[block["size"]]
+    return ids, block["row"] + np.arange(len(ids)), np.frombuffer(block["vectors"], kind).reshape(len(ids), block["dim"]).astype(np.int64)
+
+
 class Lists:
     """A block of candidates with its sorted lists."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray):
         by = np.argsort(ids, kind="stable")  # of equal scores the first is then the smaller id
-        self.ids, self.vectors = ids[by], np.ascontiguousarray(vectors[by])
+        self.ids, self.rows, self.vectors = ids[by], rows[by], np.ascontiguousarray(vectors[by])
         self.exact = self.vectors.astype(np.float64)
         self.order = np.argsort(self.vectors.T, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(self.vectors.T, self.order.astype(np.int64), axis=1)
+        self.widest = max(int(vectors.max(initial=0)), -int(vectors.min(initial=0)))
 
     def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the k best candidates whose id isn't ``own``."""
+        """Places and scores of the k best candidates but the row numbered ``own``."""
         n, dim = self.vectors.shape
         live = np.flatnonzero(query)
-        widest = int(np.abs(query).max(initial=0)) * int(np.abs(self.sorted).max(initial=0)) * max(dim, 1)
+        widest = max(int(query.max(initial=0)), -int(query.min(initial=0))) * self.widest * max(dim, 1)
         small = widest < 1 << 52
+        if widest >= 1 << 63:
+            return self.wide(own, query, k)
         weight = query.astype(np.float64) if small else query
         table = self.exact if small else self.vectors
         new = np.ones(n, bool)
-        lower, upper = self.ids.searchsorted(own), self.ids.searchsorted(own, "right")
-        new[lower:upper] = False
+        new[self.rows == own] = False
         rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, depth = 0, DEPTH
         up, down = live[query[live] < 0], live[query[live] > 0]
@@ -112,6 +136,14 @@ class Lists:
         by = np.lexsort((rows, -scores))
         return rows[by], scores[by]
 
+    def wide(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same where a sum might not fit 64 bits: in whole numbers of any size, row by row."""
+        scores = [sum(int(a) * int(b) for a, b in zip(row, query, strict=True)) for row in self.vectors]
+        best = sorted((x for x in range(len(scores)) if self.rows[x] != own), key=lambda x: (-scores[x], x))[:k]
+        if any(not -(1 << 63) <= scores[x] < 1 << 63 for x in best):
+            raise OverflowError("a score is beyond 64 bits")
+        return np.array(best, np.int64), np.array([scores[x] for x in best], np.int64)
+
     @staticmethod
     def _best(rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -119,46 +151,66 @@ class Lists:
         return near[np.lexsort((rows[near], -scores[near]))[:k]]
 
 
+def sides(queries: int, candidates: int, tasks: int) -> tuple[int, int]:
+    """Groups of queries and of candidates: as many as their sizes ask for, and a square grid of ``tasks`` cells at least."""
+    q, c = max(1, -(-queries // QUERIES)), max(1, -(-candidates // CANDIDATES))
+    while q * c < tasks:
+        q, c = (q + 1, c) if q <= c else (q, c + 1)
+    return q, c
+
+
 def search(vectors: DataFrame, modulus: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row whose vec_id is divisible by ``modulus``."""
     spark = vectors.sparkSession
     sound = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and abs(x) < double('infinity'))")
-    asked = sound.where(F.col("vec_id") % modulus == 0).dropDuplicates(["vec_id"])
-    blocks = max(1, -(-asked.count() // QUERIES))
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def pack(table: pa.Table) -> pa.Table:
-        ids = np.asarray(table.column("vec_id").combine_chunks(), dtype=np.int64)
-        own = matrix(*quantised(table.column("embedding").combine_chunks()))
-        return pa.table({"block": table.column("block").slice(0, 1), "dim": pa.array([own.shape[1]], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([own.tobytes()], pa.binary())})
-
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    asked = asked.groupBy("block").applyInArrow(pack, "block int, dim int, ids binary, vectors binary")
-    asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    held = packed(sound, CANDIDATES, 17).withColumn("slot", F.pmod("slot", F.lit(slots)))
-    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def unpack(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-        rows = zip(*(table.column(c).to_pylist() for c in ("ids", "vectors", "dim")), strict=True)
-        return [(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64).reshape(-1, d) if d else np.zeros((len(a) // 8, 0), np.int64)) for a, b, d in rows]
-
-    def wide(x: np.ndarray, dim: int) -> np.ndarray:
-        return np.pad(x, ((0, 0), (0, dim - x.shape[1]))) if x.shape[1] < dim else x
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "score": [np.zeros(0, np.int64)]}
-        queries, candidates = unpack(left), unpack(right)
-        dim = max((x.shape[1] for _, x in [*queries, *candidates]), default=0)
-        for ids, own in candidates:
-            lists = Lists(ids, wide(own, dim))
-            for asked_ids, asked_own in queries:
-                for q, vector in zip(asked_ids, wide(asked_own, dim), strict=True):
-                    rows, scores = lists.top(q, vector, k)
-                    out["query_id"].append(np.full(len(rows), q))
-                    out["vec_id"].append(lists.ids[rows])
-                    out["score"].append(scores)
-        return pa.table({c: np.concatenate(x) for c, x in out.items()})
-
-    found = asked.groupBy("block", "slot").cogroup(held.groupBy("block", "slot")).applyInArrow(answer, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    held = Tables(spark, "topk").write(packed(sound, modulus), "blocks")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = held.agg(F.sum("n"), F.sum("asked"), F.count("*")).first()
+    if not many[1]:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    q, c = sides(many[1], many[0], min(tasks, 4 * many[2]))
+
+    def asked(batches):
+        """The queries of each block, as a block of their own with its row numbers."""
+        for batch in batches:
+            for block in batch.to_pylist():
+                ids, rows, own = unpacked(block)
+                pick = ids % modulus == 0
+                block |= {"ids": ids[pick].tobytes(), "vectors": narrow(own[pick]).tobytes(), "size": narrow(own[pick]).itemsize, "rows": rows[pick].tobytes()}
+                yield pa.RecordBatch.from_pylist([block], schema=pa.schema([*batch.schema, pa.field("rows", pa.binary())]))
+
+    place = F.floor(F.col("row") / BLOCK)  # neighbours go to different groups
+    left = held.where("asked > 0").mapInArrow(asked, _PACKED + ", rows binary")
+    left = left.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(c - 1)), lambda x: F.pmod(place, F.lit(q)) * c + x)))
+    right = held.withColumn("rows", F.lit(None).cast("binary"))
+    right = right.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(q - 1)), lambda x: x * c + F.pmod(place, F.lit(c)))))
+    parts = min(q * c, 64 * tasks)
+    cells = right.unionByName(left).repartitionById(parts, F.pmod("cell", F.lit(parts)).cast("int")).sortWithinPartitions("cell", F.col("rows").isNotNull())
+
+    def answer(batches):
+        cell, waiting, lists = None, [], None
+        for batch in batches:
+            for block in batch.to_pylist():
+                if block["cell"] != cell:
+                    cell, waiting, lists = block["cell"], [], None
+                if block["rows"] is None:  # the candidates of a cell come before its queries
+                    waiting.append(unpacked(block))
+                    continue
+                if lists is None and waiting:
+                    dim = max(x.shape[1] for _, _, x in waiting)
+                    lists = Lists(np.concatenate([x[0] for x in waiting]), np.concatenate([x[1] for x in waiting]), np.concatenate([np.pad(x[2], ((0, 0), (0, dim - x[2].shape[1]))) for x in waiting]))
+                    waiting = []
+                if lists is None:
+                    continue
+                ids, _, own = unpacked(block)
+                dim = lists.vectors.shape[1]  # what a query has beyond it meets zeros
+                own = np.pad(own, ((0, 0), (0, max(0, dim - own.shape[1]))))[:, :dim]
+                rows = np.frombuffer(block["rows"], np.int64)
+                found = [lists.top(r, v, k) for r, v in zip(rows, own, strict=True)]
+                size = [len(x[0]) for x in found]
+                at, scores = (np.concatenate([x[y] for x in found]) for y in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, size)), pa.array(np.repeat(ids, size)), pa.array(lists.ids[at.astype(np.int64)]), pa.array(scores)], names=["query", "query_id", "vec_id", "score"])
+
+    found = cells.mapInArrow(answer, "query bigint, query_id bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
