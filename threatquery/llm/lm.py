@@ -18,7 +18,8 @@ Edge cases: a null text has the end token alone; a word before any training is
 unknown and takes the uniform share; with no training documents every
 probability is 1; with no held-out tokens in a bucket its weights are the
 prior's; rows without doc_id are scored, not learned from; repeated rows count
-each; other columns are not read.
+each; an empty table gives no rows; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from threatquery.llm import _text
 from threatquery.llm._store import Tables, remainder
 from threatquery.llm.jaccard import planes, unplanes
 
-#: Tokens of a chunk, about.
-CHUNK = 1 << 19
+#: Tokens of a chunk, and of those whose counts a bucket adds up, about.
+CHUNK, BUCKET = 1 << 19, 1 << 21
 #: One of so many training documents is deleted from the counts for EM.
 DELETED = 12
 #: Buckets of a context's frequency: 0, then by octave.
@@ -43,7 +44,7 @@ EM_ROUNDS = 60
 PRIOR = np.array([0.4, 0.5, 0.1])
 END = np.uint64(0x8C5F1E0B7A3D9246)
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_CHUNKS = "chunk bigint, kind int, doc_ids array<bigint>, train binary, sizes binary, words binary, tokens binary"
+_CHUNKS = "chunk bigint, kind int, n bigint, doc_ids array<bigint>, train binary, sizes binary, words binary, tokens binary"
 
 
 def shrink(x: np.ndarray) -> bytes:
@@ -84,10 +85,10 @@ def chunked(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
             place[by] = np.arange(len(words), dtype=np.uint32)
             k += 1
             ids = pa.array([[i for x in own for i in x[2]]], pa.list_(pa.int64()))
-            cols = [pa.array([(part << 32) + k], pa.int64()), pa.array([kind], pa.int32()), ids]
+            cols = [pa.array([(part << 32) + k], pa.int64()), pa.array([kind], pa.int32()), pa.array([len(h)], pa.int64()), ids]
             cols.append(pa.array([np.concatenate([x[3] for x in own]).astype(np.uint8).tobytes()], pa.binary()))
             cols += [pa.array([shrink(x)], pa.binary()) for x in (np.concatenate([x[1] for x in own]).astype(np.uint32), words[by], place[of])]
-            return pa.RecordBatch.from_arrays(cols, names=["chunk", "kind", "doc_ids", "train", "sizes", "words", "tokens"])
+            return pa.RecordBatch.from_arrays(cols, names=["chunk", "kind", "n", "doc_ids", "train", "sizes", "words", "tokens"])
 
         for batch in _text.parts(batches):
             h, n = tokens(batch.column("text"))
@@ -247,14 +248,16 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     spark = docs.sparkSession
     tables = Tables(spark, "lm")
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = tables.write(chunked(docs, modulus, held_out), "chunks")
+    whole, deleted_tokens = (int(x or 0) for x in chunks.agg(F.sum("n"), F.sum(F.when(F.col("kind") == 1, F.col("n")))).first())
+    # A bucket is held whole by a task, so their number follows the tokens.
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // BUCKET))
     words = tables.write(totals(posts(chunks, "word", buckets), "word"), "words")
     pairs = tables.write(totals(posts(chunks, "bigram", buckets), "bigram"), "bigrams")
     n, v = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("v")).first())
     back = words.unionByName(pairs)
     deleted = chunks.where("kind = 1")
-    counted = n - int(deleted_tokens(deleted))
+    counted = n - deleted_tokens
 
     def tally(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -291,13 +294,3 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFrame:
 
     found = chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(finish, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return found.select("doc_id", (remainder("doc_id", modulus) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
-
-
-def deleted_tokens(chunks: DataFrame) -> int:
-    """Tokens of the deleted slice."""
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(grow(b, np.uint32).sum()) for b in batch.column("sizes").to_pylist()], pa.int64())], names=["n"])
-
-    return chunks.select("sizes").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
