@@ -11,7 +11,8 @@ its length, by salted counts so that a frequent length isn't ranked in one
 task, and its number determines its sequence and offset.
 
 Edge cases: a null or empty text is the single token 0; repeated rows are
-packed each; an empty table gives no rows; other columns are not read.
+packed each; an empty table gives no rows; other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from threatquery.llm._store import Tables
 
 CAPACITY = 2048
 END = 0
+#: Parts in which the pieces of one length are numbered, at most.
+SALTS = 1024
 #: The split pattern of the byte-level BPE family, for vocabularies that name it only as "ByteLevel".
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PROBE = "It's  a test,\n\n\twith 123 numbers — naïve “quotes”, ünïcode 漢字 🙂 and   spaces \n"
@@ -188,7 +191,7 @@ def pack(found: DataFrame) -> DataFrame:
     """``pieces`` with sequence_id and offset: gapless from 0 within a sequence, CAPACITY at most."""
     spark = found.sparkSession
     tables = Tables(spark, "packing")
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = min(SALTS, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     order = ["doc_id", "piece", "ids_crc32"]
     salted = tables.write(found.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")), "pieces")
     many = tables.write(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "counts")
@@ -197,7 +200,8 @@ def pack(found: DataFrame) -> DataFrame:
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     before = many.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order))
-    ranked = salted.withColumn("_number", number).join(before, ["length", "_salt"]).withColumn("_number", F.col("_number") - 1 + F.col("_before"))
+    # The pieces are dealt and sorted by length and salt already; the counts (CAPACITY * SALTS rows at most) come to them.
+    ranked = salted.withColumn("_number", number).join(before.hint("merge"), ["length", "_salt"]).withColumn("_number", F.col("_number") - 1 + F.col("_before"))
 
     def run(batches):
         for batch in batches:
