@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``; one of our own only where it is unset and the session is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
         if chosen.isDefined():
             folder = chosen.get()
         else:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="threatquery-")
             spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -53,12 +56,19 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def sampled_labels(labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int) -> DataFrame:
-    """At most ``per_class`` labelled ids of each class, none of a held-out remainder.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, inputs: list[str], modulus: int, held_out: int, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, label and ``inputs`` of at most ``per_class`` documents of each class, labelled documents of each class).
 
-    Ids are taken in the order of a hash. An id with several labels counts by the largest.
+    None is of a held-out remainder. Labels of ids that no document has are
+    dropped before any is counted or taken. Ids are taken in the order of a
+    hash; an id with several labels counts by the largest, and one with several
+    rows by the least text, so that neither multiplies the sample.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     parts = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    some = F.broadcast(parts[0].unionByName(parts[1]))
+    rows = docs.select("doc_id", F.struct(*inputs).alias("inputs")).join(some, "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("inputs").alias("inputs")).select("doc_id", "label", "inputs.*"), counts

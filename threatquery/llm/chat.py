@@ -11,7 +11,7 @@ should even that differ, the job fails rather than write a wrong text.
 Edge cases: a null text or role is empty; other roles than the named ones are
 kept in a header of their own; rows of equal turn come by role, then text, and
 a null turn comes first; rows with a null conv_id are one conversation; an
-empty table gives no rows; other columns are not read. A conversation is one
+empty table gives no rows; other columns, whatever their names, are not read. A conversation is one
 row of the result, so its turns meet in one task, as its digests need.
 """
 

@@ -8,8 +8,9 @@ words, and every distinct word of a slice is weighed once.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; with
 no learned language every text is ``und``, with one that language; a family of
-one language needs no second step; equal rows get equal results; other columns
-are not read.
+one language needs no second step; of languages with equal votes and belief the
+first by name is taken; equal rows get equal results; an empty table gives no
+rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -151,8 +152,9 @@ def sample(docs: DataFrame, modulus: int, held_out: int, most: int) -> DataFrame
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     some = known.select("doc_id", "lang", place.alias("_place")).join(many, "lang").where(F.col("_place") < 2.0 * most / F.col("_n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id"))
-    some = some.withColumn("_rank", rank).where(F.col("_rank") <= most).select("doc_id").distinct()
-    return known.select("doc_id", "lang", "text").join(F.broadcast(some), "doc_id", "left_semi")
+    some = some.withColumn("_rank", rank).where(F.col("_rank") <= most).select("doc_id", "lang").distinct()
+    # an id that repeats counts once for each of its languages, by the least text
+    return known.select("doc_id", "lang", "text").join(F.broadcast(some), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE) -> Model:

@@ -10,8 +10,9 @@ machine is trained in numpy by Adagrad on a bounded sample.
 Edge cases: a null or empty text has no words and the statistics of an empty
 text, and gets a score like any other; a null n_chars, or a table without it,
 counts as the length of the text; repeated rows and ties get equal scores; with
-labels of one class only the score is the smoothed share of class 1; other
-columns are not read.
+labels of one class only the score is the smoothed share of class 1; an id that
+repeats is fitted once; an empty table gives no rows; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from threatquery.llm import _store, _text
 
@@ -157,8 +157,7 @@ def _inputs(docs: DataFrame) -> list[str]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, per_class: int = PER_CLASS) -> Model:
     """Fit on at most ``per_class`` rows of each class, none of which is held out."""
-    ids = _store.sampled_labels(labels, label, modulus, held_out, per_class)
-    counts = {r[0]: r[1] for r in labels.where(F.col(label).isin(0, 1) & (_store.remainder("doc_id", modulus) != held_out)).groupBy(label).count().collect()}
+    known, counts = _store.labelled(docs, labels, label, _inputs(docs), modulus, held_out, per_class)
     prior = float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)))
 
     def extract(batches):
@@ -169,8 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
             cols = [pa.array([word[a:b].astype(np.uint16).tobytes() for a, b in spans], pa.binary()), pa.array([value[a:b].astype(np.float32).tobytes() for a, b in spans], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array([s.tobytes() for s in stats], pa.binary())], names=["label", "words", "shares", "stats"])
 
-    known = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(ids), "doc_id").select("label", *_inputs(docs))
-    rows = known.mapInArrow(extract, "label int, words binary, shares binary, stats binary").collect()
+    rows = known.select("label", *_inputs(docs)).mapInArrow(extract, "label int, words binary, shares binary, stats binary").collect()
     rows.sort(key=lambda r: tuple(map(bytes, r[1:])))
     return fit([(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.float32), np.frombuffer(r[3])) for r in rows], prior)
 

@@ -9,8 +9,9 @@ was never seen still shares most of its n-grams with words that were.
 
 Edge cases: a null or empty text has an empty bag, and its score is that of
 the bias alone; repeated rows and ties get equal scores; with no labelled rows
-of either class the score is the smoothed share of the class; other columns
-pass through untouched.
+of either class the score is the smoothed share of the class; an id that repeats
+is fitted once; an empty table gives no rows; other columns, whatever their
+names, pass through untouched.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from threatquery.llm import _store, _text
 
@@ -150,7 +150,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> Model:
     """Fit on at most ``per_class`` rows of each class, none of which is held out."""
-    ids = _store.sampled_labels(labels, label, modulus, held_out, per_class)
+    known, _ = _store.labelled(docs, labels, label, ["text"], modulus, held_out, per_class)
 
     def extract(batches):
         for batch in batches:
@@ -160,9 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
                 names=["label", "ids", "times"],
             )
 
-    known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
     # A partition at a time, so that the driver holds the entries once.
-    found = known.mapInArrow(lambda it: extract(it), "label int, ids binary, times binary").toLocalIterator(prefetchPartitions=True)
+    found = known.select("label", "text").mapInArrow(lambda it: extract(it), "label int, ids binary, times binary").toLocalIterator(prefetchPartitions=True)
     rows = [(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.uint16)) for r in found]
     rows.sort(key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1]), zlib.crc32(r[2])))
     return fit(rows)
