@@ -57,8 +57,15 @@ def test_second_step_fills_the_gap():
 @given(st.sets(st.integers(0, 60), min_size=1, max_size=25), st.lists(st.sets(st.integers(0, 60), min_size=1, max_size=25), min_size=1, max_size=12), st.integers(1, 20))
 def test_search_finds_all_that_reach_the_overlap(query, records, need):
     pack = lambda s: np.array(sorted(s), np.uint64)
-    got = jaccard.search(pack(query), [pack(r) for r in records], need)
-    assert sorted(got.tolist()) == [k for k, r in enumerate(records) if len(query & r) >= need]
+    lists = jaccard.Lists([pack(r) for r in records])
+    want = [(k, len(query & r)) for k, r in enumerate(records) if len(query & r) >= need]
+    for most in (1, 1 << 12):  # merged by numpy, and by the heap
+        jaccard.HEAP, held = most, jaccard.HEAP
+        ids, times = lists.at_least(pack(query), need)
+        jaccard.HEAP = held
+        assert list(zip(ids.tolist(), times.tolist(), strict=True)) == want
+    links = [k for k, r in enumerate(records) if 100 * len(query & r) >= 75 * len(query | r)]
+    assert lists.search(pack(query)).tolist() == links
 
 
 @given(st.integers(1, 4000), st.integers(1, 4000))

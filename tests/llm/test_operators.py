@@ -86,6 +86,31 @@ def test_jaccard_against_all_pairs(spark):
     assert got == components_of(rows)
 
 
+def boilerplate(n=90):
+    """Documents of which about 80 % is one text without linking to the others by it, some copies of them, and a chain of sizes."""
+    common = prose(500, 120)
+    rows = [(k, common + " " + " ".join(f"own{k}x{j}" for j in range(30 + k % 5))) for k in range(n)]
+    rows += [(n + k, rows[3 * k][1] + f" end{k}") for k in range(12)]
+    return rows + [(n + 12 + k, common + " " + " ".join(f"z{j}" for j in range(10 * k + 35))) for k in range(12)]
+
+
+def test_jaccard_of_boilerplate(spark, monkeypatch):
+    rows = boilerplate()
+    want = components_of(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 20 < len({c for _, c in want.values()}) < len(rows)
+    for pairs, members in ((64, 1024), (3, 16), (1, 5)):
+        monkeypatch.setattr(jaccard, "PAIRS", pairs)
+        monkeypatch.setattr(jaccard, "MEMBERS", members)
+        monkeypatch.setattr(jaccard, "CELL", 700 if pairs < 64 else 1 << 20)
+        assert {r[0]: (r[1], r[2]) for r in jaccard.classes(docs).collect()} == want
+
+
+def test_copies_keep_clashing_columns(odd):
+    docs = clashing(odd)
+    same_columns(jaccard.keep_one(docs), docs)
+
+
 def test_jaccard_edges(odd, none):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(odd).collect()), key=str)
     by = {i: (n, c) for i, n, c in got if i is not None}

@@ -12,18 +12,24 @@ from shingles to documents:
 3. The rest are indexed whole with the lengths of their lists. T - 1 of a
    document's lists may be set aside as long ones; it must meet each partner in
    one of the remaining short lists.
-4. The short lists are joined. First each document meets the least one of each
-   list (a star, as many pairs as postings); documents that a verified star has
-   connected need not meet again, and the pairs that remain come second.
-5. A pair is verified by ``search``: the query's short lists over a block of
-   partners are heap-merged, its long ones binary-probed, and partners that
-   reach T are retained.
-6. Links and classes give components by min-label rounds.
+4. Each document meets the least one of each of its short lists (a star, as many
+   pairs as postings). Documents that a link has connected need not meet again.
+5. Lists that still hold several components are searched: those of few members
+   pair by pair, the others in blocks. A block has the members of like size, so
+   that only neighbouring blocks meet, and lists with the same members are
+   searched once. So a list that a third of all documents share without linking
+   costs rows for each pair of blocks, not for each pair of documents.
+6. All of these meetings are cells of bounded size: records, of which inverted
+   lists are made, and queries. ``Lists.search`` finds the records of a query by
+   DivideSkip: its short lists are merged by a heap, its long ones probed by
+   binary search, and the counts decide.
+7. Links and classes give components by min-label rounds.
 
 Edge cases: a text with fewer words than five is one shingle; a null text or
 one without words has no shingles and links with nothing; rows without doc_id
 take no part and have no component; rows that repeat a doc_id share its
-component; other columns are not read.
+component; an empty table gives no rows; other columns, whatever their names,
+are not read, and pass through ``keep_one`` untouched.
 """
 
 from __future__ import annotations
@@ -45,8 +51,12 @@ SIZE = 5
 LEAST, PER = 75, 100
 #: Shingles of a row of the second index.
 CHUNK = 1 << 20
-#: Documents whose counts are summed together.
-GROUP = 1 << 14
+#: Documents whose counts are summed together, and shingles whose lists are counted together.
+GROUP, POSTS = 1 << 14, 1 << 21
+#: Shingles and documents of either side of a cell, about; members of a list that meet pair by pair.
+CELL, MEMBERS, PAIRS = 1 << 20, 1024, 64
+#: Entries that a heap merges, and probes that are made at once, at most.
+HEAP, PROBES = 1 << 12, 1 << 20
 _FACTORS = [_text.U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -263,50 +273,109 @@ def short_lists(chunks: DataFrame, buckets: int) -> DataFrame:
     return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(cut, "h bigint, doc_id bigint, n bigint, place bigint")
 
 
-def search(query: np.ndarray, records: list[np.ndarray], need: int) -> np.ndarray:
-    """Indices of ``records`` that hold ``need`` or more of the query's shingles, by DivideSkip."""
-    size = np.array([len(r) for r in records])
-    flat, owner = np.concatenate(records), np.repeat(np.arange(len(records)), size)
-    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
-    hit = query[at] == flat
-    at, owner = at[hit], owner[hit]
-    by = np.lexsort((owner, at))
-    at, owner = at[by], owner[by]
-    lists = sorted((owner[a:b] for a, b in _text.runs(at)), key=len)
-    if len(lists) < need:
-        return np.zeros(0, int)
-    longest = len(lists[-1])
-    aside = min(need - 1, int(need / (0.01 * np.log2(longest + 1) + 1)))
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    found = [(k, sum(1 for _ in g)) for k, g in groupby(heapq.merge(*(x.tolist() for x in short)))]
-    found = np.array([x for x in found if x[1] >= need - aside], dtype=int).reshape(-1, 2)
-    ids, times = found[:, 0], found[:, 1].copy()
-    for x in long:
-        place = np.minimum(np.searchsorted(x, ids), len(x) - 1)
-        times += x[place] == ids
-    return ids[times >= need]
-
-
-def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (u, v) that link. ``members``: doc_id, own (packed sorted set)."""
-    a = members.select(F.col("doc_id").alias("v"), F.col("own").alias("b"))
-    b = members.select(F.col("doc_id").alias("u"), F.col("own").alias("a"))
-    rows = pairs.join(a, "v").join(b, "u").select("u", "v", "a", "b")
+class Lists:
+    """The inverted lists of some records (sorted sets)."""
+
+    def __init__(self, records: list[np.ndarray]):
+        self.sizes = np.array([len(r) for r in records], np.int64)
+        flat, owner = np.concatenate(records), np.repeat(np.arange(len(records)), self.sizes)
+        by = np.argsort(flat, kind="stable")
+        flat, self.owners = flat[by], owner[by]
+        self.first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        self.keys = flat[self.first]
+        self.lengths = np.diff(np.r_[self.first, len(flat)])
+        # (list, record) of every entry, in order: one array to probe for all lists
+        self.entries = np.repeat(np.arange(len(self.keys)), self.lengths) * len(records) + self.owners
+
+    def at_least(self, query: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """Records that hold ``need`` or more of the query's shingles, and how many, by DivideSkip."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
+        lists = at[self.keys[at] == query]
+        if not 0 < need <= len(lists):
+            return none
+        lists = lists[np.argsort(self.lengths[lists], kind="stable")]
+        aside = min(need - 1, int(need / (0.01 * np.log2(int(self.lengths[lists[-1]]) + 1) + 1)))
+        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        ids, times = self.merged(short)
+        near = times >= need - aside
+        ids, times = ids[near], times[near]
+        for a in range(0, len(long), step := max(1, PROBES // max(len(ids), 1))):
+            probes = (long[a : a + step, None] * len(self.sizes) + ids).ravel()
+            place = np.minimum(np.searchsorted(self.entries, probes), len(self.entries) - 1)
+            times = times + (self.entries[place] == probes).reshape(-1, len(ids)).sum(0)
+        enough = times >= need
+        return ids[enough], times[enough]
+
+    def merged(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The records of some lists and how often each occurs. Numpy counts what would take a heap in Python too long."""
+        if int(self.lengths[lists].sum()) > HEAP:
+            times = np.bincount(self.owners[_text.spread(self.first[lists], self.lengths[lists])], minlength=len(self.sizes))
+            ids = np.flatnonzero(times)
+            return ids, times[ids]
+        found = [(k, sum(1 for _ in g)) for k, g in groupby(heapq.merge(*(self.owners[self.first[x] : self.first[x] + self.lengths[x]].tolist() for x in lists)))]
+        ids, times = np.array(found, np.int64).reshape(-1, 2).T
+        return ids, times
+
+    def search(self, query: np.ndarray) -> np.ndarray:
+        """Records that link with the query."""
+        n = len(query)
+        band = self.sizes[(PER * self.sizes >= LEAST * n) & (LEAST * self.sizes <= PER * n)]
+        if not len(band):
+            return np.zeros(0, np.int64)
+        ids, both = self.at_least(query, int(overlap(n, band.min())))
+        return ids[PER * both >= LEAST * (n + self.sizes[ids] - both)]
+
+
+def searched(cells: DataFrame, members: DataFrame) -> DataFrame:
+    """The links (u, v) within cells. ``cells``: cell, query (whether the row asks or is a record), doc_id, label; documents of one label need no link. ``members``: doc_id, own (packed sorted set)."""
+    rows = cells.join(members, "doc_id").repartition("cell").sortWithinPartitions("cell", "query")
 
     def run(batches):
+        cell, records, lists, ids, labels = None, [], None, [], []
         for batch in batches:
-            us, vs, left, right = (batch.column(c) for c in ("u", "v", "a", "b"))
-            u, v = np.asarray(us), np.asarray(vs)
-            keep = np.zeros(len(u), bool)
-            for x, y in _text.runs(u):
-                query = np.frombuffer(left[x].as_py(), np.uint64)
-                records = [np.frombuffer(right[k].as_py(), np.uint64) for k in range(x, y)]
-                for k in search(query, records, -(-LEAST * len(query) // PER)):
-                    both = np.intersect1d(query, records[k], assume_unique=True)
-                    keep[x + k] = PER * len(both) >= LEAST * (len(query) + len(records[k]) - len(both))
-            yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
-
-    return rows.mapInArrow(run, "u bigint, v bigint")
+            u, v = [], []
+            for c, asks, doc, label, own in zip(*(batch.column(k).to_pylist() for k in ("cell", "query", "doc_id", "label", "own")), strict=True):
+                if c != cell:
+                    cell, records, lists, ids, labels = c, [], None, [], []
+                if not asks:  # the records of a cell come before its queries
+                    records.append(np.frombuffer(own, np.uint64))
+                    ids.append(doc)
+                    labels.append(label)
+                elif records:
+                    lists = lists or Lists(records)
+                    for k in lists.search(np.frombuffer(own, np.uint64)).tolist():
+                        if ids[k] != doc and labels[k] != label:
+                            u.append(doc)
+                            v.append(ids[k])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return rows.select("cell", "query", "doc_id", "label", "own").mapInArrow(run, "u bigint, v bigint")
+
+
+def cells_of_pairs(pairs: DataFrame) -> DataFrame:
+    """Cells of the pairs (u, v, m: the shingles of v; x, y: their labels): u asks, its partners are records, in cells of about CELL shingles."""
+    wide = pairs.groupBy("u").agg(F.ceil(F.sum("m") / CELL).alias("parts")).where("parts > 1")
+    placed = pairs.join(wide, "u", "left").withColumn("cell", F.xxhash64("u", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)))))
+    asks = placed.select("cell", F.lit(True).alias("query"), F.col("u").alias("doc_id"), F.col("x").alias("label")).distinct()
+    return asks.unionByName(placed.select("cell", F.lit(False).alias("query"), F.col("v").alias("doc_id"), F.col("y").alias("label")))
+
+
+def cells_of_lists(named: DataFrame) -> DataFrame:
+    """Cells of whole lists (h, doc_id, n, label, outside): every two blocks of which one is outside and whose sizes are near."""
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(PER / LEAST * 1.01))).cast("int")  # linked ones are a step apart at most
+    prints = [F.sum(F.xxhash64("doc_id", "outside", F.lit(k)).cast("decimal(38,0)")).alias(f"print{k}") for k in (0, 1)]
+    alike = named.groupBy("h").agg(F.count("*").alias("many"), *prints).groupBy("many", "print0", "print1").agg(F.min("h").alias("h")).select("h")
+    rows = named.join(alike, "h", "left_semi").select("h", "doc_id", "n", "label", "outside", step.alias("step"))
+    whole = rows.groupBy("h", "outside", "step").agg(F.greatest(F.ceil(F.sum("n") / CELL), F.ceil(F.count("*") / MEMBERS)).cast("int").alias("parts"))
+    rows = rows.join(whole, ["h", "outside", "step"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    blocks = whole.select("h", "outside", "step", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    x = blocks.where("outside").select("h", F.struct("step", "part").alias("x"))
+    y = blocks.select("h", F.col("outside").alias("far"), F.struct("step", "part").alias("y"))
+    meet = x.join(y, "h").where("abs(x.step - y.step) <= 1 and (not far or x <= y)").withColumn("cell", F.xxhash64("h", "far", "x", "y"))
+    asks = meet.select("h", F.lit(True).alias("outside"), F.col("x.step").alias("step"), F.col("x.part").alias("part"), "cell", F.lit(True).alias("query"))
+    held = meet.select("h", F.col("far").alias("outside"), F.col("y.step").alias("step"), F.col("y.part").alias("part"), "cell", F.lit(False).alias("query"))
+    return rows.join(asks.unionByName(held), ["h", "outside", "step", "part"]).select("cell", "query", "doc_id", "label")
 
 
 def unpacked(chunks: DataFrame) -> DataFrame:
@@ -325,38 +394,41 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark = docs.sparkSession
     tables = Tables(spark, "jaccard")
-    # A bucket is the share of a task; the cluster's number of shuffle partitions follows its data.
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     every = tables.write(sets(docs), "sets")
     known = every.where("doc_id is not null and n_shingles > 0")
     reps = tables.write(known.groupBy("n_shingles", "p", "q").agg(F.min("doc_id").alias("rep")), "reps")
-    left = sieve(docs.where("doc_id is not null"), buckets, max(buckets, -(-every.count() // GROUP))).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    many, total = (int(x or 0) for x in every.agg(F.count("*"), F.sum("n_shingles")).first())
+    # A bucket is held whole by a task, so their number follows the shingles.
+    left = sieve(docs.where("doc_id is not null"), max(tasks, -(-total // (2 * POSTS))), max(tasks, -(-many // GROUP))).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     left = tables.write(left.distinct(), "left")
     chunks = tables.write(chunked(docs.join(left, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])), "chunks")
-    tables.write(short_lists(chunks, buckets).distinct(), "short")
-    short = spark.read.parquet(f"{tables.root}/short")
+    total = int(chunks.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 8
+    short = tables.write(short_lists(chunks, max(tasks, -(-total // POSTS))).distinct(), "short")
     members = tables.write(unpacked(chunks), "members")
     tables.drop("left", "chunks")
 
     hubs = short.groupBy("h").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1")
     near = f"{PER} * n >= {LEAST} * m and {PER} * m >= {LEAST} * n"
     stars = short.join(hubs.select("h", F.col("hub.doc_id").alias("u"), F.col("hub.n").alias("m")), "h")
-    stars = stars.where(f"doc_id <> u and {near}").select("u", F.col("doc_id").alias("v")).distinct()
-    first = tables.write(verified(stars, members), "star-links")
+    stars = stars.where(f"doc_id <> u and {near}").select("u", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("u").alias("x"), F.col("doc_id").alias("y")).distinct()
+    first = tables.write(searched(cells_of_pairs(tables.write(stars, "stars")), members), "star-links")
     label = components(first, tables, "star")
 
     named = short.join(label.select(F.col("u").alias("doc_id"), F.col("v").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     # Every pair across labels has a member outside the label that the list's star has gathered.
-    open_ = named.groupBy("h").agg(F.min(F.struct("doc_id", "label")).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y"))
-    open_ = open_.where("x <> y").select("h", F.col("hub.label").alias("inner"))
+    open_ = named.groupBy("h").agg(F.min(F.struct("doc_id", "label")).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("many"))
+    open_ = open_.where("x <> y").select("h", F.col("hub.label").alias("inner"), (F.col("many") > PAIRS).alias("wide"))
     named = tables.write(named.join(open_, "h").withColumn("outside", F.expr("label <> inner")), "open")
-    other = named.select("h", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("place").alias("there"), F.col("label").alias("other"), F.col("outside").alias("far"))
+    few = named.where("not wide")
+    other = few.select("h", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("place").alias("there"), F.col("label").alias("y"), F.col("outside").alias("far"))
     need = f"ceil({LEAST} * (n + m) / {PER + LEAST})"
-    pairs = named.where("outside").join(other, "h").where(f"(doc_id < v or not far) and label <> other and {near} and n - place >= {need} and m - there >= {need}")
-    pairs = pairs.select(F.least("doc_id", "v").alias("u"), F.greatest("doc_id", "v").alias("v")).distinct()
-    second = tables.write(verified(pairs, members), "cross-links")
-    tables.drop("open", "members", "short")
+    pairs = few.where("outside").withColumnsRenamed({"doc_id": "u", "label": "x"}).join(other, "h")
+    pairs = pairs.where(f"(u < v or not far) and x <> y and {near} and n - place >= {need} and m - there >= {need}").select("u", "v", "m", "x", "y").distinct()
+    cells = cells_of_pairs(tables.write(pairs, "pairs")).unionByName(cells_of_lists(named.where("wide")))
+    second = tables.write(searched(cells, members), "cross-links")
+    tables.drop("open", "members", "short", "stars", "pairs")
     label = components(label.unionByName(second), tables, "all")
 
     least = reps.join(label.select(F.col("u").alias("rep"), F.col("v").alias("least")), "rep", "left").select("n_shingles", "p", "q", F.coalesce("least", "rep").alias("component_id"))
