@@ -68,6 +68,14 @@ def test_search_finds_all_that_reach_the_overlap(query, records, need):
     assert lists.search(pack(query)).tolist() == links
 
 
+def test_search_without_a_near_record():
+    """No record is in enough short lists, so that no long list is probed."""
+    query = np.arange(40, dtype=np.uint64)
+    lists = jaccard.Lists([np.arange(k, k + 40, dtype=np.uint64) for k in (20, 25, 30)] + [np.arange(100, 140, dtype=np.uint64)])
+    for need in range(1, 60):
+        assert lists.at_least(query, need)[0].tolist() == [k for k, n in enumerate((20, 15, 10, 0)) if n >= need]
+
+
 @given(st.integers(1, 4000), st.integers(1, 4000))
 def test_overlap_is_the_rule(n, m):
     t = jaccard.overlap(n, m)

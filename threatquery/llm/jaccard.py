@@ -300,7 +300,9 @@ class Lists:
         ids, times = self.merged(short)
         near = times >= need - aside
         ids, times = ids[near], times[near]
-        for a in range(0, len(long), step := max(1, PROBES // max(len(ids), 1))):
+        if not len(ids):
+            return none
+        for a in range(0, len(long), step := max(1, PROBES // len(ids))):
             probes = (long[a : a + step, None] * len(self.sizes) + ids).ravel()
             place = np.minimum(np.searchsorted(self.entries, probes), len(self.entries) - 1)
             times = times + (self.entries[place] == probes).reshape(-1, len(ids)).sum(0)
