@@ -54,7 +54,7 @@ CHUNK = 1 << 20
 #: Documents whose counts are summed together, and shingles whose lists are counted together.
 GROUP, POSTS = 1 << 14, 1 << 21
 #: Shingles and documents of either side of a cell, about; members of a list that meet pair by pair.
-CELL, MEMBERS, PAIRS = 1 << 20, 1024, 64
+CELL, MEMBERS, PAIRS = 1 << 20, 256, 64
 #: Entries that a heap merges, and probes that are made at once, at most.
 HEAP, PROBES = 1 << 12, 1 << 20
 _FACTORS = [_text.U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -356,8 +356,8 @@ def searched(cells: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def cells_of_pairs(pairs: DataFrame) -> DataFrame:
-    """Cells of the pairs (u, v, m: the shingles of v; x, y: their labels): u asks, its partners are records, in cells of about CELL shingles."""
-    wide = pairs.groupBy("u").agg(F.ceil(F.sum("m") / CELL).alias("parts")).where("parts > 1")
+    """Cells of the pairs (u, v, m: the shingles of v; x, y: their labels): u asks, its partners are records, in cells of about CELL shingles and MEMBERS records."""
+    wide = pairs.groupBy("u").agg(F.greatest(F.ceil(F.sum("m") / CELL), F.ceil(F.count("*") / MEMBERS)).alias("parts")).where("parts > 1")
     placed = pairs.join(wide, "u", "left").withColumn("cell", F.xxhash64("u", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)))))
     asks = placed.select("cell", F.lit(True).alias("query"), F.col("u").alias("doc_id"), F.col("x").alias("label")).distinct()
     return asks.unionByName(placed.select("cell", F.lit(False).alias("query"), F.col("v").alias("doc_id"), F.col("y").alias("label")))
