@@ -1,0 +1,190 @@
+"""The trained operators against plain versions of their formulas, and on held-out rows."""
+
+import re
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from threatquery.llm import _store, _text, language, lm, quality, queries, toxicity
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+TEXTS = ["", None, "One two one, two!\n| A1 b2 #", "é" * 300 + " ß", "same same", "same same", "longer words abcdefghijklmnop " * 40]
+
+
+def plain_words(text):
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW).encode())
+
+
+def number_of(gram: bytes, size: int, buckets: int) -> int:
+    return int(_text.mix(np.array([int.from_bytes(gram, "little") ^ size << 56], np.uint64))[0]) % buckets
+
+
+def test_sum_of_squares_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    size = quality.WORDS + len(quality.STATISTICS)
+    model = quality.Model(0.3, rng.normal(size=size), rng.normal(size=(size, quality.FACTORS)) * 0.3, np.zeros(len(quality.STATISTICS)), np.ones(len(quality.STATISTICS)))
+    batch = pa.RecordBatch.from_arrays([pa.array(TEXTS)], names=["text"])
+    doc, index, value = quality.joined(*quality.features(batch), model)
+    got = quality.logits(doc, index, value, len(TEXTS), model)
+    for k in range(len(TEXTS)):
+        own = np.flatnonzero(doc == k)
+        want = model.bias + sum(model.weight[index[a]] * value[a] for a in own)
+        for x, a in enumerate(own):
+            for b in own[x + 1 :]:
+                want += model.factor[index[a]] @ model.factor[index[b]] * value[a] * value[b]
+        assert got[k] == pytest.approx(want, rel=1e-9)
+    assert got[4] == got[5] and got[0] == got[1]  # ties
+
+
+def test_families_then_votes(spark):
+    """Machines of four languages in two families, and a plain scorer of the same weights."""
+    words = {"de": "der und nicht ein ist", "nl": "de het een niet van", "en": "the and of not is", "es": "el los que una por", "fr": "le les que une pour"}
+    rng = np.random.default_rng(5)
+    rows = [(k, lang, " ".join(rng.choice(w.split(), 12))) for k, (lang, w) in enumerate(list(words.items()) * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.train(docs)
+    assert model.families == ["germanic", "romance"] and len(model.pairs) == 4
+    probe = [(k, t) for k, (_, _, t) in enumerate(rows[:40])] + [(100, "der the los"), (101, "zzz"), (102, "de le x1"), (103, "é")]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(probe, "doc_id long, text string"), model).collect()}
+    sure = lambda m: 1 / (1 + np.exp(-np.clip(3 * m, -40, 40)))
+    for k, text in probe:
+        grams = [number_of(w[i : i + n], n, language.BUCKETS) for x in plain_words(text) for n in language.SIZES for w in [x if n == 1 else b" " + x + b" "] for i in range(len(w) - n + 1)]
+        margin = model.bias + sum(model.weight[g] for g in grams) / max(len(grams), 1)
+        family = int(np.argmax(margin[:2]))
+        kind = [x for x in model.languages if language.family_of(x) == model.families[family]]
+        votes, belief = Counter(), Counter()
+        for p, (s, t) in enumerate(model.pairs):
+            if s in kind:
+                side = sure(margin[2 + p])
+                votes[s if side > 0.5 else t] += 1
+                belief[s] += side / (len(kind) - 1)
+                belief[t] += (1 - side) / (len(kind) - 1)
+        best = max(kind, key=lambda x: votes[x] + 0.5 * belief[x])
+        assert got[k].lang_pred == best and got[k].score == pytest.approx(sure(margin[family]) * belief[best], rel=1e-4)
+    assert sum(got[k].lang_pred == rows[k][1] for k in range(40)) >= 38
+
+
+def test_empty_table_has_no_languages(spark):
+    docs = spark.createDataFrame([(1, "en", "a b")], "doc_id long, lang string, text string")
+    assert language.identify(docs.limit(0), language.train(docs)).count() == 0
+
+
+def plain_interpolation(rows, modulus=5, held_out=1):
+    """doc_id -> score, and the parts of the model, by counting in plain Python."""
+    split = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)), "\0"] for i, t in rows}
+    crc = {i: zlib.crc32(str(i).encode()) for i in split}
+    train = {i for i in split if crc[i] % modulus != held_out}
+    deleted = {i for i in train if crc[i] // modulus % lm.DELETED == 0}
+
+    def counts(ids):
+        one, two = Counter(), Counter()
+        for i in ids:
+            one.update(split[i])
+            two.update(zip(["\0", *split[i]], split[i], strict=False))
+        return one, two, sum(one.values())
+
+    one, two, n = counts(train)
+    v = len(one)
+
+    def level(word, one):
+        return 0 if not one[word] else min(1 + int(np.floor(np.log2(one[word]))), lm.LEVELS - 1)
+
+    some, pairs, m = counts(train - deleted)
+    cells = Counter()
+    for i in deleted:
+        for a, b in zip(["\0", *split[i]], split[i], strict=False):
+            shares = [pairs[a, b] / max(some[a], 1) * (v + 1), some[b] / max(m, 1) * (v + 1)]
+            cells[(level(a, some), *(round(4 * np.log2(x)) if x else -1000 for x in shares))] += 1
+    weights = lm.mixture([(*c, k) for c, k in sorted(cells.items())])
+
+    def p(a, b):
+        w = weights[level(a, one)]
+        return w[0] * two[a, b] / max(one[a], 1) + w[1] * one[b] / n + w[2] / (v + 1)
+
+    return {i: sum(np.log10(p(a, b)) for a, b in zip(["\0", *ws], ws, strict=False)) for i, ws in split.items()}, p, one
+
+
+def test_interpolation_against_plain_counts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(rng.choice(["the cat", "A dog", "sat down", "ran", f"z{k % 40}"], int(rng.integers(1, 30))))) for k in range(400)] + [(1000, None), (1001, "unseen words only")]
+    want, p, one = plain_interpolation(rows)
+    monkeypatch.setattr(lm, "BUCKET", 500)
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: pytest.approx(x, rel=1e-9) for i, x in want.items()}
+    for context in ("the", "\0", "z3", "never"):  # with the one word that was never seen
+        assert sum(p(context, w) for w in [*one, "?"]) == pytest.approx(1)
+
+
+def test_averages_of_subwords():
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), -0.4)
+    got = toxicity.score_texts(pa.array(TEXTS), model)
+    for text, p in zip(TEXTS, got, strict=True):
+        total, n = 0.0, 0
+        for w in set(plain_words(text)):
+            bounded = b"<" + w + b">"
+            whole = _text.span_hashes(np.frombuffer(bounded, np.uint8), np.array([0]), np.array([len(bounded)]))[0]
+            own = [int(whole) % toxicity.BUCKETS] + [number_of(bounded[i : i + k], k, toxicity.BUCKETS) for k in toxicity.SIZES for i in range(len(bounded) - k + 1)]
+            total += sum(float(model.weight[g]) for g in own)
+            n += len(own)
+        assert p == pytest.approx(1 / (1 + np.exp(-(model.bias + total / (n + toxicity.EMPTY)))), rel=1e-6)
+
+
+def test_unseen_misspellings_share_subwords(spark):
+    rng = np.random.default_rng(2)
+    clean = [f"{a}{b}{c}{d}" for a in "bdfg" for b in "aeo" for c in "lmn" for d in ("ter", "sal", "ron")]
+    rows = [(k, " ".join([*rng.choice(clean, 25), *(["blithering", "scoundrel"] if k % 2 else [])])) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    base = " ".join(clean[:25])
+    seen, close, far = toxicity.score_texts(pa.array([base + " blithering scoundrel", base + " blitherring scoundrell", base + " wuxyvakoq kyvuwaqyx"]), model)
+    assert close > far + 0.2 and seen >= close > 0.5 > far
+
+
+def test_labels_are_sampled_from_documents(spark):
+    """Orphan labels use up nothing, and rows that repeat an id don't multiply."""
+    docs = spark.createDataFrame([(k, f"t{k}", None) for k in range(40)] + [(7, "a first", 5)] * 50 + [(None, "x", 1)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5000)] + [(3, 0), (None, 1)], "doc_id long, y int")
+    known, counts = _store.labelled(docs, labels, "y", ["text", "n_chars"], 4, 2, 10)
+    rows = known.collect()
+    free = [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert counts == {c: sum(k % 2 == c for k in free) for c in (0, 1)}
+    assert Counter(r.label for r in rows) == {0: 10, 1: 10} and len({r.doc_id for r in rows}) == 20 and {r.doc_id for r in rows} <= set(free)
+    whole, _ = _store.labelled(docs, labels, "y", ["text", "n_chars"], 4, 2, 100)
+    assert [(r.text, r.n_chars) for r in whole.where("doc_id = 7").collect()] == ([("a first", 5)] if 7 in free else [])
+    assert _store.labelled(docs.limit(0), labels, "y", ["text"], 4, 2, 10)[1] == {}
+
+
+SF, MORE = "/root/testdata/sf0.01", "/root/testdata/check_s"
+
+
+def held_out(spark, name, folder, label):
+    out = queries.QUERIES[name](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out")
+    return {(r[0], r[1]): r[2] for r in out.groupBy(label, "predicted").count().collect()}
+
+
+def test_held_out_quality(spark):
+    found = held_out(spark, "op1_quality_classifier", SF, "quality")
+    assert sum(n for (y, p), n in found.items() if y == p) >= 0.95 * sum(found.values())
+
+
+def test_held_out_toxicity(spark):
+    """With some 1,500 toxic texts to learn from. sf0.01 has 33 of them, too few: there only clean ones are counted."""
+    few = held_out(spark, "op7_toxicity", SF, "toxic")
+    assert few.get((0, 1), 0) <= 0.02 * (few.get((0, 1), 0) + few[0, 0])
+    if not Path(MORE).exists():
+        pytest.skip("no larger tables")
+    found = held_out(spark, "op7_toxicity", MORE, "toxic")
+    recall, precision = found[1, 1] / (found[1, 1] + found.get((1, 0), 0)), found[1, 1] / (found[1, 1] + found.get((0, 1), 0))
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_held_out_languages(spark):
+    out = queries.QUERIES["op3_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
+    assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.98
