@@ -1,10 +1,13 @@
 import datetime
+from fractions import Fraction
 
+import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from threatquery.functions import hashing
-from threatquery.operators import activity, dedup, features_ml, metrics, quality, registry as reg, splits
+from threatquery.operators import activity, dedup, features_ml, metrics, profile, quality, registry as reg, scan, splits
 from threatquery.plans import catalogue
 from threatquery.sources import readers, sinks
 
@@ -75,9 +78,24 @@ def test_sinks(spark, tmp_path):
     assert [sinks.append_or_replace(x, path) for x in (a, a, b)] == ["overwrite", "append", "overwrite"]
     old = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     assert [tuple(r) for r in sinks.upsert(old, spark.createDataFrame([(2, "z"), (3, "w")], "k int, v string"), "k").collect()] == [(1, "x"), (2, "z"), (3, "w")]
-    sinks.write_splits(spark.createDataFrame([("train", 1), ("test", 2)], "split string, x int"), str(tmp_path / "s"))
-    features, label = readers.read_split(spark, str(tmp_path / "s"), ["x"], label="split")
-    assert features.columns == ["x"] and label.count() == 2
+    rows = spark.createDataFrame([("train", "1", 0), ("train", "Infinity", 1), ("test", "x", 0)], "split string, x string, label int")
+    sinks.write_splits(rows, str(tmp_path / "s"))
+    features, label = readers.read_split(spark, str(tmp_path / "s"), ["x"])
+    assert features.columns == ["x"] and sorted(r.x or 0 for r in features.collect()) == [0, 0, 1.0] and label.count() == 3
+    for name, bad, message in (("empty", rows.limit(0), "empty"), ("two", rows.withColumn("label", F.lit(2)), "0 or 1"), ("null", rows.withColumn("label", F.lit(None).cast("int")), "missing or no")):
+        sinks.write_splits(bad, str(tmp_path / name))
+        if name != "empty":
+            with pytest.raises(ValueError, match=message):
+                readers.read_split(spark, str(tmp_path / name), ["x"])
+    rows.limit(0).write.parquet(str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="empty"):
+        readers.read_split(spark, str(tmp_path / "none"), ["x"])
+    with pytest.raises(ValueError, match="missing columns"):
+        readers.read_split(spark, str(tmp_path / "s"), ["y"])
+    with pytest.raises(FileNotFoundError):
+        readers.read_split(spark, str(tmp_path / "nowhere"), ["x"])
+    typed = spark.createDataFrame([("1", 2)], "a string, b int")
+    assert sinks.append_or_replace(typed, path) == "overwrite" and sinks.append_or_replace(a, path) == "overwrite"
     assert sinks.markdown(a).splitlines()[0] == "| a | b |"
 
 
@@ -177,3 +195,59 @@ def test_message_operators_over_documents(spark, tmp_path):
     found = {r.term: r for r in catalogue.QUERIES["tfidf_top_terms_documents"](spark, str(tmp_path)).collect()}
     here = 1 / math.sqrt(5)  # three words and two pairs, each of this document alone
     assert found["alike"].n_docs == 1 and found["alike"].total_weight == pytest.approx(here, abs=1e-6) and found["free prize"].n_docs == 2
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(0, 40), st.integers(1, 60)), min_size=1, max_size=8), st.integers(1, 6))
+def test_dealing_in_rounds_is_dealing_one_by_one(kinds, folds):
+    kinds = sorted({(n, min(ones, n)): m for n, ones, m in kinds}.items(), reverse=True)
+    have, want = [[0, 0] for _ in range(folds)], {}
+    for (n, ones), many in kinds:
+        own = (n - ones, ones)
+        for k in range(many):
+
+            def spread(f, own=own):
+                after = [[h[c] + (own[c] if j == f else 0) for c in (0, 1)] for j, h in enumerate(have)]
+                mean = [Fraction(sum(h[c] for h in after), folds) for c in (0, 1)]
+                return sum((h[c] - mean[c]) ** 2 for h in after for c in (0, 1)), sum(have[f])
+
+            f = min(range(folds), key=spread)
+            have[f][0] += own[0]
+            have[f][1] += own[1]
+            want[n, ones, k] = f
+    runs = splits.deal([(n, ones, m) for (n, ones), m in kinds], folds)
+    assert {(n, ones, k): taken[(k - first) % len(taken)] for n, ones, first, end, taken in runs for k in range(first, end)} == want
+
+
+def test_many_small_groups_are_dealt_in_few_runs():
+    runs = splits.deal([(10**6, 0, 1), (3, 1, 10**6), (1, 0, 10**9)], 5)
+    assert len(runs) < 300 and sum(end - first for _, _, first, end, _ in runs) == 1 + 10**6 + 10**9
+
+
+def test_columns_of_any_name(spark):
+    names = ["row", "place", "total", "order", "salt", "rank", "before", "n", "_rank", "_salt", "_order", "part", "own", "found", "verdict", "threat_type", "confidence", "domain", "path", "_ok", "_hash", "_url"]
+    rows = spark.range(30).select("id", (F.col("id") % 2).alias("s"), *[F.concat(F.lit(c), F.col("id").cast("string")).alias(c) for c in names])
+    registry = spark.createDataFrame([("h3", 1, 1, 90)], "threat_hash string, threat_type int, verdict int, confidence int")
+    scanned = scan.scan(rows.withColumn("url", F.lit("http://a.example/x")), registry, F.concat(F.lit("h"), F.col("id").cast("string")))
+    for out in (splits.stratified(rows, "s", "id"), splits.stratified_folds(rows, "s", "id"), sinks.numbered(rows, "number"), scanned):
+        kept = [c for c in names if c not in scan.RESPONSE]
+        assert out.count() == 30 and all(r[c] == f"{c}{r.id}" for r in out.collect() for c in kept)
+    assert [r.id for r in scanned.where("blockchain_found").collect()] == [3]
+
+
+def test_cumulated_and_quantiles(spark):
+    rng = np.random.default_rng(3)
+    values = [(k % 3 or None, float(x)) for k, x in enumerate(rng.choice([0.5, 0.50001, 0.50002, 7.0, -3.0, 1e6], 500))] + [(1, None)]
+    rows = spark.createDataFrame(values, "g int, x double")
+    found = {r["class"]: (r.a, r.b) for r in profile.quantiles(rows, ["x"], {"a": 0.25, "b": 0.9}, F.col("g")).collect()}
+    for g in (None, 1, 2):
+        own = [x for c, x in values if c == g and x is not None]
+        assert found[g] == pytest.approx(tuple(np.quantile(own, [0.25, 0.9])))
+    counts = rows.where("x is not null").groupBy("g", "x").agg(F.count("*").alias("n"))
+    for r in sinks.cumulated(counts, ["g"], "x", ["n"], descending=True).collect():
+        assert r.n_to == sum(c == r.g and x is not None and x >= r.x for c, x in values)
+    assert profile.quantiles(rows.limit(0), ["x"], {"a": 0.5}).count() == 0
+    close = spark.createDataFrame([(k % 2, 0.5 + k * 1e-9) for k in range(200)] + [(1, 1e9)], "y int, s double")
+    want = sum((a > b) + (a == b) / 2 for y, a in close.collect() if y for z, b in close.collect() if not z) / (101 * 100)
+    assert metrics.roc_auc(close, F.col("y") == 1, "s").first()[0] == pytest.approx(want)
+    assert sinks.discard(spark) > 0 and sinks.discard(spark) == 0

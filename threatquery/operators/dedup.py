@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,8 @@ from threatquery.sources.sinks import materialise, numbered
 
 #: A text is a near copy of an earlier kept one at this similarity, among so many last kept ones.
 RATIO, WINDOW = 92, 200
+#: Ranks that are resolved together, in reaches of a pair.
+RANGES = 64
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -83,57 +87,79 @@ def near_pairs(rows: DataFrame, reach: int, least: float = RATIO) -> DataFrame:
     return full.where(ratio_column(F.col("x"), F.col("y")) >= least).select("a", "b")
 
 
-def resolve(pairs: pd.DataFrame, window: int) -> list[int]:
-    """Ranks that are dropped: those near a kept one among the last ``window`` kept before them."""
-    dropped: list[int] = []
-    gone: set[int] = set()
+def resolve(pairs: pd.DataFrame, window: int, earlier: np.ndarray) -> tuple[list[int], int]:
+    """Ranks that are dropped, as near a kept one among the last ``window`` kept before them, and how far back the window reached.
+
+    ``pairs``: a, b of a range of b. ``earlier``: sorted ranks dropped before that range.
+    """
+    dropped = earlier.tolist()
+    first = len(dropped)
+    far = 0
     for b, group in pairs.sort_values(["b", "a"]).groupby("b", sort=True):
-        kept_before = b - 1 - len(dropped)
-        for a in sorted(group["a"], reverse=True):
-            if a not in gone and kept_before - (a - 1 - int(np.searchsorted(dropped, a))) <= window:
-                gone.add(int(b))
+        for a in sorted(group["a"].tolist(), reverse=True):
+            at = bisect_left(dropped, a)
+            gone = at < len(dropped) and dropped[at] == a
+            if not gone and (b - a) - (len(dropped) - at) <= window:
                 dropped.append(int(b))
                 break
-    return dropped
+        far = max(far, _reach(int(b), window, dropped))
+    return dropped[first:], far
+
+
+def _reach(rank: int, window: int, dropped: list[int]) -> int:
+    """How many ranks before ``rank`` hold ``window`` kept ones: as many more as were dropped among them."""
+    far = window
+    while (more := window + len(dropped) - bisect_left(dropped, rank - far) - (1 if dropped and dropped[-1] == rank else 0)) > far and far < rank:
+        far = more
+    return min(far, rank)
 
 
 def near_mask(rows: DataFrame, order: str, text: str, least: float = RATIO, window: int = WINDOW) -> DataFrame:
     """``order`` and kept: whether no kept text among the last ``window`` kept ones before it is near.
 
-    The decision is sequential, but only rows with a near earlier one matter:
-    the sparse pairs are resolved in order. The window counts kept rows, so
-    pairs are sought twice as far, and farther while so many rows of a stretch
-    were dropped that the window could reach beyond.
+    The decision is sequential, but only rows with a near earlier one matter,
+    and only those shortly before a range of ranks reach into it. The sparse
+    pairs are resolved by ranges at once, and again with what the ranges before
+    have dropped near their ends, until those agree: twice, unless a chain of
+    near texts runs through whole ranges. The window counts kept rows, so pairs
+    are sought twice as far, and farther while so many rows of a stretch were
+    dropped that the window could reach beyond.
     """
-    places = ranked(rows.select(F.col(order), F.col(text).alias("t")), order)
+    places = ranked(rows.select(F.col(order).alias("id"), F.col(text).alias("t")), "id")
     reach = 2 * window
     while True:
-        reached = reach
-        pairs = materialise(near_pairs(places, reached, least), "near")
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = resolve(pdf, window)
-            gone = np.array(out, np.int64)
-            # the longest stretch before any row that holds ``window`` kept ones, as far as the dropped rows lengthen it
-            last = pdf["b"].max()
-            far = max((int(b - a) for b in {*gone.tolist(), int(last)} for a in [_nth_kept_before(b, window, gone)]), default=0)
-            return pd.DataFrame({"b": np.append(gone, -1), "far": np.append(np.zeros(len(gone), np.int64), far)})
-
-        found = materialise(pairs.groupBy(F.lit(0).alias("all")).applyInPandas(run, "b bigint, far bigint"), "near")
+        size = RANGES * reach
+        pairs = materialise(near_pairs(places, reach, least).withColumn("piece", F.floor((F.col("b") - 1) / size)), "near")
+        found, border = _resolved(pairs, window, None), None
+        while True:
+            # what each range must know of the one before: the ranks dropped within reach of its start
+            late = found.where(f"b >= 0 and (piece + 1) * {size} - b < {reach}").select((F.col("piece") + 1).alias("piece"), "b")
+            late = materialise(late, "border")
+            now = tuple(late.agg(F.count("*"), F.sum(F.xxhash64("b").cast("decimal(38,0)"))).first())
+            if now == border or (border is None and not now[0]):
+                break
+            border = now
+            found = _resolved(pairs, window, late)
         far = found.agg(F.max("far")).first()[0] or 0
-        if far <= reached:
+        if far <= reach:
             break
         reach = 2 * far
     gone = found.where("b >= 0").select(F.col("b").alias("rank"), F.lit(True).alias("gone"))
-    return places.select(order, "rank").join(gone, "rank", "left").select(order, F.col("gone").isNull().alias("kept"))
+    return places.join(gone, "rank", "left").select(F.col("id").alias(order), F.col("gone").isNull().alias("kept"))
+
+
+def _resolved(pairs: DataFrame, window: int, late: DataFrame | None) -> DataFrame:
+    """piece, b (dropped; -1 in a row of its own) and far of every range."""
+    every = pairs.select("piece", "a", "b", F.lit(False).alias("known"))
+    if late is not None:
+        every = every.unionByName(late.select("piece", F.lit(0).cast("bigint").alias("a"), "b", F.lit(True).alias("known")))
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, far = resolve(pdf[~pdf["known"]], window, np.sort(pdf.loc[pdf["known"], "b"].to_numpy(np.int64)))
+        gone = np.array([*out, -1], np.int64)
+        return pd.DataFrame({"piece": pdf["piece"].iloc[0], "b": gone, "far": np.append(np.zeros(len(out), np.int64), far)})
 
-def _nth_kept_before(rank: int, n: int, gone: np.ndarray) -> int:
-    """The rank of the nth kept row before ``rank``, 0 if there is none."""
-    at = max(rank - n, 0)
-    while at > 0 and (rank - at) - int(np.searchsorted(gone, rank) - np.searchsorted(gone, at)) < n:
-        at -= 1
-    return at
+    return materialise(every.groupBy("piece").applyInPandas(run, "piece bigint, b bigint, far bigint"), "resolved")
 
 
 def overlaps(rows: DataFrame, split: str, key: Column) -> DataFrame:

@@ -46,9 +46,12 @@ def clean_number(c: Column) -> Column:
 
 
 def medians(train: DataFrame, columns: Iterable[str]) -> dict[str, float]:
-    """Exact medians of the training rows; one aggregate, one row to the driver."""
-    row = train.agg(*[F.expr(f"percentile(`{c}`, 0.5)").alias(c) for c in columns]).first()
-    return {c: row[c] for c in columns if row[c] is not None}
+    """Exact medians of the training rows; a number for each column reaches the driver. NaN is no value."""
+    from threatquery.operators.profile import quantiles
+
+    columns = list(columns)
+    known = train.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    return {r["column"]: r["median"] for r in quantiles(known, columns, {"median": 0.5}).collect()}
 
 
 def impute(rows: DataFrame, fitted: dict[str, float]) -> DataFrame:

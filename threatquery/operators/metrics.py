@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threatquery.sources.sinks import cumulated
+
 
 def ratio(a: Column, b: Column) -> Column:
     """0 where the denominator is."""
@@ -46,19 +48,13 @@ def binary(rows: DataFrame, truth: Column, predicted: Column) -> DataFrame:
 
 
 def _curve(rows: DataFrame, positive: Column, score: str) -> DataFrame:
-    """Distinct scores with their positives, all rows, and the sums of larger scores.
+    """Distinct scores with their positives and rows, and the sums of these over scores as large or larger.
 
-    Scores are cut into ranges; sums run within a range and are shifted by the
-    totals of the ranges above, so that no task sees all scores.
+    Sums run within ranges of about as many scores each, so that no task sees
+    all scores, however close together they lie.
     """
     grouped = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count("*").alias("n"))
-    cut = F.floor(F.col("s") * 64)
-    grouped = grouped.withColumn("cut", cut)
-    by_cut = grouped.groupBy("cut").agg(F.sum("p").alias("cp"), F.sum("n").alias("cn"))
-    above = Window.orderBy(F.col("cut").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    by_cut = by_cut.select("cut", F.coalesce(F.sum("cp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("cn").over(above), F.lit(0)).alias("bn"))
-    own = Window.partitionBy("cut").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return grouped.join(by_cut, "cut").select("s", "p", "n", (F.sum("p").over(own) + F.col("bp")).alias("tp"), (F.sum("n").over(own) + F.col("bn")).alias("seen"))
+    return cumulated(grouped, [], "s", ["p", "n"], descending=True).select("s", "p", "n", F.col("p_to").alias("tp"), F.col("n_to").alias("seen"))
 
 
 def roc_auc(rows: DataFrame, positive: Column, score: str) -> DataFrame:

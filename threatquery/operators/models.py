@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Imputer, IndexToString, MaxAbsScaler, Normalizer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, IndexToString, MaxAbsScaler, Normalizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from threatquery.functions.text import handcrafted
 from threatquery.operators import metrics, splits
-from threatquery.operators.features_ml import grams
+from threatquery.operators.features_ml import grams, medians
 
 # The settings of the models.
 SEED = 42
@@ -29,10 +29,23 @@ def balanced(train: DataFrame, label: str = "label") -> DataFrame:
     return train.withColumn("weight", weight)
 
 
-def features(columns: list[str], scaled: bool) -> list:
-    stages = [VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="keep")]
-    stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True) if scaled else VectorAssembler(inputCols=["raw"], outputCol="features", handleInvalid="keep"))
-    return stages
+def features(columns: list[str], scaled: bool, n_rows: int) -> list:
+    """One vector; scaled by the mean and the population deviation of ``n_rows`` rows, where MLlib divides by the sample's."""
+    if not scaled:
+        return [VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")]
+    ratio = (n_rows / (n_rows - 1)) ** 0.5 if n_rows > 1 else 1.0
+    return [
+        VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="keep"),
+        StandardScaler(inputCol="raw", outputCol="sampled", withMean=True, withStd=True),
+        ElementwiseProduct(inputCol="sampled", outputCol="features", scalingVec=Vectors.dense([ratio] * len(columns))),
+    ]
+
+
+def imputer(train: DataFrame, columns: list[str]) -> SQLTransformer:
+    """Adds <column>_filled: the exact median of ``train`` for a null or a NaN, 0 where there is no median."""
+    fitted = medians(train, columns)
+    filled = ", ".join(f"coalesce(nanvl(cast(`{c}` as double), cast(null as double)), {fitted.get(c, 0.0)!r}D) AS `{c}_filled`" for c in columns)
+    return SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
 
 
 def logistic(n_rows: int, max_iter: int = 1000, c: float = 1.0) -> LogisticRegression:
@@ -58,8 +71,7 @@ def one_vs_rest(classifier) -> OneVsRest:
 def fit(train: DataFrame, columns: list[str], estimator, scaled: bool = False) -> PipelineModel:
     """Median imputation, scaling where asked for, the model; classes weigh the same."""
     filled = [f"{c}_filled" for c in columns]
-    impute = Imputer(strategy="median", inputCols=columns, outputCols=filled, relativeError=0.0)
-    return Pipeline(stages=[impute, *features(filled, scaled), estimator]).fit(balanced(train))
+    return Pipeline(stages=[imputer(train, columns), *features(filled, scaled, train.count() if scaled else 0), estimator]).fit(balanced(train))
 
 
 def index_labels(column: str, output: str = "label") -> StringIndexer:
@@ -83,9 +95,10 @@ def linear_shap(scored: DataFrame, columns: list[str], weights: dict[str, float]
 
 def linear_terms(model: PipelineModel, columns: list[str], positive: int = 0) -> tuple[dict[str, float], dict[str, float]]:
     """Weights and means in the units of ``columns`` of a scaled linear pipeline of ``fit``; of the margin of the positive class."""
-    scaler, linear = model.stages[-2:]
+    scaler, ratio, linear = model.stages[-3:]
     sign = 1 if positive == 1 else -1
-    weights = [sign * w / d if d else 0.0 for w, d in zip(linear.coefficients.toArray().tolist(), scaler.std.toArray().tolist(), strict=True)]
+    terms = zip(linear.coefficients.toArray().tolist(), scaler.std.toArray().tolist(), ratio.getScalingVec().toArray().tolist(), strict=True)
+    weights = [sign * w * r / d if d else 0.0 for w, d, r in terms]
     return dict(zip(columns, weights, strict=True)), dict(zip(columns, scaler.mean.toArray().tolist(), strict=True))
 
 

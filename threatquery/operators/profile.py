@@ -8,7 +8,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threatquery.sources.sinks import cumulated
+
 DESCRIBE = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
@@ -19,15 +22,40 @@ def value_counts(rows: DataFrame, column: str) -> DataFrame:
     return out.select("value", "n", (F.col("n") / F.col("total")).alias("share"), F.round(100 * F.col("n") / F.col("total"), 2).alias("percent"))
 
 
-def _describe(x: Column) -> dict[str, Column]:
-    quantiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return {"count": F.count(x).cast("double"), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "p25": quantiles[0], "p50": quantiles[1], "p75": quantiles[2], "max": F.max(x)}
+def _moments(x: Column) -> dict[str, Column]:
+    return {"count": F.count(x).cast("double"), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
+
+
+def quantiles(rows: DataFrame, columns: list[str], shares: dict[str, float], by: Column | None = None) -> DataFrame:
+    """column, class and a column for each share: exact quantiles, between neighbours in proportion.
+
+    Values are counted, and the counts summed up over sorted ranges of values,
+    so that no task holds all values of a column. Columns or classes without a
+    value have no row.
+    """
+    values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    each = rows.select((F.lit(None).cast("int") if by is None else by).alias("class"), F.explode(values).alias("x")).select("class", "x.*").where("value is not null")
+    counts = cumulated(each.groupBy("column", "class", "value").agg(F.count("*").alias("n")), ["column", "class"], "value", ["n"])
+    totals = counts.groupBy("column", "class").agg(F.sum("n").alias("total")).select(F.col("column").alias("of"), F.col("class").alias("in"), "total")
+    counts = counts.join(totals, (F.col("column") == F.col("of")) & F.col("class").eqNullSafe(F.col("in")))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("n_to") > place) & (F.col("n_to") - F.col("n") <= place), F.col("value")))
+
+    aggs = []
+    for name, share in shares.items():
+        place = F.lit(float(share)) * (F.col("total") - 1)
+        aggs += [at(F.floor(place)).alias(f"{name}_low"), at(F.ceil(place)).alias(f"{name}_high"), F.max(place - F.floor(place)).alias(f"{name}_part")]
+    found = counts.groupBy("column", "class").agg(*aggs)
+    return found.select("column", "class", *[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_part")).alias(n) for n in shares])
 
 
 def grouped_describe(rows: DataFrame, by: str, column: str) -> DataFrame:
     """Exact count, mean, sample deviation and quantiles of a column by class."""
     x = F.col(column).cast("double")
-    return rows.groupBy(by).agg(*[c.alias(n) for n, c in _describe(x).items()])
+    found = quantiles(rows, [column], QUARTILES, F.col(by)).select(F.col("class").alias("of"), *QUARTILES)
+    base = rows.groupBy(by).agg(*[c.alias(n) for n, c in _moments(x).items()])
+    return base.join(found, F.col(by).eqNullSafe(F.col("of")), "left").select(by, *DESCRIBE)
 
 
 def unpivot(one: DataFrame, keys: Iterable[str], fields: Iterable[str], name: str = "column") -> DataFrame:
@@ -38,8 +66,9 @@ def unpivot(one: DataFrame, keys: Iterable[str], fields: Iterable[str], name: st
 
 def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The same for all columns at once, a row each."""
-    one = rows.agg(*[c.cast("double").alias(f"{k}__{n}") for k in columns for n, c in _describe(F.col(k).cast("double")).items()])
-    return unpivot(one, columns, DESCRIBE)
+    one = rows.agg(*[c.cast("double").alias(f"{k}__{n}") for k in columns for n, c in _moments(F.col(k).cast("double")).items()])
+    found = quantiles(rows, columns, QUARTILES).select("column", *QUARTILES)
+    return unpivot(one, columns, ["count", "mean", "std", "min", "max"]).join(found, "column", "left").select("column", *DESCRIBE)
 
 
 def distinct_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -101,8 +130,10 @@ def binary_differences(rows: DataFrame, columns: list[str], label: str) -> DataF
 
 def medians_by_label(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
     """Exact medians."""
-    one = rows.agg(*[F.median(F.when(F.col(label) == k, F.col(c).cast("double"))).alias(f"{c}__median_{k}") for c in columns for k in (0, 1)])
-    return unpivot(one, columns, ["median_0", "median_1"])
+    found = quantiles(rows.where(F.col(label).isin(0, 1)), columns, {"median": 0.5}, F.col(label).cast("int"))
+    found = found.groupBy("column").agg(*[F.max(F.when(F.col("class") == k, F.col("median"))).alias(f"median_{k}") for k in (0, 1)])
+    every = rows.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return every.join(found, "column", "left")
 
 
 def skewness(rows: DataFrame, columns: list[str]) -> DataFrame:

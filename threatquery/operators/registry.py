@@ -55,10 +55,10 @@ def classified(rows: DataFrame, content: str, label: str, order: str, hashed: Ca
 
 
 def seeds(found: DataFrame, threat_type: int, limit: int | None = None) -> DataFrame:
-    """The first row of each hash as a registry record."""
+    """The first row of each hash as a registry record. A limit counts these; one below 1 stops at the first of them."""
     out = found.where("state = 'threat' and hash_first")
     out = out.select("threat_hash", F.lit(threat_type).alias("threat_type"), F.lit(1).alias("verdict"), F.lit(100).alias("confidence"), "source_row")
-    return out.orderBy("source_row").limit(limit) if limit is not None else out
+    return out.orderBy("source_row").limit(max(limit, 1)) if limit is not None else out
 
 
 def export(records: DataFrame) -> DataFrame:
@@ -67,8 +67,16 @@ def export(records: DataFrame) -> DataFrame:
     return records.select(F.col("threat_hash").alias("threatHash"), name.alias("threatType"), F.col("threat_type").alias("threatTypeInt"), "verdict", "confidence")
 
 
-def statistics(found: DataFrame, threat_type: int) -> DataFrame:
-    """The counters of seeding, in one pass. A threat that repeats a content counts as raw and as canonical duplicate."""
+def statistics(found: DataFrame, threat_type: int, limit: int | None = None) -> DataFrame:
+    """The counters of seeding. A threat that repeats a content counts as raw and as canonical duplicate.
+
+    With a limit seeding stops at the row of the last record that it allows,
+    and only rows up to that one count.
+    """
+    if limit is not None:
+        last = seeds(found, threat_type, limit).agg(F.count("*").alias("n_seeds"), F.max("source_row").alias("last_row"))  # one row
+        reached = (F.col("n_seeds") < max(limit, 1)) | (F.col("source_row") <= F.col("last_row"))
+        found = found.crossJoin(F.broadcast(last)).where(reached)
     threat = F.col("state") == "threat"
     hashed = threat & F.col("threat_hash").isNotNull()
     unique = hashed & F.col("hash_first")
@@ -110,6 +118,19 @@ def lookup(rows: DataFrame, registry: DataFrame, on: str = "threat_hash") -> Dat
     return rows.join(record, on, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def get(rows: DataFrame, registry: DataFrame, on: str = "threat_hash") -> DataFrame:
+    """Rows with the record of their hash; a hash that isn't registered fails the query."""
+    found = lookup(rows, registry, on)
+    unknown = F.raise_error(F.concat(F.lit("ThreatNotFound: "), F.coalesce(F.col(on), F.lit("null")))).cast("boolean")
+    return found.where(F.when(F.col("found"), True).otherwise(unknown)).drop("found")
+
+
+def events(decided: DataFrame, submitted_at: Column) -> DataFrame:
+    """The log of accepted inserts, one ThreatSubmitted each. ``decided``: as of ``guarded_insert``, with the fields of the record."""
+    accepted = decided.where(F.col("reason").isNull())
+    return accepted.select(F.lit("ThreatSubmitted").alias("event"), "threat_hash", "threat_type", "verdict", "confidence", submitted_at.alias("submitted_at"), "submitter")
+
+
 def missing(rows: DataFrame, registry: DataFrame, on: str = "threat_hash") -> DataFrame:
     """Rows whose hash isn't registered yet."""
     return rows.join(registry.select(F.col("threat_hash").alias(on)), on, "left_anti")

@@ -12,24 +12,26 @@ RESPONSE = ["url", "status", "message", "protocol", "domain", "path", "https", "
 
 
 def scan(rows: DataFrame, registry: DataFrame | None, hashed: Column | None = None, url: str = "url") -> DataFrame:
-    """``rows`` with the twelve fields of the response.
+    """``rows`` with the twelve fields of the response; columns of these names are replaced, all others pass through.
 
     Without a registry the scan goes on and says that it isn't available. A URL
     that can't be scanned gives an error row of unknown risk, and no failure.
     """
-    part = urls.components(F.col(url))
-    out = rows.withColumns({"_ok": urls.admissible(F.col(url)), **part})
+    hashed = hashed if hashed is not None else urls_hash(url)
+    others = [c for c in rows.columns if c not in RESPONSE]
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row") if others else F.lit(None).alias("row"), F.col(url).alias("_url"), hashed.alias("_hash"))
+    out = rows.withColumns({"_ok": urls.admissible(F.col("_url")), **urls.components(F.col("_url"))})
     if registry is None:
         out = out.withColumns({"_available": F.lit(False), "found": F.lit(False), "verdict": F.lit(None).cast("int")})
     else:
-        out = reg.lookup(out.withColumn("_hash", hashed if hashed is not None else urls_hash(url)), registry, "_hash").withColumn("_available", F.lit(True))
+        out = reg.lookup(out, registry, "_hash").withColumn("_available", F.lit(True))
     listed = F.coalesce(F.col("_available") & F.col("found") & (F.col("verdict") == 1), F.lit(False))
-    base = urls.findings(F.col(url), F.col("protocol"), F.col("domain"))
+    base = urls.findings(F.col("_url"), F.col("protocol"), F.col("domain"))
     found = F.when(listed, F.concat(base, F.array(F.lit(urls.FINDING_REGISTRY)))).otherwise(base)
     out = out.withColumn("_findings", F.when(F.col("_ok"), found).otherwise(F.array().cast("array<string>")))
     ok = F.col("_ok")
     response = {
-        "url": F.col(url),
+        "url": F.col("_url"),
         "status": F.when(ok, "processed").otherwise("error"),
         "message": F.when(ok, "URL processed successfully").otherwise("An error occurred while processing the URL"),
         "protocol": F.when(ok, F.col("protocol")).otherwise(""),
@@ -42,8 +44,7 @@ def scan(rows: DataFrame, registry: DataFrame | None, hashed: Column | None = No
         "blockchain_available": ok & F.col("_available"),
         "blockchain_found": ok & F.col("_available") & F.col("found"),
     }
-    others = [c for c in rows.columns if c not in response]
-    return out.select(*others, *[c.alias(n) for n, c in response.items()])
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in others], *[c.alias(n) for n, c in response.items()])
 
 
 def urls_hash(url: str) -> Column:
