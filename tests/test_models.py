@@ -1,9 +1,13 @@
+from itertools import combinations
+from math import factorial
+
+import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from threatquery.operators import models
-from threatquery.plans import catalogue
+from threatquery.operators import attribution, margin, models
+from threatquery.plans import catalogue, ml
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +49,7 @@ class _Fitted(Exception):
 
 @pytest.mark.parametrize(
     ("name", "fit", "setting", "value"),
-    [("rf_predictions", "fit", "numTrees", 300), ("gbt_predictions", "fit", "maxIter", 300), ("svc_predictions", "fit", "maxIter", 5000), ("lr_predictions", "fit", "maxIter", 1000), ("text_lr_predictions", "fit_text", "maxIter", 5000), ("cv_scores", "fit", "maxIter", 1000)],
+    [("rf_predictions", "fit", "numTrees", 300), ("gbt_predictions", "fit", "maxIter", 300), ("lr_predictions", "fit", "maxIter", 1000), ("text_lr_predictions", "fit_text", "maxIter", 5000), ("cv_scores", "fit", "maxIter", 1000)],
 )
 def test_queries_fit_the_whole_model(spark, monkeypatch, name, fit, setting, value):
     """The sizes and iterations of the reference reach the fit."""
@@ -55,6 +59,7 @@ def test_queries_fit_the_whole_model(spark, monkeypatch, name, fit, setting, val
         raise _Fitted(estimator.getOrDefault(setting))
 
     monkeypatch.setattr(models, fit, record)
+    monkeypatch.setattr(ml, "_FITTED", {})
     with pytest.raises(_Fitted) as found:
         catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert found.value.args == (value,)
@@ -70,3 +75,55 @@ def test_linear_shap_of_a_fitted_model(spark, rows):
     assert found == pytest.approx(margin + model.stages[-1].intercept, abs=1e-6) and weights["x"] < 0
     ranked = catalogue.QUERIES["linear_shap_ranking_fitted"](spark, "/root/testdata/sf0.001").collect()
     assert len(ranked) == 3 and ranked[0].mean_abs >= ranked[1].mean_abs >= ranked[2].mean_abs > 0
+
+
+def test_squared_hinge_is_at_its_least(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 2)) * [1, 50] + [0, 400]
+    y = (x[:, 0] + (x[:, 1] - 400) / 100 + rng.normal(size=300) * 0.7 > 0.6).astype(float)
+    rows = [(float(b), float(a[0]), float(a[1]) if k % 9 else None) for k, (a, b) in enumerate(zip(x, y, strict=True))]
+    model = margin.fit(spark.createDataFrame(rows, "label double, a double, b double"), ["a", "b"])
+    b = np.array([r[2] if r[2] is not None else np.nan for r in rows])
+    b[np.isnan(b)] = np.nanmedian(b)
+    z = np.column_stack([(v - v.mean()) / v.std() for v in (x[:, 0], b)] + [np.ones(300)])
+    scale, middle = np.array([x[:, 0].std(), b.std()]), np.array([x[:, 0].mean(), b.mean()])
+    own = np.array([model.weights["a"], model.weights["b"]])
+    w = np.append(own * scale, model.bias + own @ middle)
+    sign, weight = 2 * y - 1, np.where(y == 1, 150 / y.sum(), 150 / (300 - y.sum()))
+    slack = np.maximum(0, 1 - sign * (z @ w))
+    assert np.abs(w - 2 * (z * (weight * sign * slack)[:, None]).sum(0)).max() < 1e-5  # the gradient
+    out = model.transform(spark.createDataFrame(rows, "label double, a double, b double"))
+    assert out.agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0] > 0.7
+    assert out.select(models.score(out)).first()[0] == -out.first().margin
+
+
+def test_scaling_is_by_the_population(rows):
+    out = models.fit(rows, ["x", "y"], models.logistic(120, 20), True).transform(rows).select(vector_to_array("features").alias("f"))
+    got = out.agg(*[F.stddev_pop(F.col("f")[k]) for k in (0, 1)]).first()
+    assert tuple(got) == (pytest.approx(1), pytest.approx(1))
+
+
+def test_tree_attributions_are_shapley_values(spark):
+    """Against the definition, over all coalitions, with MLlib's own margins."""
+    rng = np.random.default_rng(6)
+    names = ["a", "b", "c"]
+    x = rng.integers(0, 8, (160, 3)).astype(float)
+    y = ((x[:, 0] > 3) ^ (x[:, 1] > 4)).astype(float)
+    frame = lambda values: spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(values)], "id long, a double, b double, c double")
+    train = spark.createDataFrame([(float(t), *map(float, v)) for t, v in zip(y, x, strict=True)], "label double, a double, b double, c double")
+    gbt = models.fit(train, names, models.boosted(4)).stages[-1]
+    some, behind = x[:6], x[100:107]
+    got = {r.id: r for r in attribution.tree_shap(frame(some), frame(behind), gbt, names, "id").collect()}
+    sets = [s for n in range(4) for s in combinations(range(3), n)]
+    made = np.array([[v[f] if f in s else z[f] for f in range(3)] for v in some for s in sets for z in behind])
+    from pyspark.ml.feature import VectorAssembler
+
+    scored = gbt.transform(VectorAssembler(inputCols=names, outputCol="features").transform(frame(made))).select("id", vector_to_array("rawPrediction")[1].alias("m")).collect()
+    value = np.array([r.m for r in sorted(scored, key=lambda r: r.id)]).reshape(len(some), len(sets), len(behind)).mean(2)
+    for k in range(len(some)):
+        v = dict(zip(sets, value[k], strict=True))
+        for f, name in enumerate(names):
+            rest = [s for s in sets if f not in s]
+            phi = sum(factorial(len(s)) * factorial(2 - len(s)) / 6 * (v[tuple(sorted({*s, f}))] - v[s]) for s in rest)
+            assert got[k][name] == pytest.approx(-phi, abs=1e-9)
+        assert got[k].margin == pytest.approx(v[0, 1, 2])

@@ -99,10 +99,13 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown(a).splitlines()[0] == "| a | b |"
 
 
-@pytest.mark.parametrize("window", [5, 200])
-def test_near_mask_is_the_sequential_one(spark, window):
+@pytest.mark.parametrize(("window", "ranges"), [(5, 64), (200, 64), (5, 2), (3, 1)])
+def test_near_mask_is_the_sequential_one(spark, monkeypatch, window, ranges):
+    """Also where ranges of ranks are short, so that chains cross them."""
     import random
 
+    monkeypatch.setattr(dedup, "RANGES", ranges)
+
     rng = random.Random(5)
     base = ["".join(rng.choice("abcde fgh") for _ in range(rng.randint(20, 60))) for _ in range(25)]
     rows = []

@@ -81,6 +81,8 @@ def index_labels(column: str, output: str = "label") -> StringIndexer:
 
 def score(scored: DataFrame, positive: int = 0) -> Column:
     """The probability of the positive class, or its margin where the model has no probability."""
+    if "margin" in scored.columns:
+        return F.col("margin") if positive == 1 else -F.col("margin")
     if "probability" in scored.columns:
         return vector_to_array("probability")[positive]
     return vector_to_array("rawPrediction")[positive]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threatquery.operators import features_ml as feat, metrics as met, models, splits
+from threatquery.operators import attribution, features_ml as feat, margin, metrics as met, models, splits
 from threatquery.plans.catalogue import query, table
 from threatquery.plans.profile import labelled, rounded
 
@@ -148,32 +148,55 @@ def linear_shap_ranking_fitted(spark, sf_dir):
     return rounded(models.linear_shap(filled, _COLUMNS, *models.linear_terms(model, _COLUMNS)), "mean_abs", "signed").orderBy(F.col("mean_abs").desc())
 
 
-def _predictions(spark, sf_dir, estimator, scaled):
+def _predictions(spark, sf_dir, fit):
     rows = _labelled(spark, sf_dir)
-    train = rows.where("doc_id % 10 < 7")
-    model = models.fit(train, _COLUMNS, estimator(train.count()), scaled)
-    out = model.transform(rows)
+    out = fit(rows.where("doc_id % 10 < 7")).transform(rows)
     return out.select("doc_id", F.col("prediction").cast("int").alias("prediction"), F.round(models.score(out), 6).alias("phishing_score"))
 
 
 @query()
 def lr_predictions(spark, sf_dir):
-    return _predictions(spark, sf_dir, models.logistic, True)
+    return _predictions(spark, sf_dir, lambda train: models.fit(train, _COLUMNS, models.logistic(train.count()), True))
 
 
 @query()
 def svc_predictions(spark, sf_dir):
-    return _predictions(spark, sf_dir, lambda n: models.linear_svc(n, max_iter=5000), True)
+    """Squared hinge."""
+    return _predictions(spark, sf_dir, lambda train: margin.fit(train, _COLUMNS))
 
 
 @query()
 def rf_predictions(spark, sf_dir):
-    return _predictions(spark, sf_dir, lambda n: models.random_forest(), False)
+    return _predictions(spark, sf_dir, lambda train: models.fit(train, _COLUMNS, models.random_forest()))
+
+
+_FITTED: dict = {}
+
+
+def _boosted(spark, sf_dir, train):
+    """The boosted model of a folder's tables; two queries of one application share the fit."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED.clear()
+        _FITTED[key] = models.fit(train, _COLUMNS, models.boosted())
+    return _FITTED[key]
 
 
 @query()
 def gbt_predictions(spark, sf_dir):
-    return _predictions(spark, sf_dir, lambda n: models.boosted(), False)
+    return _predictions(spark, sf_dir, lambda train: _boosted(spark, sf_dir, train))
+
+
+@query()
+def tree_shap_ranking(spark, sf_dir):
+    """Of the boosted model, over all rows that it wasn't fitted on, against a hundred rows that it was."""
+    rows = _labelled(spark, sf_dir)
+    train = rows.where("doc_id % 10 < 7")
+    model = _boosted(spark, sf_dir, train)
+    filled = model.stages[0].transform(rows).select("doc_id", *[F.col(f"{c}_filled").alias(c) for c in _COLUMNS])
+    background = splits.sample(filled.where("doc_id % 10 < 7"), "doc_id", attribution.BACKGROUND)
+    explained = attribution.tree_shap(filled.where("doc_id % 10 >= 7"), background, model.stages[-1], _COLUMNS, "doc_id")
+    return rounded(attribution.ranking(explained, _COLUMNS), "mean_abs", "signed").orderBy(F.col("mean_abs").desc())
 
 
 @query()
