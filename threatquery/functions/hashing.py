@@ -2,6 +2,7 @@
 
 No Spark builtin covers NFKC, RFC 3986 re-encoding or Keccak, so these cross
 into Python, a batch at a time; the permutation runs over all rows of a batch.
+Common URLs and texts get their canonical form from the engine.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from threatquery.functions.text import message_tokens
+
 _U = np.uint64
 _RATE = 136
 
@@ -182,6 +185,24 @@ def _safe_url(url: str | None) -> str | None:
         return None
 
 
+#: URLs of plain hosts and segments, without port, query or fragment: lower-casing scheme and host is all they need.
+_SIMPLE_URL = r"\A((?i:https?)://)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)((?:/[A-Za-z0-9_~-][A-Za-z0-9_.~-]*)*/?)\z"
+#: Texts that NFKC leaves as they are, and on which the engine agrees with Python about blanks and letters.
+_PLAIN_TEXT = r"\A[\t\n\x0B\f\r\x20-\x7E]*\z"
+
+
+def simple_url(url: Column) -> Column:
+    """The canonical form of a simple URL; null for any other."""
+    head = F.lower(F.concat(F.regexp_extract(url, _SIMPLE_URL, 1), F.regexp_extract(url, _SIMPLE_URL, 2)))
+    path = F.regexp_extract(url, _SIMPLE_URL, 3)
+    return F.when(url.rlike(_SIMPLE_URL), F.concat(head, F.when(path == "", "/").otherwise(path)))
+
+
+def plain_message(text: Column) -> Column:
+    """The canonical form of a message of printable ASCII; null for any other."""
+    return F.when(text.rlike(_PLAIN_TEXT), message_tokens(text))
+
+
 @F.pandas_udf(StringType())
 def _canonical_url(urls: pd.Series) -> pd.Series:
     return urls.map(_safe_url)
@@ -193,13 +214,13 @@ def _canonical_message(texts: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def _url_hash(urls: pd.Series) -> pd.Series:
-    return pd.Series(_hashed("url:", [_safe_url(u) or "" for u in urls]), dtype=object)
+def _url_hash(urls: pd.Series, forms: pd.Series) -> pd.Series:
+    return pd.Series(_hashed("url:", [(_safe_url(u) or "") if f is None else f for u, f in zip(urls, forms, strict=True)]), dtype=object)
 
 
 @F.pandas_udf(StringType())
-def _message_hash(texts: pd.Series) -> pd.Series:
-    return pd.Series(_hashed("message:", [canonical_message(t) for t in texts]), dtype=object)
+def _message_hash(texts: pd.Series, forms: pd.Series) -> pd.Series:
+    return pd.Series(_hashed("message:", [canonical_message(t) if f is None else f for t, f in zip(texts, forms, strict=True)]), dtype=object)
 
 
 @F.pandas_udf(StringType())
@@ -208,20 +229,24 @@ def _keccak(values: pd.Series) -> pd.Series:
 
 
 def canonical_url_column(url: Column) -> Column:
-    return _canonical_url(url)
+    simple = simple_url(url)
+    return F.coalesce(simple, _canonical_url(F.when(simple.isNull(), url)))
 
 
 def canonical_message_column(text: Column) -> Column:
-    return _canonical_message(text)
+    plain = plain_message(text)
+    return F.coalesce(plain, _canonical_message(F.when(plain.isNull(), text)))
 
 
 def url_fingerprint(url: Column) -> Column:
     """Null for a URL that is null, blank or can't be split."""
-    return _url_hash(url)
+    simple = simple_url(url)
+    return _url_hash(F.when(simple.isNull(), url), simple)
 
 
 def message_fingerprint(text: Column) -> Column:
-    return _message_hash(text)
+    plain = plain_message(text)
+    return _message_hash(F.when(plain.isNull(), text), plain)
 
 
 def keccak(value: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threatquery.functions import lexicons as lex
 
+# The expressions that flags and spans are defined by, up to URL_HINT, which only goes before them.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 _TLDS = "|".join(lex.BARE_TLDS)
@@ -102,6 +103,7 @@ def handcrafted(text: Column, **lists) -> Column:
     return F.array(*[c.cast("double") for c in order])
 
 
+# What is replaced by urltoken and by numtoken.
 URL_SPAN = (
     rf"(?iuU)(?:https?://|ftp://|www\.){_STOP}+"
     rf"|(?:https?://)?(?:{lex.alternation(lex.MESSAGE_SHORTENERS)})(?:/{_STOP}*)?"
@@ -118,8 +120,11 @@ def default_stopwords() -> list[str]:
     return sorted(set(StopWordsRemover.loadDefaultStopWords("english")) - set(lex.SIGNALS))
 
 
-def lemma(token: Column) -> Column:
-    """Noun endings by rule; a stand-in for a lexicon lemmatiser, which isn't available."""
+def lemma(token: Column, lexicon: Mapping[str, str] | None = None) -> Column:
+    """The lemma of a lexicon that the caller supplies, else noun endings by rule; no lexicon comes with the library."""
+    if lexicon:
+        held = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in kv])
+        return F.coalesce(F.try_element_at(held, token), lemma(token))
     return (
         F.when(~token.endswith("s") | (F.length(token) < 4), token)
         .when(token.rlike("(ss|us|is)$"), token)
@@ -129,7 +134,7 @@ def lemma(token: Column) -> Column:
     )
 
 
-def nlp_tokens(text: Column, stopwords: Iterable[str], lemmatize: bool = True) -> Column:
+def nlp_tokens(text: Column, stopwords: Iterable[str], lemmatize: bool = True, lexicon: Mapping[str, str] | None = None) -> Column:
     """Lower case, urltoken and numtoken in place, no punctuation, stop words or noun endings."""
     low = F.lower(F.coalesce(text, F.lit("")))
     hint = low.rlike(URL_HINT) | low.rlike(lex.endings(lex.MESSAGE_SHORTENERS)) | low.rlike(r"(?U)\d\.\d")
@@ -137,7 +142,7 @@ def nlp_tokens(text: Column, stopwords: Iterable[str], lemmatize: bool = True) -
     clean = F.when(clean.rlike(r"(?U)\d{3}"), F.regexp_replace(clean, NUMBER_SPAN, "numtoken")).otherwise(clean)
     clean = F.regexp_replace(clean, r"(?U)[\W_]+", " ")
     tokens = F.filter(F.split(clean, " "), lambda t: (t != "") & ~t.isin(*stopwords))
-    return F.transform(tokens, lemma) if lemmatize else tokens
+    return F.transform(tokens, lambda t: lemma(t, lexicon)) if lemmatize else tokens
 
 
 def edge_stripped_words(text: Column) -> Column:

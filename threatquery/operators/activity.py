@@ -97,6 +97,19 @@ def cumulative(weeks: DataFrame, measures: list[str], order: str = "week") -> Da
     return weeks.withColumns({f"{m}_to_date": F.sum(m).over(upto) for m in measures})
 
 
+def cumulative_contributions(rows: DataFrame, week: str = "week") -> DataFrame:
+    """week, author and what the author has done up to that week: commits, added, deleted, net, distinct active days.
+
+    A day counts in the week in which it first occurs, so distinct days add up.
+    """
+    days = rows.groupBy("author", "day").agg(F.min(week).alias(week)).groupBy("author", week).agg(F.count("*").alias("new_days"))
+    each = rows.groupBy("author", week).agg(F.sum(F.col("is_commit").cast("int")).alias("commits"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
+    upto = Window.partitionBy("author").orderBy(week).rowsBetween(Window.unboundedPreceding, 0)
+    out = each.join(days, ["author", week], "left").na.fill(0, ["new_days"])
+    out = out.select(week, "author", *[F.sum(c).over(upto).alias(c) for c in ("commits", "added", "deleted")], F.sum("new_days").over(upto).alias("active_days"))
+    return out.withColumn("net", F.col("added") - F.col("deleted"))
+
+
 def previous(weeks: DataFrame, measure: str, order: str = "week") -> DataFrame:
     """The measure of the week before, null where that week has no row."""
     by = Window.orderBy(order)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from threatquery.functions.text import strip
+from threatquery.operators.dedup import keep_first
 from threatquery.operators.features_ml import clean_number
 
 
@@ -50,6 +52,20 @@ def require(rows: DataFrame, ok: Column, message: str) -> DataFrame:
     return rows.where(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
 
 
+def clean_urls(rows: DataFrame, order: str, url: str = "URL", label: str = "label", identifier: str = "FILENAME", domain: str = "Domain") -> DataFrame:
+    """A URL table without its identifier column, rows that lack a URL or a label, and later rows of an equal URL.
+
+    URLs and domains lose the blanks around them after that, so two URLs that
+    differ in these only both stay. A label other than 0 or 1 fails the query.
+    ``order`` is distinct and says which row comes first.
+    """
+    out = rows.drop(identifier).na.drop(subset=[url, label])
+    out = keep_first(out, [url], order)
+    stripped = {c: strip(F.col(c).cast("string")) for c in (url, domain) if c in out.columns}
+    out = require(out.withColumns(stripped), F.col(label).isin(0, 1), "a label is neither 0 nor 1")
+    return out.withColumn(label, F.col(label).cast("int"))
+
+
 def null_totals(rows: DataFrame) -> DataFrame:
     """column, n_null of every column, and the total under ''."""
     each = [F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in rows.columns]

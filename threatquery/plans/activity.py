@@ -85,6 +85,16 @@ def cumulative_weeks(spark, sf_dir):
     return ops.cumulative(_weeks(spark, sf_dir), ["commits", "added"])
 
 
+@query(
+    f"""WITH r AS (SELECT *, {_WEEK} AS week FROM ({_NAMED})), w AS (SELECT DISTINCT author, week FROM r WHERE week IS NOT NULL)
+SELECT w.week, w.author, count(*) AS commits, sum(added)::BIGINT AS added, sum(deleted)::BIGINT AS deleted, count(DISTINCT day) AS active_days, (sum(added) - sum(deleted))::BIGINT AS net
+FROM w JOIN r ON w.author = r.author AND r.week <= w.week GROUP BY w.week, w.author"""
+)
+def cumulative_contributions(spark, sf_dir):
+    weekly = rows(spark, sf_dir).withColumn("week", ops.week_number(F.col("day"), START)).where("week is not null")
+    return ops.cumulative_contributions(weekly)
+
+
 @query(f"SELECT week, commits, CASE WHEN lag(week) OVER (ORDER BY week) = week - 1 THEN lag(commits) OVER (ORDER BY week) END AS previous_commits FROM ({_WEEKS}) WHERE week <> 2")
 def previous_week_delta(spark, sf_dir):
     """Week 2 is left out, so week 3 has no previous week."""

@@ -87,6 +87,21 @@ def class_presence(spark, sf_dir):
     return out.unionByName(rows.agg(F.lit("all").alias("lang"), F.count_distinct("quality").alias("n_classes")))
 
 
+@query(
+    f"""WITH raw AS (SELECT page_id AS k, CASE WHEN page_id % 8 = 0 THEN NULL WHEN page_id % 8 = 1 THEN ' ' || url ELSE url END AS u, CASE WHEN page_id % 9 = 0 THEN NULL WHEN {LISTED_SQL} THEN 0 ELSE 1 END AS y, {HOST} AS h FROM pages),
+again AS (SELECT * FROM raw UNION ALL SELECT k + 1000000, u, y, h FROM raw)
+SELECT k AS "row", trim(u) AS "URL", h AS "Domain", y::INT AS label FROM again WHERE u IS NOT NULL AND y IS NOT NULL QUALIFY row_number() OVER (PARTITION BY u ORDER BY k) = 1"""
+)
+def url_clean(spark, sf_dir):
+    """A raw table made of the pages: file names, missing values, padded and repeated URLs."""
+    k = F.col("page_id")
+    url = F.when(k % 8 == 0, None).when(k % 8 == 1, F.concat(F.lit(" "), "url")).otherwise(F.col("url"))
+    label = F.when(k % 9 == 0, None).when(listed(F.col("url")), 0.0).otherwise(1.0)
+    host = F.concat(urls.hostname(urls.components(F.col("url"))["domain"]), F.lit("\t"))
+    raw = pages(spark, sf_dir).select(k.alias("row"), F.concat(k.cast("string"), F.lit(".txt")).alias("FILENAME"), url.alias("URL"), host.alias("Domain"), label.alias("label"))
+    return ops.clean_urls(raw.unionByName(raw.withColumn("row", F.col("row") + 1000000)), "row")
+
+
 @query("SELECT page_id, length(url) AS n FROM pages WHERE url IS NOT NULL")
 def require_clean_rows(spark, sf_dir):
     """The failing form of a contract: a bad row would stop the query."""

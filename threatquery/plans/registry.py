@@ -60,6 +60,18 @@ def seed_two_tier_stats(spark, sf_dir):
     return reg.statistics(_classified(spark, sf_dir), reg.URL)
 
 
+@query(
+    f"""{_CLASSIFIED}, cut AS (SELECT max(source_row) AS last_row FROM (SELECT source_row FROM ranked WHERE state = 'threat' AND hash_rank = 1 ORDER BY source_row LIMIT 5)),
+seen AS (SELECT * FROM ranked, cut WHERE source_row <= last_row)
+SELECT count(*) AS total_records, count_if(state = 'invalid') AS invalid_records, count_if(state = 'benign') AS benign_records, count_if(state = 'threat') AS threat_records,
+  count_if(state = 'threat' AND raw_rank > 1) AS raw_duplicate_records, count_if(state = 'threat' AND hash_rank > 1) AS canonical_duplicate_records,
+  count_if(state = 'threat' AND hash_rank = 1) AS unique_threat_hashes, count_if(state = 'threat' AND hash_rank = 1) AS url_threats, 0::BIGINT AS message_threats FROM seen"""
+)
+def seed_limit_stats(spark, sf_dir):
+    """Seeding stops at the fifth unique record, and so do its counters."""
+    return reg.statistics(_classified(spark, sf_dir), reg.URL, limit=5)
+
+
 @query(f"{_CLASSIFIED} SELECT h AS \"threatHash\", 'URL' AS \"threatType\", 1 AS \"threatTypeInt\", 1 AS verdict, 100 AS confidence FROM ranked WHERE state = 'threat' AND hash_rank = 1")
 def seed_export(spark, sf_dir):
     return reg.export(reg.seeds(_classified(spark, sf_dir), reg.URL))
@@ -102,18 +114,41 @@ _KNOWN = "SELECT DISTINCT md5((page_id // 2)::VARCHAR) AS threat_hash FROM pages
 SELECT seq, CASE WHEN earlier = 1 AND (st IS NULL OR st IN ('InvalidVerdict', 'ConfidenceOutOfRange')) THEN 'DuplicateHash' ELSE st END AS reason FROM e"""
 )
 def registry_insert_guarded(spark, sf_dir):
+    return _decided(spark, sf_dir).select("seq", "reason")
+
+
+def _decided(spark, sf_dir):
     rows = pages(spark, sf_dir)
     k = F.col("page_id")
     half = F.md5(F.floor(k / 2).cast("string").cast("binary"))
     batch = rows.select(
         k.alias("seq"),
         F.when(k % 17 == 0, reg.ZERO_HASH).otherwise(half).alias("threat_hash"),
+        F.lit(reg.URL).alias("threat_type"),
         F.when(k % 7 == 0, 2).otherwise(k % 2).cast("int").alias("verdict"),
         (k % 120).cast("int").alias("confidence"),
         F.when(k % 19 == 0, "eve").otherwise("owner").alias("submitter"),
     )
     known = rows.where("length(url) > 45").select(half.alias("threat_hash"))
-    return reg.guarded_insert(known, batch, "owner").select("seq", "reason")
+    return reg.guarded_insert(known, batch, "owner")
+
+
+@query(
+    f"""WITH batch AS ({_BATCH}), known AS ({_KNOWN}), ok AS (
+  SELECT * FROM batch WHERE submitter = 'owner' AND threat_hash <> '{reg.ZERO_HASH}' AND threat_hash NOT IN (SELECT threat_hash FROM known) AND verdict BETWEEN 0 AND 1 AND confidence BETWEEN 0 AND 100
+) SELECT 'ThreatSubmitted' AS event, threat_hash, 1 AS threat_type, verdict, confidence, seq AS submitted_at, submitter FROM ok QUALIFY row_number() OVER (PARTITION BY threat_hash ORDER BY seq) = 1"""
+)
+def registry_events(spark, sf_dir):
+    """The log of accepted inserts; the row's number stands for its time."""
+    return reg.events(_decided(spark, sf_dir), F.col("seq"))
+
+
+@query(f"WITH registry AS ({REGISTRY}) SELECT page_id, threat_type, verdict, confidence FROM pages JOIN registry ON threat_hash = md5('url:' || {CANONICAL}) WHERE {LISTED_SQL}")
+def registry_get(spark, sf_dir):
+    """The records of listed pages; a page without one would fail the query."""
+    rows = pages(spark, sf_dir)
+    asked = rows.where(listed(F.col("url"))).select("page_id", simple_hash().alias("threat_hash"))
+    return reg.get(asked, registry_of(rows)).select("page_id", "threat_type", "verdict", "confidence")
 
 
 @query(

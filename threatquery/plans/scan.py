@@ -98,7 +98,8 @@ def registry_exists(spark, sf_dir):
 @query(f"{SCANNED} SELECT page_id AS id, url, risk_level, to_json(findings)::VARCHAR AS findings, (SELECT count(*) FROM response) AS history_size FROM response")
 def scan_history_newest(spark, sf_dir):
     rows = ops.history(scanned(spark, sf_dir), "page_id")
-    return rows.select("id", "url", "risk_level", "findings").withColumn("history_size", F.lit(rows.count()))
+    size = pages(spark, sf_dir).agg(F.count("*").alias("history_size"))  # one row; a scan gives a row for each URL
+    return rows.select("id", "url", "risk_level", "findings").crossJoin(F.broadcast(size))
 
 
 @query(f"{SCANNED} SELECT page_id, len(findings)::INT AS n_findings, findings[1] AS first_finding FROM response")

@@ -227,6 +227,12 @@ def message_canonical(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.message_tokens(F.col("text")).alias("canonical"))
 
 
+@query()
+def message_canonical_nfkc(spark, sf_dir):
+    """The full form; SQL has no NFKC."""
+    return table(spark, sf_dir, "documents").select("doc_id", hashing.canonical_message_column(F.col("text")).alias("canonical"))
+
+
 @query()
 def message_fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", hashing.message_fingerprint(F.col("text")).alias("threat_hash"))
