@@ -127,3 +127,9 @@ def test_tree_attributions_are_shapley_values(spark):
             phi = sum(factorial(len(s)) * factorial(2 - len(s)) / 6 * (v[tuple(sorted({*s, f}))] - v[s]) for s in rest)
             assert got[k][name] == pytest.approx(-phi, abs=1e-9)
         assert got[k].margin == pytest.approx(v[0, 1, 2])
+
+
+def test_one_against_the_rest(spark):
+    rows = spark.createDataFrame([(float(k % 3), float(k % 3 == 0) * 4 + k % 5 / 9, float(k % 3 == 1) * 4 + k % 7 / 9) for k in range(120)], "label double, x double, y double")
+    out = models.fit(rows, ["x", "y"], models.one_vs_rest(models.logistic(120, 50)), True).transform(rows)
+    assert out.where("prediction = label").count() > 110

@@ -21,3 +21,9 @@ def test_registry_inserts_are_idempotent(spark, tmp_path):
         batches = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         stream.registry_inserts(batches, str(tmp_path / "reg"), str(tmp_path / f"c{k}"), "me").awaitTermination()
     assert sorted(r.threat_hash for r in spark.read.parquet(str(tmp_path / "reg")).collect()) == ["a", "b"]
+
+
+def test_risk_windows(spark):
+    rows = [("2024-01-01 00:01:00", "HIGH"), ("2024-01-01 00:04:59", "HIGH"), ("2024-01-01 00:05:00", "HIGH"), ("2024-01-01 00:02:00", "SAFE")]
+    df = spark.createDataFrame(rows, "t string, risk_level string").select(F.to_timestamp("t").alias("ts"), "risk_level")
+    assert sorted((r.window.start.minute, r.risk_level, r.n) for r in stream.risk_windows(df).collect()) == [(0, "HIGH", 2), (0, "SAFE", 1), (5, "HIGH", 1)]
