@@ -148,19 +148,19 @@ def test_sides_of_the_grid(queries, candidates, tasks):
 
 
 def test_em_gains_on_its_own_data():
-    rows = [(3, 8, 0, 50), (3, -1000, 4, 30), (3, -1000, -1000, 20), (5, 20, 4, 10)]
+    rows = np.array([(3, -1000, 8, 0, 50), (3, -1000, -1000, 4, 30), (3, -1000, -1000, -1000, 20), (lm.LEVELS + 2, 10, 8, 4, 10), (lm.LEVELS + 2, -1000, 2, 4, 5)])
     w = lm.mixture(rows)
-    assert np.allclose(w.sum(1), 1) and (w >= 0).all() and w[0, 0] == 0
+    assert np.allclose(w.sum(1), 1) and (w >= 0).all() and w[0, 1] == 0 and not w[: lm.LEVELS, 0].any()
 
     def likelihood(weights):
         total = 0.0
-        for level, two, one, n in rows:
-            p = np.array([2.0 ** (two / 4) if two > -1000 else 0, 2.0 ** (one / 4) if one > -1000 else 0, 1.0])
+        for level, *octaves, n in rows:
+            p = np.array([2.0 ** (x / 2) if x > -1000 else 0 for x in octaves] + [1.0])
             total += n * np.log(weights[level] @ p)
         return total
 
-    assert likelihood(w) > likelihood(np.tile(lm.PRIOR, (lm.LEVELS, 1)))
-    assert np.allclose(lm.mixture([])[1], lm.PRIOR)
+    assert likelihood(w) > likelihood(np.tile(lm.PRIOR, (2 * lm.LEVELS, 1)))
+    assert np.allclose(lm.mixture(np.zeros((0, 5), int))[lm.LEVELS + 1], lm.PRIOR)
 
 
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)

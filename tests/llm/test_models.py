@@ -81,32 +81,42 @@ def plain_interpolation(rows, modulus=5, held_out=1):
     train = {i for i in split if crc[i] % modulus != held_out}
     deleted = {i for i in train if crc[i] // modulus % lm.DELETED == 0}
 
+    def windows(ws):
+        """(word two before, word before, word); the first word has none two before."""
+        return list(zip([None, "\0", *ws], ["\0", *ws], ws, strict=False))
+
     def counts(ids):
-        one, two = Counter(), Counter()
+        one, two, three = Counter(), Counter(), Counter()
         for i in ids:
             one.update(split[i])
-            two.update(zip(["\0", *split[i]], split[i], strict=False))
-        return one, two, sum(one.values())
-
-    one, two, n = counts(train)
-    v = len(one)
-
-    def level(word, one):
-        return 0 if not one[word] else min(1 + int(np.floor(np.log2(one[word]))), lm.LEVELS - 1)
-
-    some, pairs, m = counts(train - deleted)
+            two.update((b, c) for _, b, c in windows(split[i]))
+            three.update(x for x in windows(split[i]) if x[0] is not None)
+        return one, two, three
+
+    def octave(n):
+        return 0 if not n else min(1 + int(np.floor(np.log2(n))), lm.LEVELS - 1)
+
+    def shares(x, model):
+        """Bucket, and the shares of trigram, bigram and word."""
+        (a, b, c), (one, two, three) = x, model
+        before = two[a, b] if a is not None else 0
+        bucket = lm.LEVELS + octave(before) if before else octave(one[b])
+        return bucket, [three[x] / max(before, 1) if a is not None else 0, two[b, c] / max(one[b], 1), one[c] / max(sum(one.values()), 1)]
+
+    whole, some = counts(train), counts(train - deleted)
+    v = len(whole[0])
     cells = Counter()
     for i in deleted:
-        for a, b in zip(["\0", *split[i]], split[i], strict=False):
-            shares = [pairs[a, b] / max(some[a], 1) * (v + 1), some[b] / max(m, 1) * (v + 1)]
-            cells[(level(a, some), *(round(4 * np.log2(x)) if x else -1000 for x in shares))] += 1
-    weights = lm.mixture([(*c, k) for c, k in sorted(cells.items())])
+        for x in windows(split[i]):
+            bucket, three = shares(x, some)
+            cells[(bucket, *(round(2 * np.log2(s * (v + 1))) if s else -1000 for s in three))] += 1
+    weights = lm.mixture(np.array([(*c, k) for c, k in sorted(cells.items())]))
 
-    def p(a, b):
-        w = weights[level(a, one)]
-        return w[0] * two[a, b] / max(one[a], 1) + w[1] * one[b] / n + w[2] / (v + 1)
+    def p(*x):
+        bucket, three = shares(x, whole)
+        return float(weights[bucket] @ [*three, 1 / (v + 1)])
 
-    return {i: sum(np.log10(p(a, b)) for a, b in zip(["\0", *ws], ws, strict=False)) for i, ws in split.items()}, p, one
+    return {i: sum(np.log10(p(*x)) for x in windows(ws)) for i, ws in split.items()}, p, whole[0]
 
 
 def test_interpolation_against_plain_counts(spark, monkeypatch):
@@ -116,8 +126,20 @@ def test_interpolation_against_plain_counts(spark, monkeypatch):
     monkeypatch.setattr(lm, "BUCKET", 500)
     got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: pytest.approx(x, rel=1e-9) for i, x in want.items()}
-    for context in ("the", "\0", "z3", "never"):  # with the one word that was never seen
-        assert sum(p(context, w) for w in [*one, "?"]) == pytest.approx(1)
+    for context in ((None, "\0"), ("the", "cat"), ("\0", "a"), ("z3", "ran"), ("cat", "never"), ("never", "the")):  # with the one word that was never seen
+        assert sum(p(*context, w) for w in [*one, "?"]) == pytest.approx(1)
+
+
+def test_texts_that_occur_twice_score_higher(spark):
+    """A word after two others that were seen twice is likelier than after two that were seen once."""
+    rng = np.random.default_rng(9)
+    made = [" ".join(f"w{x}" for x in rng.integers(0, 60, 30)) for _ in range(700)]
+    rows = list(enumerate(made[:600])) + [(600 + k, t) for k, t in enumerate(made[:100])]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    train = [k for k in range(600) if zlib.crc32(str(k).encode()) % 5 != 1]
+    twice = [got[k] for k in train if k < 100 and zlib.crc32(str(600 + k).encode()) % 5 != 1]
+    once = np.array([got[k] for k in train if k >= 100])
+    assert np.mean([x > np.quantile(once, 0.9) for x in twice]) > 0.9
 
 
 def test_averages_of_subwords():

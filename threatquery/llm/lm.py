@@ -1,18 +1,20 @@
-"""Language-model scoring by deleted interpolation of bigrams, unigrams and a uniform share.
+"""Language-model scoring by deleted interpolation of trigrams, bigrams, unigrams and a uniform share.
 
-P(w | v) = a f(w | v) + b f(w) + c / (V + 1), with maximum-likelihood f and
-mixture weights a, b, c of the bucket of v's frequency. The weights are learned
+P(w | u v) = a f(w | u v) + b f(w | v) + c f(w) + d / (V + 1), with
+maximum-likelihood f and mixture weights of a bucket: by the frequency of u v
+where it was seen, else by that of v. A text begins with an end as v, and its
+first word has no u. The weights are learned
 by expectation-maximisation: a slice of the training documents is deleted from
 the counts, and its tokens are the held-out data. The final counts are those of
 all training documents.
 
 Counts are exact and never meet in one place. Documents are written once as
 chunks of token numbers with a dictionary of hashed words. A chunk sends each
-of its distinct words, or bigrams, once to the bucket of its hash, with its
+of its distinct words, bigrams or trigrams, once to the bucket of its hash, with its
 counts; the bucket adds up and sends the totals back in the same order. So a
 frequent word costs one entry a chunk, and neither the vocabulary nor a count
 table is ever broadcast. For EM, held-out tokens are summed in a histogram of
-fixed size over (bucket, the two ratios in quarter octaves).
+bounded size over (bucket, the three ratios in half octaves).
 
 Edge cases: a null text has the end token alone; a word before any training is
 unknown and takes the uniform share; with no training documents every
@@ -38,12 +40,14 @@ from threatquery.llm.jaccard import planes, unplanes
 CHUNK, BUCKET = 1 << 19, 1 << 21
 #: One of so many training documents is deleted from the counts for EM.
 DELETED = 12
-#: Buckets of a context's frequency: 0, then by octave.
+#: Buckets of a context's frequency, 0, then by octave: of the word before, then as many of the two words before.
 LEVELS = 24
 EM_ROUNDS = 60
-PRIOR = np.array([0.4, 0.5, 0.1])
+#: Shares of trigrams, bigrams, words and the uniform before any data.
+PRIOR = np.array([0.3, 0.3, 0.35, 0.05])
 END = np.uint64(0x8C5F1E0B7A3D9246)
-_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_FIRST, _SECOND, _THIRD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+WHAT = ("word", "bigram", "trigram")
 _CHUNKS = "chunk bigint, kind int, n bigint, doc_ids array<bigint>, train binary, sizes binary, words binary, tokens binary"
 
 
@@ -125,10 +129,23 @@ class Chunk:
         self.context = np.concatenate([[self.end], self.tokens[:-1]])
         self.context[self.first] = self.end
 
+    def pairs(self) -> np.ndarray:
+        return _text.mix(self.words[self.context] * _FIRST + self.words[self.tokens] * _SECOND)
+
     def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes of bigrams, and which one each token is."""
-        pair = _text.mix(self.words[self.context] * _FIRST + self.words[self.tokens] * _SECOND)
-        return np.unique(pair, return_inverse=True)
+        return np.unique(self.pairs(), return_inverse=True)
+
+    def inner(self) -> np.ndarray:
+        """Whether a token has a token before it in its text."""
+        out = np.ones(len(self.tokens), bool)
+        out[self.first] = False
+        return out
+
+    def trigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes of trigrams, and which one each inner token is: its own pair after the pair before it."""
+        pairs, inner = self.pairs(), np.flatnonzero(self.inner())
+        return np.unique(_text.mix(pairs[inner - 1] * _THIRD + self.words[self.tokens[inner]] * _FIRST), return_inverse=True)
 
 
 def _post(chunk: int, keys: np.ndarray, counts: np.ndarray, kind: int, buckets: int):
@@ -155,8 +172,9 @@ def posts(chunks: DataFrame, what: str, buckets: int) -> DataFrame:
                     keys = chunk.words
                     counts = np.bincount(chunk.tokens[chunk.train], minlength=len(keys))
                 else:
-                    keys, of = chunk.bigrams()
-                    counts = np.bincount(of[chunk.train], minlength=len(keys))
+                    keys, of = chunk.bigrams() if what == "bigram" else chunk.trigrams()
+                    train = chunk.train if what == "bigram" else chunk.train[chunk.inner()]
+                    counts = np.bincount(of[train], minlength=len(keys))
                 yield pa.RecordBatch.from_pylist(list(_post(row["chunk"], keys, counts, chunk.kind, buckets)), schema=_POSTS)
 
     return chunks.mapInArrow(run, _POSTS_SQL)
@@ -201,47 +219,57 @@ def totals(sent: DataFrame, what: str) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(add, _TOTALS)
 
 
-def _gathered(chunk: Chunk, right: pa.Table, which: str, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(count of each dictionary word, count of each distinct bigram, the bigram of each token)."""
-    pairs, of = chunk.bigrams()
-    out = {"word": np.zeros(len(chunk.words)), "bigram": np.zeros(len(pairs))}
-    bucket = {"word": chunk.words % np.uint64(buckets), "bigram": pairs % np.uint64(buckets)}
+def _gathered(chunk: Chunk, right: pa.Table, which: str, buckets: int) -> dict[str, np.ndarray]:
+    """word: the count of each dictionary word; bigram, trigram: those of each token's bigram and trigram (0 for a first token)."""
+    pairs, of_pair = chunk.bigrams()
+    triples, of_triple = chunk.trigrams()
+    keys = dict(zip(WHAT, (chunk.words, pairs, triples), strict=True))
+    out = {k: np.zeros(len(x)) for k, x in keys.items()}
+    bucket = {k: x % np.uint64(buckets) for k, x in keys.items()}
     order = {k: np.argsort(b, kind="stable") for k, b in bucket.items()}
     cuts = {k: np.searchsorted(bucket[k][order[k]], np.arange(buckets + 1, dtype=np.uint64)) for k in bucket}
     for r in right.to_pylist():
         at = order[r["what"]][cuts[r["what"]][r["bucket"]] : cuts[r["what"]][r["bucket"] + 1]]
         out[r["what"]][at] = grow(r[which], np.uint32)
-    return out["word"], out["bigram"], of
+    triple = np.zeros(len(chunk.tokens))
+    triple[chunk.inner()] = out["trigram"][of_triple]
+    return {"word": out["word"], "bigram": out["bigram"][of_pair], "trigram": triple}
+
+
+def parts(chunk: Chunk, found: dict[str, np.ndarray], n: float, v: float) -> tuple[np.ndarray, list[np.ndarray], float]:
+    """Of every token: the bucket of its context, and the shares that trigrams, bigrams and words give it; the uniform share."""
+    one = found["word"][chunk.context]
+    two = np.where(chunk.inner(), np.concatenate([[0], found["bigram"][:-1]]), 0)  # how often the two tokens before occur
 
+    def octave(count: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, 1 + np.floor(np.log2(np.maximum(count, 1))), 0).astype(np.int64).clip(0, LEVELS - 1)
 
-def parts(chunk: Chunk, word: np.ndarray, bigram: np.ndarray, of: np.ndarray, n: float, v: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Of every token: the level of its context, and the shares that bigrams, words and the uniform give it."""
-    context = word[chunk.context]
-    level = np.where(context > 0, 1 + np.floor(np.log2(np.maximum(context, 1))), 0).astype(np.int64).clip(0, LEVELS - 1)
-    return level, bigram[of] / np.maximum(context, 1), word[chunk.tokens] / max(n, 1), 1 / (v + 1)
+    level = np.where(two > 0, LEVELS + octave(two), octave(one))
+    return level, [found["trigram"] / np.maximum(two, 1), found["bigram"] / np.maximum(one, 1), found["word"][chunk.tokens] / max(n, 1)], 1 / (v + 1)
 
 
 def _octave(ratio: np.ndarray) -> np.ndarray:
-    """Quarter octaves above the uniform share; -1 for a share of 0."""
+    """Half octaves above the uniform share; -1000 for a share of 0."""
     with np.errstate(divide="ignore"):
-        return np.where(ratio > 0, np.round(4 * np.log2(np.maximum(ratio, 1e-300))), -1000).astype(np.int64)
+        return np.where(ratio > 0, np.round(2 * np.log2(np.maximum(ratio, 1e-300))), -1000).astype(np.int64)
 
 
-def mixture(rows: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """Weights of each level by EM over (level, octave of bigrams, octave of words, tokens)."""
-    weights = np.tile(PRIOR, (LEVELS, 1))
-    if rows:
-        level, two, one, times = np.array(rows, np.int64).T
-        share = np.stack([np.where(two > -1000, 2.0 ** (two / 4), 0), np.where(one > -1000, 2.0 ** (one / 4), 0), np.ones(len(two))], 1)
+def mixture(rows: np.ndarray) -> np.ndarray:
+    """Weights of each bucket by EM over rows of (bucket, octaves of trigrams, bigrams and words, tokens)."""
+    weights = np.tile(PRIOR, (2 * LEVELS, 1))
+    if len(rows):
+        level, times = rows[:, 0], rows[:, 4]
+        share = np.column_stack([np.where(rows[:, k] > -1000, 2.0 ** (rows[:, k] / 2), 0) for k in (1, 2, 3)] + [np.ones(len(rows))])
         for _ in range(EM_ROUNDS):
             part = weights[level] * share
             part *= (times / part.sum(1))[:, None]
-            for k in range(3):
-                weights[:, k] = np.bincount(level, part[:, k], LEVELS) + 0.5 * PRIOR[k]
+            for k in range(4):
+                weights[:, k] = np.bincount(level, part[:, k], 2 * LEVELS) + 0.5 * PRIOR[k]
             weights /= weights.sum(1, keepdims=True)
-    weights[0, 1:] += weights[0, 0] * weights[0, 1:] / weights[0, 1:].sum()
-    weights[0, 0] = 0.0
-    return weights
+    # a context that was never seen has no share to give
+    weights[:LEVELS, 0] = 0.0
+    weights[0, 1] = 0.0
+    return weights / weights.sum(1, keepdims=True)
 
 
 def score(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFrame:
@@ -252,10 +280,9 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFrame:
     whole, deleted_tokens = (int(x or 0) for x in chunks.agg(F.sum("n"), F.sum(F.when(F.col("kind") == 1, F.col("n")))).first())
     # A bucket is held whole by a task, so their number follows the tokens.
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // BUCKET))
-    words = tables.write(totals(posts(chunks, "word", buckets), "word"), "words")
-    pairs = tables.write(totals(posts(chunks, "bigram", buckets), "bigram"), "bigrams")
-    n, v = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("v")).first())
-    back = words.unionByName(pairs)
+    counts = [tables.write(totals(posts(chunks, what, buckets), what), what) for what in WHAT]
+    n, v = (int(x or 0) for x in counts[0].agg(F.sum("n"), F.sum("v")).first())
+    back = counts[0].unionByName(counts[1]).unionByName(counts[2])
     deleted = chunks.where("kind = 1")
     counted = n - deleted_tokens
 
@@ -263,25 +290,26 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFrame:
         rows = []
         for row in left.to_pylist():
             chunk = Chunk(row)
-            level, two, one, uniform = parts(chunk, *_gathered(chunk, right, "counted", buckets), counted, v)
-            cells, times = np.unique(np.stack([level, _octave(two / uniform), _octave(one / uniform)], 1), axis=0, return_counts=True)
+            level, shares, uniform = parts(chunk, _gathered(chunk, right, "counted", buckets), counted, v)
+            cells, times = np.unique(np.column_stack([level, *(_octave(x / uniform) for x in shares)]), axis=0, return_counts=True)
             rows.append(np.column_stack([cells, times]))
-        cells = np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
-        return pa.table({c: cells[:, k] for k, c in enumerate(("level", "two", "one", "times"))})
+        cells = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
+        return pa.table({c: cells[:, k] for k, c in enumerate((*cell, "times"))})
 
-    held = deleted.groupBy("chunk").cogroup(back.where("length(counted) > 0").groupBy("chunk")).applyInArrow(tally, "level bigint, two bigint, one bigint, times bigint")
-    # Cells of a fixed grid: levels by quarter octaves, whatever the input.
-    rows = held.groupBy("level", "two", "one").agg(F.sum("times")).orderBy("level", "two", "one").collect()
-    weights = mixture([tuple(r) for r in rows])
+    cell = ["level", "three", "two", "one"]
+    held = deleted.groupBy("chunk").cogroup(back.where("length(counted) > 0").groupBy("chunk")).applyInArrow(tally, "level bigint, three bigint, two bigint, one bigint, times bigint")
+    # Cells of a fixed grid, buckets by half octaves, of which most are empty, whatever the input.
+    grid = held.groupBy(*cell).agg(F.sum("times").alias("times")).orderBy(*cell).toArrow()
+    weights = mixture(np.column_stack([np.asarray(grid.column(c).combine_chunks(), dtype=np.int64) for c in (*cell, "times")]))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("doc_id", "n_tokens", "n_known", "base_score", "score")}
         for row in left.to_pylist():
             chunk = Chunk(row)
-            word, bigram, of = _gathered(chunk, right, "trained", buckets)
-            level, two, one, uniform = parts(chunk, word, bigram, of, n, v)
-            w = weights[level]
-            log = np.log10(w[:, 0] * two + w[:, 1] * one + w[:, 2] * uniform) if n else np.zeros(len(level))
+            found = _gathered(chunk, right, "trained", buckets)
+            level, shares, uniform = parts(chunk, found, n, v)
+            w, word = weights[level], found["word"]
+            log = np.log10(sum(w[:, k] * x for k, x in enumerate(shares)) + w[:, 3] * uniform) if n else np.zeros(len(level))
             base = np.log10((word + 0.5) / (n + 0.5 * (v + 1)))[chunk.tokens]
             out["doc_id"] += chunk.ids
             out["n_tokens"].append(chunk.sizes)
