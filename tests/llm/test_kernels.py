@@ -155,7 +155,7 @@ def test_em_gains_on_its_own_data():
     def likelihood(weights):
         total = 0.0
         for level, *octaves, n in rows:
-            p = np.array([2.0 ** (x / 2) if x > -1000 else 0 for x in octaves] + [1.0])
+            p = np.array([2.0**x if x > -1000 else 0 for x in octaves] + [1.0])
             total += n * np.log(weights[level] @ p)
         return total
 

@@ -109,7 +109,7 @@ def plain_interpolation(rows, modulus=5, held_out=1):
     for i in deleted:
         for x in windows(split[i]):
             bucket, three = shares(x, some)
-            cells[(bucket, *(round(2 * np.log2(s * (v + 1))) if s else -1000 for s in three))] += 1
+            cells[(bucket, *(round(np.log2(s * (v + 1))) if s else -1000 for s in three))] += 1
     weights = lm.mixture(np.array([(*c, k) for c, k in sorted(cells.items())]))
 
     def p(*x):

@@ -14,7 +14,8 @@ of its distinct words, bigrams or trigrams, once to the bucket of its hash, with
 counts; the bucket adds up and sends the totals back in the same order. So a
 frequent word costs one entry a chunk, and neither the vocabulary nor a count
 table is ever broadcast. For EM, held-out tokens are summed in a histogram of
-bounded size over (bucket, the three ratios in half octaves).
+bounded size over (bucket, the three ratios in octaves): some 400,000 cells for a
+million words, of which most are empty.
 
 Edge cases: a null text has the end token alone; a word before any training is
 unknown and takes the uniform share; with no training documents every
@@ -249,9 +250,9 @@ def parts(chunk: Chunk, found: dict[str, np.ndarray], n: float, v: float) -> tup
 
 
 def _octave(ratio: np.ndarray) -> np.ndarray:
-    """Half octaves above the uniform share; -1000 for a share of 0."""
+    """Octaves above the uniform share; -1000 for a share of 0."""
     with np.errstate(divide="ignore"):
-        return np.where(ratio > 0, np.round(2 * np.log2(np.maximum(ratio, 1e-300))), -1000).astype(np.int64)
+        return np.where(ratio > 0, np.round(np.log2(np.maximum(ratio, 1e-300))), -1000).astype(np.int64)
 
 
 def mixture(rows: np.ndarray) -> np.ndarray:
@@ -259,7 +260,7 @@ def mixture(rows: np.ndarray) -> np.ndarray:
     weights = np.tile(PRIOR, (2 * LEVELS, 1))
     if len(rows):
         level, times = rows[:, 0], rows[:, 4]
-        share = np.column_stack([np.where(rows[:, k] > -1000, 2.0 ** (rows[:, k] / 2), 0) for k in (1, 2, 3)] + [np.ones(len(rows))])
+        share = np.column_stack([np.where(rows[:, k] > -1000, 2.0 ** rows[:, k].astype(float), 0) for k in (1, 2, 3)] + [np.ones(len(rows))])
         for _ in range(EM_ROUNDS):
             part = weights[level] * share
             part *= (times / part.sum(1))[:, None]
@@ -298,7 +299,7 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFrame:
 
     cell = ["level", "three", "two", "one"]
     held = deleted.groupBy("chunk").cogroup(back.where("length(counted) > 0").groupBy("chunk")).applyInArrow(tally, "level bigint, three bigint, two bigint, one bigint, times bigint")
-    # Cells of a fixed grid, buckets by half octaves, of which most are empty, whatever the input.
+    # Cells of a fixed grid, buckets by octaves, of which most are empty, whatever the input.
     grid = held.groupBy(*cell).agg(F.sum("times").alias("times")).orderBy(*cell).toArrow()
     weights = mixture(np.column_stack([np.asarray(grid.column(c).combine_chunks(), dtype=np.int64) for c in (*cell, "times")]))
 
