@@ -150,7 +150,8 @@ def sample(docs: DataFrame, modulus: int, held_out: int, most: int) -> DataFrame
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (_store.remainder("doc_id", modulus) != held_out))
     many = known.groupBy("lang").agg(F.count("*").alias("_n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    some = known.select("doc_id", "lang", place.alias("_place")).join(many, "lang").where(F.col("_place") < 2.0 * most / F.col("_n"))
+    # One row a language, as many as the driver learns; so rows are thinned where they are, and a common language isn't one task.
+    some = known.select("doc_id", "lang", place.alias("_place")).join(F.broadcast(many), "lang").where(F.col("_place") < 2.0 * most / F.col("_n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id"))
     some = some.withColumn("_rank", rank).where(F.col("_rank") <= most).select("doc_id", "lang").distinct()
     # an id that repeats counts once for each of its languages, by the least text
