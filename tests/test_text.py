@@ -27,7 +27,7 @@ def test_text_flags(spark):
     cases = {
         None: (0, False, False), "": (0, False, False), "kites over the bay": (18, False, False), "urgent: low tide": (16, True, False),
         "IMMEDIATELY!": (12, True, False), "a fare of £7": (12, False, True), "cash only on the ferry": (22, False, True), "urgent, £7 in cash": (18, True, True),
-        "urgently cashew": (15, False, False),
+        "resurgent cashew": (16, False, False),
     }
     assert values(spark, list(cases), *tx.text_flags(F.col("t")).values()) == list(cases.values())
 
