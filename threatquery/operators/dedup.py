@@ -75,8 +75,9 @@ def near_pairs(rows: DataFrame, reach: int, least: float = RATIO) -> DataFrame:
     A range join by blocks of ranks. Length and letter counts bound the ratio
     from above before it is computed.
     """
-    counts = F.array(*[F.length("t") - F.length(F.translate("t", c, "")) for c in _LETTERS])
-    side = rows.select("rank", F.length("t").alias("n"), F.floor(F.col("rank") / reach).alias("block"), counts.alias("letters"))
+    counts = F.array(*[F.length("t") - F.length(F.replace(F.col("t"), F.lit(c), F.lit(""))) for c in _LETTERS])
+    # Written, as both sides of the join read it and the counts cost a pass over the text for each letter.
+    side = materialise(rows.select("rank", F.length("t").alias("n"), F.floor(F.col("rank") / reach).alias("block"), counts.alias("letters")), "letters")
     left = side.select(F.col("rank").alias("a"), F.col("n").alias("m"), F.col("letters").alias("others"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))
     apart = F.aggregate(F.zip_with("letters", "others", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
     most = F.lit((100 - least) / 100) * (F.col("n") + F.col("m"))
