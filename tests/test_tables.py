@@ -130,6 +130,45 @@ def test_near_mask_is_the_sequential_one(spark, monkeypatch, window, ranges):
     assert got == want
 
 
+def test_near_is_the_plain_ratio():
+    """Counts, grams and the first parts of two texts rule out only what the whole texts do."""
+    import random
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            corner = 0
+            for j, y in enumerate(b, 1):
+                corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
+        return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+    rng, seen = random.Random(3), set()
+    for _ in range(1500):
+        a = "".join(rng.choice("abcé\U0001f600 ") for _ in range(rng.choice([0, 1, 4, 30, 90])))
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+        b = "".join(b)
+        ratio = plain(a, b)
+        assert dedup.indel_ratio(a, b) == pytest.approx(ratio)
+        near = dedup.Near(3, 92)
+        near.add(7, dedup.Profile(a))
+        assert near.find(10, dedup.Profile(b)) == [7] * (ratio >= 92)
+        seen.add(ratio >= 92)
+        near.add(10, dedup.Profile(b))  # takes the place of 7
+        assert list(near.known) == [10]
+    assert seen == {True, False}
+
+
+def test_near_mask_of_odd_texts(spark):
+    """Nulls are near nothing; empty texts are near each other; a whole table of copies keeps one row."""
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, None), (4, ""), (5, "a" * 20_000), (6, "a" * 20_001)], "id long, t string")
+    got = {r[0]: r[1] for r in dedup.near_mask(rows, "id", "t").collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: True, 6: False}
+    assert dedup.near_mask(rows.where("id > 9"), "id", "t").count() == 0
+
+
 def test_indel_ratio():
     assert dedup.indel_ratio("", "") == 100 and dedup.indel_ratio("abc", "abc") == 100 and dedup.indel_ratio("abc", "xyz") == 0
     assert round(dedup.indel_ratio("kitten", "sitting"), 4) == round(200 * 4 / 13, 4)

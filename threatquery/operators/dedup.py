@@ -6,6 +6,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,10 @@ from threatquery.sources.sinks import materialise, numbered
 RATIO, WINDOW = 92, 200
 #: Ranks that are resolved together, in reaches of a pair.
 RANGES = 64
+#: Ranks in which pairs are sought together, in reaches of a pair.
+STRETCH = 8
+#: Buckets of code points; code points of a gram, and bits of its hash.
+LETTERS, GRAM, GRAM_BITS = 64, 5, 18
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -36,28 +41,33 @@ def duplicate_counts(rows: DataFrame, /, **keys: list[str]) -> DataFrame:
     return out
 
 
+def _places(points: np.ndarray) -> dict[int, int]:
+    """The places of each code point of a text, as bits."""
+    return {c: int.from_bytes(np.packbits(points == c, bitorder="little").tobytes(), "little") for c in np.unique(points).tolist()}
+
+
+def _common(places: dict[int, int], width: int, points: np.ndarray) -> int:
+    """Bits, of which the first j that are 0 count the longest common subsequence of the first j code points (j up to ``width``) and ``points``."""
+    row = full = (1 << width) - 1
+    places = {c: places.get(c, 0) & full for c in np.unique(points).tolist()}
+    for k in range(0, len(points), 64):
+        for hit in map(places.__getitem__, points[k : k + 64].tolist()):
+            hit &= row
+            row = row + hit | row - hit
+        row &= full  # carries beyond the width, which touch nothing below it
+    return row
+
+
 def indel_ratio(a: str, b: str) -> float:
     """100 * 2 * longest common subsequence / total length, by bit-parallel rows."""
-    if not a and not b:
+    if a == b:
         return 100.0
-    place: dict[str, int] = {}
-    for k, c in enumerate(a):
-        place[c] = place.get(c, 0) | 1 << k
-    row = full = (1 << len(a)) - 1
-    for c in b:
-        hit = row & place.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
+    x, y = _points(a), _points(b)
+    return 200.0 * (len(x) - _common(_places(x), len(x), y).bit_count()) / (len(x) + len(y))
 
 
-def ratio_column(a: Column, b: Column) -> Column:
-    from pyspark.sql.types import DoubleType
-
-    @F.pandas_udf(DoubleType())
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([indel_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype=np.float64)
-
-    return run(a, b)
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def ranked(rows: DataFrame, order: str) -> DataFrame:
@@ -66,26 +76,114 @@ def ranked(rows: DataFrame, order: str) -> DataFrame:
     return numbered(rows.repartitionByRange(parts, order).sortWithinPartitions(order), "rank")
 
 
-_LETTERS = "abcdefghijklmnopqrstuvwxyz 0123456789"
+class Profile:
+    """A text with its code points and its grams counted, both by hash."""
+
+    def __init__(self, text: str):
+        points = _points(text)
+        self.text, self.size, self.bits = text, len(points), None
+        self.letters = np.bincount(points % LETTERS, minlength=LETTERS)
+        h = np.zeros(max(self.size - GRAM + 1, 0), np.uint32)
+        for k in range(GRAM):
+            h = (h ^ points[k : k + len(h)]) * np.uint32(0x9E3779B1)
+        self.grams, self.times = np.unique(h >> np.uint32(32 - GRAM_BITS), return_counts=True)
+        self.times = self.times.astype(np.int32)
+
+    def places(self) -> dict[int, int]:
+        if self.bits is None:
+            self.bits = _places(_points(self.text))
+        return self.bits
+
+    def near(self, other: Profile, least: float) -> bool:
+        """Whether ``indel_ratio`` is ``least`` or more.
+
+        Before all of ``other`` is read, the most that its first fifth and
+        third can have in common with each beginning of this text, and all of
+        the rests, decides most cases.
+        """
+        if self.text == other.text:
+            return True
+        n, m, y = self.size, other.size, _points(other.text)
+        for i in (m // 5, m // 3):
+            width = min(n, i + int((100 - least) / 100 * (n + m)) + 1)  # beyond it there are too many edits
+            row = np.frombuffer(_common(self.places(), width, y[:i]).to_bytes(width // 8 + 1, "little"), np.uint8)
+            both = np.cumsum(1 - np.unpackbits(row, count=width, bitorder="little").astype(np.int64))
+            rest = np.minimum(n - 1 - np.arange(width), m - i)
+            if 200.0 * max((both + rest).max(initial=0), min(n, m - i)) < least * (n + m) - 1e-6:
+                return False
+        return 200.0 * (n - _common(self.places(), n, y).bit_count()) / (n + m) >= least
+
+
+class Near:
+    """Texts of the last ``reach`` ranks; finds those near the next one.
+
+    An edit changes one code point and at most 2 * GRAM - 1 grams, so texts
+    whose counts differ by more than the edits that a ratio allows are not near.
+    Hashes that meet only bring counts closer. What is left is compared whole.
+    """
+
+    def __init__(self, reach: int, least: float):
+        self.reach, self.least = reach, least
+        self.ranks, self.sizes = np.full(reach, np.iinfo(np.int64).min), np.zeros(reach, np.int64)
+        self.letters = np.zeros((reach, LETTERS), np.int64)
+        self.table = np.zeros(1 << GRAM_BITS, np.int32)
+        self.known: dict[int, Profile] = {}
+
+    def add(self, rank: int, own: Profile) -> None:
+        at = rank % self.reach
+        self.known.pop(int(self.ranks[at]), None)
+        self.known[rank] = own
+        self.ranks[at], self.sizes[at], self.letters[at] = rank, own.size, own.letters
+
+    def find(self, rank: int, own: Profile) -> list[int]:
+        """Ranks of the held texts that are near, of those at most ``reach`` before."""
+        most = (100 - self.least) / 100 * (self.sizes + own.size) + 1e-6
+        at = np.flatnonzero((self.ranks >= rank - self.reach) & (abs(self.sizes - own.size) <= most))
+        at = at[abs(self.letters[at] - own.letters).sum(1) <= most[at]]
+        if not len(at):
+            return []
+        out = []
+        self.table[own.grams] = own.times
+        for k in at.tolist():
+            other = self.known[int(self.ranks[k])]
+            shared = np.minimum(self.table[other.grams], other.times).sum()
+            apart = max(own.size - GRAM + 1, 0) + max(other.size - GRAM + 1, 0) - 2 * shared
+            if apart <= (2 * GRAM - 1) * most[k] and other.near(own, self.least):
+                out.append(int(self.ranks[k]))
+        self.table[own.grams] = 0
+        return out
 
 
 def near_pairs(rows: DataFrame, reach: int, least: float = RATIO) -> DataFrame:
-    """(a, b) ranks of texts at most ``reach`` apart with a ratio of ``least`` or more. ``rows``: rank, t.
+    """(a, b) ranks of texts at most ``reach`` apart with a ratio of ``least`` or more. ``rows``: rank from 1, t.
 
-    A range join by blocks of ranks. Length and letter counts bound the ratio
-    from above before it is computed.
+    Ranks are cut into stretches; a row goes to its own, and one of the last
+    ``reach`` of a stretch to the next one too, so texts are shuffled little
+    more than once. A task holds the texts of ``reach`` ranks. A null is near
+    nothing.
     """
-    counts = F.array(*[F.length("t") - F.length(F.replace(F.col("t"), F.lit(c), F.lit(""))) for c in _LETTERS])
-    # Written, as both sides of the join read it and the counts cost a pass over the text for each letter.
-    side = materialise(rows.select("rank", F.length("t").alias("n"), F.floor(F.col("rank") / reach).alias("block"), counts.alias("letters")), "letters")
-    left = side.select(F.col("rank").alias("a"), F.col("n").alias("m"), F.col("letters").alias("others"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))
-    apart = F.aggregate(F.zip_with("letters", "others", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
-    most = F.lit((100 - least) / 100) * (F.col("n") + F.col("m"))
-    pairs = side.join(left, "block").where((F.col("a") < F.col("rank")) & (F.col("rank") - F.col("a") <= reach) & (F.abs(F.col("n") - F.col("m")) <= most))
-    pairs = pairs.where(apart <= most).select("a", F.col("rank").alias("b"))
-    texts = rows.select("rank", "t")
-    full = pairs.join(texts.select(F.col("rank").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("rank").alias("b"), F.col("t").alias("y")), "b")
-    return full.where(ratio_column(F.col("x"), F.col("y")) >= least).select("a", "b")
+    size = STRETCH * reach
+    own = F.floor((F.col("rank") - 1) / size)
+    late = F.col("rank") > (own + 1) * size - reach
+    sent = rows.where("t is not null").select("rank", "t", own.alias("own"), F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("stretch"))
+    sent = sent.repartition("stretch").sortWithinPartitions("stretch", "rank")
+
+    def run(batches):
+        stretch, near = None, None
+        for batch in batches:
+            a, b = [], []
+            for s, home, rank, text in zip(*(batch.column(c).to_pylist() for c in ("stretch", "own", "rank")), batch.column("t"), strict=True):
+                if s != stretch:
+                    stretch, near = s, Near(reach, least)
+                profile = Profile(text.as_py())
+                if home == s:
+                    found = near.find(rank, profile)
+                    a += found
+                    b += [rank] * len(found)
+                near.add(rank, profile)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return sent.select("stretch", "own", "rank", "t").mapInArrow(run, "a bigint, b bigint")
 
 
 def resolve(pairs: pd.DataFrame, window: int, earlier: np.ndarray) -> tuple[list[int], int]:
