@@ -53,8 +53,8 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with ``name`` from 1, in the order of its partitions and of the rows within them.
 
     A partition's rows are numbered by themselves and shifted by the counts of
-    the partitions before, a table of one row each that is joined. The rows are
-    written first, as a second run could cut partitions elsewhere. Columns of
+    the partitions before, a table of one row each that is broadcast, so that
+    the rows aren't shuffled for it. The rows are written first, as a second run could cut partitions elsewhere. Columns of
     any name pass through; one called ``name`` is replaced.
     """
     own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -62,7 +62,7 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     shift = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
     kept = [F.col(f"row.`{c}`").alias(c) for c in df.columns if c != name]
-    return placed.join(shift, "part").select(*kept, (F.col("before") + F.col("own") + 1).cast("bigint").alias(name))
+    return placed.join(F.broadcast(shift), "part").select(*kept, (F.col("before") + F.col("own") + 1).cast("bigint").alias(name))
 
 
 def cumulated(rows: DataFrame, keys: list[str], order: str, sums: list[str], descending: bool = False) -> DataFrame:
