@@ -44,6 +44,10 @@ def test_guards(spark):
     batch = spark.createDataFrame(rows, "seq int, threat_hash string, verdict int, confidence int, submitter string")
     got = {r.seq: r.reason for r in reg.guarded_insert(known, batch, "me").collect()}
     assert got == {1: None, 2: "DuplicateHash", 3: "ZeroHash", 4: "DuplicateHash", 5: "InvalidVerdict", 6: "ConfidenceOutOfRange", 7: None, 8: "NotOwner"}
+    odd = batch.select("*", *[F.lit(x).alias(x) for x in ("known", "static", "first", "place", "row", "_known", "reason", "a.b")])
+    out = reg.guarded_insert(known, odd, "me")
+    assert sorted(out.columns) == sorted(odd.columns) and {r.seq: r.reason for r in out.collect()} == got
+    assert out.select("known", "static", "first", "place", "row", "_known", "`a.b`").distinct().collect() == [("known", "static", "first", "place", "row", "_known", "a.b")]
 
 
 @pytest.mark.parametrize(("raw", "row"), [("ï»¿Class, Message \nham,hello world\n", ("hello world", "ham")), ("﻿Class,Message\nspam,win money\n", ("win money", "spam"))])

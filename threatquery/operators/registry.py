@@ -94,22 +94,26 @@ def statistics(found: DataFrame, threat_type: int, limit: int | None = None) ->
 
 
 def guarded_insert(registry: DataFrame, batch: DataFrame, owner: str, order: str = "seq") -> DataFrame:
-    """``batch`` with reason: null where accepted, else the first guard that refuses the row."""
-    known = registry.select("threat_hash", F.lit(True).alias("_known")).distinct()
-    out = batch.join(known, "threat_hash", "left")
+    """``batch`` with reason: null where accepted, else the first guard that refuses the row.
+
+    Columns of any name pass through; one called reason is replaced.
+    """
+    known = registry.select("threat_hash", F.lit(True).alias("known")).distinct()
+    out = batch.select("threat_hash", F.struct(*[F.col(f"`{c}`") for c in batch.columns]).alias("row")).join(known, "threat_hash", "left")
     static = (
-        F.when(F.col("submitter") != owner, "NotOwner")
+        F.when(F.col("row.submitter") != owner, "NotOwner")
         .when(F.col("threat_hash") == ZERO_HASH, "ZeroHash")
-        .when(F.col("_known"), "DuplicateHash")
-        .when(~F.col("verdict").between(0, 1), "InvalidVerdict")
-        .when(~F.col("confidence").between(0, 100), "ConfidenceOutOfRange")
+        .when(F.col("known"), "DuplicateHash")
+        .when(~F.col("row.verdict").between(0, 1), "InvalidVerdict")
+        .when(~F.col("row.confidence").between(0, 100), "ConfidenceOutOfRange")
     )
-    out = out.withColumn("_static", static)
+    out = out.select("threat_hash", "row", F.col(f"row.`{order}`").alias("place"), static.alias("static"))
     # Of the rows that pass, the first of a hash makes the later ones duplicates, even those that other guards would refuse.
-    first = out.where(F.col("_static").isNull()).groupBy("threat_hash").agg(F.min(order).alias("_first"))
+    first = out.where(F.col("static").isNull()).groupBy("threat_hash").agg(F.min("place").alias("first"))
     out = out.join(first, "threat_hash", "left")
-    late = F.coalesce(F.col(order) > F.col("_first"), F.lit(False)) & (F.col("_static").isNull() | F.col("_static").isin("InvalidVerdict", "ConfidenceOutOfRange"))
-    return out.withColumn("reason", F.when(late, "DuplicateHash").otherwise(F.col("_static"))).drop("_known", "_static", "_first")
+    late = F.coalesce(F.col("place") > F.col("first"), F.lit(False)) & (F.col("static").isNull() | F.col("static").isin("InvalidVerdict", "ConfidenceOutOfRange"))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in batch.columns if c != "reason"]
+    return out.select(*kept, F.when(late, "DuplicateHash").otherwise(F.col("static")).alias("reason"))
 
 
 def lookup(rows: DataFrame, registry: DataFrame, on: str = "threat_hash") -> DataFrame:
