@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -43,13 +43,13 @@ class Tables:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
         """The table takes the place of ``df``, so the shuffles that made it go at once."""
         path, conf = f"{self.root}/{name}", self.spark.conf
         before = conf.get(_CLEANUP, None)
         conf.set(_CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").options(**(options or {})).parquet(path)
         finally:
             conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -61,6 +61,20 @@ class Tables:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(tables: Tables, df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df``, written as ``name``, with ``column`` from 1 in the order of its partitions and of the rows within them.
+
+    A partition's rows are numbered by themselves and shifted by the counts of
+    the partitions before: a table of one row a partition, which is broadcast.
+    """
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = tables.write(df.select("*", F.spark_partition_id().alias("_part"), own.alias("_own")), name)
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = placed.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    number = (F.col("_before") + F.col("_own") + 1).cast("bigint").alias(column)
+    return placed.join(F.broadcast(shift), "_part").select(*df.columns, number)
+
+
 def remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 

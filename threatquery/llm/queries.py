@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatquery.llm import _store, chat, decontaminate, jaccard, language, lm, packing, quality, secrets, topk, toxicity
+from threatquery.llm import _store, chat, collocations, decontaminate, jaccard, language, lines, lm, packing, quality, resample, secrets, topk, toxicity
 
 #: Name of a vocabulary file of the installed public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -134,3 +134,56 @@ n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# DuckDB has no crc32: the table of the 256 bytes is made by its rule, and words are folded over it.
+ORACLES["op11_importance_resampling"] = f"""WITH tab AS (SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS x FROM d), bw AS (SELECT unnest(w) AS x FROM b),
+h AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM dw UNION SELECT x FROM bw)),
+k AS (SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || h[2*i+1:2*i+2])::BIGINT for i in range(len(h) // 2)]), lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1])), 4294967295) % 10000 AS bucket FROM h, tab),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN k USING (x) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM bw JOIN k USING (x) GROUP BY 1),
+z AS (SELECT (SELECT count(*) FROM dw) AS s_all, (SELECT count(*) FROM bw) AS t_all),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), z),
+w AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM dw JOIN k USING (x) JOIN g USING (bucket) GROUP BY 1),
+n AS (SELECT d.doc_id, len(d.w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(d.doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+r AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS r FROM n)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT count(*) FROM n WHERE n_features >= 20) * 10 // 100 THEN r END::BIGINT AS rank FROM r"""
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.report(table(spark, sf_dir, "documents"), least_docs=10, least_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+_STRIPPED = "regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
+ORACLES["op12_line_dedup"] = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+l AS (SELECT row, i, w[i] AS x FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM d)), k AS (SELECT row, i, x, {_STRIPPED} AS k FROM l),
+f AS (SELECT k FROM k WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT row) >= 10),
+o AS (SELECT row, count(*) AS n_lines, count(f.k) AS n_dropped, string_agg(x, chr(10) ORDER BY i) FILTER (f.k IS NULL) AS kept FROM k LEFT JOIN f ON k.k = f.k GROUP BY row)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN o USING (row)"""
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_phrase_collocations"] = f"""WITH p AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOW}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY 1),
+g AS (SELECT lang, w[i:i+k-1] AS w, count(*)::HUGEINT AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) t(k)) GROUP BY 1, 2 HAVING count(*) >= 100),
+c AS (SELECT lang, w, f AS a, unnest(range(1, len(w))) AS k FROM g WHERE len(w) > 1),
+s AS (SELECT c.lang, c.w, a, k, l.f AS l, r.f AS r, n, (1000 * a * n) // (l.f * r.f) AS score FROM c JOIN g l ON l.lang = c.lang AND l.w = c.w[1:k] JOIN g r ON r.lang = c.lang AND r.w = c.w[k+1:] JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+t AS (SELECT lang, w[i:i+k-1] AS w, max(f) AS longer FROM (SELECT lang, w, f, k, unnest(range(1, len(w) - k + 2)) AS i FROM g, range(2, 5) t(k) WHERE len(w) > k) GROUP BY 1, 2),
+o AS (SELECT b.* FROM b LEFT JOIN t ON t.lang = b.lang AND t.w = b.w WHERE longer IS NULL OR 100 * longer < 100 * a),
+q AS (SELECT *, array_to_string(w, ' ') AS phrase FROM o)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q) WHERE rank <= 2000"""
