@@ -93,19 +93,25 @@ def statistics(found: DataFrame, threat_type: int, limit: int | None = None) ->
     )
 
 
+def _within(column: str, least: int, most: int) -> Column:
+    return F.coalesce(F.col(column).between(least, most), F.lit(False))
+
+
 def guarded_insert(registry: DataFrame, batch: DataFrame, owner: str, order: str = "seq") -> DataFrame:
     """``batch`` with reason: null where accepted, else the first guard that refuses the row.
 
-    Columns of any name pass through; one called reason is replaced.
+    A null submitter is not the owner, a null hash counts as the zero hash, and
+    a null verdict or confidence is out of its range. Columns of any name pass
+    through; one called reason is replaced.
     """
     known = registry.select("threat_hash", F.lit(True).alias("known")).distinct()
     out = batch.select("threat_hash", F.struct(*[F.col(f"`{c}`") for c in batch.columns]).alias("row")).join(known, "threat_hash", "left")
     static = (
-        F.when(F.col("row.submitter") != owner, "NotOwner")
-        .when(F.col("threat_hash") == ZERO_HASH, "ZeroHash")
+        F.when(~F.col("row.submitter").eqNullSafe(owner), "NotOwner")
+        .when(F.col("threat_hash").isNull() | (F.col("threat_hash") == ZERO_HASH), "ZeroHash")
         .when(F.col("known"), "DuplicateHash")
-        .when(~F.col("row.verdict").between(0, 1), "InvalidVerdict")
-        .when(~F.col("row.confidence").between(0, 100), "ConfidenceOutOfRange")
+        .when(~_within("row.verdict", 0, 1), "InvalidVerdict")
+        .when(~_within("row.confidence", 0, 100), "ConfidenceOutOfRange")
     )
     out = out.select("threat_hash", "row", F.col(f"row.`{order}`").alias("place"), static.alias("static"))
     # Of the rows that pass, the first of a hash makes the later ones duplicates, even those that other guards would refuse.
@@ -117,8 +123,14 @@ def guarded_insert(registry: DataFrame, batch: DataFrame, owner: str, order: str
 
 
 def lookup(rows: DataFrame, registry: DataFrame, on: str = "threat_hash") -> DataFrame:
-    """Rows with found, and the record's fields where it is."""
-    record = registry.select(F.col("threat_hash").alias(on), F.lit(True).alias("found"), "threat_type", "verdict", "confidence")
+    """Rows with found, and the record's fields where it is.
+
+    A row stays one row: of a hash that the registry repeats, the least record
+    by (threat_type, verdict, confidence) counts. A null hash is never found.
+    """
+    fields = ("threat_type", "verdict", "confidence")
+    record = registry.groupBy("threat_hash").agg(F.min(F.struct(*fields)).alias("record"))
+    record = record.select(F.col("threat_hash").alias(on), F.lit(True).alias("found"), *[f"record.{c}" for c in fields])
     return rows.join(record, on, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threatquery.operators import attribution, features_ml as feat, margin, metrics as met, models, splits
+from threatquery.operators import attribution, boosting, features_ml as feat, margin, metrics as met, models, splits, text_margin
 from threatquery.plans.catalogue import query, table
 from threatquery.plans.profile import labelled, rounded
 
@@ -170,21 +170,17 @@ def rf_predictions(spark, sf_dir):
     return _predictions(spark, sf_dir, lambda train: models.fit(train, _COLUMNS, models.random_forest()))
 
 
-_FITTED: dict = {}
-
-
-def _boosted(spark, sf_dir, train):
-    """The boosted model of a folder's tables; two queries of one application share the fit."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FITTED:
-        _FITTED.clear()
-        _FITTED[key] = models.fit(train, _COLUMNS, models.boosted())
-    return _FITTED[key]
+@query()
+def gbt_predictions(spark, sf_dir):
+    return _predictions(spark, sf_dir, lambda train: models.fit(train, _COLUMNS, models.boosted()))
 
 
 @query()
-def gbt_predictions(spark, sf_dir):
-    return _predictions(spark, sf_dir, lambda train: _boosted(spark, sf_dir, train))
+def boosted_predictions(spark, sf_dir):
+    """Second-order boosting with a regularised gain."""
+    rows = _labelled(spark, sf_dir)
+    out = boosting.fit(rows.where("doc_id % 10 < 7"), _COLUMNS).transform(rows)
+    return out.select("doc_id", F.col("prediction").cast("int").alias("prediction"), F.round(1 - F.col("probability"), 6).alias("phishing_score"))
 
 
 @query()
@@ -192,22 +188,34 @@ def tree_shap_ranking(spark, sf_dir):
     """Of the boosted model, over all rows that it wasn't fitted on, against a hundred rows that it was."""
     rows = _labelled(spark, sf_dir)
     train = rows.where("doc_id % 10 < 7")
-    model = _boosted(spark, sf_dir, train)
+    model = models.fit(train, _COLUMNS, models.boosted())
     filled = model.stages[0].transform(rows).select("doc_id", *[F.col(f"{c}_filled").alias(c) for c in _COLUMNS])
     background = splits.sample(filled.where("doc_id % 10 < 7"), "doc_id", attribution.BACKGROUND)
     explained = attribution.tree_shap(filled.where("doc_id % 10 >= 7"), background, model.stages[-1], _COLUMNS, "doc_id")
     return rounded(attribution.ranking(explained, _COLUMNS), "mean_abs", "signed").orderBy(F.col("mean_abs").desc())
 
 
-@query()
-def text_lr_predictions(spark, sf_dir):
-    """Scam categories of messages from their text; fitted on the rows of the training split."""
+def _categorised(spark, sf_dir):
+    """Messages with their scam category, and those of the training split."""
     from threatquery.functions import lexicons as lex, text as tx
     from threatquery.plans.text import messages
 
     rows = messages(spark, sf_dir).withColumn("category", tx.category(F.col("text"), F.col("label"), lex.DATA_CATEGORIES)).drop("label")
     train = splits.stratified(rows.select("doc_id", "category"), "category", "doc_id").where("split = 'train'").select("doc_id")
-    known = rows.join(train, "doc_id", "left_semi")
+    return rows, rows.join(train, "doc_id", "left_semi")
+
+
+@query()
+def text_svc_predictions(spark, sf_dir):
+    """The same by the squared hinge over uni- and bigrams and the seven features, one category against the rest."""
+    rows, known = _categorised(spark, sf_dir)
+    return text_margin.fit(known, "text", "category").transform(rows, "text").select("doc_id", "category", "predicted")
+
+
+@query()
+def text_lr_predictions(spark, sf_dir):
+    """Scam categories of messages from their text; fitted on the rows of the training split."""
+    rows, known = _categorised(spark, sf_dir)
     model = models.fit_text(known, "text", "category", models.logistic(known.count(), max_iter=5000))
     return model.transform(models.text_columns(rows, "text")).select("doc_id", "category", "predicted")
 

@@ -99,16 +99,17 @@ def registry_counters(spark, sf_dir):
     return reg.counters(urls.unionByName(made))
 
 
-# A batch with every kind of refusal; rows repeat hashes within the batch.
-_BATCH = f"""SELECT page_id AS seq, CASE WHEN page_id % 17 = 0 THEN '{reg.ZERO_HASH}' ELSE md5((page_id // 2)::VARCHAR) END AS threat_hash,
-  CASE WHEN page_id % 7 = 0 THEN 2 ELSE (page_id % 2)::INT END AS verdict, (page_id % 120)::INT AS confidence, CASE WHEN page_id % 19 = 0 THEN 'eve' ELSE 'owner' END AS submitter FROM pages"""
+# A batch with every kind of refusal, by nulls too; rows repeat hashes within the batch.
+_BATCH = f"""SELECT page_id AS seq, CASE WHEN page_id % 17 = 0 THEN '{reg.ZERO_HASH}' WHEN page_id % 37 = 0 THEN NULL ELSE md5((page_id // 2)::VARCHAR) END AS threat_hash,
+  CASE WHEN page_id % 7 = 0 THEN 2 WHEN page_id % 23 = 0 THEN NULL ELSE (page_id % 2)::INT END AS verdict, CASE WHEN page_id % 31 = 0 THEN NULL ELSE (page_id % 120)::INT END AS confidence,
+  CASE WHEN page_id % 19 = 0 THEN 'eve' WHEN page_id % 29 = 0 THEN NULL ELSE 'owner' END AS submitter FROM pages"""
 _KNOWN = "SELECT DISTINCT md5((page_id // 2)::VARCHAR) AS threat_hash FROM pages WHERE length(url) > 45"
 
 
 @query(
     f"""WITH batch AS ({_BATCH}), known AS ({_KNOWN}), s AS (
-  SELECT b.*, CASE WHEN submitter <> 'owner' THEN 'NotOwner' WHEN b.threat_hash = '{reg.ZERO_HASH}' THEN 'ZeroHash' WHEN k.threat_hash IS NOT NULL THEN 'DuplicateHash'
-    WHEN verdict NOT BETWEEN 0 AND 1 THEN 'InvalidVerdict' WHEN confidence NOT BETWEEN 0 AND 100 THEN 'ConfidenceOutOfRange' END AS st
+  SELECT b.*, CASE WHEN submitter IS DISTINCT FROM 'owner' THEN 'NotOwner' WHEN b.threat_hash IS NULL OR b.threat_hash = '{reg.ZERO_HASH}' THEN 'ZeroHash' WHEN k.threat_hash IS NOT NULL THEN 'DuplicateHash'
+    WHEN verdict IS NULL OR verdict NOT BETWEEN 0 AND 1 THEN 'InvalidVerdict' WHEN confidence IS NULL OR confidence NOT BETWEEN 0 AND 100 THEN 'ConfidenceOutOfRange' END AS st
   FROM batch b LEFT JOIN known k ON b.threat_hash = k.threat_hash
 ), e AS (SELECT *, coalesce(max((st IS NULL)::INT) OVER (PARTITION BY threat_hash ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM s)
 SELECT seq, CASE WHEN earlier = 1 AND (st IS NULL OR st IN ('InvalidVerdict', 'ConfidenceOutOfRange')) THEN 'DuplicateHash' ELSE st END AS reason FROM e"""
@@ -123,11 +124,11 @@ def _decided(spark, sf_dir):
     half = F.md5(F.floor(k / 2).cast("string").cast("binary"))
     batch = rows.select(
         k.alias("seq"),
-        F.when(k % 17 == 0, reg.ZERO_HASH).otherwise(half).alias("threat_hash"),
+        F.when(k % 17 == 0, reg.ZERO_HASH).when(k % 37 != 0, half).alias("threat_hash"),
         F.lit(reg.URL).alias("threat_type"),
-        F.when(k % 7 == 0, 2).otherwise(k % 2).cast("int").alias("verdict"),
-        (k % 120).cast("int").alias("confidence"),
-        F.when(k % 19 == 0, "eve").otherwise("owner").alias("submitter"),
+        F.when(k % 7 == 0, 2).when(k % 23 != 0, k % 2).cast("int").alias("verdict"),
+        F.when(k % 31 != 0, k % 120).cast("int").alias("confidence"),
+        F.when(k % 19 == 0, "eve").when(k % 29 != 0, "owner").alias("submitter"),
     )
     known = rows.where("length(url) > 45").select(half.alias("threat_hash"))
     return reg.guarded_insert(known, batch, "owner")
