@@ -223,7 +223,7 @@ def routed(rows: DataFrame, shards: DataFrame, n_shards: int, schema: StructType
     asked = tables.write(rows.select("id", "text").mapInArrow(ask, "id bigint, high bigint, low bigint").select("*", _shard(n_shards)), "asked")
     copies = tables.write(asked.groupBy("shard").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("copies")), "copies")
     asked = asked.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int"))
-    there = shards.join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    there = shards.join(copies.select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")), "shard")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         asked = left.select(["id", "high", "low"])
