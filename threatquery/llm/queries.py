@@ -93,14 +93,14 @@ def op9_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_exact_top_k_search"] = """WITH v AS (
-  SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS e FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum([q.e[i] * c.e[i] for i in range(1, least(len(q.e), len(c.e)) + 1)])::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_sum([q.e[i] * c.e[i] for i in range(1, least(len(q.e), len(c.e)) + 1)])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.row <> q.row
 )
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM s
 ) WHERE rank <= 20"""
 
 

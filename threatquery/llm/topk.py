@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatquery.llm._store import Tables
+from threatquery.llm._store import Tables, numbered
 
 SCALE = 64
 #: Vectors of a block; of the queries and of the candidates of a cell, about.
@@ -159,11 +159,22 @@ def sides(queries: int, candidates: int, tasks: int) -> tuple[int, int]:
     return q, c
 
 
+def placed(blocks: DataFrame, q: int, c: int, asking: bool) -> DataFrame:
+    """``blocks`` with the cells that each goes to: a row of the grid for queries, a column for candidates.
+
+    Blocks are dealt by ``place``, their number over all partitions, so that
+    groups differ by one block at most, whatever the sides of the grid.
+    """
+    own = F.pmod("place", F.lit(q if asking else c))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(c - 1)), lambda x: own * c + x) if asking else F.transform(F.sequence(F.lit(0), F.lit(q - 1)), lambda x: x * c + own)
+    return blocks.withColumn("cell", F.explode(cells))
+
+
 def search(vectors: DataFrame, modulus: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row whose vec_id is divisible by ``modulus``."""
     spark = vectors.sparkSession
     sound = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and abs(x) < double('infinity'))")
-    held = Tables(spark, "topk").write(packed(sound, modulus), "blocks")
+    held = numbered(Tables(spark, "topk"), packed(sound, modulus), "place", "blocks")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     many = held.agg(F.sum("n"), F.sum("asked"), F.count("*")).first()
     if not many[1]:
@@ -179,11 +190,8 @@ def search(vectors: DataFrame, modulus: int = 20, k: int = 20) -> DataFrame:
                 block |= {"ids": ids[pick].tobytes(), "vectors": narrow(own[pick]).tobytes(), "size": narrow(own[pick]).itemsize, "rows": rows[pick].tobytes()}
                 yield pa.RecordBatch.from_pylist([block], schema=pa.schema([*batch.schema, pa.field("rows", pa.binary())]))
 
-    place = F.floor(F.col("row") / BLOCK)  # neighbours go to different groups
-    left = held.where("asked > 0").mapInArrow(asked, _PACKED + ", rows binary")
-    left = left.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(c - 1)), lambda x: F.pmod(place, F.lit(q)) * c + x)))
-    right = held.withColumn("rows", F.lit(None).cast("binary"))
-    right = right.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(q - 1)), lambda x: x * c + F.pmod(place, F.lit(c)))))
+    left = placed(held.where("asked > 0").mapInArrow(asked, _PACKED + ", place bigint, rows binary"), q, c, True)
+    right = placed(held.withColumn("rows", F.lit(None).cast("binary")), q, c, False)
     parts = min(q * c, 64 * tasks)
     cells = right.unionByName(left).repartitionById(parts, F.pmod("cell", F.lit(parts)).cast("int")).sortWithinPartitions("cell", F.col("rows").isNotNull())
 
