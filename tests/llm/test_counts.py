@@ -182,7 +182,7 @@ def test_collocations_against_plain(spark, monkeypatch, least, longest, share, t
     assert want
     run = lambda: sorted(tuple(r) for r in collocations.collocations(docs, top, least, longest, share).collect())
     assert run() == want
-    for name, value in (("BLOCK", 500), ("BUCKET", 300), ("HEAVY", 50), ("BROADCAST", -1)):  # many blocks and buckets, frequent pivots dealt out, a vocabulary too large for every task
+    for name, value in (("BLOCK", 500), ("BUCKET", 300), ("HEAVY", 50), ("BROADCAST", -1), ("PAIRS", -1)):  # many blocks and buckets, frequent pivots dealt out, a vocabulary too large for every task
         monkeypatch.setattr(collocations, name, value)
     assert run() == want
 
