@@ -110,12 +110,13 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown(a).splitlines()[0] == "| a | b |"
 
 
-@pytest.mark.parametrize(("window", "ranges"), [(5, 64), (200, 64), (5, 2), (3, 1)])
-def test_near_mask_is_the_sequential_one(spark, monkeypatch, window, ranges):
-    """Also where ranges of ranks are short, so that chains cross them."""
+@pytest.mark.parametrize(("window", "piece", "before"), [(5, 64, 3), (200, 64, 3), (5, 2, 1), (3, 1, 0), (5, 4, 2), (8, 1, 1)])
+def test_near_mask_is_the_sequential_one(spark, monkeypatch, window, piece, before):
+    """Also where pieces are short, so that chains cross them."""
     import random
 
-    monkeypatch.setattr(dedup, "RANGES", ranges)
+    monkeypatch.setattr(dedup, "PIECE", piece)
+    monkeypatch.setattr(dedup, "BEFORE", before)
 
     rng = random.Random(5)
     base = ["".join(rng.choice("abcde fgh") for _ in range(rng.randint(20, 60))) for _ in range(25)]
@@ -134,6 +135,22 @@ def test_near_mask_is_the_sequential_one(spark, monkeypatch, window, ranges):
     assert got == want
 
 
+def test_near_mask_of_copies(spark, monkeypatch):
+    """Three quarters of the rows are one text, in a run and strewn; the window reaches far back over them."""
+    texts = [f"{k:04d} text of its own {k * 7919 % 1000}" for k in range(300)]
+    rows = [t for k, t in enumerate(texts) for t in [t, *["one and the same"] * (3 if k % 2 else 0)]]
+    rows = rows[:500] + ["one and the same"] * 600 + rows[500:] + texts[-3:] * 2
+    kept, want = [], []
+    for t in rows:
+        want.append(not any(t == u or dedup.indel_ratio(t, u) >= 92 for u in kept[-20:]))
+        if want[-1]:
+            kept.append(t)
+    for piece in (32, 1):
+        monkeypatch.setattr(dedup, "PIECE", piece)
+        got = dedup.near_mask(spark.createDataFrame(list(enumerate(rows)), "id long, t string"), "id", "t", 92, 20).orderBy("id").collect()
+        assert [r.kept for r in got] == want
+
+
 def test_near_is_the_plain_ratio():
     """Counts, grams and the first parts of two texts rule out only what the whole texts do."""
     import random
@@ -158,7 +175,7 @@ def test_near_is_the_plain_ratio():
         assert dedup.indel_ratio(a, b) == pytest.approx(ratio)
         near = dedup.Near(3, 92)
         near.add(7, dedup.Profile(a))
-        assert near.find(10, dedup.Profile(b)) == [7] * (ratio >= 92)
+        assert near.find(10, dedup.Profile(b)) == near.find(10, dedup.Profile(b), first=True) == [7] * (ratio >= 92)
         seen.add(ratio >= 92)
         near.add(10, dedup.Profile(b))  # takes the place of 7
         assert list(near.known) == [10]

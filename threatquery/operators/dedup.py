@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections import Counter, deque
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threatquery.sources.sinks import materialise, numbered
+from threatquery.sources.sinks import Scratch, materialise
 
 #: A text is a near copy of an earlier kept one at this similarity, among so many last kept ones.
 RATIO, WINDOW = 92, 200
-#: Ranks that are resolved together, in reaches of a pair.
-RANGES = 64
-#: Ranks in which pairs are sought together, in reaches of a pair.
-STRETCH = 8
+#: Rows that are decided together, and rows before them that are decided only to begin with, in windows.
+PIECE, BEFORE = 32, 3
 #: Buckets of code points; code points of a gram, and bits of its hash.
 LETTERS, GRAM, GRAM_BITS = 64, 5, 18
 
@@ -70,12 +69,6 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def ranked(rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` with rank from 1 by a distinct ``order``: sorted ranges and their counts, not one task."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return numbered(rows.repartitionByRange(parts, order).sortWithinPartitions(order), "rank")
-
-
 class Profile:
     """A text with its code points and its grams counted, both by hash."""
 
@@ -135,130 +128,190 @@ class Near:
         self.known[rank] = own
         self.ranks[at], self.sizes[at], self.letters[at] = rank, own.size, own.letters
 
-    def find(self, rank: int, own: Profile) -> list[int]:
-        """Ranks of the held texts that are near, of those at most ``reach`` before."""
+    def find(self, rank: int, own: Profile, first: bool = False) -> list[int]:
+        """Ranks of the held texts that are near, of those at most ``reach`` before; with ``first`` one of them, the likeliest tried first."""
         most = (100 - self.least) / 100 * (self.sizes + own.size) + 1e-6
         at = np.flatnonzero((self.ranks >= rank - self.reach) & (abs(self.sizes - own.size) <= most))
         at = at[abs(self.letters[at] - own.letters).sum(1) <= most[at]]
         if not len(at):
             return []
-        out = []
+        tried = []
         self.table[own.grams] = own.times
         for k in at.tolist():
             other = self.known[int(self.ranks[k])]
             shared = np.minimum(self.table[other.grams], other.times).sum()
             apart = max(own.size - GRAM + 1, 0) + max(other.size - GRAM + 1, 0) - 2 * shared
-            if apart <= (2 * GRAM - 1) * most[k] and other.near(own, self.least):
-                out.append(int(self.ranks[k]))
+            if apart <= (2 * GRAM - 1) * most[k]:
+                tried.append((apart / most[k], k, other))
         self.table[own.grams] = 0
+        out = []
+        for _, k, other in sorted(tried, key=lambda x: x[:2]) if first else tried:
+            if other.near(own, self.least):
+                out.append(int(self.ranks[k]))
+                if first:
+                    break
         return out
 
 
-def near_pairs(rows: DataFrame, reach: int, least: float = RATIO) -> DataFrame:
-    """(a, b) ranks of texts at most ``reach`` apart with a ratio of ``least`` or more. ``rows``: rank from 1, t.
+class Window:
+    """The last ``size`` kept rows: their ranks, and their texts for comparison."""
+
+    def __init__(self, size: int, least: float):
+        self.near, self.ranks, self.texts, self.held, self.n = Near(size, least), deque(maxlen=size), deque(maxlen=size), Counter(), 0
+
+    def add(self, rank: int, text: str, profile: Profile | None = None) -> None:
+        if len(self.texts) == self.texts.maxlen:
+            self.held[self.texts[0]] -= 1
+            self.held += Counter()
+        self.ranks.append(rank)
+        self.texts.append(text)
+        self.held[text] += 1
+        self.near.add(self.n, profile or Profile(text))
+        self.n += 1
+
+    def decide(self, rank: int, text: str) -> bool:
+        """Whether the row is kept, which makes it one of the window."""
+        if text in self.held:
+            return False
+        profile = Profile(text)
+        if self.near.find(self.n, profile, first=True):
+            return False
+        self.add(rank, text, profile)
+        return True
+
+
+#: What a row of a piece is for: a rank of the window that the piece began with before, a kept row that it begins with now, a row to decide.
+OLD, GIVEN, OWN = 0, 1, 2
+_DECIDED = "piece bigint, rank bigint, kept boolean, began array<bigint>, ended array<bigint>"
 
-    Ranks are cut into stretches; a row goes to its own, and one of the last
-    ``reach`` of a stretch to the next one too, so texts are shuffled little
-    more than once. A task holds the texts of ``reach`` ranks. A null is near
-    nothing.
+
+def decided(sent: DataFrame, size: int, window: int, least: float) -> DataFrame:
+    """The decisions of pieces of ``size`` ranks, and of each piece the windows that it began and ended with, in a row without a rank.
+
+    ``sent``: piece, role, rank, t, old, sorted so within each piece. Where the
+    window comes to be what it was in an earlier run, the rest of the piece is
+    as it was then (``old``).
     """
-    size = STRETCH * reach
-    own = F.floor((F.col("rank") - 1) / size)
-    late = F.col("rank") > (own + 1) * size - reach
-    sent = rows.where("t is not null").select("rank", "t", own.alias("own"), F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("stretch"))
-    sent = sent.repartition("stretch").sortWithinPartitions("stretch", "rank")
 
     def run(batches):
-        stretch, near = None, None
-        for batch in batches:
-            a, b = [], []
-            for s, home, rank, text in zip(*(batch.column(c).to_pylist() for c in ("stretch", "own", "rank")), batch.column("t"), strict=True):
-                if s != stretch:
-                    stretch, near = s, Near(reach, least)
-                profile = Profile(text.as_py())
-                if home == s:
-                    found = near.find(rank, profile)
-                    a += found
-                    b += [rank] * len(found)
-                near.add(rank, profile)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        piece, live, was, began, same = None, None, None, None, False
+        out: list[tuple] = []
 
-    return sent.select("stretch", "own", "rank", "t").mapInArrow(run, "a bigint, b bigint")
+        def end():
+            if began is not None:  # beyond the last rank there is nothing to decide
+                out.append((piece, None, None, began, list(live.ranks)))
 
+        for batch in batches:
+            for p, role, rank, text, old in zip(*(batch.column(c).to_pylist() for c in ("piece", "role", "rank", "t", "old")), strict=True):
+                if p != piece:
+                    if piece is not None:
+                        end()
+                    piece, live, was, began, same = p, Window(window, least), None, None, False
+                if role == OLD:
+                    was = deque(maxlen=window) if was is None else was
+                    if rank is not None:
+                        was.append(rank)
+                    continue
+                if role == GIVEN:
+                    live.add(rank, text)
+                    continue
+                own = (rank - 1) // size == p
+                if own and began is None:
+                    began = list(live.ranks)
+                same = same or (own and was is not None and was == live.ranks)
+                if same:
+                    kept = old
+                    if kept:
+                        live.ranks.append(rank)
+                else:
+                    kept = live.decide(rank, text)
+                if was is not None and old and not same:
+                    was.append(rank)
+                if own:
+                    out.append((p, rank, kept, None, None))
+            yield _batch(out)
+            out = []
+        if piece is not None:
+            end()
+            yield _batch(out)
+
+    return sent.mapInArrow(run, _DECIDED)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["piece", "rank", "kept", "began", "ended"])
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.select("piece", "role", "rank", "t", "old").repartitionById(parts, F.pmod("piece", F.lit(parts)).cast("int"))
+    return out.sortWithinPartitions("piece", "role", "rank")
 
-def resolve(pairs: pd.DataFrame, window: int, earlier: np.ndarray) -> tuple[list[int], int]:
-    """Ranks that are dropped, as near a kept one among the last ``window`` kept before them, and how far back the window reached.
 
-    ``pairs``: a, b of a range of b. ``earlier``: sorted ranks dropped before that range.
+def placed(rows: DataFrame, order: str, text: str) -> DataFrame:
+    """id, t and rank from 1, by a distinct ``order``, of the rows with a text that isn't that of the row before; the others have no rank.
+
+    A row with the text of the one before it is always dropped, as the window is
+    the same, so runs of copies take no ranks. Ranks are running counts of sorted
+    ranges, shifted by the counts of the ranges before.
     """
-    dropped = earlier.tolist()
-    first = len(dropped)
-    far = 0
-    for b, group in pairs.sort_values(["b", "a"]).groupby("b", sort=True):
-        for a in sorted(group["a"].tolist(), reverse=True):
-            at = bisect_left(dropped, a)
-            gone = at < len(dropped) and dropped[at] == a
-            if not gone and (b - a) - (len(dropped) - at) <= window:
-                dropped.append(int(b))
-                break
-        far = max(far, _reach(int(b), window, dropped))
-    return dropped[first:], far
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.select(F.col(order).alias("id"), F.col(text).alias("t")).repartitionByRange(parts, "id").sortWithinPartitions("id")
 
+    def count(batches):
+        part, before, n = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            own = []
+            for x in batch.column("t").to_pylist():
+                ranked = x is not None and x != before
+                n, before = n + ranked, x
+                own.append(n if ranked else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(own, pa.int64()), pa.array([part] * len(own), pa.int64())], names=["id", "t", "own", "part"])
 
-def _reach(rank: int, window: int, dropped: list[int]) -> int:
-    """How many ranks before ``rank`` hold ``window`` kept ones: as many more as were dropped among them."""
-    far = window
-    while (more := window + len(dropped) - bisect_left(dropped, rank - far) - (1 if dropped and dropped[-1] == rank else 0)) > far and far < rank:
-        far = more
-    return min(far, rank)
+    kind = ranges.schema["id"].dataType.simpleString()
+    held = materialise(ranges.mapInArrow(count, f"id {kind}, t string, own bigint, part bigint"), "placed")
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    shift = held.groupBy("part").agg(F.max("own").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))  # a row for each partition
+    return held.join(F.broadcast(shift), "part").select("id", "t", (F.col("before") + F.col("own")).alias("rank"))
 
 
 def near_mask(rows: DataFrame, order: str, text: str, least: float = RATIO, window: int = WINDOW) -> DataFrame:
     """``order`` and kept: whether no kept text among the last ``window`` kept ones before it is near.
 
-    The decision is sequential, but only rows with a near earlier one matter,
-    and only those shortly before a range of ranks reach into it. The sparse
-    pairs are resolved by ranges at once, and again with what the ranges before
-    have dropped near their ends, until those agree: twice, unless a chain of
-    near texts runs through whole ranges. The window counts kept rows, so pairs
-    are sought twice as far, and farther while so many rows of a stretch were
-    dropped that the window could reach beyond.
+    A null text is near nothing and takes no place in the window. The decision
+    is sequential, but all that a row needs of those before it is the window.
+    Rows are cut into pieces by rank, which are decided at once, each from some
+    rows before it; where the window that a piece so began with isn't the one
+    that the piece before it ended with, it is decided again from that one, as
+    far as the difference reaches, until all agree: mostly after one more turn,
+    and after one for each piece of a stretch that keeps less than a window.
     """
-    places = ranked(rows.select(F.col(order).alias("id"), F.col(text).alias("t")), "id")
-    reach = 2 * window
-    while True:
-        size = RANGES * reach
-        pairs = materialise(near_pairs(places, reach, least).withColumn("piece", F.floor((F.col("b") - 1) / size)), "near")
-        found, border = _resolved(pairs, window, None), None
-        while True:
-            # what each range must know of the one before: the ranks dropped within reach of its start
-            late = found.where(f"b >= 0 and (piece + 1) * {size} - b < {reach}").select((F.col("piece") + 1).alias("piece"), "b")
-            late = materialise(late, "border")
-            now = tuple(late.agg(F.count("*"), F.sum(F.xxhash64("b").cast("decimal(38,0)"))).first())
-            if now == border or (border is None and not now[0]):
+    whole = placed(rows, order, text)
+    ranked = whole.where("rank is not null").select("rank", "t")
+    size = PIECE * window
+    own = F.floor((F.col("rank") - 1) / size)
+    late = F.col("rank") > (own + 1) * size - BEFORE * window
+    to = F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("piece")
+    none = F.lit(None).cast("boolean").alias("old")
+    with Scratch(rows.sparkSession, "near") as scratch:
+        found = scratch.write(decided(_dealt(ranked.select(to, F.lit(OWN).alias("role"), "rank", "t", none)), size, window, least), "decided0")
+        for turn in range(1, 1 << 30):
+            ends = found.where("rank is null")
+            before = ends.select((F.col("piece") + 1).alias("piece"), F.col("ended").alias("given"))
+            wrong = scratch.write(ends.join(before, "piece").where("began <> given").select("piece", "given", "began"), f"wrong{turn}")
+            if wrong.isEmpty():
                 break
-            border = now
-            found = _resolved(pairs, window, late)
-        far = found.agg(F.max("far")).first()[0] or 0
-        if far <= reach:
-            break
-        reach = 2 * far
-    gone = found.where("b >= 0").select(F.col("b").alias("rank"), F.lit(True).alias("gone"))
-    return places.join(gone, "rank", "left").select(F.col("id").alias(order), F.col("gone").isNull().alias("kept"))
-
-
-def _resolved(pairs: DataFrame, window: int, late: DataFrame | None) -> DataFrame:
-    """piece, b (dropped; -1 in a row of its own) and far of every range."""
-    every = pairs.select("piece", "a", "b", F.lit(False).alias("known"))
-    if late is not None:
-        every = every.unionByName(late.select("piece", F.lit(0).cast("bigint").alias("a"), "b", F.lit(True).alias("known")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, far = resolve(pdf[~pdf["known"]], window, np.sort(pdf.loc[pdf["known"], "b"].to_numpy(np.int64)))
-        gone = np.array([*out, -1], np.int64)
-        return pd.DataFrame({"piece": pdf["piece"].iloc[0], "b": gone, "far": np.append(np.zeros(len(out), np.int64), far)})
-
-    return materialise(every.groupBy("piece").applyInPandas(run, "piece bigint, b bigint, far bigint"), "resolved")
+            flags = found.where("rank is not null").join(wrong.select("piece"), "piece", "left_semi").select("rank", F.col("kept").alias("old"))
+            again = ranked.join(flags, "rank").select(own.alias("piece"), F.lit(OWN).alias("role"), "rank", "t", "old")
+            given = wrong.select("piece", F.explode("given").alias("rank")).join(ranked, "rank").select("piece", F.lit(GIVEN).alias("role"), "rank", "t", none)
+            old = wrong.select("piece", F.lit(OLD).alias("role"), F.explode_outer("began").alias("rank"), F.lit(None).cast("string").alias("t"), none)
+            anew = scratch.write(decided(_dealt(again.unionByName(given).unionByName(old)), size, window, least), f"anew{turn}")
+            found = scratch.write(found.join(wrong.select("piece"), "piece", "left_anti").unionByName(anew), f"decided{turn}")
+        kept = materialise(found.where("rank is not null").select("rank", "kept"), "near")
+    out = whole.join(kept, "rank", "left")
+    return out.select(F.col("id").alias(order), F.coalesce("kept", F.col("t").isNull()).alias("kept"))
 
 
 def overlaps(rows: DataFrame, split: str, key: Column) -> DataFrame:
