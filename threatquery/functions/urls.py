@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatquery.functions import lexicons as lex
@@ -128,6 +128,14 @@ def lexical(url: Column) -> dict[str, Column]:
     }
 
 
+def with_engineered(rows: DataFrame, column: str = "URL") -> DataFrame:
+    """``rows`` with IsURLShortener, URLDepth and HasSuspiciousKeyword of their URLs; no other column changes. Fails without the column."""
+    if column not in rows.columns:
+        raise ValueError(f"no column {column!r} among {rows.columns}")
+    made = lexical(F.col(f"`{column}`"))
+    return rows.withColumns({c: made[c] for c in ("IsURLShortener", "URLDepth", "HasSuspiciousKeyword")})
+
+
 def canonical_simple(url: Column) -> Column:
     """Canonical form of a URL without escapes, user or dot segments: lower host, no default port, sorted query."""
     part = components(url)

@@ -64,6 +64,30 @@ def unpivot(one: DataFrame, keys: Iterable[str], fields: Iterable[str], name: st
     return one.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
 
 
+def histogram(rows: DataFrame, by: str, column: str, bins: int = 40) -> DataFrame:
+    """``by``, bin from 0, low, high and n: equal bins between the exact least and greatest value of each class.
+
+    A bin holds its lower edge, the last one also its upper edge; empty bins are
+    there. A class of one value has bins from half below to half above it, and
+    one without values, or null, has none of its own. NaN is no value.
+    """
+    x = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    known = rows.select(F.col(by).alias("class"), x.alias("x")).where(F.col("x").isNotNull() & F.col("class").isNotNull())
+    ends = known.groupBy("class").agg(F.min("x").alias("low"), F.max("x").alias("high"))  # a row for each class
+    same = F.col("low") == F.col("high")
+    ends = ends.select("class", F.when(same, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"), F.when(same, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"))
+    edge = lambda k: F.when(k == bins, F.col("high")).otherwise(F.col("low") + k * ((F.col("high") - F.col("low")) / bins))
+    # by proportion, then by the edges themselves, which rounding may have put on the other side
+    near = known.join(ends, "class").withColumn("bin", F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)))
+    near = near.withColumn("bin", F.when(F.col("x") < edge(F.col("bin")), F.col("bin") - 1).otherwise(F.col("bin")))
+    near = near.withColumn("bin", F.when((F.col("x") >= edge(F.col("bin") + 1)) & (F.col("bin") < bins - 1), F.col("bin") + 1).otherwise(F.col("bin")))
+    counts = near.groupBy("class", "bin").agg(F.count("*").alias("n"))
+    spine = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("bin", F.col("bin").cast("bigint"))
+    spine = spine.select("class", "bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"))
+    out = spine.join(counts, ["class", "bin"], "left")
+    return out.select(F.col("class").alias(by), "bin", "low", "high", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
 def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The same for all columns at once, a row each."""
     one = rows.agg(*[c.cast("double").alias(f"{k}__{n}") for k in columns for n, c in _moments(F.col(k).cast("double")).items()])

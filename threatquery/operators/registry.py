@@ -17,6 +17,8 @@ from threatquery.functions.text import strip
 from threatquery.sources.sinks import materialise
 
 MESSAGE, URL = 0, 1
+#: Rows of the first range that seeding with a limit reads, for each record that it allows.
+FIRST_RANGE = 16
 ZERO_HASH = "0x" + "0" * 64
 # Label spellings by modality. The polarity of 0 and 1 differs on purpose.
 THREAT_LABELS = {MESSAGE: ["1", "spam", "malicious", "smishing", "phishing"], URL: ["0", "phishing", "malicious", "threat"]}
@@ -33,19 +35,18 @@ def is_threat(label: Column, threat_type: int, explicit: str | None = None) -> C
     return F.when(key.isin(*THREAT_LABELS[threat_type]), True).when(key.isin(*BENIGN_LABELS[threat_type]), False)
 
 
-def classified(rows: DataFrame, content: str, label: str, order: str, hashed: Callable[[Column], Column], threat_type: int, explicit: str | None = None) -> DataFrame:
-    """Every row with its state in seeding (invalid, benign, threat) and whether it is the first of its content and of its hash.
-
-    ``hashed`` gives the fingerprint of the stripped content; null where there is none.
-    """
+def _states(rows: DataFrame, content: str, label: str, order: str, hashed: Callable[[Column], Column], threat_type: int, explicit: str | None) -> DataFrame:
+    """source_row, state, threat_hash and a digest of the content of every row."""
     raw, key = strip(F.col(content)), strip(F.col(label))
     out = rows.select(F.col(order).alias("source_row"), raw.alias("raw"), key.alias("key"))
     blank = (F.coalesce(F.col("raw"), F.lit("")) == "") | (F.coalesce(F.col("key"), F.lit("")) == "")
     threat = is_threat(F.col("key"), threat_type, explicit)
     out = out.withColumn("state", F.when(blank | threat.isNull(), "invalid").when(threat, "threat").otherwise("benign"))
     out = out.withColumn("threat_hash", hashed(F.when(F.col("state") == "threat", F.col("raw"))))
-    # Written once, as fingerprints cost; contents go on as digests only.
-    out = materialise(out.select("source_row", "state", "threat_hash", F.sha2(F.col("raw").cast("binary"), 256).alias("raw_digest")), "classified")
+    return out.select("source_row", "state", "threat_hash", F.sha2(F.col("raw").cast("binary"), 256).alias("raw_digest"))
+
+
+def _firsts(out: DataFrame) -> DataFrame:
     threats = out.where("state = 'threat'")
     # The least row of a key comes from a partial aggregate and meets its row by the row's number: no key is one task.
     for flag, column in (("raw_first", "raw_digest"), ("hash_first", "threat_hash")):
@@ -54,6 +55,31 @@ def classified(rows: DataFrame, content: str, label: str, order: str, hashed: Ca
     return out
 
 
+def classified(rows: DataFrame, content: str, label: str, order: str, hashed: Callable[[Column], Column], threat_type: int, explicit: str | None = None, limit: int | None = None) -> DataFrame:
+    """Every row with its state in seeding (invalid, benign, threat) and whether it is the first of its content and of its hash.
+
+    ``hashed`` gives the fingerprint of the stripped content; null where there is none.
+    With a ``limit``, only as many of the first rows as hold so many different
+    fingerprints: rows are read and hashed by ranges of ``order``, a whole number
+    then, each twice as wide as the one before, until there are enough. A range
+    reaches the scan as a filter.
+    """
+    # Written once, as fingerprints cost; contents go on as digests only.
+    states = lambda some: materialise(_states(some, content, label, order, hashed, threat_type, explicit), "classified")
+    if limit is None:
+        return _firsts(states(rows))
+    first, last = rows.agg(F.min(order), F.max(order)).first()
+    found = states(rows.limit(0)) if first is None else None
+    width = FIRST_RANGE * max(limit, 1)
+    while first is not None and first <= last:
+        some = states(rows.where(F.col(order).between(first, first + width - 1)))
+        found = some if found is None else found.unionByName(some)
+        if found.where("state = 'threat' and threat_hash is not null").select("threat_hash").distinct().limit(max(limit, 1)).count() >= max(limit, 1):
+            break
+        first, width = first + width, 2 * width
+    return _firsts(found)
+
+
 def seeds(found: DataFrame, threat_type: int, limit: int | None = None) -> DataFrame:
     """The first row of each hash as a registry record. A limit counts these; one below 1 stops at the first of them."""
     out = found.where("state = 'threat' and hash_first")
@@ -97,10 +123,11 @@ def _within(column: str, least: int, most: int) -> Column:
     return F.coalesce(F.col(column).between(least, most), F.lit(False))
 
 
-def guarded_insert(registry: DataFrame, batch: DataFrame, owner: str, order: str = "seq") -> DataFrame:
+def guarded_insert(registry: DataFrame, batch: DataFrame, owner: str | Column, order: str = "seq") -> DataFrame:
     """``batch`` with reason: null where accepted, else the first guard that refuses the row.
 
-    A null submitter is not the owner, a null hash counts as the zero hash, and
+    ``owner``: an address, or a column of ``row``, the struct of the batch's
+    columns. A null submitter is not the owner, a null hash counts as the zero hash, and
     a null verdict or confidence is out of its range. Columns of any name pass
     through; one called reason is replaced.
     """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threatquery.operators import profile as ops
 from threatquery.plans.catalogue import query, table
 from threatquery.plans.scan import HOST, LISTED_SQL, listed, pages
+from threatquery.plans.text import MESSAGES, messages
 from threatquery.functions import urls
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -38,6 +39,20 @@ def grouped_describe(spark, sf_dir):
     return rounded(ops.grouped_describe(rows, "lang", "n"), "mean", "std", "p25", "p50", "p75")
 
 
+_SIZED = f"SELECT label, length(text)::DOUBLE AS x FROM ({MESSAGES})"
+
+
+@query(
+    f"""WITH m AS ({_SIZED}), e AS (SELECT label, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS a, CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS b FROM m GROUP BY label),
+s AS (SELECT label, k AS bin, a + k * ((b - a) / 40) AS low, CASE WHEN k = 39 THEN b ELSE a + (k + 1) * ((b - a) / 40) END AS high FROM e, range(40) r(k))
+SELECT s.label, bin::BIGINT AS bin, round(low, 6) AS low, round(high, 6) AS high, count(x) AS n FROM s LEFT JOIN m ON m.label = s.label AND x >= low AND (x < high OR bin = 39 AND x <= high) GROUP BY ALL"""
+)
+def length_histogram(spark, sf_dir):
+    """What stands behind the chart of message lengths by class."""
+    rows = messages(spark, sf_dir).select("label", F.length("text").alias("x"))
+    return rounded(ops.histogram(rows, "label", "x"), "low", "high")
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {_describe_sql(f'{c}::DOUBLE')} FROM lineitem" for c in NUMBERS))
 def describe_all(spark, sf_dir):
     return rounded(ops.describe(table(spark, sf_dir, "lineitem"), NUMBERS), "mean", "std", "p25", "p50", "p75")

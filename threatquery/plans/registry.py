@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threatquery.functions import hashing, text as tx
-from threatquery.operators import registry as reg
+from threatquery.operators import ownership, registry as reg
 from threatquery.plans.catalogue import query, table
 from threatquery.plans.scan import CANONICAL, LISTED_SQL, REGISTRY, listed, pages, registry_of, simple_hash
 from threatquery.plans.text import LABEL_SQL, messages
@@ -34,10 +34,10 @@ def _seed_rows(spark, sf_dir):
     return first.unionByName(again).unionByName(third)
 
 
-def _classified(spark, sf_dir):
+def _classified(spark, sf_dir, limit=None):
     # an equal stand-in in SQL: the scheme's case is settled before the hash
     rows = _seed_rows(spark, sf_dir)
-    return reg.classified(rows, "url", "label", "source_row", simple_hash, reg.URL)
+    return reg.classified(rows, "url", "label", "source_row", simple_hash, reg.URL, limit=limit)
 
 
 @query(f"{_CLASSIFIED} SELECT h AS threat_hash, 1 AS threat_type, 1 AS verdict, 100 AS confidence, source_row FROM ranked WHERE state = 'threat' AND hash_rank = 1")
@@ -47,8 +47,8 @@ def seed_records(spark, sf_dir):
 
 @query(f"{_CLASSIFIED} SELECT h AS threat_hash, source_row FROM ranked WHERE state = 'threat' AND hash_rank = 1 ORDER BY source_row LIMIT 5")
 def seed_limit_prefix(spark, sf_dir):
-    """The limit counts unique records."""
-    return reg.seeds(_classified(spark, sf_dir), reg.URL, limit=5).select("threat_hash", "source_row")
+    """The limit counts unique records, and ends reading and hashing."""
+    return reg.seeds(_classified(spark, sf_dir, 5), reg.URL, limit=5).select("threat_hash", "source_row")
 
 
 @query(
@@ -69,7 +69,7 @@ SELECT count(*) AS total_records, count_if(state = 'invalid') AS invalid_records
 )
 def seed_limit_stats(spark, sf_dir):
     """Seeding stops at the fifth unique record, and so do its counters."""
-    return reg.statistics(_classified(spark, sf_dir), reg.URL, limit=5)
+    return reg.statistics(_classified(spark, sf_dir, 5), reg.URL, limit=5)
 
 
 @query(f"{_CLASSIFIED} SELECT h AS \"threatHash\", 'URL' AS \"threatType\", 1 AS \"threatTypeInt\", 1 AS verdict, 100 AS confidence FROM ranked WHERE state = 'threat' AND hash_rank = 1")
@@ -134,6 +134,33 @@ def _decided(spark, sf_dir):
     return reg.guarded_insert(known, batch, "owner")
 
 
+# Calls by the second: each event is an insert or a transfer of one of four owners, some to nobody.
+_CALLS = """SELECT event_id AS seq, CASE WHEN event_type = 'error' OR event_id % 5 = 0 THEN 'transfer' ELSE 'insert' END AS kind, CASE WHEN user_id % 13 = 0 THEN NULL ELSE 'owner ' || (user_id % 4) END AS caller,
+  CASE WHEN event_id % 11 = 0 THEN '0x0000000000000000000000000000000000000000' WHEN event_id % 17 = 0 THEN NULL ELSE 'owner ' || ((user_id + event_id) % 4) END AS new_owner FROM events"""
+
+
+@query(
+    f"""WITH RECURSIVE c AS ({_CALLS}), t AS (SELECT seq, caller, new_owner FROM c WHERE kind = 'transfer' AND caller IS NOT NULL AND new_owner IS NOT NULL AND new_owner <> '0x0000000000000000000000000000000000000000'),
+p AS (SELECT -1::BIGINT AS seq, 'owner 0' AS owner UNION ALL SELECT n.seq, n.new_owner FROM p, LATERAL (SELECT seq, new_owner FROM t WHERE t.seq > p.seq AND t.caller = p.owner ORDER BY seq LIMIT 1) n)
+SELECT c.seq, p.owner, CASE WHEN c.caller IS DISTINCT FROM p.owner THEN 'NotOwner' WHEN kind = 'transfer' AND (new_owner IS NULL OR new_owner = '0x0000000000000000000000000000000000000000') THEN 'ZeroAddress' END AS reason
+FROM c ASOF JOIN p ON c.seq > p.seq"""
+)
+def registry_owners(spark, sf_dir):
+    """The owner at each call and the guards of ownership, over transfers among several owners."""
+    return ownership.owners(_calls(spark, sf_dir), "owner 0")
+
+
+def _calls(spark, sf_dir):
+    e, k, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
+    named = lambda n: F.concat(F.lit("owner "), (n % 4).cast("string"))
+    return e.select(
+        k.alias("seq"),
+        F.when((F.col("event_type") == "error") | (k % 5 == 0), ownership.TRANSFER).otherwise(ownership.INSERT).alias("kind"),
+        F.when(u % 13 != 0, named(u)).alias("caller"),
+        F.when(k % 11 == 0, ownership.ZERO_ADDRESS).when(k % 17 != 0, named(u + k)).alias("new_owner"),
+    )
+
+
 @query(
     f"""WITH batch AS ({_BATCH}), known AS ({_KNOWN}), ok AS (
   SELECT * FROM batch WHERE submitter = 'owner' AND threat_hash <> '{reg.ZERO_HASH}' AND threat_hash NOT IN (SELECT threat_hash FROM known) AND verdict BETWEEN 0 AND 1 AND confidence BETWEEN 0 AND 100
