@@ -145,8 +145,9 @@ def test_near_mask_of_copies(spark, monkeypatch):
         want.append(not any(t == u or dedup.indel_ratio(t, u) >= 92 for u in kept[-20:]))
         if want[-1]:
             kept.append(t)
-    for piece in (32, 1):
+    for piece, most in ((32, 1 << 20), (1, 0)):
         monkeypatch.setattr(dedup, "PIECE", piece)
+        monkeypatch.setattr(dedup, "BROADCAST", most)
         got = dedup.near_mask(spark.createDataFrame(list(enumerate(rows)), "id long, t string"), "id", "t", 92, 20).orderBy("id").collect()
         assert [r.kept for r in got] == want
 

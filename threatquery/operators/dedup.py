@@ -17,6 +17,8 @@ from threatquery.sources.sinks import Scratch, materialise
 RATIO, WINDOW = 92, 200
 #: Rows that are decided together, and rows before them that are decided only to begin with, in windows.
 PIECE, BEFORE = 32, 3
+#: Bytes of pieces and of ranks in windows, as counted, that go to every task.
+BROADCAST = 16 << 20
 #: Buckets of code points; code points of a gram, and bits of its hash.
 LETTERS, GRAM, GRAM_BITS = 64, 5, 18
 
@@ -301,17 +303,19 @@ def near_mask(rows: DataFrame, order: str, text: str, least: float = RATIO, wind
             ends = found.where("rank is null")
             before = ends.select((F.col("piece") + 1).alias("piece"), F.col("ended").alias("given"))
             wrong = scratch.write(ends.join(before, "piece").where("began <> given").select("piece", "given", "began"), f"wrong{turn}")
-            if wrong.isEmpty():
+            if not (n := wrong.count()):
                 break
-            flags = found.where("rank is not null").join(wrong.select("piece"), "piece", "left_semi").select("rank", F.col("kept").alias("old"))
-            again = ranked.join(flags, "rank").select(own.alias("piece"), F.lit(OWN).alias("role"), "rank", "t", "old")
-            given = wrong.select("piece", F.explode("given").alias("rank")).join(ranked, "rank").select("piece", F.lit(GIVEN).alias("role"), "rank", "t", none)
+            small = lambda df, each: F.broadcast(df) if n * each <= BROADCAST else df  # noqa: B023, E731
+            pieces = small(wrong.select("piece"), 8)
+            flags = found.where("rank is not null").join(pieces, "piece", "left_semi").select("rank", F.col("kept").alias("old"))
+            again = ranked.withColumn("piece", own).join(pieces, "piece", "left_semi").join(flags, "rank").select("piece", F.lit(OWN).alias("role"), "rank", "t", "old")
+            given = ranked.join(small(wrong.select("piece", F.explode("given").alias("rank")), 16 * window), "rank").select("piece", F.lit(GIVEN).alias("role"), "rank", "t", none)
             old = wrong.select("piece", F.lit(OLD).alias("role"), F.explode_outer("began").alias("rank"), F.lit(None).cast("string").alias("t"), none)
             anew = scratch.write(decided(_dealt(again.unionByName(given).unionByName(old)), size, window, least), f"anew{turn}")
             found = scratch.write(found.join(wrong.select("piece"), "piece", "left_anti").unionByName(anew), f"decided{turn}")
         kept = materialise(found.where("rank is not null").select("rank", "kept"), "near")
-    out = whole.join(kept, "rank", "left")
-    return out.select(F.col("id").alias(order), F.coalesce("kept", F.col("t").isNull()).alias("kept"))
+    out = whole.select("id", "rank", F.col("t").isNull().alias("blank")).join(kept, "rank", "left")  # without the texts
+    return out.select(F.col("id").alias(order), F.coalesce("kept", "blank").alias("kept"))
 
 
 def overlaps(rows: DataFrame, split: str, key: Column) -> DataFrame:
