@@ -3,10 +3,16 @@
 A word is bounded by ``<`` and ``>`` and stands for its byte n-grams and for
 itself; each of these has a hashed vector. A document is the average of the
 vectors of the subwords of its distinct words (and of a few empty ones, so that
-a short text doesn't swing), and a softmax over that average gives the score.
+a short text doesn't swing), times the root of their number, so that a long text
+doesn't thin out the few words that tell. A softmax over that gives the score.
 Vectors and softmax are trained together in numpy, so that a misspelling that
 was never seen still shares most of its n-grams with words that were.
 
+Where the threshold stands and how steep the score is comes from the training
+labels too: each half of the sample is scored by a model of the other one, and
+the cut with the best F1 there among the precise ones, classes weighted as in
+all labels, becomes the threshold.
+
 Edge cases: a null or empty text has an empty bag, and its score is that of
 the bias alone; repeated rows and ties get equal scores; with no labelled rows
 of either class the score is the smoothed share of the class; an id that repeats
@@ -29,20 +35,23 @@ from threatquery.llm import _store, _text
 PER_CLASS = 1500
 BUCKETS = 1 << 16
 DIM = 8
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6)
 #: Passes over the sample, more where it is small.
 EPOCHS = 8
 LEAST_STEPS = 600
 #: Sampled documents in which a bucket must occur; the others get no weight.
-LEAST_DOCS = 4
+LEAST_DOCS = 6
 BATCH = 50
 SCALE = 30.0
 RATE = 1.2
-#: A missed toxic text costs as much as so many false alarms.
-POSITIVE = 3.0
+#: Pull of the vectors towards 0 in each step.
+DECAY = 5e-3
 THRESHOLD = 0.7
-#: Empty subwords that every average holds.
-EMPTY = 600
+#: Empty subwords that every average holds; subwords of a text of which the average counts once.
+EMPTY, TYPICAL = 600, 3000
+#: Parts of the sample for the threshold, and rows of each class from which there is one.
+PARTS, LEAST_ROWS = 2, 12
+PRECISION = 0.9
 
 
 def subwords(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +100,12 @@ class Model:
     bias: float
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
+def whole(n):
+    """What a sum over ``n`` subwords is divided by."""
+    return np.sqrt(float(TYPICAL) * (n + EMPTY))
+
+
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7, least_steps: int = LEAST_STEPS) -> Model:
     """Joint training of the vectors and the softmax by Adagrad. rows: label, buckets, how often each occurs; they are used up."""
     labels = np.array([r[0] for r in rows], int)
     ones = int(labels.sum())
@@ -110,26 +124,28 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
     # Four bytes an entry, and each row goes as its batch is made; what a step needs besides is made when it is taken.
     batches = []
     for a in range(0, len(rows), BATCH):
-        own = [(y, ids[seen[ids]], times[seen[ids]], times.sum(dtype=np.int64) + EMPTY) for y, ids, times in (rows[k] for k in order[a : a + BATCH])]
+        own = [(y, ids[seen[ids]], times[seen[ids]], whole(times.sum(dtype=np.int64))) for y, ids, times in (rows[k] for k in order[a : a + BATCH])]
         for k in order[a : a + BATCH]:
             rows[k] = None
         if sum(len(r[1]) for r in own):
-            batches.append(tuple(np.concatenate([r[k] for r in own]) for k in (1, 2)) + tuple(np.array(x) for x in ([len(r[1]) for r in own], [r[3] for r in own], [r[0] for r in own])))
+            ids, times = (np.concatenate([r[k] for r in own]) for k in (1, 2))
+            by = np.argsort(ids, kind="stable")  # once, not in each pass
+            doc = np.repeat(np.arange(len(own), dtype=np.uint8), [len(r[1]) for r in own])[by]
+            batches.append((ids[by], times[by], doc, np.array([r[3] for r in own]), np.array([r[0] for r in own])))
 
     def step(x, g, s, rate):
         s += g * g
         x -= rate * g / np.sqrt(s)
 
-    epochs = max(EPOCHS, LEAST_STEPS // max(len(batches), 1))
+    epochs = max(EPOCHS, least_steps // max(len(batches), 1))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs) + 0.01
         for k in rng.permutation(len(batches)):
-            ids, times, sizes, whole, y = batches[k]
-            n, doc = len(y), np.repeat(np.arange(len(y)), sizes)
-            w = (SCALE * times / whole[doc]).astype(np.float32)
-            by = np.argsort(ids, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(ids[by]) != 0])
-            touched = ids[by][cuts]
+            ids, times, doc, size, y = batches[k]
+            n = len(y)
+            w = (SCALE * times / size[doc]).astype(np.float32)
+            cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            touched = ids[cuts]
             vectors = table[ids] * w[:, None]
             mean = np.stack([np.bincount(doc, vectors[:, d], n) for d in range(DIM)], 1).astype(np.float32)
             logit = mean @ head + bias
@@ -138,19 +154,65 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
             p[np.arange(n), y] -= 1
             p /= n
             back = (p @ head.T).astype(np.float32)
-            grad = np.add.reduceat(back[doc[by]] * w[by, None], cuts, axis=0)
+            grad = np.add.reduceat(back[doc] * w[:, None], cuts, axis=0)
             sq = square[0][touched] + grad * grad
             square[0][touched] = sq
-            table[touched] -= rate * (grad / np.sqrt(sq) + 1e-3 * table[touched])
+            table[touched] -= rate * (grad / np.sqrt(sq) + DECAY * table[touched])
             step(head, mean.T @ p, square[1], rate * 0.3)
             step(bias, p.sum(0), square[2], rate * 0.3)
     table[~seen] = 0
-    return Model((SCALE * (table @ (head[:, 1] - head[:, 0]))).astype(np.float32), float(bias[1] - bias[0] + np.log(POSITIVE)))
+    return Model((SCALE * (table @ (head[:, 1] - head[:, 0]))).astype(np.float32), float(bias[1] - bias[0]))
+
+
+def logits(rows: list[tuple[int, np.ndarray, np.ndarray]], model: Model) -> np.ndarray:
+    return np.array([model.bias + (model.weight[ids] * times).sum() / whole(times.sum(dtype=np.int64)) for _, ids, times in rows])
+
+
+def calibration(labels: np.ndarray, logit: np.ndarray, counts: dict[int, int]) -> tuple[float, float]:
+    """(cut, slope): a logit, halfway to the next, and the steepness of a logistic curve; classes weigh as in ``counts``.
+
+    The cut has the best F1 of those with a precision of PRECISION at least, or
+    where there is none the best precision.
+    """
+    ones = labels == 1
+    weight = np.where(ones, counts[1] / ones.sum(), counts[0] / (~ones).sum())
+    by = np.argsort(-logit, kind="stable")
+    hit, taken = np.cumsum((weight * ones)[by]), np.cumsum(weight[by])
+    edge = np.r_[logit[by][1:] < logit[by][:-1], True]
+    precise = hit / taken
+    goal = np.where(precise >= PRECISION, 1 + 2 * hit / (taken + (weight * ones).sum()), precise)
+    best = int(np.argmax(np.where(edge, goal, -1)))
+    cut = float(logit[by][best : best + 2].mean())
+    a, b = 1.0, 0.0
+    for _ in range(50):  # Newton steps with a mild prior at slope 1
+        p = 1 / (1 + np.exp(-np.clip(a * logit + b, -50, 50)))
+        g = np.array([(weight * (p - ones) * logit).sum() + (a - 1), (weight * (p - ones)).sum()])
+        v = weight * p * (1 - p)
+        h = np.array([[(v * logit**2).sum() + 1, (v * logit).sum()], [(v * logit).sum(), v.sum() + 1e-9]])
+        step = np.linalg.solve(h, g)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return cut, float(np.clip(a, 0.2, 5))
+
+
+def fit_calibrated(rows: list[tuple[int, np.ndarray, np.ndarray]], counts: dict[int, int]) -> Model:
+    """A model whose score at the cut is THRESHOLD; with too few rows of a class the plain one. ``rows`` are used up."""
+    labels = np.array([r[0] for r in rows], int)
+    if len(rows) == 0 or min(labels.sum(), len(rows) - labels.sum()) < LEAST_ROWS:
+        return fit(rows)
+    part, logit = np.arange(len(rows)) % PARTS, np.zeros(len(rows))  # rows are sorted by label
+    for k in range(PARTS):
+        model = fit([rows[i] for i in np.flatnonzero(part != k)], least_steps=LEAST_STEPS // 2)
+        logit[part == k] = logits([rows[i] for i in np.flatnonzero(part == k)], model)
+    cut, slope = calibration(labels, logit, counts)
+    model = fit(rows)
+    return Model((slope * model.weight).astype(np.float32), slope * (model.bias - cut) + float(np.log(THRESHOLD / (1 - THRESHOLD))))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> Model:
     """Fit on at most ``per_class`` rows of each class, none of which is held out."""
-    known, _ = _store.labelled(docs, labels, label, ["text"], modulus, held_out, per_class)
+    known, counts = _store.labelled(docs, labels, label, ["text"], modulus, held_out, per_class)
 
     def extract(batches):
         for batch in batches:
@@ -164,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     found = known.select("label", "text").mapInArrow(lambda it: extract(it), "label int, ids binary, times binary").toLocalIterator(prefetchPartitions=True)
     rows = [(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.uint16)) for r in found]
     rows.sort(key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1]), zlib.crc32(r[2])))
-    return fit(rows)
+    return fit_calibrated(rows, counts)
 
 
 def score_texts(array: pa.Array, model: Model) -> np.ndarray:
@@ -180,7 +242,7 @@ def score_texts(array: pa.Array, model: Model) -> np.ndarray:
         pair = np.unique(found.text_of() * max(len(one), 1) + of)
         text, word = pair // max(len(one), 1), pair % max(len(one), 1)
         total, n = np.bincount(text, weight[word], b - a), np.bincount(text, many[word], b - a)
-        out[a:b] = 1 / (1 + np.exp(-np.clip(model.bias + total / (n + EMPTY), -50, 50)))
+        out[a:b] = 1 / (1 + np.exp(-np.clip(model.bias + total / whole(n), -50, 50)))
     return out
 
 
