@@ -1,12 +1,15 @@
 """Operators on small tables against plain versions, with the edge cases of their docstrings."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -106,6 +109,30 @@ def test_jaccard_of_boilerplate(spark, monkeypatch):
         assert {r[0]: (r[1], r[2]) for r in jaccard.classes(docs).collect()} == want
 
 
+def test_cells_of_a_hot_list(spark):
+    """Ten thousand documents share a list after a fifth of their own: no two can link, and none has a cell. A few that start with it meet."""
+    rows = [(7, k, 100, 20, k, True) for k in range(10_000)] + [(7, 20_000 + k, 100, 0, 20_000 + k, True) for k in range(6)]
+    named = spark.createDataFrame(rows, "h long, doc_id long, n long, place long, label long, outside boolean")
+    cells = jaccard.cells_of_lists(named).collect()
+    assert {r.doc_id for r in cells} == {20_000 + k for k in range(6)} and len({r.cell for r in cells}) == 1
+
+
+@given(st.integers(1, 400), st.integers(1, 400), st.floats(0, 0.25), st.floats(0, 0.25))
+def test_blocks_that_may_link_meet(n, m, p, q):
+    """In the numbers of the column expression."""
+    x, y = int(p * n), int(q * m)
+    need = -(-jaccard.LEAST * (n + m) // (jaccard.PER + jaccard.LEAST))
+    if min(n - x, m - y) < need or max(x * 4 - n, y * 4 - m) > 0:
+        return
+
+    def may(n, x, m):
+        ratio = jaccard.STEP ** (math.floor(math.log(m) / math.log(jaccard.STEP)) - math.floor(math.log(n) / math.log(jaccard.STEP)) - 1) * 0.999999
+        share = 4 * jaccard.SHARES * x // n
+        return ratio <= (jaccard.PER / jaccard.LEAST + 1) * (1 - share / (4 * jaccard.SHARES)) - 1 and ratio <= jaccard.PER / jaccard.LEAST
+
+    assert may(n, x, m) and may(m, y, n)
+
+
 def test_copies_keep_clashing_columns(odd):
     docs = clashing(odd)
     same_columns(jaccard.keep_one(docs), docs)
@@ -306,6 +333,16 @@ def test_topk_in_a_grid(spark, monkeypatch):
     assert len(whole) == 20 * 5
 
 
+@pytest.mark.parametrize("n", [64, 200, 256, 1024])
+def test_cells_hold_about_the_mean(spark, n):
+    """A block from each of ``n`` partitions, and a grid of as many cells."""
+    q, c = topk.sides(n, n, n)
+    blocks = _store.numbered(_store.Tables(spark, "t"), spark.range(0, n, 1, n).coalesce(8).select(F.monotonically_increasing_id().alias("row")), "place", f"b{n}")
+    for asking in (True, False):
+        cells = topk.placed(blocks, q, c, asking).groupBy("cell").count().collect()
+        assert len(cells) == q * c and max(r["count"] for r in cells) <= 2 * sum(r["count"] for r in cells) / len(cells)
+
+
 def test_packing(spark, odd, none):
     path = queries.vocabulary()
     placed = packing.pack(packing.pieces(odd, path, with_ids=True)).collect()

@@ -15,10 +15,12 @@ from shingles to documents:
 4. Each document meets the least one of each of its short lists (a star, as many
    pairs as postings). Documents that a link has connected need not meet again.
 5. Lists that still hold several components are searched: those of few members
-   pair by pair, the others in blocks. A block has the members of like size, so
-   that only neighbouring blocks meet, and lists with the same members are
-   searched once. So a list that a third of all documents share without linking
-   costs rows for each pair of blocks, not for each pair of documents.
+   pair by pair, the others in blocks. A block has the members of like size and
+   like place, which is how many shorter lists a member has before this one. Only
+   blocks meet whose sizes are near and whose places leave room for the overlap,
+   and lists with the same members are searched once. So of the documents that
+   share a list, those whose own shingles before it are too many to link cost a
+   row each.
 6. All of these meetings are cells of bounded size: records, of which inverted
    lists are made, and queries. ``Lists.search`` finds the records of a query by
    DivideSkip: its short lists are merged by a heap, its long ones probed by
@@ -39,7 +41,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatquery.llm import _text
@@ -55,6 +57,8 @@ CHUNK = 1 << 20
 GROUP, POSTS = 1 << 14, 1 << 21
 #: Shingles and documents of either side of a cell, about; members of a list that meet pair by pair.
 CELL, MEMBERS, PAIRS = 1 << 20, 256, 64
+#: Blocks of a list: sizes between two powers of STEP, places between two of so many parts of those that short lists reach.
+STEP, SHARES = 1.08, 7
 #: Entries that a heap merges, and probes that are made at once, at most.
 HEAP, PROBES = 1 << 12, 1 << 20
 _FACTORS = [_text.U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -363,21 +367,44 @@ def cells_of_pairs(pairs: DataFrame) -> DataFrame:
     return asks.unionByName(placed.select("cell", F.lit(False).alias("query"), F.col("v").alias("doc_id"), F.col("y").alias("label")))
 
 
+def meets(x: Column, y: Column) -> Column:
+    """Whether documents of two blocks (step of the size, share of the place) of a list may link there.
+
+    At their first common list all that two documents share comes from it on, so
+    of n and m shingles each must have LEAST / (PER + LEAST) * (n + m) left. The
+    sizes of a block lie between two powers of STEP; a little is added for the
+    rounding of logarithms.
+    """
+    ratio = F.pow(F.lit(STEP), y["step"] - x["step"] - 1) * 0.999999  # m / n is no less
+    most = F.lit(PER / LEAST + 1) * (1 - x["share"] / (4 * SHARES)) - 1
+    return (ratio <= most) & (ratio <= PER / LEAST)
+
+
 def cells_of_lists(named: DataFrame) -> DataFrame:
-    """Cells of whole lists (h, doc_id, n, label, outside): every two blocks of which one is outside and whose sizes are near."""
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(PER / LEAST * 1.01))).cast("int")  # linked ones are a step apart at most
+    """Cells of whole lists (h, doc_id, n, place, label, outside): every two blocks of which one is outside and that may hold linked documents, by their sizes and places.
+
+    So documents that share boilerplate, but hold too much of their own before
+    it, meet no one there, however many they are.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(STEP))).cast("int")
+    share = F.floor(4 * SHARES * F.col("place") / F.col("n")).cast("int")  # short lists end at a quarter
     prints = [F.sum(F.xxhash64("doc_id", "outside", F.lit(k)).cast("decimal(38,0)")).alias(f"print{k}") for k in (0, 1)]
-    alike = named.groupBy("h").agg(F.count("*").alias("many"), *prints).groupBy("many", "print0", "print1").agg(F.min("h").alias("h")).select("h")
-    rows = named.join(alike, "h", "left_semi").select("h", "doc_id", "n", "label", "outside", step.alias("step"))
-    whole = rows.groupBy("h", "outside", "step").agg(F.greatest(F.ceil(F.sum("n") / CELL), F.ceil(F.count("*") / MEMBERS)).cast("int").alias("parts"))
-    rows = rows.join(whole, ["h", "outside", "step"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    blocks = whole.select("h", "outside", "step", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    x = blocks.where("outside").select("h", F.struct("step", "part").alias("x"))
-    y = blocks.select("h", F.col("outside").alias("far"), F.struct("step", "part").alias("y"))
-    meet = x.join(y, "h").where("abs(x.step - y.step) <= 1 and (not far or x <= y)").withColumn("cell", F.xxhash64("h", "far", "x", "y"))
-    asks = meet.select("h", F.lit(True).alias("outside"), F.col("x.step").alias("step"), F.col("x.part").alias("part"), "cell", F.lit(True).alias("query"))
-    held = meet.select("h", F.col("far").alias("outside"), F.col("y.step").alias("step"), F.col("y.part").alias("part"), "cell", F.lit(False).alias("query"))
-    return rows.join(asks.unionByName(held), ["h", "outside", "step", "part"]).select("cell", "query", "doc_id", "label")
+    # Of lists with the same documents the first counts, as hashes are ordered without a sign.
+    first = F.min(F.col("h").bitwiseXOR(F.lit(-(1 << 63)))).bitwiseXOR(F.lit(-(1 << 63))).alias("h")
+    alike = named.groupBy("h").agg(F.count("*").alias("many"), *prints).groupBy("many", "print0", "print1").agg(first).select("h")
+    rows = named.join(alike, "h", "left_semi").select("h", "doc_id", "n", "label", "outside", step.alias("step"), share.alias("share"))
+    key = ["h", "outside", "step", "share"]
+    whole = rows.groupBy(*key).agg(F.greatest(F.ceil(F.sum("n") / CELL), F.ceil(F.count("*") / MEMBERS)).cast("int").alias("parts"))
+    rows = rows.join(whole, key).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    x = whole.where("outside").select("h", "parts", F.struct("step", "share").alias("x"))
+    y = whole.select("h", F.col("outside").alias("far"), F.col("parts").alias("others"), F.struct("step", "share").alias("y"))
+    # whole blocks meet first, and only those that may link are cut into parts
+    meet = x.join(y, "h").where(meets(F.col("x"), F.col("y")) & meets(F.col("y"), F.col("x")) & F.expr("not far or x <= y"))
+    meet = meet.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    meet = meet.where("not far or x < y or i <= j").withColumn("cell", F.xxhash64("h", "far", "x", "y", "i", "j"))
+    asks = meet.select("h", F.lit(True).alias("outside"), F.col("x.step").alias("step"), F.col("x.share").alias("share"), F.col("i").alias("part"), "cell", F.lit(True).alias("query"))
+    held = meet.select("h", F.col("far").alias("outside"), F.col("y.step").alias("step"), F.col("y.share").alias("share"), F.col("j").alias("part"), "cell", F.lit(False).alias("query"))
+    return rows.join(asks.unionByName(held), [*key, "part"]).select("cell", "query", "doc_id", "label")
 
 
 def unpacked(chunks: DataFrame) -> DataFrame:
