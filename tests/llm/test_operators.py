@@ -176,12 +176,14 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     whole = [tuple(r) for r in decontaminate.find(docs, bench).orderBy("doc_id").collect()]
     for most in (60, 7):  # the latter cuts within an item
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", most)
-        assert len(list(decontaminate.blocks(bench, decontaminate.vocabulary(bench)[0]))) > 2
+        assert len(list(decontaminate.blocks(bench))) > 2
         assert [tuple(r) for r in decontaminate.find(docs, bench).orderBy("doc_id").collect()] == whole
 
 
-def test_decontamination_keeps_clashing_columns(spark, odd):
-    bench = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
+@pytest.mark.parametrize("most", [decontaminate.BLOCK_WORDS, 7])
+def test_decontamination_keeps_clashing_columns(spark, odd, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", most)
+    bench = spark.createDataFrame([(1, prose(1, 30)), (2, prose(3, 30))], "item_id long, text string")
     docs = clashing(odd)
     same_columns(decontaminate.keep_clean(docs, bench), docs)
 

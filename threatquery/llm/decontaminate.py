@@ -9,9 +9,12 @@ of the suffix array. All windows are searched backwards at once by ranks, their
 occurrences are located by walking to sampled positions, and the words that
 they cover are merged into removal spans.
 
-Nothing is shuffled. The vocabulary of the whole benchmark is broadcast (8 bytes
-a distinct word), so that a shard is tokenised and indexed once; the windows are
-broadcast in blocks of at most BLOCK_WORDS, which a worker opens one at a time.
+The windows go to the tasks in blocks of at most BLOCK_WORDS, with the words that
+occur in them. A benchmark of one block is searched in one step over the
+documents, and nothing is shuffled. With more, documents are written once with
+numbers, each block is searched in a step of its own over all of them, so that a
+task holds one block whatever the benchmark's size, and what the steps found is
+merged by number.
 
 Edge cases: a null text or one without words has no words and no hits; items
 that are null, without an id or without words take no part; items that repeat
@@ -23,13 +26,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatquery.llm import _text
+from threatquery.llm._store import Tables
 
 WINDOW = 13
 #: Windows of a block of the benchmark; its broadcast takes some 70 bytes a window.
@@ -245,71 +251,124 @@ def _known(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
 
 
-def vocabulary(benchmark: DataFrame) -> tuple[np.ndarray, int]:
-    """Sorted hashes of the words of all items, and the length of the shortest window."""
+def vocabulary(texts: list[str]) -> np.ndarray:
+    """Sorted hashes of the words."""
+    return np.unique(_text.words(*_text.column(pa.array(texts, pa.large_string())), _text.ALNUM).hashes())
 
-    def run(batches):
-        for batch in _text.parts(batches):
-            found = _text.words(*_text.column(batch.column("text")), _text.ALNUM)
-            many = np.diff(found.first)
-            h = np.unique(found.hashes())
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), min(WINDOW, int(many[many > 0].min(initial=WINDOW)))))], names=["h", "shortest"])
 
-    words = _known(benchmark).select("text").mapInArrow(run, "h bigint, shortest bigint").groupBy("h").agg(F.min("shortest").alias("shortest")).toArrow()
-    h = np.sort(np.asarray(words.column("h").combine_chunks(), dtype=np.int64).view(np.uint64))
-    return h, int(np.asarray(words.column("shortest").combine_chunks()).min(initial=WINDOW))
+def blocks(benchmark: DataFrame) -> Iterator[tuple[np.ndarray, Block]]:
+    """The windows in blocks, each with the words of its items. The items reach the driver a partition at a time, and it holds one block."""
+    rows, size = [], 0
 
+    def packed():
+        known = vocabulary([r[1] for r in rows])
+        return ((known, x) for x in phrases(rows, known).parts(BLOCK_WORDS))
 
-def blocks(benchmark: DataFrame, known: np.ndarray) -> Iterator[Block]:
-    """The windows in blocks. The items reach the driver a partition at a time, and it holds one block."""
-    rows, size = [], 0
     for r in _known(benchmark).toLocalIterator():
         rows.append((r[0], r[1]))
         size += len(r[1])
         if size >= 2 * BLOCK_WORDS:  # a word and its gap take two characters at least
-            yield from phrases(rows, known).parts(BLOCK_WORDS)
+            yield from packed()
             rows, size = [], 0
     if rows:
-        yield from phrases(rows, known).parts(BLOCK_WORDS)
+        yield from packed()
 
 
-def _search(docs: DataFrame, benchmark: DataFrame, finish, schema) -> DataFrame:
-    """``finish`` of every batch with its words, hit words, spans, items and verdicts; one step, whatever the number of blocks."""
-    sc = docs.sparkSession.sparkContext
-    known, shortest = vocabulary(benchmark)
-    shared = sc.broadcast(known)
-    held = [sc.broadcast(x) for x in blocks(benchmark, known)]
+_NOTHING = (np.zeros(0, np.uint64), None)
+_SPAN = "array<struct<start:bigint,end:bigint>>"
 
-    def opened():
-        for block in held:
-            yield block.value
-            if len(held) > 1:
-                block.__dict__.pop("_value", None)  # one at a time; the next batch reads it again
+
+def _searched(docs: DataFrame, known: np.ndarray, block: Block | None, finish, schema) -> tuple[DataFrame, Broadcast]:
+    """``finish`` of every batch with its words, spans and items; and what was broadcast for it."""
+    sent = docs.sparkSession.sparkContext.broadcast((known, block))
 
     def run(batches):
+        known, block = sent.value
+        shortest = min((w.shape[1] for w in block.windows), default=WINDOW) if block else WINDOW
         for batch in batches:
-            count, spans, items = hits(batch.column(batch.schema.names.index("text")), shared.value, shortest, opened())
-            hit = np.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], np.int64)
-            yield finish(batch, count, hit, spans, items, (hit > 0) & (20 * hit >= count))
+            count, spans, items = hits(batch.column(batch.schema.names.index("text")), known, shortest, [block] if block else [])
+            yield finish(batch, count, spans, items)
+
+    return docs.mapInArrow(run, schema), sent
+
+
+def verdict(count: np.ndarray, spans: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hit words, and whether they are a twentieth of all or more."""
+    hit = np.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], np.int64)
+    return hit, (hit > 0) & (20 * hit >= count)
+
+
+def _listed(spans: list[np.ndarray]) -> pa.Array:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.array([[{"start": int(a), "end": int(b)} for a, b in s] for s in spans], kind)
+
+
+def merged(spans: list[dict]) -> np.ndarray:
+    """Spans of several searches as disjoint ones in order."""
+    out: list[list[int]] = []
+    for x in sorted((r["start"], r["end"]) for r in spans or ()):
+        if out and x[0] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], x[1])
+        else:
+            out.append(list(x))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _by_blocks(docs: DataFrame, found: Iterator[tuple[np.ndarray, Block]], columns: list[str]) -> DataFrame:
+    """row (the struct of ``columns``), n_words, n_hit, items, spans and contaminated of every row, a step for each block."""
+    tables = Tables(docs.sparkSession, "decontaminate")
+    rows = tables.write(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text", F.monotonically_increasing_id().alias("id")), "rows")
+
+    def some(batch, count, spans, items):
+        """Rows with a hit, but of the first block all rows, for their words."""
+        out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(count), pa.array(items, pa.list_(pa.string())), _listed(spans)], names=["id", "n_words", "items", "spans"])
+        return out if first else out.filter(pa.array([len(x) > 0 for x in spans]))
+
+    parts = []
+    for k, (known, block) in enumerate(found):
+        first = not k
+        step, sent = _searched(rows.select("id", "text"), known, block, some, f"id bigint, n_words bigint, items array<string>, spans {_SPAN}")
+        parts.append(tables.write(step, f"found{k}"))
+        sent.destroy()
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    every = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+
+    def finish(batches):
+        for batch in batches:
+            spans = [merged(x) for x in batch.column("spans").to_pylist()]
+            hit, bad = verdict(np.asarray(batch.column("n_words"), np.int64), spans)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array(hit), batch.column("items"), _listed(spans), pa.array(bad)], names=["id", "n_words", "n_hit", "items", "spans", "contaminated"])
+
+    done = every.mapInArrow(finish, f"id bigint, n_words bigint, n_hit bigint, items array<string>, spans {_SPAN}, contaminated boolean")
+    return rows.select("id", "row").join(done, "id").drop("id")
+
 
-    return docs.mapInArrow(run, schema)
+def _first_two(benchmark: DataFrame) -> tuple[list, Iterator]:
+    found = blocks(benchmark)
+    head = list(islice(found, 2))
+    return head, chain(head, found)
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted), spans (merged word spans) and contaminated of every row."""
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    head, every = _first_two(benchmark)
+    if len(head) > 1:
+        return _by_blocks(docs, every, ["doc_id"]).select("row.doc_id", "n_words", "n_hit", "items", "spans", "contaminated")
 
-    def finish(batch, count, hit, spans, items, bad):
-        listed = pa.array([[{"start": int(a), "end": int(b)} for a, b in s] for s in spans], span)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(count), pa.array(hit), pa.array(items, pa.list_(pa.string())), listed, pa.array(bad)],
-            names=["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"],
-        )
+    def finish(batch, count, spans, items):
+        hit, bad = verdict(count, spans)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), pa.array(hit), pa.array(items, pa.list_(pa.string())), _listed(spans), pa.array(bad)], names=["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _search(docs.select("doc_id", "text"), benchmark, finish, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>, contaminated boolean")
+    return _searched(docs.select("doc_id", "text"), *(head or [_NOTHING])[0], finish, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans {_SPAN}, contaminated boolean")[0]
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns and whole texts."""
-    return _search(docs, benchmark, lambda batch, *found: batch.filter(pa.array(~found[-1])), docs.schema)
+    head, every = _first_two(benchmark)
+    if len(head) > 1:
+        found = _by_blocks(docs, every, docs.columns).where("NOT contaminated")
+        return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return _searched(docs, *(head or [_NOTHING])[0], lambda batch, count, spans, items: batch.filter(pa.array(~verdict(count, spans)[1])), docs.schema)[0]
