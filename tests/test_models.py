@@ -132,3 +132,23 @@ def test_one_against_the_rest(spark):
     rows = spark.createDataFrame([(float(k % 3), float(k % 3 == 0) * 4 + k % 5 / 9, float(k % 3 == 1) * 4 + k % 7 / 9) for k in range(120)], "label double, x double, y double")
     out = models.fit(rows, ["x", "y"], models.one_vs_rest(models.logistic(120, 50)), True).transform(rows)
     assert out.where("prediction = label").count() > 110
+
+
+def test_attributions_answer_to_the_model(spark):
+    """A tree that is read wrongly fails, as does a line that isn't known."""
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(k, float(k % 2), float(k % 2) + float(x)) for k, x in enumerate(rng.normal(size=80))], "id long, label double, a double")
+    gbt = models.fit(rows, ["a"], models.boosted(2)).stages[-1]
+    background = rows.limit(20)
+    assert attribution.tree_shap(rows, background, gbt, ["a"], "id").count() == 80
+    with pytest.raises(ValueError, match="isn't known"):
+        attribution.leaves_of("Tree\n If (feature 0 in {0.0,2.0})\n  Predict: 1.0\n Else (feature 0 not in {0.0,2.0})\n  Predict: 2.0", 1.0)
+    with pytest.raises(ValueError, match="at most"):
+        attribution.shares(attribution.PATH + 1)
+    whole = attribution.leaves_of
+    try:
+        attribution.leaves_of = lambda text, weight: whole(text, weight)[:-1]
+        with pytest.raises(Exception, match="add up"):
+            attribution.tree_shap(rows, background, gbt, ["a"], "id").collect()
+    finally:
+        attribution.leaves_of = whole

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from threatquery.operators import lemmas
 from threatquery.functions import lexicons as lex, text as tx
 
 
@@ -67,3 +68,15 @@ def test_trie_matches_its_words_only():
     found = re.compile(rf"\b(?:{lex.trie(words)})\b")
     assert all(found.fullmatch(w) for w in words)
     assert not any(found.fullmatch(w) for w in ["winn", "wo", "axb", "act"])
+
+
+def test_lemmas_that_a_vocabulary_knows(spark):
+    rows = spark.createDataFrame([(1, ["users", "received", "prizes", "boxes", "bus", "women"]), (2, ["geese", "glass", "glasses", "wolves", "ladies", "s", "", "buses"]), (3, []), (4, None), (5, ["churches", "unknowns", "users"])], "k int, w array<string>")
+    known = spark.createDataFrame([(w,) for w in ["user", "prize", "box", "bus", "woman", "goose", "glass", "wolf", "lady", "church", "bu", None, ""]], "word string")
+    exceptions = spark.createDataFrame([("geese", "goose"), ("geese", "gooose"), ("bus", "bus")], "form string, lemma string")
+    got = {r.k: r.w for r in lemmas.lemmatized(rows, "k", "w", known, exceptions).collect()}
+    assert got == {1: ["user", "received", "prize", "box", "bus", "woman"], 2: ["goose", "glass", "glass", "wolf", "lady", "s", "", "bus"], 3: [], 4: None, 5: ["church", "unknowns", "user"]}
+    plain = {r.k: r.w for r in lemmas.lemmatized(rows, "k", "w", known).collect()}
+    assert plain[1][4] == "bu" and plain[2][0] == "geese"  # the shortest that is known
+    own = {r.k: r.w for r in lemmas.lemmatized(spark.createDataFrame([(1, ["cars", "car", "alerts"])], "k int, w array<string>"), "k", "w").collect()}
+    assert own == {1: ["car", "car", "alerts"]}

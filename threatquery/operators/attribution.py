@@ -17,11 +17,15 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of the background, a sample by hash.
 BACKGROUND = 100
+#: Features of a path; a table has 4 to this power rows.
+PATH = 10
 _NODE = re.compile(r"(If|Else) \(feature (\d+) (<=|>) ([^)]+)\)|Predict: (\S+)")
 
 
@@ -45,8 +49,10 @@ def leaves_of(text: str, weight: float) -> list[Leaf]:
     out: list[Leaf] = []
     path: list[tuple[int, int, bool, float]] = []  # depth, feature, whether at most, threshold
     for line in text.splitlines()[1:]:
-        if not (m := _NODE.search(line)):
+        if not line.strip():
             continue
+        if not (m := _NODE.search(line)):
+            raise ValueError(f"a line of a tree that isn't known: {line.strip()}")
         depth = len(line) - len(line.lstrip())
         while path and path[-1][0] >= depth:
             path.pop()
@@ -65,6 +71,8 @@ def leaves_of(text: str, weight: float) -> list[Leaf]:
 @lru_cache(maxsize=16)
 def shares(d: int) -> np.ndarray:
     """[pattern of x, pattern of z, feature]: the share of a leaf's value that the feature gets, for a path of ``d`` features."""
+    if d > PATH:
+        raise ValueError(f"a path of {d} features, of {PATH} at most")
     every = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
     x, z = every[:, None, :].astype(bool), every[None, :, :].astype(bool)
     mine, other = x & ~z, ~x & z
@@ -105,7 +113,8 @@ def tree_shap(rows: DataFrame, background: DataFrame, model, columns: list[str],
 
     ``model``: a fitted GBTClassificationModel over ``columns``, in this order
     and without nulls. ``background``: some hundred rows, which reach the
-    driver. The query fails where attributions don't add up to the margin.
+    driver. The query fails where attributions don't add up to the margin that
+    the model itself gives.
     """
     leaves = [x for tree, weight in zip(model.trees, model.treeWeights, strict=True) for x in leaves_of(tree.toDebugString, weight)]
     sample = background.select(*[F.col(c).cast("double") for c in columns]).toPandas().to_numpy(float)
@@ -115,14 +124,16 @@ def tree_shap(rows: DataFrame, background: DataFrame, model, columns: list[str],
         own = shared.value
         for pdf in batches:
             x = pdf[columns].to_numpy(float)
-            values, margins = own.values(x), own.margins(x)
+            values, margins = own.values(x), pdf["_margin"].to_numpy(float)
             if not np.allclose(own.base + values.sum(1), margins, rtol=1e-6, atol=1e-6):
                 raise ValueError("attributions don't add up to the margin")
             yield pd.concat([pdf[[key]], pd.DataFrame({"margin": margins}, index=pdf.index), pd.DataFrame(-values, columns=columns, index=pdf.index)], axis=1)
 
     kind = rows.schema[key].dataType.simpleString()
     fields = ", ".join(f"`{c}` double" for c in columns)
-    return rows.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(run, f"`{key}` {kind}, margin double, {fields}")
+    inputs = rows.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    scored = model.transform(VectorAssembler(inputCols=columns, outputCol=model.getFeaturesCol()).transform(inputs))
+    return scored.select(key, *columns, vector_to_array(model.getRawPredictionCol())[1].alias("_margin")).mapInPandas(run, f"`{key}` {kind}, margin double, {fields}")
 
 
 def ranking(explained: DataFrame, columns: list[str]) -> DataFrame:

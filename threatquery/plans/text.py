@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatquery.functions import hashing, lexicons as lex, text as tx
+from threatquery.operators import lemmas
 from threatquery.plans.catalogue import literal, query, table
 
 # Classes of the supplied rows in the spellings of a raw message table.
@@ -169,6 +170,33 @@ def nlp_tokens_plain(spark, sf_dir):
     return rows.select("doc_id", F.array_join(tx.nlp_tokens(F.col("text"), _NLP_STOP, lemmatize=False), " ").alias("tokens"))
 
 
+_RULES = " ".join(f"UNION ALL SELECT word, left(word, length(word) - {len(end)}) || '{new}' AS result FROM own WHERE suffix(word, '{end}')" for end, new in lemmas.RULES)
+_RULES2 = " ".join(f"UNION ALL SELECT word, left(result, length(result) - {len(end)}) || '{new}' AS result FROM once WHERE suffix(result, '{end}')" for end, new in lemmas.RULES)
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, [t for t in string_split(regexp_replace(regexp_replace(lower(text), '[0-9]{{5,}}', 'numtoken', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'), ' ')
+  if t <> '' AND t NOT IN ({', '.join(map(literal, _NLP_STOP))})] AS w FROM (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)),
+own AS (SELECT DISTINCT unnest(w) AS word FROM t), once AS ({_RULES.removeprefix("UNION ALL ")}), twice AS ({_RULES2.removeprefix("UNION ALL ")}),
+f AS (SELECT 0 AS late, word, word AS result FROM own UNION ALL SELECT 0, * FROM once UNION ALL SELECT 1, * FROM twice),
+l AS (SELECT word, arg_min(result, (late, length(result))) AS lemma FROM f WHERE result IN (SELECT word FROM own) GROUP BY word),
+e AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t))
+SELECT t.doc_id, coalesce(x, '') AS tokens FROM t LEFT JOIN (SELECT doc_id, string_agg(lemma, ' ' ORDER BY i) AS x FROM e JOIN l USING (word) GROUP BY doc_id) USING (doc_id)"""
+)
+def nlp_tokens_lemmas(spark, sf_dir):
+    """Lemmas that the table's own words know."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    made = rows.select("doc_id", tx.nlp_tokens(F.col("text"), _NLP_STOP, lemmatize=False).alias("tokens"))
+    return lemmas.lemmatized(made, "doc_id", "tokens").select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query()
+def nlp_tokens_documents(spark, sf_dir):
+    """The whole preprocessing over documents, with lemmas that their own words know."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", tx.nlp_tokens(F.col("text"), tx.default_stopwords(), lemmatize=False).alias("tokens"))
+    return lemmas.lemmatized(rows, "doc_id", "tokens").select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 @query(f"SELECT label, count(*) AS n, round(avg(regexp_matches(text, 'http[s]?://|www\\.|Licensed')::INT), 6) AS rate, sum(regexp_matches(text, 'http[s]?://|www\\.')::INT)::BIGINT AS n_url FROM ({MESSAGES}) GROUP BY label")
 def presence_rate(spark, sf_dir):
     hit = F.col("text").rlike(tx.PLAIN_URL + "|Licensed").cast("int")
