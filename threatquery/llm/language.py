@@ -7,14 +7,17 @@ vote. All are linear in the shares, so a text is scored in one pass over its
 words, and every distinct word of a slice is weighed once.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; with
-no learned language every text is ``und``, with one that language; a family of
-one language needs no second step; of languages with equal votes and belief the
+no learned language every text is ``und``, with one that language; a lang is
+told by its code of two or three letters, before any `-` or `_` and in either
+case, and one that isn't listed is a family of its own; a family of one language
+needs no second step; a model of more than MODEL_BYTES is refused, not cut; of languages with equal votes and belief the
 first by name is taken; equal rows get equal results; an empty table gives no
 rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,8 +47,26 @@ FAMILIES = {
 }
 
 
+# ISO 639-2 codes of these languages, by their two letters.
+THREE = (
+    "af afr am amh ar ara az aze be bel bg bul bn ben br bre bs bos ca cat cs ces cs cze cy cym cy wel da dan de deu de ger en eng es spa et est fi fin fr fra fr fre fy fry ga gle gd gla gl glg gu guj he heb hi hin hr hrv hu hun "
+    "is isl is ice it ita kk kaz ky kir la lat lb ltz mk mkd mk mac mr mar mt mlt nb nob ne nep nl nld nl dut nn nno no nor oc oci pa pan pl pol pt por ro ron ro rum ru rus sk slk sk slo sl slv sr srp sv swe tr tur uk ukr ur urd uz uzb yi yid"
+)
+_TWO = dict(zip(THREE.split()[1::2], THREE.split()[::2], strict=True))
+#: Bytes of the weights of all machines, at most.
+MODEL_BYTES = 256 << 20
+
+
 def family_of(language: str) -> str:
-    return next((f for f, codes in FAMILIES.items() if language.split("-")[0] in codes.split()), f"own:{language}")
+    code = language.lower().replace("_", "-").split("-")[0]
+    code = _TWO.get(code, code)
+    return next((f for f, codes in FAMILIES.items() if code in codes.split()), f"own:{language}")
+
+
+def machines(languages: list[str]) -> int:
+    """One for each family, and one for each pair of languages in a family."""
+    sizes = Counter(family_of(x) for x in languages)
+    return len(sizes) + sum(n * (n - 1) // 2 for n in sizes.values())
 
 
 def grams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,12 +171,12 @@ def sample(docs: DataFrame, modulus: int, held_out: int, most: int) -> DataFrame
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (_store.remainder("doc_id", modulus) != held_out))
     many = known.groupBy("lang").agg(F.count("*").alias("_n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    # One row a language, as many as the driver learns; so rows are thinned where they are, and a common language isn't one task.
-    some = known.select("doc_id", "lang", place.alias("_place")).join(F.broadcast(many), "lang").where(F.col("_place") < 2.0 * most / F.col("_n"))
+    # Rows are thinned before they are ranked, so a common language isn't one task.
+    some = known.select("doc_id", "lang", place.alias("_place")).join(many, "lang").where(F.col("_place") < 2.0 * most / F.col("_n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id"))
     some = some.withColumn("_rank", rank).where(F.col("_rank") <= most).select("doc_id", "lang").distinct()
     # an id that repeats counts once for each of its languages, by the least text
-    return known.select("doc_id", "lang", "text").join(F.broadcast(some), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return known.select("doc_id", "lang", "text").join(some, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE) -> Model:
@@ -174,6 +195,9 @@ def train(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_language: in
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], names=["lang", "ids", "shares"])
 
     known = sample(docs, modulus, held_out, per_language).select("lang", "text")
+    languages = [r[0] for r in docs.where("lang is not null").select("lang").distinct().limit(MODEL_BYTES // (4 * BUCKETS) + 2).collect()]
+    if 4 * BUCKETS * machines(languages) > MODEL_BYTES:
+        raise ValueError(f"{len(languages)} values of lang need {machines(languages)} machines or more, of which {MODEL_BYTES // (4 * BUCKETS)} are allowed")
     rows = known.mapInArrow(lambda it: extract(_text.parts(it)), "lang string, ids binary, shares binary").collect()
     rows = [(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.float32)) for r in rows]
     return fit(sorted((r for r in rows if len(r[1])), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())))
