@@ -198,6 +198,68 @@ def simple_url(url: Column) -> Column:
     return F.when(url.rlike(_SIMPLE_URL), F.concat(head, F.when(path == "", "/").otherwise(path)))
 
 
+#: URLs that the engine can bring into form: printable ASCII; scheme, location, path, query and fragment.
+_PARTS = r"\A(?:([A-Za-z][A-Za-z0-9+.-]*):)?//([^/?#\[\]]*)((?:/[^?#]*)?)(\?[^#]*)?(#.*)?\z"
+_LOCATION = r"\A([^@]*@)?([^:]*)(:[0-9]*)?\z"
+_ESCAPED = "%[0-9A-Fa-f]{2}"
+_UNSAFE = r"""["<>\[\\\]^`{|}]"""
+
+
+def settled(text: Column) -> Column:
+    """Characters that may not stand in a path or fragment escaped, unreserved ones not, all escapes in upper case."""
+    pieces = F.regexp_extract_all(text, F.lit(f"({_ESCAPED}|{_UNSAFE}|%|[^%\"<>\\[\\\\\\]^`{{|}}]+)"), F.lit(1))
+
+    def one(piece: Column) -> Column:
+        char = F.char(F.conv(F.substring(piece, 2, 2), 16, 10).cast("int"))
+        return F.when(piece.rlike(f"\\A{_ESCAPED}\\z"), F.when(char.rlike(r"\A[A-Za-z0-9._~-]\z"), char).otherwise(F.upper(piece))).when(piece.rlike(f"\\A{_UNSAFE}\\z"), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(piece)), 2, "0"))).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, one), "")
+
+
+def resolved(path: Column) -> Column:
+    """A path from the root without empty, `.` and `..` segments; two slashes at its start stay, as does one at its end."""
+
+    def step(held: Column, segment: Column) -> Column:
+        up = F.when(F.size(held) > 0, F.slice(held, F.lit(1), F.size(held) - 1)).otherwise(held)
+        return F.when(segment.isin("", "."), held).when(segment == "..", up).otherwise(F.concat(held, F.array(segment)))
+
+    segments = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    root = F.when(path.rlike(r"\A//(?!/)"), "//").otherwise("/")
+    end = F.when(path.endswith("/") & (F.size(segments) > 0), "/").otherwise("")
+    return F.concat(root, F.array_join(segments, "/"), end)
+
+
+def sorted_query(query: Column) -> Column:
+    """Pairs decoded, sorted and encoded anew; null where an escape is broken or isn't UTF-8."""
+    coded = lambda c: F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(F.try_url_decode(F.regexp_extract(p, "\\A[^=]*", 0)).alias("k"), F.try_url_decode(F.regexp_extract(p, "=(.*)\\z", 1)).alias("v")))
+    out = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(coded(p["k"]), F.lit("="), coded(p["v"]))), "&")
+    sound = F.forall(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull() & ~p["k"].contains("\ufffd") & ~p["v"].contains("\ufffd"))
+    return F.when(query.rlike(r"%(?![0-9A-Fa-f]{2})"), None).when(sound, out)
+
+
+def ascii_url(url: Column) -> Column:
+    """The canonical form of a URL of printable ASCII; null for any other, for a host in brackets, and for ports or query escapes of odd forms."""
+    text = F.btrim(url, F.lit(" \t\n\r\x0b\x0c"))
+    text = F.when(text.contains("://") | text.startswith("//"), text).otherwise(F.concat(F.lit("http://"), text))
+    part = lambda k: F.regexp_extract(text, _PARTS, k)
+    scheme, location = F.lower(part(1)), part(2)
+    user, host, port = (F.regexp_extract(location, _LOCATION, k) for k in (1, 2, 3))
+    default = F.when(scheme == "http", "80").when(scheme == "https", "443").when(scheme == "ftp", "21")
+    number = F.regexp_replace(port, "\\A:0*", "")
+    port = F.when(F.coalesce(number == default, F.lit(False)), "").otherwise(port)
+    host = F.rtrim(F.lower(host), F.lit("."))
+    path = F.when(part(3).isin("", "/"), "/").otherwise(resolved(settled(part(3))))
+    query = sorted_query(F.substring(part(4), 2, 1 << 30))
+    tail = settled(F.substring(part(5), 2, 1 << 30))
+    out = F.concat(
+        F.when(scheme == "", "//").otherwise(F.concat(scheme, F.lit("://"))), user, host, port, path,
+        F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)), F.when(tail == "", "").otherwise(F.concat(F.lit("#"), tail)),
+    )
+    known = url.rlike(r"\A[\t\n\x0B\f\r ]*[\x21-\x7E]+[\t\n\x0B\f\r ]*\z") & text.rlike(_PARTS) & location.rlike(_LOCATION) & ~text.startswith("://")
+    return F.when(known & ((scheme != "") | (text.startswith("//") & ~text.contains("://"))), out)
+
+
 def plain_message(text: Column) -> Column:
     """The canonical form of a message of printable ASCII; null for any other."""
     return F.when(text.rlike(_PLAIN_TEXT), message_tokens(text))
@@ -228,9 +290,16 @@ def _keccak(values: pd.Series) -> pd.Series:
     return pd.Series(keccak256([b"" if v is None else bytes(v) for v in values]), dtype=object)
 
 
-def canonical_url_column(url: Column) -> Column:
+def native_url(url: Column) -> Column:
+    """The canonical form where no Python is needed for it, else null."""
     simple = simple_url(url)
-    return F.coalesce(simple, _canonical_url(F.when(simple.isNull(), url)))
+    return F.when(simple.isNotNull(), simple).otherwise(ascii_url(url))
+
+
+def canonical_url_column(url: Column) -> Column:
+    """Simple URLs and those of ASCII by the engine's own functions; Python only for what NFKC may change and for rare forms."""
+    native = native_url(url)
+    return F.coalesce(native, _canonical_url(F.when(native.isNull(), url)))
 
 
 def canonical_message_column(text: Column) -> Column:
@@ -240,8 +309,8 @@ def canonical_message_column(text: Column) -> Column:
 
 def url_fingerprint(url: Column) -> Column:
     """Null for a URL that is null, blank or can't be split."""
-    simple = simple_url(url)
-    return _url_hash(F.when(simple.isNull(), url), simple)
+    native = native_url(url)
+    return _url_hash(F.when(native.isNull(), url), native)
 
 
 def message_fingerprint(text: Column) -> Column:
