@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threatquery.functions import urls
-from threatquery.operators import ownership, profile, registry as reg
+from threatquery.operators import activity, ownership, profile, registry as reg
 from threatquery.sources import sinks
 from threatquery.sources.versions import Versioned
 from threatquery.streaming import scan_stream as stream
@@ -175,3 +175,10 @@ def test_scratch_goes(spark):
     with sinks.Scratch(spark, "gone") as scratch:
         assert scratch.write(spark.range(3), "x").count() == 3 and sinks.exists(spark, scratch.root)
     assert not sinks.exists(spark, scratch.root)
+
+
+def test_weeks_without_rows_are_there(spark):
+    rows = spark.createDataFrame([("2024-01-05",), ("2024-01-11",), ("2024-01-26",), (None,)], "d string").select(F.to_date("d").alias("d"))
+    got = [(r.week, str(r.week_start), str(r.week_end), r.n) for r in activity.weeks_of(rows, "d").orderBy("week").collect()]
+    assert got == [(1, "2024-01-05", "2024-01-11", 2), (2, "2024-01-12", "2024-01-18", 0), (3, "2024-01-19", "2024-01-25", 0), (4, "2024-01-26", "2024-02-01", 1)]
+    assert activity.weeks_of(rows.where("d is null"), "d").count() == 0

@@ -67,6 +67,15 @@ def week_spine(spark, start: str, until: str) -> DataFrame:
     return spine.select((F.col("k") + 1).alias("week"), "week_start", F.date_add("week_start", 6).alias("week_end"))
 
 
+def weeks_of(rows: DataFrame, day: str) -> DataFrame:
+    """week, week_start, week_end and n of every week from the first day of ``rows`` to the last; weeks without rows are there."""
+    ends = rows.agg(F.min(day).alias("first"), F.max(day).alias("last")).where("first is not null")  # one row
+    spine = ends.select("first", F.posexplode(F.sequence("first", "last", F.expr("interval 7 days"))).alias("k", "week_start"))
+    spine = spine.select((F.col("k") + 1).alias("week"), "week_start", F.date_add("week_start", 6).alias("week_end"))
+    counts = rows.crossJoin(F.broadcast(ends)).groupBy(week_number(F.col(day), F.col("first")).cast("int").alias("week")).agg(F.count("*").alias("n"))
+    return spine.join(counts, "week", "left").na.fill(0, ["n"])
+
+
 def contributions(rows: DataFrame, by: list[str]) -> DataFrame:
     """commits, added, deleted, net, active days of (author, day, added, deleted, is_commit) rows, with the share of commits."""
     out = rows.groupBy(*by, "author").agg(

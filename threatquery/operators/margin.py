@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from threatquery.operators.features_ml import medians, standard_moments
 from threatquery.operators.models import balanced
+from threatquery.sources.sinks import Scratch
 
 
 @dataclass
@@ -44,11 +45,17 @@ def _filled(c: str, fitted: dict[str, float]) -> Column:
 def fit(train: DataFrame, columns: list[str], label: str = "label", c: float = 1.0, max_iter: int = 5000, tolerance: float = 1e-10) -> SquaredHinge:
     """Median imputation, scaling by the population deviation, classes of equal weight; ``label`` is 0 or 1."""
     filled = medians(train, columns)
+    with Scratch(train.sparkSession, "margin") as scratch:
+        return _fit(train, columns, label, c, max_iter, tolerance, filled, scratch)
+
+
+def _fit(train: DataFrame, columns: list[str], label: str, c: float, max_iter: int, tolerance: float, filled: dict[str, float], scratch: Scratch) -> SquaredHinge:
     rows = balanced(train.withColumn("label", F.col(label)), "label").select((2.0 * F.col("label") - 1.0).alias("y"), "weight", *[_filled(k, filled).alias(k) for k in columns])
     moments = standard_moments(rows, columns)
     scaled = [(F.col(k) - F.lit(moments[k][0] or 0.0)) / F.lit(moments[k][1] or 1.0) for k in columns] + [F.lit(1.0)]
     names = [f"z{k}" for k in range(len(scaled))]
-    rows = rows.select("y", "weight", *[z.alias(n) for z, n in zip(scaled, names, strict=True)])
+    # written once, as each step reads it
+    rows = scratch.write(rows.select("y", "weight", *[z.alias(n) for z, n in zip(scaled, names, strict=True)]), "rows")
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
 
     def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:

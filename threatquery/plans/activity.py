@@ -8,7 +8,7 @@ from threatquery.operators import activity as ops
 from threatquery.plans.catalogue import query, table
 from threatquery.sources.sinks import upsert
 
-START, UNTIL = "2024-01-05", "2024-01-30"
+START = "2024-01-05"
 # Activity rows from events: an author's name in two spellings, one bot, added and deleted by type.
 _ROWS = """SELECT event_id, CASE WHEN user_id % 10 = 0 THEN ' User  ' || (user_id % 7) WHEN user_id % 10 = 1 THEN 'ci-bot' ELSE 'user ' || (user_id % 7) END AS raw, ts::DATE AS day,
   event_type AS message, CASE WHEN event_type IN ('click', 'view') THEN floor(value)::BIGINT ELSE 0 END AS added, CASE WHEN event_type = 'error' THEN floor(value)::BIGINT ELSE 0 END AS deleted, true AS is_commit FROM events"""
@@ -46,9 +46,13 @@ def author_log(spark, sf_dir):
     return log.select("author", "n", F.md5(text.cast("binary")).alias("digest"))
 
 
-@query(f"SELECT (row_number() OVER (ORDER BY d))::INT AS week, d::DATE AS week_start, (d + INTERVAL 6 DAY)::DATE AS week_end FROM (SELECT unnest(generate_series(DATE '{START}', DATE '{UNTIL}', INTERVAL 7 DAY)) AS d)")
+@query(
+    """WITH e AS (SELECT ts::DATE AS d FROM events), s AS (SELECT unnest(generate_series(min(d), max(d), INTERVAL 7 DAY))::DATE AS a FROM e)
+SELECT (row_number() OVER (ORDER BY a))::INT AS week, a AS week_start, (a + INTERVAL 6 DAY)::DATE AS week_end, (SELECT count(*) FROM e WHERE d BETWEEN a AND a + INTERVAL 6 DAY) AS n FROM s"""
+)
 def week_spine(spark, sf_dir):
-    return ops.week_spine(spark, START, UNTIL)
+    """The weeks from the first event to the last, with their numbers of events."""
+    return ops.weeks_of(table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")), "day")
 
 
 @query(
