@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threatquery.operators import attribution, boosting, features_ml as feat, margin, metrics as met, models, splits, text_margin
-from threatquery.plans.catalogue import query, table
+from threatquery.plans.catalogue import query
 from threatquery.plans.profile import labelled, rounded
 
 # Every labelled row with a truth, a score from its words and a prediction; quality 0 is the threat, as with URLs.
