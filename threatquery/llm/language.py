@@ -53,6 +53,8 @@ THREE = (
     "is isl is ice it ita kk kaz ky kir la lat lb ltz mk mkd mk mac mr mar mt mlt nb nob ne nep nl nld nl dut nn nno no nor oc oci pa pan pl pol pt por ro ron ro rum ru rus sk slk sk slo sl slv sr srp sv swe tr tur uk ukr ur urd uz uzb yi yid"
 )
 _TWO = dict(zip(THREE.split()[1::2], THREE.split()[::2], strict=True))
+#: Rows of a sample whose ids, of some 20 bytes, go to every task.
+SAMPLED = 1 << 20
 #: Bytes of the weights of all machines, at most.
 MODEL_BYTES = 256 << 20
 
@@ -166,17 +168,22 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     return Model(languages, families, weight, np.array(bias), pairs)
 
 
-def sample(docs: DataFrame, modulus: int, held_out: int, most: int) -> DataFrame:
-    """lang and text of at most ``most`` rows of each language, by a hash that thins common ones before they are ranked."""
+def sample(docs: DataFrame, modulus: int, held_out: int, most: int, languages: int) -> DataFrame:
+    """lang and text of at most ``most`` rows of each language, by a hash that thins common ones before they are ranked.
+
+    ``languages``: how many there are at most. While the sample has at most
+    SAMPLED rows, its ids go to every task; beyond that they are joined.
+    """
+    sent = F.broadcast if languages * most <= SAMPLED else (lambda df: df)
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (_store.remainder("doc_id", modulus) != held_out))
     many = known.groupBy("lang").agg(F.count("*").alias("_n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     # Rows are thinned before they are ranked, so a common language isn't one task.
-    some = known.select("doc_id", "lang", place.alias("_place")).join(many, "lang").where(F.col("_place") < 2.0 * most / F.col("_n"))
+    some = known.select("doc_id", "lang", place.alias("_place")).join(sent(many), "lang").where(F.col("_place") < 2.0 * most / F.col("_n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id"))
     some = some.withColumn("_rank", rank).where(F.col("_rank") <= most).select("doc_id", "lang").distinct()
     # an id that repeats counts once for each of its languages, by the least text
-    return known.select("doc_id", "lang", "text").join(some, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return known.select("doc_id", "lang", "text").join(sent(some), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE) -> Model:
@@ -194,10 +201,10 @@ def train(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_language: in
                 shares.append((times / max(len(bucket), 1)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], names=["lang", "ids", "shares"])
 
-    known = sample(docs, modulus, held_out, per_language).select("lang", "text")
     languages = [r[0] for r in docs.where("lang is not null").select("lang").distinct().limit(MODEL_BYTES // (4 * BUCKETS) + 2).collect()]
     if 4 * BUCKETS * machines(languages) > MODEL_BYTES:
         raise ValueError(f"{len(languages)} values of lang need {machines(languages)} machines or more, of which {MODEL_BYTES // (4 * BUCKETS)} are allowed")
+    known = sample(docs, modulus, held_out, per_language, len(languages)).select("lang", "text")
     rows = known.mapInArrow(lambda it: extract(_text.parts(it)), "lang string, ids binary, shares binary").collect()
     rows = [(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.float32)) for r in rows]
     return fit(sorted((r for r in rows if len(r[1])), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())))
