@@ -218,3 +218,20 @@ def test_calibration_finds_the_best_cut():
 def test_held_out_languages(spark):
     out = queries.QUERIES["op3_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.98
+
+
+def test_families_of_codes():
+    assert {language.family_of(x) for x in ("en", "eng", "deu", "ger", "en_US", "EN-gb", "sv-SE")} == {"germanic"}
+    assert language.family_of("fra") == language.family_of("fre") == language.family_of("pt_BR") == "romance" and language.family_of("xx") == "own:xx"
+    assert language.machines(["en", "eng", "de", "fr", "xx"]) == 3 + 3
+    assert set(language._TWO.values()) <= {c for f in language.FAMILIES.values() for c in f.split()}
+
+
+def test_a_model_beyond_its_size_is_refused(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k}", f"l{k % 9}") for k in range(40)] + [(99, "x", None)], "doc_id long, text string, lang string")
+    assert len(language.train(docs).languages) == 9
+    monkeypatch.setattr(language, "SAMPLED", 0)  # joined without a hint
+    assert len(language.train(docs).languages) == 9
+    monkeypatch.setattr(language, "MODEL_BYTES", 8 * 4 * language.BUCKETS)
+    with pytest.raises(ValueError, match="9 values of lang need 9 machines"):
+        language.train(docs)
