@@ -143,31 +143,38 @@ def derivatives(y: np.ndarray, weight: np.ndarray, margin: np.ndarray) -> tuple[
     return np.round((p - y) * weight * UNIT), np.round(p * (1 - p) * weight * UNIT)
 
 
+def sums(key, y, weight, x, margin, tree: Tree, turn: int, level: int, features: list[int], wide: int, share: float) -> np.ndarray:
+    """Gradients and Hessians of a block's sampled rows by (node of the level, feature, bin), in whole units."""
+    first, n = (1 << level) - 1, (1 << level) * len(features) * wide
+    take = sampled(key, turn, share)
+    at = tree.nodes(x)
+    take &= at >= first
+    out = np.zeros((2, n))
+    g, h = derivatives(y, weight, margin)
+    for j, f in enumerate(features):
+        cell = ((at[take] - first) * len(features) + j) * wide + x[take, f]
+        for k, v in enumerate((g, h)):
+            out[k] += np.bincount(cell, v[take], n)
+    return out
+
+
 def histograms(state: DataFrame, tree: Tree, pending: list[Tree], turn: int, level: int, features: list[int], sizes: list[int], share: float) -> DataFrame:
     """cell, g, h: the sums of each (node of the level, feature, bin) that has rows."""
-    d, first, wide = len(sizes), (1 << level) - 1, max(sizes)
+    d, wide = len(sizes), max(sizes)
 
     def run(batches):
         n = (1 << level) * len(features) * wide
-        total = np.zeros((2, n), object)
-        own = np.zeros((2, n))
-        seen = 0
+        total, own, seen = np.zeros((2, n), object), np.zeros((2, n)), 0
         for key, y, weight, _, x, m in _blocks(batches, d, pending):
-            take = sampled(np.frombuffer(key.as_py(), np.int64), turn, share)
-            at = tree.nodes(x)
-            take &= at >= first
-            g, h = derivatives(np.frombuffer(y.as_py(), np.float64), np.frombuffer(weight.as_py(), np.float64), m)
-            for j, f in enumerate(features):
-                cell = ((at[take] - first) * len(features) + j) * wide + x[take, f]
-                for k, v in enumerate((g, h)):
-                    own[k] += np.bincount(cell, v[take], n)
+            held = (np.frombuffer(v.as_py(), k) for v, k in ((key, np.int64), (y, np.float64), (weight, np.float64)))
+            own += sums(*held, x, m, tree, turn, level, features, wide, share)
             seen += 1
             if seen == 64:  # while a double still holds every sum exactly
                 total, own, seen = total + own.astype(np.int64).astype(object), np.zeros((2, n)), 0
         total = total + own.astype(np.int64).astype(object)
         full = np.flatnonzero((total[0] != 0) | (total[1] != 0))
-        sums = [pa.array([str(v) for v in total[k][full]], pa.string()) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *sums], names=["cell", "g", "h"])
+        parts = [pa.array([str(v) for v in total[k][full]], pa.string()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *parts], names=["cell", "g", "h"])
 
     found = state.mapInArrow(run, "cell bigint, g string, h string")
     return found.groupBy("cell").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("g", "h")])
@@ -183,14 +190,12 @@ def split(g: np.ndarray, h: np.ndarray, reg: float = LAMBDA, least: float = LEAS
     return float(gain.flat[k]), k // g.shape[1], k % g.shape[1]
 
 
-def grow(state: DataFrame, pending: list[Tree], turn: int, features: list[int], sizes: list[int], depth: int, step: float, share: float, reg: float) -> Tree:
-    """A tree whose cuts are bins."""
+def grow(summed, features: list[int], sizes: list[int], depth: int, step: float, reg: float) -> Tree:
+    """A tree whose cuts are bins. ``summed``: of a tree so far and a level, the sums g and h of each cell."""
     tree, wide = Tree.empty(depth), max(sizes)
     for level in range(depth):
         first = (1 << level) - 1
-        g, h = (np.zeros(((1 << level) * len(features) * wide)) for _ in range(2))
-        for r in histograms(state, tree, pending, turn, level, features, sizes, share).collect():
-            g[r.cell], h[r.cell] = int(r.g) / UNIT, int(r.h) / UNIT
+        g, h = summed(tree, level)
         more = False
         for k in range(1 << level):
             own = [v.reshape(1 << level, len(features), wide)[k] for v in (g, h)]
@@ -212,6 +217,38 @@ def grow(state: DataFrame, pending: list[Tree], turn: int, features: list[int],
     return tree
 
 
+def over_rows(state: DataFrame, pending: list[Tree], turn: int, features: list[int], sizes: list[int], share: float):
+    """Sums by a job over all blocks."""
+
+    def summed(tree: Tree, level: int):
+        g, h = (np.zeros((1 << level) * len(features) * max(sizes)) for _ in range(2))
+        for r in histograms(state, tree, pending, turn, level, features, sizes, share).collect():
+            g[r.cell], h[r.cell] = int(r.g) / UNIT, int(r.h) / UNIT
+        return g, h
+
+    return summed
+
+
+def in_one_block(state: DataFrame, rounds: int, sizes: list[int], pick, grown, share: float) -> list[Tree]:
+    """All trees from a state of one block, in the task that has it: the same sums without a job for each level."""
+
+    def run(batches):
+        trees = []
+        for key, y, weight, _, x, margin in _blocks(batches, len(sizes), []):
+            key, y, weight = (np.frombuffer(v.as_py(), k) for v, k in ((key, np.int64), (y, np.float64), (weight, np.float64)))
+            for turn in range(rounds):
+                features = pick(turn)
+                tree = grown(lambda t, level: sums(key, y, weight, x, margin, t, turn, level, features, max(sizes), share) / UNIT, features)  # noqa: B023
+                margin = margin + tree.margins(x)
+                trees.append(tree)
+        columns = [pa.array([getattr(t, c).astype(np.float64).tobytes() for t in trees], pa.binary()) for c in ("feature", "cut", "value")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(trees)), pa.int64()), *columns], names=["turn", "feature", "cut", "value"])
+
+    found = state.mapInArrow(run, "turn bigint, feature binary, cut binary, value binary").orderBy("turn").collect()
+    read = lambda b: np.frombuffer(b, np.float64)
+    return [Tree(read(r.feature).astype(np.int64), read(r.cut), read(r.value)) for r in found]
+
+
 def refreshed(state: DataFrame, d: int, pending: list[Tree]) -> DataFrame:
     def run(batches):
         for key, y, weight, bins, _, m in _blocks(batches, d, pending):
@@ -243,17 +280,24 @@ def fit(
         cuts = edges(rows, names, bins)
         sizes = [len(e) + 1 for e in cuts]
         parts = max(1, -(-rows.count() // BLOCK))
-        # what fits one block needs neither more tasks nor a shuffle
-        held = (lambda df: df.coalesce(1)) if parts == 1 else (lambda df: df)
-        state = held(scratch.write(packed(rows.repartition(parts), names, cuts), "state0"))
-        pending: list[Tree] = []
-        for turn in range(rounds):
-            tree = grow(state, pending, turn, chosen(turn, len(columns), column_share, seed), sizes, depth, step, row_share, reg)
-            pending.append(tree)
-            inner = tree.feature >= 0
-            cut = tree.cut.copy()
-            cut[inner] = [cuts[f][int(b)] for f, b in zip(tree.feature[inner], tree.cut[inner], strict=True)]
-            model.trees.append(Tree(tree.feature, cut, tree.value))
-            if len(pending) == REFRESH and turn + 1 < rounds:
-                state, pending = held(scratch.write(refreshed(state, len(columns), pending), f"state{turn + 1}")), []
+        state = scratch.write(packed(rows.repartition(parts), names, cuts), "state0")
+        state = state.coalesce(1) if parts == 1 else state
+        pick = lambda turn: chosen(turn, len(columns), column_share, seed)
+        grown = lambda summed, features: grow(summed, features, sizes, depth, step, reg)
+        if parts == 1 and state.count() <= 1:  # a row of the state is a block
+            made = in_one_block(state, rounds, sizes, pick, grown, row_share)
+            made = made or [Tree.empty(depth)] * rounds  # no rows
+        else:
+            made, pending = [], []
+            for turn in range(rounds):
+                features = pick(turn)
+                made.append(grown(over_rows(state, pending, turn, features, sizes, row_share), features))
+                pending.append(made[-1])
+                if len(pending) == REFRESH and turn + 1 < rounds:
+                    state, pending = scratch.write(refreshed(state, len(columns), pending), f"state{turn + 1}"), []
+    for tree in made:
+        inner = tree.feature >= 0
+        cut = tree.cut.copy()
+        cut[inner] = [cuts[f][int(b)] for f, b in zip(tree.feature[inner], tree.cut[inner], strict=True)]
+        model.trees.append(Tree(tree.feature, cut, tree.value))
     return model
