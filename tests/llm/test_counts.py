@@ -5,8 +5,10 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,21 @@ def test_matrix_rows_are_the_counts(spark, monkeypatch):
     assert resample.column_sums(resample.matrix(docs, buckets=50), 50)[[a, b]].tolist() == [2, 2]
 
 
+def test_matrix_is_read_a_few_blocks_at_a_time(spark):
+    docs = spark.createDataFrame([(k, prose(k, 20)) for k in range(30)], "doc_id long, text string").coalesce(1)
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "1")  # a text is a block
+    try:
+        tables = _store.Tables(spark, "matrix")
+        assert resample.written(tables, resample.matrix(docs), "m").count() == 30
+    finally:
+        conf.set(name, before)
+    (file,) = Path(tables.root.removeprefix("file:"), "m").glob("*.parquet")
+    groups = pq.read_metadata(file)
+    assert max(groups.row_group(k).num_rows for k in range(groups.num_row_groups)) <= resample.ROW_GROUP < 30
+
+
 def test_resample_edges(odd, none):
     got = resample.resample(odd, none.select("text"), least=0, percent=100).collect()
     assert len(got) == 12 and {r.weight for r in got if r.doc_id in (0, 1, 2)} == {0} and sorted(r["rank"] for r in got) == list(range(1, 13))

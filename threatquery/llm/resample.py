@@ -36,8 +36,9 @@ BUCKETS = 10_000
 SEED = 2024
 #: Remembered buckets of words, at most, in each task.
 KNOWN = 1 << 19
-#: Bytes of a row group of the matrix, so that a reader holds few blocks at once.
-ROW_GROUP = 16 << 20
+#: Blocks of a row group of the matrix. A reader holds the row group that it is at, decoded; a limit of bytes
+#: is looked at after a hundred rows only, which are blocks here.
+ROW_GROUP = 4
 #: Separators as spaces, A-Z in lower case, all else as it is.
 _TABLE = bytes(int(_text.LOWER[b]) if _text.ALNUM[_text.LOWER[b]] else 32 for b in range(256))
 _BLOCKS = "block bigint, doc_ids array<bigint>, words array<bigint>, features array<bigint>, starts array<bigint>, buckets array<int>, counts array<int>"
@@ -88,6 +89,10 @@ def matrix(texts: DataFrame, longest: int = 1, buckets: int = BUCKETS) -> DataFr
     return texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _BLOCKS)
 
 
+def written(tables: Tables, blocks: DataFrame, name: str) -> DataFrame:
+    return tables.write(blocks, name, {"parquet.block.row.count.limit": str(ROW_GROUP)})
+
+
 def _one(values: pa.Array) -> pa.Array:
     """A list array of one row."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
@@ -152,9 +157,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 10, least: int =
     others have no rank. ``target`` needs only a column ``text``.
     """
     tables = Tables(docs.sparkSession, "resample")
-    write = lambda df, name: tables.write(df, name, {"parquet.block.size": str(ROW_GROUP)})
-    blocks = write(matrix(docs, longest, buckets), "documents")
-    other = write(matrix(target.select(F.lit(None).cast("bigint").alias("doc_id"), "text"), longest, buckets), "target")
+    blocks = written(tables, matrix(docs, longest, buckets), "documents")
+    other = written(tables, matrix(target.select(F.lit(None).cast("bigint").alias("doc_id"), "text"), longest, buckets), "target")
     vector = gains(column_sums(blocks, buckets), column_sums(other, buckets))
     scored = product(blocks, vector).withColumn("score", F.col("weight") + noise(seed))
     scored = tables.write(scored.select("*", (F.col("n_words") >= least).alias("fit"), F.monotonically_increasing_id().alias("row")), "scored")
