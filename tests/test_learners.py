@@ -82,6 +82,32 @@ def test_boosting_does_not_depend_on_partitions(spark):
         assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and (a.value == b.value).all()
 
 
+def test_a_round_is_one_job_and_gives_the_same_trees(spark, monkeypatch):
+    """However many batches, rows of one block are one block; of several, no level needs a job of its own."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(300, 3)).round(1), rng.integers(0, 2, 300)
+    train = table(spark, x, y)
+    many, count = boosting.totals, []
+    monkeypatch.setattr(boosting, "totals", lambda *a: count.append(1) or many(*a))
+    monkeypatch.setattr(boosting, "BLOCK", 64)
+    cells = boosting.fit(train, NAMES, rounds=5)
+    assert len(count) == 5
+    monkeypatch.setattr(boosting, "CELLS", 0)
+    levels = boosting.fit(train, NAMES, rounds=5)
+    assert len(count) > 15
+    monkeypatch.setattr(boosting, "BLOCK", 1 << 14)
+    monkeypatch.setattr(boosting, "totals", None)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "70")
+    try:
+        one = boosting.fit(train, NAMES, rounds=5)
+    finally:
+        spark.conf.set(name, before)
+    for a, b, c in zip(cells.trees, levels.trees, one.trees, strict=True):
+        assert all((getattr(a, k) == getattr(t, k)).all() for t in (b, c) for k in ("feature", "cut", "value"))
+
+
 def test_boosting_edges(spark):
     x, y = np.array([[1.0, 2, np.nan]] * 6), np.array([1.0] * 6)
     model = boosting.fit(table(spark, x, y), NAMES, rounds=2)

@@ -1,10 +1,11 @@
 """Second-order boosting of trees for a label of two classes, which MLlib doesn't have.
 
 Each round fits a tree to the gradients and Hessians of the logistic loss. A
-level of a tree is one job: tasks add up both by (node, feature, bin), Spark
+round is one job: tasks add up both by the bins of the round's columns, Spark
 adds up what tasks send, and the driver takes for each node the split with the
 largest regularised gain from these sums, of which there are a bounded number
-whatever the rows. Gradients and Hessians are counted in whole units, so sums
+whatever the rows. Where the bins of a round's columns make too many cells, a
+job adds up by (node, feature, bin) for each level of the tree. Gradients and Hessians are counted in whole units, so sums
 don't depend on how rows are dealt to tasks or whether one ran twice, and the
 same rows always give the same trees.
 
@@ -33,6 +34,9 @@ ROUNDS, DEPTH, STEP, ROW_SHARE, COLUMN_SHARE, LAMBDA, LEAST_HESSIAN, BINS, SEED
 LEAST_GAIN = 1e-6
 #: Whole units of a gradient or Hessian; rows of a block; rounds after which margins are written.
 UNIT, BLOCK, REFRESH = 1 << 36, 1 << 14, 20
+#: Cells (of bins of all of a round's columns) up to which a round is one job.
+CELLS = 1 << 18
+_HALVES = ("g_high", "g_low", "h_high", "h_low")
 _STATE = "key binary, y binary, weight binary, bins binary, margin binary"
 
 
@@ -109,13 +113,22 @@ def edges(rows: DataFrame, columns: list[str], bins: int = BINS) -> list[np.ndar
 def packed(rows: DataFrame, columns: list[str], cuts: list[np.ndarray]) -> DataFrame:
     """Blocks of rows; ``rows``: key (a hash), y, weight and the columns."""
 
-    def run(batches):
+    def whole(batches):
+        """Tables of BLOCK rows, but for the last, however many a batch has."""
+        held, n = [], 0
         for batch in batches:
-            for a in range(0, batch.num_rows, BLOCK):
-                own = batch.slice(a, BLOCK)
-                x = [np.searchsorted(e, np.asarray(own.column(c), float), "left") for c, e in zip(columns, cuts, strict=True)]
-                held = (np.asarray(own.column("key"), np.int64), np.asarray(own.column("y"), np.float64), np.asarray(own.column("weight"), np.float64), np.column_stack(x).astype(np.uint16), np.zeros(own.num_rows))
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in held], names=["key", "y", "weight", "bins", "margin"])
+            while n + batch.num_rows >= BLOCK:
+                yield pa.Table.from_batches([*held, batch.slice(0, BLOCK - n)])
+                held, n, batch = [], 0, batch.slice(BLOCK - n)
+            held, n = [*held, batch], n + batch.num_rows
+        if n:
+            yield pa.Table.from_batches(held)
+
+    def run(batches):
+        for own in whole(batches):
+            x = [np.searchsorted(e, np.asarray(own.column(c), float), "left") for c, e in zip(columns, cuts, strict=True)]
+            held = (np.asarray(own.column("key"), np.int64), np.asarray(own.column("y"), np.float64), np.asarray(own.column("weight"), np.float64), np.column_stack(x).astype(np.uint16), np.zeros(own.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in held], names=["key", "y", "weight", "bins", "margin"])
 
     return rows.select("key", "y", "weight", *columns).mapInArrow(run, _STATE)
 
@@ -158,26 +171,32 @@ def sums(key, y, weight, x, margin, tree: Tree, turn: int, level: int, features:
     return out
 
 
-def histograms(state: DataFrame, tree: Tree, pending: list[Tree], turn: int, level: int, features: list[int], sizes: list[int], share: float) -> DataFrame:
-    """cell, g, h: the sums of each (node of the level, feature, bin) that has rows."""
-    d, wide = len(sizes), max(sizes)
+def totals(state: DataFrame, d: int, pending: list[Tree], n: int, of_block) -> np.ndarray:
+    """By one job: the sums g and h of each of ``n`` cells over all blocks, exact. ``of_block`` gives a block's own."""
+
+    def cells(total: np.ndarray) -> pa.RecordBatch:
+        full = np.flatnonzero((total != 0).any(0))
+        halves = [half for v in total[:, full] for half in (v >> 32, v & 0xFFFFFFFF)]
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (full, *halves)], names=["cell", *_HALVES])
 
     def run(batches):
-        n = (1 << level) * len(features) * wide
-        total, own, seen = np.zeros((2, n), object), np.zeros((2, n)), 0
+        total, seen = np.zeros((2, n), np.int64), 0
         for key, y, weight, _, x, m in _blocks(batches, d, pending):
             held = (np.frombuffer(v.as_py(), k) for v, k in ((key, np.int64), (y, np.float64), (weight, np.float64)))
-            own += sums(*held, x, m, tree, turn, level, features, wide, share)
+            total += of_block(*held, x, m).astype(np.int64)
             seen += 1
-            if seen == 64:  # while a double still holds every sum exactly
-                total, own, seen = total + own.astype(np.int64).astype(object), np.zeros((2, n)), 0
-        total = total + own.astype(np.int64).astype(object)
-        full = np.flatnonzero((total[0] != 0) | (total[1] != 0))
-        parts = [pa.array([str(v) for v in total[k][full]], pa.string()) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *parts], names=["cell", "g", "h"])
-
-    found = state.mapInArrow(run, "cell bigint, g string, h string")
-    return found.groupBy("cell").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("g", "h")])
+            if seen == 4096:  # before 64 bits are full
+                yield cells(total)
+                total, seen = np.zeros((2, n), np.int64), 0
+        yield cells(total)
+
+    found = state.mapInArrow(run, "cell bigint, " + ", ".join(f"{c} bigint" for c in _HALVES)).groupBy("cell").agg(*[F.sum(c).alias(c) for c in _HALVES]).toArrow()
+    at, *halves = (np.asarray(found.column(c).combine_chunks(), np.int64) for c in ("cell", *_HALVES))
+    wide = any(len(v) and np.abs(v).max() >= 1 << 20 for v in halves[::2])
+    out = np.zeros((2, n), object if wide else np.int64)  # 64 bits hold the sum of all cells too, or Python's numbers do
+    for k in (0, 1):
+        out[k, at] = halves[2 * k].astype(out.dtype) * (1 << 32) + halves[2 * k + 1].astype(out.dtype)
+    return out
 
 
 def split(g: np.ndarray, h: np.ndarray, reg: float = LAMBDA, least: float = LEAST_HESSIAN) -> tuple[float, int, int]:
@@ -218,13 +237,42 @@ def grow(summed, features: list[int], sizes: list[int], depth: int, step: float,
 
 
 def over_rows(state: DataFrame, pending: list[Tree], turn: int, features: list[int], sizes: list[int], share: float):
-    """Sums by a job over all blocks."""
+    """Sums by a job over all blocks for each level."""
+    d, wide = len(sizes), max(sizes)
 
     def summed(tree: Tree, level: int):
-        g, h = (np.zeros((1 << level) * len(features) * max(sizes)) for _ in range(2))
-        for r in histograms(state, tree, pending, turn, level, features, sizes, share).collect():
-            g[r.cell], h[r.cell] = int(r.g) / UNIT, int(r.h) / UNIT
-        return g, h
+        own = totals(state, d, pending, (1 << level) * len(features) * wide, lambda *block: sums(*block, tree, turn, level, features, wide, share))
+        return (own / UNIT).astype(float)
+
+    return summed
+
+
+def over_cells(state: DataFrame, pending: list[Tree], turn: int, features: list[int], sizes: list[int], share: float):
+    """The same sums from one job a round: rows that agree in the bins of the round's columns take the same way through its tree."""
+    shape, d, wide = [sizes[f] for f in features], len(sizes), max(sizes)
+    n = int(np.prod(shape))
+
+    def of_block(key, y, weight, x, margin):
+        take = sampled(key, turn, share)
+        cell = np.ravel_multi_index(tuple(x[take, f].astype(np.int64) for f in features), shape)
+        return np.stack([np.bincount(cell, v[take], n) for v in derivatives(y, weight, margin)])
+
+    whole = totals(state, d, pending, n, of_block)
+    full = np.flatnonzero((whole != 0).any(0))
+    whole, bins = whole[:, full], np.zeros((len(full), d), np.uint16)
+    for f, own in zip(features, np.unravel_index(full, shape), strict=True):
+        bins[:, f] = own
+
+    def summed(tree: Tree, level: int):
+        first = (1 << level) - 1
+        at = tree.nodes(bins)
+        take = at >= first
+        out = np.zeros((2, (1 << level) * len(features) * wide), whole.dtype)
+        for j, f in enumerate(features):
+            cell = ((at[take] - first) * len(features) + j) * wide + bins[take, f]
+            for k in (0, 1):
+                np.add.at(out[k], cell, whole[k, take])
+        return (out / UNIT).astype(float)
 
     return summed
 
@@ -291,10 +339,12 @@ def fit(
             made, pending = [], []
             for turn in range(rounds):
                 features = pick(turn)
-                made.append(grown(over_rows(state, pending, turn, features, sizes, row_share), features))
+                over = over_cells if np.prod([float(sizes[f]) for f in features]) <= CELLS else over_rows
+                made.append(grown(over(state, pending, turn, features, sizes, row_share), features))
                 pending.append(made[-1])
                 if len(pending) == REFRESH and turn + 1 < rounds:
                     state, pending = scratch.write(refreshed(state, len(columns), pending), f"state{turn + 1}"), []
+                    scratch.drop(f"state{turn + 1 - REFRESH}")
     for tree in made:
         inner = tree.feature >= 0
         cut = tree.cut.copy()

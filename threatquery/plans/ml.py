@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threatquery.operators import attribution, boosting, features_ml as feat, margin, metrics as met, models, splits, text_margin
 from threatquery.plans.catalogue import query
 from threatquery.plans.profile import labelled, rounded
+from threatquery.sources import sinks
 
 # Every labelled row with a truth, a score from its words and a prediction; quality 0 is the threat, as with URLs.
 _BASE = """SELECT d.doc_id, d.lang, l.quality AS truth, l.toxic, length(d.text) AS n_text, len(string_split(d.text, ' ')) AS n_words, len(regexp_extract_all(d.text, '[|$%&#*!]')) AS n_marks,
@@ -135,7 +136,9 @@ def linear_shap_ranking(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    return scored(spark, sf_dir).select("doc_id", F.col("truth").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in _COLUMNS])
+    """Numbers of the labelled rows, written once, as a fit reads them many times and each time would go over all texts."""
+    rows = scored(spark, sf_dir).select("doc_id", F.col("truth").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in _COLUMNS])
+    return sinks.materialise(rows, "labelled")
 
 
 @query()
@@ -223,5 +226,4 @@ def text_lr_predictions(spark, sf_dir):
 @query()
 def cv_scores(spark, sf_dir):
     """Five stratified folds of the logistic regression."""
-    rows = scored(spark, sf_dir).select("doc_id", F.col("truth").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in _COLUMNS])
-    return models.cross_validate(rows, _COLUMNS, models.logistic, "doc_id", scaled=True)
+    return models.cross_validate(_labelled(spark, sf_dir), _COLUMNS, models.logistic, "doc_id", scaled=True)
