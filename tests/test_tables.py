@@ -224,6 +224,22 @@ def test_quality(spark):
     assert features_ml.tfidf(spark.createDataFrame([(1, "aa bb aa"), (2, None)], "id int, t string"), "id", "t").count() == 4
 
 
+def test_tfidf_shuffles_no_row(spark):
+    texts = ["win a free prize now now", "free prize prize", None, "", "see you at lunch, see you", "x", "Free lunch"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = features_ml.tfidf(df, "id", "t", 7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    frequencies = features_ml.term_frequencies(df, "id", "t")
+    want = features_ml.tfidf(df, "id", "t", vocab=features_ml.vocabulary(frequencies, 7, 7))
+    own, plain = ({(r.id, r.term): r.weight for r in x.collect()} for x in (got, want))
+    assert own.keys() == plain.keys() and all(own[k] == pytest.approx(plain[k], abs=1e-12) for k in own) and len(own) > 7
+    again = df.union(spark.createDataFrame([(0, "free lunch")], df.schema))  # rows of one key are one document
+    weights = {r.term: r.weight for r in features_ml.tfidf(again, "id", "t").where("id = 0").collect()}
+    assert sum(w * w for w in weights.values()) == pytest.approx(1) and {"free lunch", "free prize"} <= weights.keys()
+    assert features_ml.tfidf(df.where("t is null"), "id", "t").count() == 0
+
+
 def test_weeks(spark):
     days = {datetime.date(2026, 9, 3): None, datetime.date(2026, 9, 4): 1, datetime.date(2026, 9, 10): 1, datetime.date(2026, 9, 11): 2}
     df = spark.createDataFrame([(d,) for d in days], "d date")

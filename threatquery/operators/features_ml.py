@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,13 @@ TOKEN = r"(?U)(\w\w+)"
 def grams(text: Column) -> Column:
     """Unigrams of two characters or more, then bigrams."""
     w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
-    pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(w, pairs)
+
+    def both(w: Column) -> Column:
+        rest = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), rest), F.slice(w, F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b)))
+
+    # one element: the words are extracted once, however often they are used
+    return F.transform(F.array(w), both)[0]
 
 
 def term_frequencies(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -29,8 +36,21 @@ def vocabulary(frequencies: DataFrame, n_rows: int, max_features: int | None) ->
     return df.select("term", (F.log((F.lit(1.0) + n_rows) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 
 
+def counted(terms: Column) -> Column:
+    """Of a row's terms: term, n for each occurrence and d once for each different one."""
+    one = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("d"))
+    return F.transform(F.array(terms), lambda t: F.concat(F.transform(t, one(1, 0)), F.transform(F.array_distinct(t), one(0, 1))))[0]
+
+
 def tfidf(rows: DataFrame, key: str, text: str, max_features: int | None = 5000, vocab: DataFrame | None = None) -> DataFrame:
-    """key, term, weight with unit length per row. ``vocab``: a fitted one, for rows other than those of training."""
+    """key, term, weight with unit length per row. ``vocab``: a fitted one, for rows other than those of training.
+
+    Where no key repeats and the vocabulary is bounded, it reaches the driver
+    and each row is weighed where it is; only different terms are shuffled.
+    Elsewhere (key, term) pairs are.
+    """
+    if vocab is None and max_features is not None and rows.groupBy(key).count().where("count > 1").isEmpty():
+        return _weighed(rows, key, text, max_features)
     frequencies = term_frequencies(rows, key, text)
     if vocab is None:
         vocab = vocabulary(frequencies, rows.count(), max_features)
@@ -39,6 +59,23 @@ def tfidf(rows: DataFrame, key: str, text: str, max_features: int | None = 5000,
     return raw.select(key, "term", (F.col("weight") / norm).alias("weight"))
 
 
+def _weighed(rows: DataFrame, key: str, text: str, max_features: int) -> DataFrame:
+    terms = rows.select(key, grams(F.col(text)).alias("_terms"))
+    totals = terms.select(F.explode(counted(F.col("_terms"))).alias("x")).groupBy("x.term").agg(F.sum("x.d").alias("df"), F.sum("x.n").alias("total"))
+    totals = totals.orderBy(F.col("total").desc(), "term").limit(max_features)
+    idf = F.log((F.lit(1.0) + rows.count()) / (F.lit(1.0) + F.col("df"))) + 1
+    held = totals.select("term", idf.alias("idf")).orderBy("term").collect()
+    if not held:
+        return terms.select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
+    vectors = CountVectorizerModel.from_vocabulary([r.term for r in held], inputCol="_terms", outputCol="_tf")
+    weigh = ElementwiseProduct(inputCol="_tf", outputCol="_raw", scalingVec=Vectors.dense([r.idf for r in held]))
+    unit = Normalizer(inputCol="_raw", outputCol="_unit", p=2.0)
+    made = unit.transform(weigh.transform(vectors.transform(terms))).select(key, F.unwrap_udt("_unit").alias("v"))
+    made = made.select(key, F.explode(F.arrays_zip("v.indices", "v.values")).alias("x"))
+    places = rows.sparkSession.createDataFrame([(k, r.term) for k, r in enumerate(held)], "indices int, term string")
+    return made.select(key, "x.indices", F.col("x.values").alias("weight")).join(F.broadcast(places), "indices").select(key, "term", "weight")
+
+
 def clean_number(c: Column) -> Column:
     """A double; what isn't a finite number is null."""
     x = c.try_cast("double")
