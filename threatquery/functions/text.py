@@ -136,10 +136,16 @@ def lemma(token: Column, lexicon: Mapping[str, str] | None = None) -> Column:
 
 def nlp_tokens(text: Column, stopwords: Iterable[str], lemmatize: bool = True, lexicon: Mapping[str, str] | None = None) -> Column:
     """Lower case, urltoken and numtoken in place, no punctuation, stop words or noun endings."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hint = low.rlike(URL_HINT) | low.rlike(lex.endings(lex.MESSAGE_SHORTENERS)) | low.rlike(r"(?U)\d\.\d")
-    clean = F.when(hint, F.regexp_replace(low, URL_SPAN, "urltoken")).otherwise(low)
-    clean = F.when(clean.rlike(r"(?U)\d{3}"), F.regexp_replace(clean, NUMBER_SPAN, "numtoken")).otherwise(clean)
+
+    def urls(low: Column) -> Column:
+        hint = low.rlike(URL_HINT) | low.rlike(lex.endings(lex.MESSAGE_SHORTENERS)) | low.rlike(r"(?U)\d\.\d")
+        return F.when(hint, F.regexp_replace(low, URL_SPAN, "urltoken")).otherwise(low)
+
+    def numbers(clean: Column) -> Column:
+        return F.when(clean.rlike(r"(?U)\d{3}"), F.regexp_replace(clean, NUMBER_SPAN, "numtoken")).otherwise(clean)
+
+    # arrays of one element: what a step makes is made once, however often the next one reads it
+    clean = F.transform(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), urls), numbers)[0]
     clean = F.regexp_replace(clean, r"(?U)[\W_]+", " ")
     tokens = F.filter(F.split(clean, " "), lambda t: (t != "") & ~t.isin(*stopwords))
     return F.transform(tokens, lambda t: lemma(t, lexicon)) if lemmatize else tokens

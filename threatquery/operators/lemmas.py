@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threatquery.sources.sinks import materialise
+
 # Endings of nouns and what takes their place, in the order in which they are tried.
 RULES = [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")]
 #: Forms that end otherwise have no rule.
@@ -52,7 +54,9 @@ def lexicon(words: DataFrame, vocabulary: DataFrame, exceptions: DataFrame | Non
 
 def lemmatized(rows: DataFrame, key: str, tokens: str, vocabulary: DataFrame | None = None, exceptions: DataFrame | None = None) -> DataFrame:
     """``key`` and ``tokens`` with each token's lemma in its place. ``key`` is distinct; without a vocabulary the table's own words are it."""
-    every = rows.select(F.explode(tokens).alias("word"))
+    # written once, as the tokens and the words are read several times
+    rows = materialise(rows.select(key, tokens), "tokens")
+    every = materialise(rows.select(F.explode(tokens).alias("word")).distinct(), "words")
     found = lexicon(every, every if vocabulary is None else vocabulary, exceptions)
     asked = rows.select(key, F.explode(F.array_distinct(tokens)).alias("word"))
     if exceptions is None:
