@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threatquery.operators import boosting, text_margin
+from threatquery.operators import boosting, lemmas, models, text_margin
 from threatquery.plans import catalogue
 
 NAMES = ["a", "b", "c"]
@@ -136,6 +136,27 @@ def test_queries_fit_the_whole_models(spark, monkeypatch):
     assert seen == {"boosting": {}, "text": {}} and boosting.ROUNDS == 300
 
 
+def test_texts_are_gone_over_few_times(spark):
+    """Not once for each of the steps of a fit."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    look = F.udf(look, "string").asNondeterministic()
+    rows = spark.createDataFrame([(k, f"word{k % 5} cars car alerts", "ab"[k % 2]) for k in range(40)], "id long, t string, c string").withColumn("t", look("t"))
+    models.fit_text(rows, "t", "c", models.logistic(40, 3))
+    assert 0 < seen.value <= 80
+    seen.value = 0
+    assert lemmas.lemmatized(rows.select("id", F.split("t", " ").alias("w")), "id", "w").count() == 40
+    assert 0 < seen.value <= 40
+    seen.value = 0
+    numbers = rows.select("id", (F.col("id") % 2).cast("double").alias("label"), F.length("t").cast("double").alias("a"))
+    assert models.cross_validate(numbers, ["a"], lambda n: models.logistic(n, 2), "id", folds=2, scaled=True).count() == 1
+    assert 0 < seen.value <= 80
+
+
 TOPICS = {"pay": "verify your account payment card bank", "prize": "win a free prize claim now winner", "parcel": "your parcel is waiting customs fee", "chat": "see you at lunch tomorrow dear", "work": "remote job offer salary apply today"}
 
 
