@@ -116,14 +116,16 @@ def fit_text(train: DataFrame, text: str, label: str, estimator, max_features: i
     Applies to rows with ``text_columns``; adds predicted, the label's name.
     """
     rows = text_columns(train, text).withColumn("_class", F.col(label))
-    index = StringIndexer(inputCol="_class", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     vectors = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max_features).fit(rows)
-    idf = IDF(inputCol="tf", outputCol="_").fit(vectors.transform(rows)).idf
+    # counts are written once, as all that follows would go over the texts again
+    rows = materialise(vectors.transform(rows).select("_class", "tf", "hand"), "counts")
+    index = StringIndexer(inputCol="_class", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
+    idf = IDF(inputCol="tf", outputCol="_").fit(rows).idf
     weigh = ElementwiseProduct(inputCol="tf", outputCol="weighted", scalingVec=Vectors.dense(idf.toArray() + 1.0))
     unit = Normalizer(inputCol="weighted", outputCol="tfidf", p=2.0)
     scale = MaxAbsScaler(inputCol="hand", outputCol="scaled").fit(rows)
     both = VectorAssembler(inputCols=["tfidf", "scaled"], outputCol="features")
-    prepared = PipelineModel([index, vectors, weigh, unit, scale, both]).transform(rows)
+    prepared = PipelineModel([index, weigh, unit, scale, both]).transform(rows)
     model = estimator.fit(balanced(prepared))
     name = IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)
     return PipelineModel([vectors, weigh, unit, scale, both, model, name])

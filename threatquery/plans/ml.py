@@ -204,6 +204,7 @@ def _categorised(spark, sf_dir):
     from threatquery.plans.text import messages
 
     rows = messages(spark, sf_dir).withColumn("category", tx.category(F.col("text"), F.col("label"), lex.DATA_CATEGORIES)).drop("label")
+    rows = sinks.materialise(rows, "messages")  # a fit reads them several times
     train = splits.stratified(rows.select("doc_id", "category"), "category", "doc_id").where("split = 'train'").select("doc_id")
     return rows, rows.join(train, "doc_id", "left_semi")
 
