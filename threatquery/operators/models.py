@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, IndexToString, MaxAbsScaler, Normalizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from threatquery.functions.text import handcrafted
 from threatquery.operators import metrics, splits
+from threatquery.operators.cells import CellForest
 from threatquery.operators.features_ml import grams, medians
 from threatquery.sources.sinks import materialise
 
@@ -57,8 +58,8 @@ def linear_svc(n_rows: int, max_iter: int = 1000, c: float = 1.0) -> LinearSVC:
     return LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * max(n_rows, 1)), standardization=False)
 
 
-def random_forest(trees: int = TREES) -> RandomForestClassifier:
-    return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=30, seed=SEED, maxMemoryInMB=512)
+def random_forest(trees: int = TREES) -> CellForest:
+    return CellForest(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=30, seed=SEED, maxMemoryInMB=512)
 
 
 def boosted(rounds: int = BOOST_ROUNDS) -> GBTClassifier:
