@@ -23,6 +23,15 @@ def told(model, rows):
     return np.array([[*r.r, *r.p, r.prediction] for r in out.collect()])
 
 
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 @pytest.mark.parametrize("depth", [4, 30])
 def test_a_forest_without_draws_is_that_of_mllib(rows, depth):
     setting = dict(numTrees=1, bootstrap=False, maxDepth=depth)
@@ -72,7 +81,7 @@ def test_a_forest_of_three_classes_is_saved(spark, rows, tmp_path):
 
 def test_one_value_makes_one_leaf(spark):
     rows = spark.createDataFrame([(k, float(k % 4 == 0), 1.0) for k in range(40)], "id long, label double, a double")
-    for e in (cells.CellForest(**_COMMON, numTrees=3), cells.CellBoosting(**_COMMON, maxIter=3)):
+    for e in (models.random_forest(3), models.boosted(3)):
         assert len(set(map(tuple, told(models.fit(rows, ["a"], e), rows)))) == 1
 
 
@@ -80,3 +89,11 @@ def test_boosted_trees_without_draws_are_those_of_mllib(rows):
     one, other = (models.fit(rows, ["a", "b", "c"], kind(**_COMMON, maxIter=3, maxDepth=6, stepSize=0.1)) for kind in (GBTClassifier, cells.CellBoosting))
     assert isinstance(other.stages[-1], cells.BoostedModel) and other.stages[-1].treeWeights == one.stages[-1].treeWeights
     assert np.allclose(told(one, rows), told(other, rows), atol=1e-9)
+
+
+def test_boosted_trees_take_few_jobs(spark, rows, tmp_path):
+    """Before, each level of each round was a job."""
+    held = []
+    assert jobs_of(spark, "boosted", lambda: held.append(models.fit(rows, ["a", "b", "c"], models.boosted(20)))) < 50
+    models.save(held[0], str(tmp_path / "m"))
+    assert np.array_equal(told(held[0], rows), told(models.load(str(tmp_path / "m")), rows))

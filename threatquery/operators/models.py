@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, IndexToString, MaxAbsScaler, Normalizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from threatquery.functions.text import handcrafted
 from threatquery.operators import metrics, splits
-from threatquery.operators.cells import CellForest
+from threatquery.operators.cells import CellBoosting, CellForest
 from threatquery.operators.features_ml import grams, medians
 from threatquery.sources.sinks import materialise
 
@@ -62,8 +62,8 @@ def random_forest(trees: int = TREES) -> CellForest:
     return CellForest(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=30, seed=SEED, maxMemoryInMB=512)
 
 
-def boosted(rounds: int = BOOST_ROUNDS) -> GBTClassifier:
-    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=BOOST_DEPTH, stepSize=BOOST_STEP, subsamplingRate=BOOST_SHARE, featureSubsetStrategy=str(BOOST_SHARE), seed=SEED)
+def boosted(rounds: int = BOOST_ROUNDS) -> CellBoosting:
+    return CellBoosting(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=BOOST_DEPTH, stepSize=BOOST_STEP, subsamplingRate=BOOST_SHARE, featureSubsetStrategy=str(BOOST_SHARE), seed=SEED)
 
 
 def one_vs_rest(classifier) -> OneVsRest:
