@@ -4,7 +4,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 
-from threatquery.operators import cells, models
+from threatquery.operators import attribution, cells, models
 
 _COMMON = dict(featuresCol="features", labelCol="label", weightCol="weight", seed=7)
 
@@ -97,3 +97,13 @@ def test_boosted_trees_take_few_jobs(spark, rows, tmp_path):
     assert jobs_of(spark, "boosted", lambda: held.append(models.fit(rows, ["a", "b", "c"], models.boosted(20)))) < 50
     models.save(held[0], str(tmp_path / "m"))
     assert np.array_equal(told(held[0], rows), told(models.load(str(tmp_path / "m")), rows))
+
+
+def test_attributions_read_trees_over_cells(rows):
+    """They equal those of MLlib's own trees where nothing is drawn."""
+    found = []
+    for kind in (GBTClassifier, cells.CellBoosting):
+        gbt = models.fit(rows, ["a", "b", "c"], kind(**_COMMON, maxIter=2, maxDepth=4)).stages[-1]
+        out = attribution.tree_shap(rows.where("id % 20 = 0"), rows.where("id < 30"), gbt, ["a", "b", "c"], "id")
+        found.append(np.array([tuple(r) for r in out.orderBy("id").collect()]))
+    assert isinstance(gbt, cells.BoostedModel) and np.allclose(*found, atol=1e-9)
