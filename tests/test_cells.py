@@ -107,3 +107,33 @@ def test_attributions_read_trees_over_cells(rows):
         out = attribution.tree_shap(rows.where("id % 20 = 0"), rows.where("id < 30"), gbt, ["a", "b", "c"], "id")
         found.append(np.array([tuple(r) for r in out.orderBy("id").collect()]))
     assert isinstance(gbt, cells.BoostedModel) and np.allclose(*found, atol=1e-9)
+
+
+def test_attributions_are_made_once_a_cell(spark, rows, monkeypatch):
+    """Before, each row went through all leaves. Copies of rows bring no cells and get what the rows get, also where cells are too many to broadcast."""
+    held, write, names = [], attribution.materialise, ["a", "b", "c"]
+    monkeypatch.setattr(attribution, "materialise", lambda df, name: held.append(write(df, name)) or held[-1])
+    gbt = models.fit(rows, names, models.boosted(2)).stages[-1]
+    some = rows.where("id % 2 = 0")
+    copies = some.crossJoin(spark.range(3).toDF("k")).selectExpr("id + 1000 * k AS id", *names).repartition(7)
+    told = lambda r: {x.id: tuple(x)[1:] for x in attribution.tree_shap(r, rows.where("id < 30"), gbt, names, "id").collect()}
+    one, three = told(some), told(copies)
+    assert held[0].count() == held[1].count() < len(one) == 350
+    assert len(three) == 1050 and all(v == one[k % 1000] for k, v in three.items())
+    monkeypatch.setattr(attribution, "CELLS", 1)
+    assert told(some) == one
+
+
+def test_a_row_stays_in_its_cell():
+    x = np.array([[1.0, 5.0], [1.5, -np.inf], [2.0, 0.0], [np.nextafter(2.0, 3.0), np.inf]])
+    assert attribution.moved(x, [np.array([1.0, 2.0]), np.array([])]).tolist() == [[1.0, np.inf], [2.0, np.inf], [2.0, np.inf], [np.inf, np.inf]]
+    leaves = attribution.leaves_of("Tree\n If (feature 1 <= 2.5)\n  Predict: 1.0\n Else (feature 1 > 2.5)\n  If (feature 1 <= 4.0)\n   Predict: 2.0\n  Else (feature 1 > 4.0)\n   Predict: 3.0", 1.0)
+    assert [c.tolist() for c in attribution.cuts_of(leaves, 2)] == [[], [2.5, 4.0]]
+
+
+def test_a_ranking_answers_to_the_model(rows, monkeypatch):
+    """Its means don't read the margin, which is compared all the same."""
+    gbt, whole = models.fit(rows, ["a", "b", "c"], models.boosted(2)).stages[-1], attribution.leaves_of
+    monkeypatch.setattr(attribution, "leaves_of", lambda text, weight: whole(text, weight)[:-1])
+    with pytest.raises(Exception, match="add up"):
+        attribution.ranking(attribution.tree_shap(rows, rows.where("id < 30"), gbt, ["a", "b", "c"], "id"), ["a", "b", "c"]).collect()

@@ -4,8 +4,13 @@ A leaf's value counts for a row x against a background row z by the features on
 its path alone: those that only x sends towards the leaf, those that only z
 does, and those that neither does, which rule it out. So a leaf needs of x and
 of z no more than a pattern, one bit a feature of its path. The background is
-reduced to the counts of its patterns at each leaf, and rows are explained in
-batches from small tables.
+reduced to the counts of its patterns at each leaf.
+
+Rows that no threshold of any tree parts take the same way through all trees
+and are explained alike. So each row is moved to the upper ends of its bins
+between thresholds, its cell; different cells are explained once, over the
+tasks, and joined to their rows. Trees cut a column into a bounded number of
+bins, so the work on leaves is bounded whatever the rows.
 """
 
 from __future__ import annotations
@@ -22,6 +27,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threatquery.operators.cells import CELLS
+from threatquery.sources.sinks import materialise
+
 #: Rows of the background, a sample by hash.
 BACKGROUND = 100
 #: Features of a path; a table has 4 to this power rows.
@@ -68,6 +76,20 @@ def leaves_of(text: str, weight: float) -> list[Leaf]:
     return out
 
 
+def cuts_of(leaves: list[Leaf], d: int) -> list[np.ndarray]:
+    """The thresholds of each of ``d`` features, in order."""
+    held: list[set[float]] = [set() for _ in range(d)]
+    for leaf in leaves:
+        for f, low, high in zip(leaf.features, leaf.low.tolist(), leaf.high.tolist(), strict=True):
+            held[f] |= {low, high}
+    return [np.array(sorted(v for v in x if np.isfinite(v))) for x in held]
+
+
+def moved(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """Each value at the upper end of its bin, infinity in the last: no threshold lies between the two."""
+    return np.column_stack([np.append(c, np.inf)[np.searchsorted(c, x[:, k], "left")] for k, c in enumerate(cuts)])
+
+
 @lru_cache(maxsize=16)
 def shares(d: int) -> np.ndarray:
     """[pattern of x, pattern of z, feature]: the share of a leaf's value that the feature gets, for a path of ``d`` features."""
@@ -111,29 +133,37 @@ class Explainer:
 def tree_shap(rows: DataFrame, background: DataFrame, model, columns: list[str], key: str) -> DataFrame:
     """key, margin (of class 1, as the model has it) and the attribution of each of ``columns`` towards class 0.
 
-    ``model``: a fitted GBTClassificationModel over ``columns``, in this order
-    and without nulls. ``background``: some hundred rows, which reach the
-    driver. The query fails where attributions don't add up to the margin that
-    the model itself gives.
+    ``model``: fitted boosted trees of MLlib or over cells, over ``columns``, in
+    this order and without nulls. ``background``: some hundred rows, which reach
+    the driver. The query fails where a row's attributions don't add up to the
+    margin that the model itself gives.
     """
     leaves = [x for tree, weight in zip(model.trees, model.treeWeights, strict=True) for x in leaves_of(tree.toDebugString, weight)]
     sample = background.select(*[F.col(c).cast("double") for c in columns]).toPandas().to_numpy(float)
-    shared = rows.sparkSession.sparkContext.broadcast(Explainer(leaves, sample))
+    cuts, context = cuts_of(leaves, len(columns)), rows.sparkSession.sparkContext
+    shared = context.broadcast(Explainer(leaves, sample))
 
-    def run(batches):
-        own = shared.value
+    @F.pandas_udf("array<double>")
+    def cell(x: pd.Series) -> pd.Series:
+        return pd.Series(list(moved(np.stack(x.to_list()), cuts)) if len(x) else [], dtype=object)
+
+    def explain(batches):
         for pdf in batches:
-            x = pdf[columns].to_numpy(float)
-            values, margins = own.values(x), pdf["_margin"].to_numpy(float)
-            if not np.allclose(own.base + values.sum(1), margins, rtol=1e-6, atol=1e-6):
-                raise ValueError("attributions don't add up to the margin")
-            yield pd.concat([pdf[[key]], pd.DataFrame({"margin": margins}, index=pdf.index), pd.DataFrame(-values, columns=columns, index=pdf.index)], axis=1)
-
-    kind = rows.schema[key].dataType.simpleString()
-    fields = ", ".join(f"`{c}` double" for c in columns)
+            if len(pdf):
+                values = shared.value.values(np.stack(pdf["_cell"].to_list()))
+                yield pd.DataFrame({"_cell": pdf["_cell"], "_values": list(-values), "_sum": shared.value.base + values.sum(1)})
+
     inputs = rows.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
-    scored = model.transform(VectorAssembler(inputCols=columns, outputCol=model.getFeaturesCol()).transform(inputs))
-    return scored.select(key, *columns, vector_to_array(model.getRawPredictionCol())[1].alias("_margin")).mapInPandas(run, f"`{key}` {kind}, margin double, {fields}")
+    placed = inputs.withColumn("_cell", cell(F.array(*[F.col(c) for c in columns])))
+    cells = placed.select("_cell").distinct().repartition(context.defaultParallelism)
+    explained = materialise(cells.mapInPandas(explain, "_cell array<double>, _values array<double>, _sum double"), "explained")
+    if np.prod([len(c) + 1.0 for c in cuts]) <= CELLS:
+        explained = F.broadcast(explained)  # a bounded number of rows
+    scored = model.transform(VectorAssembler(inputCols=columns, outputCol=model.getFeaturesCol()).transform(placed))
+    out = scored.select(key, "_cell", vector_to_array(model.getRawPredictionCol())[1].alias("margin")).join(explained, "_cell")
+    adds_up = F.abs(F.col("_sum") - F.col("margin")) <= 1e-6 + 1e-6 * F.abs("margin")
+    out = out.where(F.when(adds_up, True).otherwise(F.raise_error(F.lit("attributions don't add up to the margin"))))
+    return out.select(key, "margin", *[F.col("_values")[k].alias(c) for k, c in enumerate(columns)])
 
 
 def ranking(explained: DataFrame, columns: list[str]) -> DataFrame:
