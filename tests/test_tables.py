@@ -400,3 +400,15 @@ def test_remaining_readers_and_sinks(spark, tmp_path):
         assert lines.count() == 5000 and lines.where("line <> concat('line ', line_no)").count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("place", ["ml.scored", "profile.labelled"])
+def test_labelled_numbers_are_taken_before_the_join(spark, place):
+    """Before, texts went through the join and were shuffled wherever the labels weren't broadcast."""
+    from threatquery.plans import ml, profile as plans
+
+    made = {"ml.scored": ml.scored, "profile.labelled": plans.labelled}[place](spark, "/root/testdata/sf0.001")
+    join = made.select("doc_id", *[c for c in ("n_text", "n_words", "n_marks", "is_en") if c in made.columns])._jdf.queryExecution().optimizedPlan()
+    while join.nodeName() != "Join":
+        join = join.children().head()
+    assert "n_text" in (carried := join.left().output().mkString(" ")) and "text#" not in carried.replace("n_text#", "")

@@ -16,10 +16,10 @@ _SCORED = f"SELECT *, CASE WHEN score >= 0.2 THEN 0 ELSE 1 END AS predicted FROM
 
 
 def scored(spark, sf_dir):
-    rows = labelled(spark, sf_dir).withColumnRenamed("quality", "truth")
     words, marks = F.size(F.split("text", " ")), F.regexp_count("text", F.lit("[|$%&#*!]"))
-    rows = rows.withColumns({"n_words": words, "n_marks": marks, "score": F.round(marks / (words + F.lit(1.0)), 3)})
-    return rows.withColumn("predicted", F.when(F.col("score") >= 0.2, 0).otherwise(1)).drop("text")
+    rows = labelled(spark, sf_dir, n_words=words, n_marks=marks).withColumnRenamed("quality", "truth")
+    rows = rows.withColumn("score", F.round(F.col("n_marks") / (F.col("n_words") + F.lit(1.0)), 3))
+    return rows.withColumn("predicted", F.when(F.col("score") >= 0.2, 0).otherwise(1))
 
 
 _COLUMNS = ["n_text", "n_words", "n_marks"]

@@ -14,9 +14,10 @@ NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber
 _LABELLED = "SELECT d.*, l.quality, l.toxic, length(d.text) AS n_text, (d.lang = 'en')::INT AS is_en FROM documents d JOIN labels l USING (doc_id)"
 
 
-def labelled(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return rows.withColumns({"n_text": F.length("text"), "is_en": (F.col("lang") == "en").cast("int")})
+def labelled(spark, sf_dir, **numbers):
+    """Labelled documents without their texts, and ``numbers`` of these; all are taken before the join, which would shuffle texts."""
+    rows = table(spark, sf_dir, "documents").withColumns({"n_text": F.length("text"), "is_en": (F.col("lang") == "en").cast("int"), **numbers})
+    return rows.drop("text").join(table(spark, sf_dir, "labels"), "doc_id")
 
 
 def rounded(df, *columns, digits: int = 6):
