@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threatquery.operators import boosting, lemmas, models, text_margin
+from threatquery.operators import boosting, features_ml, lemmas, models, text_margin
 from threatquery.plans import catalogue
 
 NAMES = ["a", "b", "c"]
@@ -203,6 +203,37 @@ def test_text_machine_is_at_its_least(spark, monkeypatch, classes, most):
     assert np.mean([out[r[0]] == r[2] for r in known]) > 0.8
 
 
+def test_text_machine_steps_in_tasks_and_in_jobs(spark, monkeypatch):
+    """A class with few rows inside the margin is one task, not a job for each product; both ways give the same steps."""
+    monkeypatch.setattr(text_margin, "BLOCK", 32)
+    df = spark.createDataFrame(messages(n=90), "id long, t string, c string")
+    products, own = [], text_margin.curvature
+
+    def seen(active, way):
+        products.append(int(way.any(1).sum()))
+        return own(active, way)
+
+    monkeypatch.setattr(text_margin, "curvature", seen)
+    inner = text_margin.fit(df, "t", "c", 15, tolerance=1e-2)
+    assert not products
+    monkeypatch.setattr(text_margin, "HELD", 0)
+    outer = text_margin.fit(df, "t", "c", 15, tolerance=1e-2)
+    assert products
+    assert np.abs(inner.weights - outer.weights).max() < 1e-8
+    found = df.select(*text_margin.inputs(F.col("t")), "id", "c")
+    again = text_margin.fit(found, None, "c", 15, tolerance=1e-2)
+    assert np.abs(inner.weights - again.weights).max() < 1e-8
+    a, b = ({r.id: r.predicted for r in x.collect()} for x in (inner.transform(df, "t"), again.transform(found, None)))
+    assert a == b and len(a) == 93
+
+
+def test_terms_are_counted_by_batch(spark):
+    rows = [["a b", "a b", "c"], [], ["c", "d"], None, ["c"]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "id int, t array<string>").repartition(2)
+    found = {r.term: (r.df, r.total) for r in features_ml.totals(df, "t").collect()}
+    assert found == {"a b": (1, 2), "c": (3, 3), "d": (1, 1)}
+
+
 def test_text_machine_edges(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (2, None, "x")], "id long, t string, c string")
     assert {r.predicted for r in text_margin.fit(df, "t", "c").transform(df, "t").collect()} == {"x"}

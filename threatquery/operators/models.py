@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, IndexToString, MaxAbsScaler, Normalizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, IndexToString, MaxAbsScaler, Normalizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from threatquery.functions.text import handcrafted
 from threatquery.operators import metrics, splits
 from threatquery.operators.cells import CellBoosting, CellForest
-from threatquery.operators.features_ml import grams, medians
+from threatquery.operators.features_ml import grams, medians, totals
 from threatquery.sources.sinks import materialise
 
 # The settings of the models.
@@ -106,18 +106,21 @@ def linear_terms(model: PipelineModel, columns: list[str], positive: int = 0) ->
     return dict(zip(columns, weights, strict=True)), dict(zip(columns, scaler.mean.toArray().tolist(), strict=True))
 
 
-def text_columns(rows: DataFrame, text: str) -> DataFrame:
-    """The inputs of the text model: uni- and bigrams, and the seven handcrafted features."""
+def text_columns(rows: DataFrame, text: str | None) -> DataFrame:
+    """The inputs of the text model: uni- and bigrams, and the seven handcrafted features; without ``text`` the rows have both, as arrays."""
+    if text is None:
+        return rows.withColumn("hand", array_to_vector("hand"))
     return rows.withColumns({"terms": grams(F.col(text)), "hand": array_to_vector(handcrafted(F.col(text)))})
 
 
-def fit_text(train: DataFrame, text: str, label: str, estimator, max_features: int = 5000) -> PipelineModel:
+def fit_text(train: DataFrame, text: str | None, label: str, estimator, max_features: int = 5000) -> PipelineModel:
     """TF-IDF of unit length beside scaled handcrafted features, then the classifier; all fitted on ``train``.
 
     Applies to rows with ``text_columns``; adds predicted, the label's name.
     """
     rows = text_columns(train, text).withColumn("_class", F.col(label))
-    vectors = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max_features).fit(rows)
+    words = totals(rows, "terms").orderBy(F.col("total").desc(), "term").limit(max_features).select("term").collect()
+    vectors = CountVectorizerModel.from_vocabulary([r.term for r in words] or [""], inputCol="terms", outputCol="tf")
     # counts are written once, as all that follows would go over the texts again
     rows = materialise(vectors.transform(rows).select("_class", "tf", "hand"), "counts")
     index = StringIndexer(inputCol="_class", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
