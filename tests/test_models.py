@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from threatquery.operators import attribution, margin, models
+from threatquery.operators import attribution, margin, models, text_margin
 from threatquery.plans import catalogue
 
 
@@ -38,6 +38,15 @@ def test_text_model(spark):
     assert out.where("predicted = c").count() == 60
 
 
+def test_text_model_of_written_inputs(spark):
+    """The same model from the columns that the queries write once, so that fit and predictions don't go over the texts again."""
+    texts = [(k, ["win a free prize now", "see you at lunch", "verify the account"][k % 3], ["prize", "none", "pay"][k % 3]) for k in range(30)]
+    df = spark.createDataFrame(texts, "id long, t string, c string")
+    found = df.select("id", "c", *text_margin.inputs(F.col("t")))
+    out = models.fit_text(found, None, "c", models.logistic(30, 20)).transform(models.text_columns(found, None))
+    assert out.where("predicted = c").count() == 30
+
+
 def test_linear_shap_adds_up(rows):
     found = {r.feature: r for r in models.linear_shap(rows.na.fill(0.0), ["x", "y"], {"x": 2.0, "y": 0.0}, {"x": 1.0, "y": 2.0}).collect()}
     assert found["y"].mean_abs == 0 and found["x"].signed == pytest.approx(2 * (rows.na.fill(0.0).agg(F.avg("x")).first()[0] - 1))
