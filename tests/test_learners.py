@@ -234,6 +234,16 @@ def test_terms_are_counted_by_batch(spark):
     assert found == {"a b": (1, 2), "c": (3, 3), "d": (1, 1)}
 
 
+def test_frequent_terms_are_those_of_all_totals(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(k, [f"w{x}" for x in rng.zipf(1.3, 30) % (40 + 60 * (k // 50))]) for k in range(200)]  # parts differ
+    spark.createDataFrame([*rows, (-1, []), (-2, None)], "id int, t array<string>").repartitionByRange(6, "id").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    own = sorted(((-r.total, r.term, r.df) for r in features_ml.totals(df, "t").collect()))
+    for most in (1, 7, 50, 1000):
+        assert [(-r.total, r.term, r.df) for r in features_ml.frequent(df, "t", most).collect()] == own[:most]
+
+
 def test_text_machine_edges(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (2, None, "x")], "id long, t string, c string")
     assert {r.predicted for r in text_margin.fit(df, "t", "c").transform(df, "t").collect()} == {"x"}

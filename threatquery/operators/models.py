@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from threatquery.functions.text import handcrafted
 from threatquery.operators import metrics, splits
 from threatquery.operators.cells import CellBoosting, CellForest
-from threatquery.operators.features_ml import grams, medians, totals
+from threatquery.operators.features_ml import frequent, grams, medians, totals
 from threatquery.sources.sinks import materialise
 
 # The settings of the models.
@@ -116,11 +116,12 @@ def text_columns(rows: DataFrame, text: str | None) -> DataFrame:
 def fit_text(train: DataFrame, text: str | None, label: str, estimator, max_features: int = 5000) -> PipelineModel:
     """TF-IDF of unit length beside scaled handcrafted features, then the classifier; all fitted on ``train``.
 
+    ``text`` is None where ``train`` is a written table that has terms and hand already.
     Applies to rows with ``text_columns``; adds predicted, the label's name.
     """
     rows = text_columns(train, text).withColumn("_class", F.col(label))
-    words = totals(rows, "terms").orderBy(F.col("total").desc(), "term").limit(max_features).select("term").collect()
-    vectors = CountVectorizerModel.from_vocabulary([r.term for r in words] or [""], inputCol="terms", outputCol="tf")
+    words = frequent(rows, "terms", max_features) if text is None else totals(rows, "terms").orderBy(F.col("total").desc(), "term").limit(max_features)
+    vectors = CountVectorizerModel.from_vocabulary([r.term for r in words.select("term").collect()] or [""], inputCol="terms", outputCol="tf")
     # counts are written once, as all that follows would go over the texts again
     rows = materialise(vectors.transform(rows).select("_class", "tf", "hand"), "counts")
     index = StringIndexer(inputCol="_class", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
